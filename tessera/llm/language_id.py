@@ -128,17 +128,18 @@ def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     return train({k: v for k, v in texts.items() if v})
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row.
+def identify_rows(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(row, held_out, lang_pred, score) of every row; row holds all its columns, whatever their names.
 
     The language with the shortest code wins, the first in alphabetical order among equals; score is its share
     of the probability that all languages give the text. A text that is null or has no letter, or any text
     if there is no model, gives und and 0. Nulls in doc_id count as not held out; repeated rows are judged
-    alike; lang, source and doc_id are no inputs; other columns are not read.
+    alike; lang, source and doc_id are no inputs; an empty table gives an empty one.
     """
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, "text", held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("row", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if model.cost.nbytes + model.node.nbytes > MODEL_BYTES:
         raise ValueError(f"a model of more than {MODEL_BYTES} bytes")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -152,9 +153,15 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             p = 1 / np.exp2(np.minimum(bits[np.arange(len(best)), best][:, None] - bits, 0)).sum(axis=1)
             letters = b.column("letters").to_numpy(zero_copy_only=False)
             best[~letters], p[~letters] = len(m.languages), 0.0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(p)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(p)], ["row", "held_out", "lang_pred", "score"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(judge, f"row {kind}, held_out boolean, lang_pred string, score double")
 
-    return rows.mapInArrow(judge, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row, as identify_rows; other columns are not read."""
+    return identify_rows(docs.select("doc_id", "text"), model).select("row.doc_id", "held_out", "lang_pred", "score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,11 +178,12 @@ def _links(side: np.ndarray, split: bool, points: np.ndarray, sizes: np.ndarray,
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, tk) of every row: texts are linked when den * |A & B| >= num * |A | B|.
+    """(doc_id, n_shingles, component_id, class, tk) of every row: texts are linked when den * |A & B| >= num * |A | B|.
 
     Shingles are `words` words in a row, A-Z lower-cased; fewer words are one shingle; null, empty and blank texts
     have none and are linked with nothing, so each is a component of its own. component_id is the least doc_id that
-    links reach, of a row whose component has only null ids its own null. tk is the row's text_key. Repeated rows
+    links reach, of a row whose component has only null ids its own null. class is
+    a key of the component, null for texts without shingles; tk is the row's text_key. Repeated rows
     and equal texts are linked; other columns are not read; an empty table gives an empty one.
 
     Copies meet once: from the first pass on a set stands for all texts that have it. No step lists the pairs of a
@@ -220,11 +221,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     dealt = pair_blocks(wanted.join(texts, "tk").select("component", "set_key", "members", "n", "vec", "text"), "component", "set_key", "members", CAP // 4)
     links = _task_links(dealt, "component", num, den, words)
     found = connected_components(links)
-    with_set = rows.select("doc_id", "n", "set_key", "tk").join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
-    with_set = with_set.withColumn("class", F.coalesce("component", "set_key"))
-    least = with_set.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = with_set.join(least, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "tk")
+    least = rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
+    least = least.withColumn("class", F.coalesce("component", "set_key"))
+    classes_ = least.groupBy("class").agg(F.min("least").alias("component_id"))
+    of_set = written(least.select("set_key", "class").join(classes_, "class"), "classes")  # a row for each set: what rows join is without heavy keys on this side
+    out = rows.select("doc_id", "n", "set_key", "tk").join(of_set, "set_key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "tk")
 
 
 def _task_links(dealt: DataFrame, key: str, num: int, den: int, words: int | None) -> DataFrame:

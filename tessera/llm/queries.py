@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, ngram_join, sharding, url_filter
+from . import chat_format, embedding_join, fingerprints, language_id, mixing, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_language_id": language_id.op3_language_id,
     "op4_sharding": sharding.op4_sharding,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_embedding_near_dedup": embedding_join.op6_embedding_near_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_sentencepiece": sentencepiece_scan.op8_sentencepiece,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
-ORACLES = {"op2_url_filter": url_filter.ORACLE}
+ORACLES = {
+    "op2_url_filter": url_filter.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op6_embedding_near_dedup": embedding_join.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
+}
