@@ -32,7 +32,7 @@ def place(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, group, shard, slot) of every row; size is UTF-8 bytes plus 1, null texts count as empty.
 
     Equal texts form a group and share a shard, except that a group with more than a shard's fair share of any
-    measure is split, by row, into pieces of at most about that, so that shards stay near equal. At most
+    measure is split, by row, into pieces of about an eighth of that, so that shards stay near equal. At most
     1 / HEAVY groups a measure are heavy; all others are packed by the hash cell of their text, CELLS in number,
     so that what the driver packs is bounded. Slots run gapless from 0 in each shard, by
     a count for each scan partition and not in one task. Repeated rows and null ids are rows like others; an
@@ -52,9 +52,10 @@ def place(docs: DataFrame, shards: int = 8) -> DataFrame:
     bound = [max(1, int((x or 0) * HEAVY)) for x in total]
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     heavy = groups.filter((F.col("size") > bound[0]) | (F.col("tokens") > bound[1]) | (F.col("n") > bound[2]))
-    pieces = {r["group"]: (max(1, int(np.ceil(shards * max(r[k] / (t or 1) for k, t in zip(("size", "tokens", "n"), total, strict=True))))), r) for r in heavy.collect()}
+    share = {r["group"]: max(r[k] / (t or 1) for k, t in zip(("size", "tokens", "n"), total, strict=True)) for r in heavy.collect()}
+    pieces = {g: int(np.ceil(8 * shards * x)) if x > 1 / shards else 1 for g, x in share.items()}
     spark = docs.sparkSession
-    split = F.broadcast(spark.createDataFrame([(g, n) for g, (n, _) in pieces.items()], "group long, pieces int"))
+    split = F.broadcast(spark.createDataFrame(list(pieces.items()), "group long, pieces int"))
     cell = F.coalesce(F.concat(F.lit("h"), F.col("group"), F.lit("."), F.pmod(F.xxhash64("rid"), F.col("pieces"))), F.concat(F.lit("c"), F.pmod(F.col("group"), F.lit(CELLS))))
     rows = rows.join(split, "group", "left").withColumn("cell", cell)
     items = sorted(rows.groupBy("cell").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect())
