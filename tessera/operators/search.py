@@ -17,7 +17,12 @@ DOCUMENT_WEIGHTS = {"title": 8.0, "aliases": 6.0, "headings": 3.0, "tags": 2.0,
 ENTITY_WEIGHTS = {"name": 8.0, "aliases": 6.0, "endpoints": 0.0, "predicate": 0.0, "qualifiers": 0.0, "description": 1.0}
 ASSERTION_WEIGHTS = {"name": 0.0, "aliases": 0.0, "endpoints": 4.0, "predicate": 6.0, "qualifiers": 2.0, "description": 1.0}
 K1, B = 1.2, 0.75
-TIE = F.coalesce("record_id", "path")
+MOST_TERMS_JOINED = 4096
+
+
+def tie() -> Column:
+    """What equal scores are ordered by, before the path."""
+    return F.coalesce("record_id", "path")
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -85,6 +90,25 @@ def bm25_unit_form(tokenised: DataFrame, terms: Sequence[str], key: str, column:
     return found.join(F.broadcast(stats)).select(key, score.alias("score"))
 
 
+def bm25_terms(tokenised: DataFrame, terms: Sequence[str], key: str, column: str = "t_body") -> DataFrame:
+    """The unit form for many terms: (key, score) by a join of postings with the query's terms instead of a column for each.
+
+    Terms are counted within a document before they are shuffled; the query's terms, at most MOST_TERMS_JOINED, are broadcast.
+    """
+    terms = list(dict.fromkeys(terms))
+    if len(terms) > MOST_TERMS_JOINED:
+        raise ValueError(f"more than {MOST_TERMS_JOINED} terms")
+    spark = tokenised.sparkSession
+    rows = tokenised.select(key, F.size(column).cast("double").alias("len"), F.col(column).alias("t"))
+    stats = rows.agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"))
+    asked = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
+    hit = rows.select(key, "len", F.explode("t").alias("term")).join(asked, "term").groupBy(key, "len", "term").agg(F.count("*").cast("double").alias("f"))
+    df = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg"))
+    score = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
+    return hit.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(key).agg(F.sum(score).alias("score"))
+
+
 def postings(tokenised: DataFrame, key: str) -> DataFrame:
     """(term, key, column, position) of every token: the inverted index, to be written partitioned or bucketed by term."""
     parts = [tokenised.select(key, F.lit(c[2:]).alias("column"), F.posexplode(c).alias("position", "term")) for c in tokenised.columns if c.startswith("t_")]
@@ -93,7 +117,7 @@ def postings(tokenised: DataFrame, key: str) -> DataFrame:
 
 def literal(docs: DataFrame, needle: str, keep: Sequence[str], k: int = MOST_CANDIDATES) -> DataFrame:
     """The first k documents that contain the bytes of needle, case and all, by coalesce(record_id, path), path."""
-    return top(docs.filter(F.contains("body", F.lit(needle))).select(*keep), [TIE, F.col("path")], k)
+    return top(docs.filter(F.contains("body", F.lit(needle))).select(*keep), [tie(), F.col("path")], k)
 
 
 def literal_count(docs: DataFrame, needle: str) -> DataFrame:
@@ -124,10 +148,10 @@ def five_legs(docs: DataFrame, query: str, policy: Column, k: int = MOST_CANDIDA
         scored("lexical", None),
         scored("identity_lexical", ["title", "aliases"]),
     ]
-    ranked = reduce(DataFrame.unionByName, [top(leg, [F.col("score"), TIE, F.col("path")], k) for leg in legs])  # 5 * k rows at most from here
+    ranked = reduce(DataFrame.unionByName, [top(leg, [F.col("score"), tie(), F.col("path")], k) for leg in legs])  # 5 * k rows at most from here
     best = ranked.groupBy("path", "record_id").agg(F.min(F.struct("tier", "score")).alias("b"), *[F.min(F.when(F.col("leg") == leg, F.col("rank"))).alias(f"rank_{leg}") for leg in ("exact_id", "exact_title", "exact_alias", "lexical", "identity_lexical")])
     best = best.select("path", "record_id", F.col("b.tier").alias("tier"), F.col("b.score").alias("score"), *[c for c in best.columns if c.startswith("rank_")])
-    return top(best, [F.col("tier"), F.col("score"), TIE, F.col("path")], k)
+    return top(best, [F.col("tier"), F.col("score"), tie(), F.col("path")], k)
 
 
 def complete_phrase_first(ranked: DataFrame, docs: DataFrame, query: str) -> DataFrame:

@@ -192,7 +192,7 @@ def filter_source_scope(spark, sf):
 @query("late_materialised", f"WITH {DOCUMENTS_SQL}, c AS (SELECT path FROM d WHERE {NORMAL_SQL} ORDER BY coalesce(record_id, path), path LIMIT 80) SELECT path, record_id, kind, length(body) AS chars, strlen(body) AS bytes FROM c JOIN d USING (path)")
 def late_materialised(spark, sf):
     docs = model.documents(spark, sf)
-    narrow = docs.filter(filters.normal_policy()).select("path", "record_id").orderBy(search.TIE, "path").limit(80).select("path")
+    narrow = docs.filter(filters.normal_policy()).select("path", "record_id").orderBy(search.tie(), "path").limit(80).select("path")
     return filters.late(narrow, docs, "path").select("path", "record_id", "kind", F.length("body").cast("long").alias("chars"), F.octet_length("body").cast("long").alias("bytes"))
 
 
