@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20  # the largest vocabulary file that is broadcast
 SCALE = 1_000_000  # a score's unit is a millionth
 BYTE = -20 * SCALE  # worse than any piece, so that bytes are only used where no piece is
-CHUNK = 16_384  # characters of a chunk
+CHUNK = 65_536  # characters of a chunk
 MEMO = 400_000  # words whose paths a worker remembers
 SPACE = "▁"
 LOW = -(1 << 60)
