@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from math import log
 
@@ -29,7 +30,7 @@ MODEL_BYTES = 64 << 20  # the largest vocabulary file that is broadcast
 SCALE = 1_000_000  # a score's unit is a millionth
 BYTE = -20 * SCALE  # worse than any piece, so that bytes are only used where no piece is
 CHUNK = 65_536  # characters of a chunk
-MEMO = 400_000  # words whose paths a worker remembers
+MEMO = 300_000  # words whose paths a task remembers
 SPACE = "▁"
 LOW = -(1 << 60)
 
@@ -56,6 +57,12 @@ class Codec:
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no fallback to bytes")
         self.longest = max(map(len, self.pieces))
+        self.trie: dict = {}  # by characters; at "" the piece that ends there
+        for piece, found in self.pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = found
         # every path passes a place that no piece crosses: before a run of spaces, and around characters that are in no longer piece
         inner = {c for p in self.pieces if len(p) > 1 for c in p}
         self.alone = [c for c in "\n\t\r" if c not in inner]
@@ -98,14 +105,38 @@ class Codec:
         """(ids as int32, score) of a text between places that no piece crosses."""
         found = self.memo.get(w)
         if found is None:
-            score, last = self.best(w)
-            found = (np.array(self.trace(last, 0, len(w)), "<i4").tobytes(), score[-1])
+            found = self.whole(w)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             if len(w) <= 64:
                 self.memo[w] = found
         return found
 
+    def whole(self, w: str) -> tuple[bytes, int]:
+        """What best() and trace() find from the first to the last place, by a walk down the trie from each place."""
+        n = len(w)
+        score, back, ident = [LOW] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        score[0] = 0
+        for i in range(n):
+            at, node = score[i], self.trie
+            for j in range(i, n):
+                node = node.get(w[j])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is not None and at + found[1] > score[j + 1]:
+                    score[j + 1], back[j + 1], ident[j + 1] = at + found[1], i, found[0]
+            if w[i] not in self.pieces:
+                raw = w[i].encode()
+                if at + BYTE * len(raw) > score[i + 1]:
+                    score[i + 1], back[i + 1], ident[i + 1] = at + BYTE * len(raw), i, tuple(self.bytes[b] for b in raw)
+        out = []
+        end = n
+        while end:
+            out.extend(reversed(ident[end]) if type(ident[end]) is tuple else (ident[end],))
+            end = back[end]
+        return array("i", reversed(out)).tobytes(), score[n]
+
     def escaped(self, text: str) -> list[str]:
         """The text with its spaces as pieces have them, and one in front; split at characters that look like those."""
         parts = text.split(SPACE)
@@ -211,6 +242,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         key = hashlib.sha256(shared.value).digest()
         if _codecs.get("key") != key:
             _codecs.update(key=key, codec=Codec(shared.value))
+        _codecs["codec"].memo.clear()  # a worker that goes on to other tasks doesn't keep it
         return _codecs["codec"]
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
@@ -223,6 +255,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
             texts = b.column("text").to_pylist()
             found = [c.encode(t or "") for t in texts]
             yield _result(c, b.column("row"), [f[0] for f in found], [f[1] for f in found], texts)
+        c.memo.clear()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
