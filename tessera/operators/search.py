@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators.filters import MOST_CANDIDATES, checked_query, top
 from tessera.sources.model import tokens
+from tessera.sources.store import written
 
 #: Weights of the indexed columns, in their order, and of graph rows by the kind of target.
 DOCUMENT_WEIGHTS = {"title": 8.0, "aliases": 6.0, "headings": 3.0, "tags": 2.0, "body": 1.0}
@@ -70,6 +71,7 @@ def bm25_index_form(tokenised: DataFrame, query: str, weights: dict[str, float],
         *[sum((F.lit(weights[c]) * hits(f"t_{c}", p) for c in seen), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(wanted)],
         *[reduce(lambda a, b: a | b, [hits(f"t_{c}", p) > 0 for c in seen]).cast("int").alias(f"m{i}") for i, p in enumerate(wanted)],
     )
+    rows = written(rows, "hits")  # a few numbers a row: texts are tokenised once, not again for the sums
     stats = rows.agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"), *[F.sum(f"m{i}").cast("double").alias(f"n{i}") for i in range(len(wanted))])
     idf = lambda i: F.greatest(F.ln((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg"))
@@ -82,6 +84,7 @@ def bm25_unit_form(tokenised: DataFrame, terms: Sequence[str], key: str, column:
     """(key, score) of matching units, higher is better; idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over the units given."""
     terms = list(dict.fromkeys(terms))
     rows = tokenised.select(key, F.size(column).cast("double").alias("len"), *[hits(column, [t]).cast("double").alias(f"f{i}") for i, t in enumerate(terms)])
+    rows = written(rows, "hits")  # a few numbers a row: texts are tokenised once, not again for the sums
     stats = rows.agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))])
     idf = lambda i: F.ln(1 + (F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg"))
@@ -100,9 +103,12 @@ def bm25_terms(tokenised: DataFrame, terms: Sequence[str], key: str, column: str
         raise ValueError(f"more than {MOST_TERMS_JOINED} terms")
     spark = tokenised.sparkSession
     rows = tokenised.select(key, F.size(column).cast("double").alias("len"), F.col(column).alias("t"))
-    stats = rows.agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"))
     asked = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
-    hit = rows.select(key, "len", F.explode("t").alias("term")).join(asked, "term").groupBy(key, "len", "term").agg(F.count("*").cast("double").alias("f"))
+    counted = rows.select(key, "len", F.explode_outer("t").alias("term")).join(asked.withColumn("asked", F.lit(1)), "term", "left")
+    counted = counted.groupBy(key, "len", F.when(F.col("asked") == 1, F.col("term")).alias("term")).agg(F.count("*").cast("double").alias("f"))
+    counted = written(counted, "hits")  # a row for each document and term of the query, and one for the rest
+    stats = counted.groupBy(key).agg(F.first("len").alias("len")).agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"))
+    hit = counted.filter("term is not null")
     df = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg"))
     score = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
