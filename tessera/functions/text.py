@@ -359,3 +359,68 @@ def parse_note(text: str | None, most: int = 256 * 1024) -> list[tuple[str, list
                 error = "repeated key"
             fields.append((key.strip(), value.strip()))
     return [("invalid" if error else "record", fields, at + body.end(), error)]
+
+
+def packet_windows(text: str | None, capacity: int = 12_000, most: int = 16) -> list[tuple[int, int, int, list[str]]]:
+    """(ordinal, start, end, headings) of an extraction packet: up to `most` slices cut after the last newline that fits, never between CR and LF.
+
+    A line that is longer than the capacity is cut at a character. headings are those in force at the slice's start.
+    """
+    raw, out, at, above = (text or "").encode(), [], 0, []
+    while at < len(raw) and len(out) < most:
+        end = char_end(raw, at + capacity)
+        if end < len(raw):
+            newline = raw.rfind(b"\n", at, end)
+            end = newline + 1 if newline >= at else end
+            if raw[end - 1 : end] == b"\r" and raw[end : end + 1] == b"\n" and end - 1 > at:
+                end -= 1
+        out.append((len(out), at, end, [label for _, label in above]))
+        for line in raw[at:end].decode().split("\n"):
+            h = heading(line.rstrip("\r"))
+            if h:
+                while above and above[-1][0] >= h[0]:
+                    above.pop()
+                above.append(h)
+        at = end
+    return out
+
+
+def rewrite_links(text: str | None, old: str, new: str) -> str | None:
+    """The text with links to old leading to new; labels, code and escaped links stay."""
+    if text is None:
+        return None
+    raw, out, at = text.encode(), [], 0
+    for start, target, _ in links(text):
+        if target == old:
+            i = raw.index(old.encode(), start if raw.startswith(b"[[", start) else raw.index(b"](", start))
+            out += [raw[at:i], new.encode()]
+            at = i + len(old.encode())
+    return b"".join([*out, raw[at:]]).decode()
+
+
+_CITATIONS = re.compile(r"(?s)<!-- citations\n(.*?)\n-->")
+
+
+def page_citations(text: str | None) -> list[tuple[str, str, int, int]]:
+    """(source, revision, start, end) of a page's one citation block: a JSON line each; nothing if the block is missing, repeated or broken."""
+    import json
+
+    found = _CITATIONS.findall(text or "")
+    if len(found) != 1:
+        return []
+    try:
+        rows = [json.loads(line) for line in found[0].splitlines()]
+        return [(str(r["source_id"]), str(r["revision"]), int(r["start"]), int(r["end"])) for r in rows]
+    except (ValueError, KeyError, TypeError):
+        return []
+
+
+def original_span(runs: list[tuple[str, int, int]], start: int, end: int) -> tuple[int, int] | None:
+    """The original bytes of readable bytes [start, end), runs being joined by a newline; none if a run is left or its bytes were changed."""
+    at = 0
+    for run, a, b in runs:
+        size = len(run.encode())
+        if at <= start and end <= at + size:
+            return (a + start - at, a + end - at) if size == b - a else None
+        at += size + 1
+    return None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, text
+from tessera.operators import render
 from tessera.plans.registry import query
 from tessera.sources import model
 from tessera.sources.model import TOKENS_SQL
@@ -147,3 +148,52 @@ def dates_checked(spark, sf):
 def json_canonical(spark, sf):
     raw = F.concat(F.lit('{ "b" : "'), "event_type", F.lit('", "a": '), F.col("event_id").cast("string"), F.lit(" }"))
     return model.ledger(spark, sf).select("event_id", scalars.canonical_json(raw).alias("json"))
+
+
+@query(
+    "entity_units_rendered",
+    """SELECT 'supplier_' || s_suppkey AS target_id, 'Entity: ' || to_json(s_name)::VARCHAR || chr(10) || 'Type: supplier' || chr(10) || 'Aliases: ["alt ' || (s_suppkey % 3) || '","' || lower(s_name) || '"]' || chr(10) || 'Status: active' AS utf8 FROM supplier""",
+)
+def entity_units_rendered(spark, sf):
+    s = model.table(spark, sf, "supplier")
+    alt = F.concat(F.lit("alt "), (F.col("s_suppkey") % 3).cast("string"))
+    rows = s.select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"), F.lit("supplier").alias("entity_type"), F.array(F.lower("s_name"), alt, alt).alias("aliases"), F.lit(None).cast("string").alias("description"))
+    return render.entity_units(rows)
+
+
+@query(
+    "assertion_units_rendered",
+    """SELECT 'supplier_' || s_suppkey || '>nation_' || s_nationkey AS target_id, 'Subject: {"id":"supplier_' || s_suppkey || '","title":' || to_json(s_name)::VARCHAR || '}' || chr(10) || 'Predicate: located_in' || chr(10) ||
+  'Object: {"id":"nation_' || s_nationkey || '","title":' || to_json(n_name)::VARCHAR || '}' || chr(10) || 'Negated: false' || chr(10) || 'Modality: asserted' AS utf8 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
+def assertion_units_rendered(spark, sf):
+    a = model.assertions(spark, sf).filter("predicate = 'located_in' and subject_id like 'supplier%'")
+    return render.assertion_units(a, model.entities(spark, sf))
+
+
+@query("packet_windows")
+def packet_windows(spark, sf):
+    """Windows of extraction packets: how many, their bytes, the longest."""
+    out = text.mapped(_docs(spark, sf), text.packet_windows, ("text",), "ordinal long, start long, end long, headings array<string>", ("doc_id",))
+    return out.groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max(F.col("end") - F.col("start")).alias("longest"))
+
+
+@query("links_rewritten", "SELECT doc_id, '[[m' || doc_id || '|x]] `[[n' || doc_id || ']]` [n' || doc_id || '](m' || doc_id || ')' AS text FROM documents")
+def links_rewritten(spark, sf):
+    n = F.concat(F.lit("n"), F.col("doc_id").cast("string"))
+    d = model.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("[["), n, F.lit("|x]] `[["), n, F.lit("]]` ["), n, F.lit("]("), n, F.lit(")")).alias("note"), n.alias("old"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("new"))
+    return text.mapped(d, _rewritten, ("note", "old", "new"), "text string", ("doc_id",))
+
+
+def _rewritten(t, old, new):
+    return [(text.rewrite_links(t, old, new),)]
+
+
+@query("citations_compacted", "WITH s AS (SELECT conv_id AS revision, turn * 40 AS a, turn * 40 + 30 + (turn % 3) * 10 AS b FROM conversations), g AS (SELECT *, CASE WHEN a > max(b) OVER w THEN 1 WHEN max(b) OVER w IS NULL THEN 1 ELSE 0 END AS gap FROM s WINDOW w AS (PARTITION BY revision ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), i AS (SELECT *, sum(gap) OVER (PARTITION BY revision ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT revision, min(a) AS start, max(b) AS \"end\", count(*) AS parts FROM i GROUP BY revision, k")
+def citations_compacted(spark, sf):
+    """Direct quotes of a revision that overlap or touch become one span."""
+    from tessera.operators.intervals import merge_overlapping
+
+    c = model.table(spark, sf, "conversations")
+    spans = c.select(F.col("conv_id").alias("revision"), (F.col("turn") * 40).alias("start"), (F.col("turn") * 40 + 30 + F.col("turn") % 3 * 10).alias("end"))
+    return merge_overlapping(spans, ["revision"])

@@ -323,3 +323,21 @@ def test_bm25_by_join_equals_bm25_by_columns(spark):
     t = search.token_columns(docs, ["body"], ["k"])
     a = {r["k"]: r["score"] for r in search.bm25_unit_form(t, ["w1", "w3", "zz"], "k").collect()}
     assert a == {r["k"]: pytest.approx(r["score"]) for r in search.bm25_terms(t, ["w1", "w3", "zz"], "k").collect()}
+
+
+@given(TEXTS, st.integers(8, 40))
+@settings(max_examples=100, deadline=None)
+def test_packet_windows_are_disjoint_and_bounded(t, capacity):
+    raw, at = t.encode(), 0
+    for _, a, b, _ in text.packet_windows(t, capacity, 1000):
+        assert a == at and 0 < b - a <= capacity and not (raw[b - 1 : b] == b"\r" and raw[b : b + 1] == b"\n" and b - a > 1)
+        at = b
+    assert at == len(raw) and len(text.packet_windows(t, capacity, 2)) <= 2
+
+
+def test_citations_rewrites_and_source_map():
+    page = 'x\n<!-- citations\n{"source_id":"s","revision":"r","start":1,"end":4}\n-->\n'
+    assert text.page_citations(page) == [("s", "r", 1, 4)] and text.page_citations(page + page) == [] and text.page_citations("<!-- citations\n{}\n-->") == []
+    assert text.rewrite_links("[[A]] \\[[A]] `[[A]]` [A](A)", "A", "é/B") == "[[é/B]] \\[[A]] `[[A]]` [A](é/B)" and text.rewrite_links(None, "a", "b") is None
+    t = "<p>é one</p><b>two</b>"
+    assert text.original_span(text.readable(t), 7, 10) == (15, 18) and t.encode()[15:18] == b"two" and text.original_span(text.readable(t), 4, 9) is None
