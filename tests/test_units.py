@@ -340,4 +340,4 @@ def test_citations_rewrites_and_source_map():
     assert text.page_citations(page) == [("s", "r", 1, 4)] and text.page_citations(page + page) == [] and text.page_citations("<!-- citations\n{}\n-->") == []
     assert text.rewrite_links("[[A]] \\[[A]] `[[A]]` [A](A)", "A", "é/B") == "[[é/B]] \\[[A]] `[[A]]` [A](é/B)" and text.rewrite_links(None, "a", "b") is None
     t = "<p>é one</p><b>two</b>"
-    assert text.original_span(text.readable(t), 7, 10) == (15, 18) and t.encode()[15:18] == b"two" and text.original_span(text.readable(t), 4, 9) is None
+    assert text.original_span(text.readable(t), 7, 10) == (16, 19) and t.encode()[16:19] == b"two" and text.original_span(text.readable(t), 4, 9) is None
