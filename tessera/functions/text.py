@@ -323,7 +323,7 @@ _CODE = re.compile(r"(?s)```.*?(?:```|\Z)|`[^`\n]*`")
 
 
 def links(text: str | None) -> list[tuple[int, str, str]]:
-    """(start, target, label) of Markdown and [[wiki|label]] links, byte offsets; those in code or escaped are left out."""
+    """(start, target, label) of Markdown and [[target|label]] links, byte offsets; those in code or escaped are left out."""
     text = text or ""
     hidden = _CODE.sub(lambda m: " " * len(m.group()), text)
     return [(len(text[: m.start()].encode()), (m[1] or m[4]).strip(), (m[2] or m[3] or "").strip()) for m in _LINK.finditer(hidden)]
