@@ -19,6 +19,7 @@ all windows that it owns) are sorted with those of its equals as rows aligned at
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from .common import documents, sliced, text_key, whole_groups, written
 from .kernel import U, flat, mix, powers, prefix_hash
 
 LENGTH = 200  # bytes of a repeated string
-ANCHOR = 64  # bytes of an anchor
+ANCHOR = 48  # bytes of an anchor
 STEP = 8  # offsets of the windows that a row of a hot anchor keeps
 HOT = 8192  # places of an anchor beyond which its rows are split by more of their bytes
 SHARD = 4096  # rows of a shard
@@ -93,8 +94,9 @@ def common_prefixes(rows: np.ndarray, group: np.ndarray, order: np.ndarray) -> n
     """Bytes that each row in the order shares with the one before; -1 where a group begins."""
     out = np.full(len(order), -1, np.int32)
     if len(order) > 1:
-        differ = rows[order[1:]] != rows[order[:-1]]
-        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        for i in range(1, len(order), 8192):
+            differ = rows[order[i : i + 8192]] != rows[order[i - 1 : i + 8191][: len(order[i : i + 8192])]]
+            out[i : i + 8192] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
         out[1:][group[order[1:]] != group[order[:-1]]] = -1
     return out
 
@@ -110,9 +112,13 @@ def repeated_windows(snippets: list[np.ndarray], left: np.ndarray, span: np.ndar
     size = np.diff(base)
 
     def columns(offsets: np.ndarray) -> np.ndarray:
-        at = left[:, None] + offsets[None, :]
-        inside = (at >= 0) & (at < size[:, None])
-        return np.where(inside, data[np.minimum(base[:-1, None] + np.maximum(at, 0), len(data) - 1)], 0).astype(np.uint8)
+        out = np.zeros((n, len(offsets)), np.uint8)
+        for i in range(0, n, 2048):  # places take eight times the room of bytes
+            rows = slice(i, i + 2048)
+            at = left[rows, None] + offsets[None, :]
+            inside = (at >= 0) & (at < size[rows, None])
+            out[rows][inside] = data[(base[:-1][rows, None] + at)[inside]]
+        return out
 
     right, back = columns(np.arange(length)), columns(-1 - np.arange(wide))
     out = np.zeros((n, wide + 1), bool)
@@ -135,13 +141,22 @@ def repeated_windows(snippets: list[np.ndarray], left: np.ndarray, span: np.ndar
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None) -> DataFrame:
     """(tk, spans): for each text_key the maximal byte ranges [start, end) that repeated strings cover, in order.
 
-    Texts without any aren't listed. All texts take part whole; equal texts count as often as there are rows.
+    Texts without any aren't listed. All texts take part whole; of equal texts each task counts two, which tells as
+    much as all of them.
     """
     k = k or max(1, length * ANCHOR // LENGTH)
     wide = length - k
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[int] = Counter()
         for b in sliced(batches, "text", 1 << 20):
+            # whether a string stands at two places is known from two copies of a text: a task doesn't send more
+            kept = []
+            for i, tk in enumerate(b.column("tk").to_pylist()):
+                seen[tk] += 1
+                if seen[tk] <= 2:
+                    kept.append(i)
+            b = b.take(pa.array(kept, pa.int64())) if len(kept) < b.num_rows else b
             text, at, first, last, h = anchors(*flat(b.column("text")), length, k)
             place = (at << 32) | ((at - first) << 16) | (last - first)
             yield pa.RecordBatch.from_arrays([b.column("tk").take(pa.array(text)), pa.array(place), pa.array(h.view(np.int64))], ["tk", "place", "h"])
@@ -181,16 +196,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
             start = at - left
             begin, end = offsets[:-1][doc] + start, offsets[:-1][doc] + start + span + length
             shape = (left << 16) | span
-            for i in range(0, len(doc), 8192):
-                snippets = [data[x:y].tobytes() for x, y in zip(begin[i : i + 8192].tolist(), end[i : i + 8192].tolist(), strict=True)]
+            # a snippet that stands at several places of the text is one row
+            p = prefix_hash(data)
+            _, down = powers(len(data) + 1)
+            same = mix((p[end] - p[begin]) * down[begin])
+            order = np.lexsort((start, same, shape, h, doc))
+            key = np.stack([doc[order], h[order], shape[order], same[order].view(np.int64)])
+            new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else order
+            ends = np.append(new[1:], len(order))[: len(new)]
+            total = np.add.reduceat(copies[order], new) if len(new) else new
+            for i in range(0, len(new), 8192):
+                n, e = new[i : i + 8192], ends[i : i + 8192]
+                one = order[n]
+                snippets = [data[x:y].tobytes() for x, y in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+                starts = pa.ListArray.from_arrays(pa.array(np.append(n, e[-1]).astype(np.int32) - np.int32(n[0])), pa.array(start[order[n[0] : e[-1]]]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("tk").take(pa.array(doc[i : i + 8192])), *(pa.array(x[i : i + 8192]) for x in (start, h, shape, copies.astype(np.int64))), pa.array(snippets, pa.binary())],
-                    ["tk", "start", "h", "shape", "copies", "snippet"],
+                    [b.column("tk").take(pa.array(doc[one])), starts, pa.array(h[one]), pa.array(shape[one]), pa.array(total[i : i + 8192].astype(np.int64)), pa.array(snippets, pa.binary())],
+                    ["tk", "starts", "h", "shape", "copies", "snippet"],
                 )
 
     texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "text", text_key().alias("tk"))
     texts = texts.join(by_text, "tk").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "tk", "hits")
-    cuts = written(texts.mapInArrow(cut, "tk long, start long, h long, shape long, copies long, snippet binary").withColumn("sid", F.xxhash64("shape", "snippet")), "snippets")
+    cuts = written(texts.mapInArrow(cut, "tk long, starts array<long>, h long, shape long, copies long, snippet binary").withColumn("sid", F.xxhash64("shape", "snippet")), "snippets")
     distinct = cuts.groupBy("h", "sid", "shape", "snippet").agg(F.sum("copies").alias("copies"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +232,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
             yield pa.RecordBatch.from_arrays([pa.array(h[any_]), pa.array(sid[any_]), pa.array([x.tobytes() for x in bits], pa.binary())], ["h", "sid", "windows"])
 
     decided = distinct.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(decide, "h long, sid long, windows binary")
-    places = cuts.select("tk", "start", "h", "sid").join(decided, ["h", "sid"])
-    by_text = places.groupBy("tk").agg(F.collect_list(F.struct("start", "windows")).alias("places"))
+    places = cuts.select("tk", "starts", "h", "sid").join(decided, ["h", "sid"])
+    by_text = places.groupBy("tk").agg(F.collect_list(F.struct("starts", "windows")).alias("places"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,8 +241,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
             for places_ in b.column("places"):
                 v = places_.values
                 bits = np.unpackbits(np.frombuffer(b"".join(v.field(1).to_pylist()), np.uint8).reshape(len(v), -1), axis=1)[:, : wide + 1]
-                i, j = np.nonzero(bits)
-                starts = np.unique(v.field(0).to_numpy()[i] + j)
+                at = v.field(0)
+                i, j = np.nonzero(np.repeat(bits, at.value_lengths().to_numpy(), axis=0))
+                starts = np.unique(at.flatten().to_numpy()[i] + j)
                 new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + length]))
                 out.append(np.stack([starts[new], starts[np.append(new[1:], len(starts)) - 1] + length], axis=1).ravel())
             yield pa.RecordBatch.from_arrays([b.column("tk"), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], ["tk", "spans"])
