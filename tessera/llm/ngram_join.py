@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, pair_blocks, sliced, text_key, whole_groups, written
 from .components import connected_components
 from .kernel import U, flat, mix, shingles
 
-DIMS = 32  # dimensions of a count vector
+DIMS = 128  # dimensions of a count vector, a power of 2
 LEAF = 32  # points in a leaf of the R-tree and children of a node
 CAP = 4096  # members of a group that one task takes; a larger group is dealt into pairs of blocks
 
@@ -79,7 +80,7 @@ def signatures(tokens: np.ndarray, at: np.ndarray, classes: SizeClasses) -> tupl
 def vectors(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     sizes = np.diff(at)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(doc * DIMS + (tokens >> U(59)).astype(np.int64), minlength=len(sizes) * DIMS).reshape(-1, DIMS)
+    return np.bincount(doc * DIMS + (tokens >> U(65 - DIMS.bit_length())).astype(np.int64), minlength=len(sizes) * DIMS).reshape(-1, DIMS)
 
 
 def set_keys(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -107,9 +108,7 @@ class RTree:
     @staticmethod
     def _pass(a: tuple, b: tuple, num: int, den: int) -> np.ndarray:
         """Which boxes of a may hold a partner of which of b: overlap bound * (num + den) >= num * (size + size)."""
-        bound = np.zeros((len(a[0]), len(b[0])), np.int64)
-        for d in range(a[0].shape[1]):
-            bound += np.minimum(a[0][:, d, None], b[0][None, :, d])
+        bound = np.minimum(a[0][:, None, :], b[0][None, :, :]).sum(axis=2, dtype=np.int64)
         return bound * (num + den) >= num * (a[1][:, None] + b[1][None, :])
 
     def join(self, other: RTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -141,21 +140,26 @@ class RTree:
 
 
 class Forest:
-    """Union-find; joined() is true if the pair was apart."""
+    """Union-find with an array of roots, so that whole arrays of pairs are seen to be connected at once."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = np.arange(n)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.up[i] != self.up[j])
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
             i = self.up[i]
-        return i
+        return int(i)
 
-    def joined(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
-        return i != j
+
+    def settle(self) -> None:
+        while (self.up != self.up[self.up]).any():
+            self.up = self.up[self.up]
 
 
 def _links(side: np.ndarray, split: bool, points: np.ndarray, sizes: np.ndarray, num: int, den: int, verify=None) -> list[tuple[int, int]]:
@@ -170,10 +174,15 @@ def _links(side: np.ndarray, split: bool, points: np.ndarray, sizes: np.ndarray,
     a = RTree(points[rows[0]], sizes[rows[0]])
     b = RTree(points[rows[1]], sizes[rows[1]]) if split else a
     for p, q in a.join(b, num, den):
-        for i, j in zip(rows[0][a.order[p]].tolist(), rows[1][b.order[q]].tolist(), strict=True):
-            if forest.root(i) != forest.root(j) and (verify is None or verify(i, j)):
-                forest.joined(i, j)
-                out.append((i, j))
+        i, j = rows[0][a.order[p]], rows[1][b.order[q]]
+        new = forest.apart(i, j)
+        before = len(out)
+        for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
+            if forest.root(x) != forest.root(y) and (verify is None or verify(x, y)):
+                forest.join(x, y)
+                out.append((x, y))
+        if len(out) > before:
+            forest.settle()
     return out
 
 
@@ -192,33 +201,45 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     classes = SizeClasses(num, den)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 1 << 20):
+        for b in sliced(batches, "text"):
             tokens, at = shingles(*flat(b.column("text")), words)
-            sig, of = signatures(tokens, at, classes)
-            first = np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int32)
-            points = vectors(tokens, at).astype("<u2" if len(tokens) < 65536 else "<u4").astype("<u4")
+            points = vectors(tokens, at).astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"), b.column("tk"), pa.array(np.diff(at)), pa.array(set_keys(tokens, at).view(np.int64)),
-                    pa.array([x.tobytes() for x in points], pa.binary()), pa.ListArray.from_arrays(pa.array(first), pa.array(sig.view(np.int64))),
-                ],
-                ["doc_id", "tk", "n", "set_key", "vec", "sigs"],
-            )
+                [b.column("doc_id"), b.column("tk"), pa.array(np.diff(at)), pa.array(set_keys(tokens, at).view(np.int64)), pa.array([x.tobytes() for x in points], pa.binary())],
+                ["doc_id", "tk", "n", "set_key", "vec"],
+            )
+
+    def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task signs a set once
+        for b in sliced(batches, "text"):
+            tokens, at = shingles(*flat(b.column("text")), words)
+            keys = set_keys(tokens, at)
+            sig, of = signatures(tokens, at, classes)
+            new = np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], bool)[of]
+            for i in range(0, len(sig), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)][new[i : i + (1 << 17)]].view(np.int64)) for x in (sig, keys[of])], ["sig", "set_key"])
 
     id_type = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", "text", text_key().alias("tk"))
-    rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary, sigs array<long>"), "sets")
-    kinds = rows.filter("n > 0 and size(sigs) > 0").groupBy("set_key").agg(F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("sigs").alias("sigs"))
-    kinds = written(kinds, "kinds")
-    signed = kinds.select("set_key", F.explode(F.array_distinct("sigs")).alias("sig"))
-    shared = signed.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1")
-    members = signed.join(shared, "sig").join(kinds.select("set_key", "n", "vec"), "set_key")
+    rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets")
+    kinds = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds")
+    kinds = kinds.select("set_key", "one.tk", F.col("one.doc_id").alias("one"), "n", "vec")
+    # Signatures, many times the sets, are shuffled once and not written: sorted by signature, those of several sets stay.
+    signed = docs.select("text").mapInArrow(signed_sets, "sig long, set_key long")
+    by_key, whole = Window.partitionBy("sig").orderBy("set_key"), Window.partitionBy("sig")
+    first = signed.withColumn("new", F.coalesce(F.lag("set_key").over(by_key) != F.col("set_key"), F.lit(True)))
+    mixed = lambda *salt: F.bit_xor(F.when(F.col("new"), F.xxhash64("set_key", *salt))).over(whole)
+    several = first.withColumn("members", F.count_if("new").over(whole)).withColumn("m1", mixed()).withColumn("m2", mixed(F.lit(1))).filter("new and members > 1").drop("new")
+    several = written(several, "signed")
+    # near copies share most of their signatures: each set of members meets in one tree
+    trees = several.groupBy("members", "m1", "m2").agg(F.min("sig").alias("sig")).select("sig")
+    members = several.select("sig", "set_key", "members").join(trees, "sig").join(kinds.select("set_key", "n", "vec"), "set_key")
     near = written(_task_links(pair_blocks(members, "sig", "set_key", "members", CAP), "sig", num, den, None), "near").select("a", "b").distinct()
     coarse = written(connected_components(near), "coarse")
     coarse = coarse.join(coarse.groupBy("component").agg(F.count("*").alias("members")), "component")
-    wanted = coarse.join(kinds.select(F.col("set_key").alias("node"), "tk", "n", "vec"), "node").select(F.col("node").alias("set_key"), "component", "members", "tk", "n", "vec")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), text_key().alias("tk"))
-    dealt = pair_blocks(wanted.join(texts, "tk").select("component", "set_key", "members", "n", "vec", "text"), "component", "set_key", "members", CAP // 4)
+    wanted = coarse.join(kinds.select(F.col("set_key").alias("node"), "tk", "one", "n", "vec"), "node").select(F.col("node").alias("set_key"), "component", "members", "tk", "one", "n", "vec")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("tk"))
+    dealt = pair_blocks(wanted.join(texts, "tk").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("component", "set_key", "members", "n", "vec", "text"), "component", "set_key", "members", CAP // 4)
     links = _task_links(dealt, "component", num, den, words)
     found = connected_components(links)
     least = rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
@@ -229,6 +250,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "tk")
 
 
+def _sets_of(column: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of many texts, a slice at a time: its arrays take some sixty times the room of the bytes."""
+    tokens, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for b in sliced(pa.Table.from_arrays([column], ["text"]).to_batches(), "text"):
+        found, at = shingles(*flat(b.column("text")), words)
+        tokens.append(found)
+        sizes.append(np.diff(at))
+    return np.concatenate(tokens), np.cumsum(np.concatenate(sizes))
+
+
 def _task_links(dealt: DataFrame, key: str, num: int, den: int, words: int | None) -> DataFrame:
     """Links (a, b) of set keys that each task's tree join finds; verified on the texts' sets if words is given."""
 
@@ -238,7 +269,7 @@ def _task_links(dealt: DataFrame, key: str, num: int, den: int, words: int | Non
             cuts = np.flatnonzero(np.concatenate([[True], (task[:, 1:] != task[:, :-1]).any(axis=0), [True]]))
             ident, sizes, side = (table.column(c).to_numpy() for c in ("set_key", "n", "side"))
             data, _ = flat(table.column("vec"))
-            points = data.view("<u4").reshape(-1, DIMS).astype(np.int64)
+            points = data.view("<u4").reshape(-1, DIMS).view(np.int32)
             a, b = [], []
             if words is None:
                 pair = np.flatnonzero(np.diff(cuts) == 2)  # most groups: no tree is needed for two points
@@ -256,7 +287,7 @@ def _task_links(dealt: DataFrame, key: str, num: int, den: int, words: int | Non
                 one += i
                 verify = None
                 if words is not None:
-                    tokens, at = shingles(*flat(table.column("text").combine_chunks().take(pa.array(one))), words)
+                    tokens, at = _sets_of(table.column("text").take(pa.array(one)), words)
 
                     def verify(p: int, q: int, tokens=tokens, at=at) -> bool:
                         x, y = tokens[at[p] : at[p + 1]], tokens[at[q] : at[q + 1]]
