@@ -255,7 +255,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
             texts = b.column("text").to_pylist()
             found = [c.encode(t or "") for t in texts]
             yield _result(c, b.column("row"), [f[0] for f in found], [f[1] for f in found], texts)
-        c.memo.clear()
+        _codecs.clear()  # a worker that goes on to other tasks keeps neither words nor trie
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
