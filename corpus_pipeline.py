@@ -42,8 +42,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample whose tokens have the target shares of sources, languages and topics."""
-    return mixing.mix_sources(docs).filter("chosen").select("row.*")
+    """The sample whose tokens have the target shares of sources, languages and topics; a document that is too scarce for its share is repeated."""
+    chosen = mixing.mix_sources(docs).filter("chosen")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

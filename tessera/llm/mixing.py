@@ -54,10 +54,12 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, power: float = POWER, targets:
 
 
 def mix_sources(docs: DataFrame, budget: float = BUDGET, seed: str = SEED, **raking) -> DataFrame:
-    """(row, source, language, topic, tokens, weight, probability, chosen) of every row; row holds all its columns.
+    """(row, source, language, topic, tokens, weight, probability, chosen, copies) of every row; row holds all its columns.
 
     tokens are runs without spaces, at least 1. A row's probability is the budget's share of its cell's weight over
-    the cell's tokens, at most 1; it is chosen if a hash of seed and doc_id, as a number below 1, is less. Nulls in
+    the cell's tokens, at most 1; it is chosen if a hash of seed and doc_id, as a number below 1, is less. copies are
+    how often a row must stand in the sample for the targets to be met: what the 1 cuts off is whole copies and a
+    chance of one more, by the same hash; a row has copies exactly if it is chosen. Nulls in
     source and lang are a value of their own, (none); null ids hash as empty; repeated rows are chosen alike.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
@@ -66,10 +68,12 @@ def mix_sources(docs: DataFrame, budget: float = BUDGET, seed: str = SEED, **rak
     kinds = [blank("source").alias("source"), blank("lang").alias("language"), topic().alias("topic"), words.alias("tokens")]
     cells = rake(written(docs.select(*kinds).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells"), **raking)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rate = cells.select(*MARGINS, "weight", F.least(F.lit(1.0), F.lit(budget) * F.col("weight") * F.lit(float(total)) / F.col("tokens")).alias("probability"))
-    rate = written(rate, "rates")
+    wanted = F.lit(budget) * F.col("weight") * F.lit(float(total)) / F.col("tokens")
+    rate = written(cells.select(*MARGINS, "weight", F.least(F.lit(1.0), wanted).alias("probability"), wanted.alias("wanted")), "rates")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *kinds, u.alias("u"))
-    return rows.join(rate, list(MARGINS)).select("row", *MARGINS, "tokens", "weight", "probability", (F.col("u") < F.col("probability")).alias("chosen"))
+    sure = F.floor("wanted")
+    copies = sure + (F.col("u") < F.col("wanted") - sure).cast("long")
+    return rows.join(rate, list(MARGINS)).select("row", *MARGINS, "tokens", "weight", "probability", (F.col("u") < F.col("probability")).alias("chosen"), copies.alias("copies"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

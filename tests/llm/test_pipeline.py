@@ -36,6 +36,23 @@ def test_pipeline_stages(spark):
     assert 0 < len(kept) <= 25
 
 
+def test_mix_meets_targets_of_scarce_values(spark):
+    """Small values want more tokens than they have; the sample has the budget and the targets of each margin."""
+    topics = {"prose": "one two three four", "table": "one | two three", "secret": "token = x four"}
+    rows = [(i, t, lang, source) for i, (t, lang, source) in enumerate((t, lang, source) for source, a in (("a", 40), ("b", 8), ("c", 1)) for lang, b in (("x", 6), ("y", 1)) for n, c in (("prose", 20), ("table", 3), ("secret", 1)) for t in [topics[n]] * (a * b * c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.columns == docs.columns
+    topic = {t: n for n, t in topics.items()}
+    got = [(r["source"], r["lang"], topic[r["text"]]) for r in mixed.collect()]
+    assert abs(len(got) / (corpus_pipeline.mixing.BUDGET * len(rows)) - 1) < 0.02  # all texts have four tokens
+    whole = [(source, lang, topic[t]) for _, t, lang, source in rows]
+    for k in range(3):
+        roots = {v: sum(x[k] == v for x in whole) ** corpus_pipeline.mixing.POWER for v in {x[k] for x in whole}}
+        for v, root in roots.items():
+            assert abs(sum(x[k] == v for x in got) / len(got) - root / sum(roots.values())) < 0.015, v
+
+
 def test_pipeline_runs_on_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
