@@ -151,13 +151,15 @@ def whole_originals(spark, sf):
 
 @query("facility_location")
 def facility_location(spark, sf):
-    e = model.table(spark, sf, "embeddings").filter("label is not null").select(F.col("label").alias("request"), F.col("vec_id").alias("key"), ((F.col("vec_id") % 7 + 1).cast("double")).alias("weight"), F.slice("embedding", 1, 8).alias("vector"))
+    e = model.table(spark, sf, "embeddings").filter("label is not null").select(F.col("label").alias("request"), F.col("vec_id").alias("key"), ((F.col("vec_id") % 7 + 1).cast("double")).alias("weight"), F.col("embedding").alias("vector"))
     return context.facility_location(e, 5)
 
 
 @query("complementary_passages")
 def complementary_passages(spark, sf):
-    d = model.table(spark, sf, "documents").filter("doc_id < 400").select((F.col("doc_id") % 10).alias("request"), F.col("doc_id").alias("key"), (F.col("doc_id") % 6).alias("region"), F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") % 97) / 97.0).otherwise(0.0).alias("strength"), F.slice(F.array_distinct(model.tokens("text")), 1, 30).alias("terms"))
+    d = model.table(spark, sf, "documents").select((F.col("doc_id") % 10).alias("request"), F.col("doc_id").alias("key"), (F.col("doc_id") % 6).alias("region"), F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") % 97) / 97.0).otherwise(0.0).alias("strength"), "text")
+    d = context.cut_for_request(d, [F.col("strength").desc(), F.col("key")])  # the operator's own cut, before texts become terms
+    d = d.withColumn("terms", F.array_distinct(model.tokens("text"))).drop("text")
     return context.complementary(d.withColumn("weights", F.transform("terms", lambda t: F.length(t).cast("long"))), 8)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars, text
 from tessera.operators import catalog, context, dense, eligibility, filters, graph, intervals, ledger, search
+from tessera.plans import catalogue
 from tessera.sources import model, store, vault
 from tessera.streaming import ledger as streams
 
@@ -187,6 +188,45 @@ def test_facility_location_is_greedy(spark):
     assert gain(after) >= gain(got) - 1e-9
 
 
+def by_hand(rows: list[tuple], k: int, per_region: int = 2) -> list:
+    """Keys that complementary chooses of (key, region, strength, {term: weight}) of one request."""
+    rows = sorted(rows, key=lambda r: (-r[2], r[0]))[: context.MOST_PACKETS]
+    out: list[tuple] = []
+    for r in rows:
+        if r[2] > 0 and len(out) < k and sum(x[1] == r[1] for x in out) < per_region:
+            out.append(r)
+    while len(out) < k:
+        had = {t for r in out for t in r[3]}
+        gain, _, best = max(((sum(w for t, w in r[3].items() if t not in had), -r[0], r) for r in rows if r not in out), key=lambda x: x[:2], default=(0, 0, None))
+        if gain <= 0:
+            break
+        out.append(best)
+    return [r[0] for r in out]
+
+
+def test_complementary_equals_brute_force(spark):
+    rows = [(q, i, i % 3, (i % 4 == 0) * (i % 5) / 5.0, sorted({f"t{(i * i + j * q) % 23}" for j in range(i % 6)})) for q in (1, 2) for i in range(30)]
+    df = spark.createDataFrame([(q, i, g, s, t, [int(x[1:]) + 1 for x in t]) for q, i, g, s, t in rows], "request int, key int, region int, strength double, terms array<string>, weights array<long>")
+    got = context.complementary(df, 9).orderBy("request", "position").collect()
+    for q in (1, 2):
+        mine = [(i, g, s, {x: int(x[1:]) + 1 for x in t}) for p, i, g, s, t in rows if p == q]
+        assert [r["key"] for r in got if r["request"] == q] == by_hand(mine, 9)
+    assert context.complementary(df.limit(0), 9).count() == 0
+
+
+def test_context_queries_read_whole_tables(spark, tmp_path):
+    """Documents of any id and terms from anywhere in a text count; similarity is that of whole vectors."""
+    texts = [(i, "same words " * 40 + f"tail{i % 11} {'x' * (i % 7 + 1)}") for i in range(10, 3000, 30)] + [(5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["complementary_passages"](spark, str(tmp_path)).filter("request = 0").orderBy("position").collect()
+    want = by_hand([(i, i % 6, i % 97 / 97.0 if i % 4 == 0 else 0.0, {w: len(w) for w in t.split()}) for i, t in texts if t and i % 10 == 0], 8)
+    assert [r["key"] for r in got] == want and max(want) >= 400
+    vectors = [(i, 1, [1.0] * 8 + [float(i % 3 == j) * 9 for j in range(3)]) for i in range(9)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["key"] for r in catalogue.QUERIES["facility_location"](spark, str(tmp_path)).filter("position <= 3").collect()}
+    assert {i % 3 for i in got} == {0, 1, 2}
+
+
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60), st.integers(1, 20)), min_size=1, max_size=25))
 @settings(max_examples=8, deadline=None)
 def test_intervals_equal_brute_force(spark, spans):
