@@ -158,6 +158,26 @@ def test_language_id_edges(docs, none):
     assert out.count() == docs.count() and language_id.identify(none, language_id.learn(none)).count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    """More languages than are trained at a time, and one that has giant texts only; spread over models as in one."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(language_id.MAX_LANGUAGES + 6):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(20)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(4 if k else 3000)), f"l{k:02}") for i in range(12 if k else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.learn(docs, 1 << 14)
+    assert {k for m in models for k in m.value.languages} == {r[2] for r in rows}
+    found = language_id.identify(docs, models).join(docs, "doc_id").cache()
+    assert found.count() == len(rows) and found.filter("lang = lang_pred").count() > 0.95 * len(rows)
+    assert found.filter("lang = 'l00' and lang_pred = 'l00'").count() == 4
+    few = docs.filter("lang < 'l06'")
+    whole, parts = language_id.learn(few), language_id.learn(few, most_bytes=0.7 * (language_id.learn(few)[0].value.cost.nbytes))
+    assert len(whole) == 1 < len(parts)
+    one, many = ({(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(few, m).collect()} for m in (whole, parts))
+    assert one == many
+
+
 def test_sharding_is_whole_and_near_equal(spark, docs, none):
     placed = sharding.place(docs, 8).collect()
     assert len(placed) == docs.count()
