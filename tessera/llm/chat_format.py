@@ -73,26 +73,40 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: tuple[Tool, ...] = TOOLS) -> DataFrame:
-    """One row for each call, and for each result without one, with canonical JSON.
+    """One row for each call, and for each result without one, with canonical JSON; no content is left out.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), depends_on (a call_id or null); results: conv_id,
     call_id, turn, content. Of calls or results with equal identifiers the one of the least turn, then text, is
-    kept and how many there were is told. A null in conv_id or call_id links with nothing: such a call or result
-    is left out here and counted by unlinked(). (level, turn) is a topological order of a conversation's calls.
+    linked and how many there were is told; each other content is a row of its own with the error repeated identifier
+    and how many had it. A null in conv_id or call_id links with nothing: such a call or result is a row of its own
+    with the error no identifier. (level, turn) is a topological order of a conversation's calls.
     The order of keys is that of their names; numbers and strings are written in one way.
     """
     key = ["conv_id", "call_id"]
     ok = "conv_id is not null and call_id is not null"
-    first = calls.filter(ok).groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count("*").alias("calls"))
-    first = written(first.select(*key, "c.*", "calls"), "calls")
-    answer = results.filter(ok).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("results"))
-    answer = answer.select(*key, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"), "results")
-    rows = first.join(levels(first), key).join(answer, key, "full").withColumn("value", F.try_parse_json("arguments"))
-    problem = F.when(F.col("calls").isNull(), F.lit("no call")).otherwise(errors(tools))
+    call, content = F.struct("turn", "name", "arguments", "depends_on"), F.struct("turn", "content")
+    first = calls.filter(ok).groupBy(*key).agg(F.min(call).alias("c"), F.count("*").alias("calls"), (F.min(call) != F.max(call)).alias("differ"))
+    first = written(first.select(*key, "c.*", "calls", "differ"), "calls")
+    answer = results.filter(ok).groupBy(*key).agg(F.min(content).alias("r"), F.count("*").alias("results"), (F.min(content) != F.max(content)).alias("differ"))
+    answer = written(answer.select(*key, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"), "results", "differ"), "results")
+    more = calls.filter(f"not ({ok})").select(*key, "turn", "name", "arguments", F.lit(1).cast("long").alias("calls"), F.lit("no identifier").alias("why"))
+    lost = results.filter(f"not ({ok})").select(*key, F.col("turn").alias("result_turn"), F.col("content").alias("result"), F.lit(1).cast("long").alias("results"), F.lit("no identifier").alias("why"))
+    others = calls.groupBy(*key, "turn", "name", "arguments", "depends_on").agg(F.count("*").alias("calls"))
+    others = others.join(first.filter("differ").select(*key, call.alias("c")), key).filter(call != F.col("c"))
+    answers = results.groupBy(*key, F.col("turn").alias("result_turn"), F.col("content").alias("result")).agg(F.count("*").alias("results"))
+    answers = answers.join(answer.filter("differ").select(*key, F.struct("result_turn", "result").alias("r")), key).filter(F.struct("result_turn", "result") != F.col("r"))
+    if not first.filter("differ").isEmpty():
+        more = more.unionByName(others.select(*key, "turn", "name", "arguments", "calls", F.lit("repeated identifier").alias("why")))
+    if not answer.filter("differ").isEmpty():
+        lost = lost.unionByName(answers.select(*key, "result_turn", "result", "results", F.lit("repeated identifier").alias("why")))
+    rows = first.drop("differ").join(levels(first), key).join(answer.drop("differ"), key, "full")
+    rows = rows.unionByName(more, True).unionByName(lost, True).withColumn("value", F.try_parse_json("arguments"))
+    found = F.when(F.col("calls").isNull() & F.col("why").isNull(), F.lit("no call")).when(F.col("calls").isNotNull(), errors(tools)).otherwise("")
+    problem = F.concat_ws(",", "why", F.when(found != "", found))
     rows = rows.withColumn("errors", problem).withColumn("valid", F.col("errors") == "")
     null = F.lit("null")
     text = F.concat(
-        F.lit('{"arguments":'), F.coalesce(F.to_json("value"), null), F.lit(',"call_id":'), quoted(F.col("call_id")), F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), null),
+        F.lit('{"arguments":'), F.coalesce(F.to_json("value"), null), F.lit(',"call_id":'), F.coalesce(quoted(F.col("call_id")), null), F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), null),
         F.lit(',"name":'), F.coalesce(quoted(F.col("name")), null), F.lit(',"result":'), F.when(F.col("result").isNull(), null).otherwise(quoted(F.col("result"))), F.lit("}"),
     )
     return rows.select(*key, "turn", "name", "level", "result_turn", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("results", F.lit(0)).alias("results"), "valid", "errors", text.alias("json"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -338,6 +339,18 @@ def test_chat_format_equals_sql(spark):
     assert chat_format.link_calls(*chat_format.from_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_format_keeps_unlinked_and_repeated(spark):
+    rows = [(1, 0, "user", "first"), (1, 0, "user", "other"), (1, 0, "user", "other"), (1, 1, "assistant", "re a"), (1, 1, "assistant", "re b"), (None, 0, "user", "lost call"), (2, None, "system", None), (None, 3, "assistant", "lost result"), (3, 0, "user", "x"), (3, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.link_calls(*chat_format.from_conversations(df)).collect()
+    assert all(sum(json.dumps(t) in r["json"] for r in got) == 1 for _, _, _, t in rows if t)
+    seen = {(r["conv_id"], r["turn"], r["result_turn"], r["calls"], r["results"], r["errors"], r["valid"]) for r in got}
+    assert len(got) == 7 and seen == {
+        (1, 0, 1, 3, 2, "", True), (1, 0, None, 2, 0, "repeated identifier", False), (1, None, 1, 0, 1, "repeated identifier", False),
+        (None, 0, None, 1, 0, "no identifier", False), (2, None, None, 1, 0, "no identifier,missing text,missing turn", False), (None, None, 3, 0, 1, "no identifier", False), (3, 0, None, 2, 0, "", True),
+    }
+
+
 def test_chat_levels_and_schemas(spark):
     calls = spark.createDataFrame(
         [(1, "a", 1, "f", '{"n":1,"b":[2, 1]}', None), (1, "b", 2, "f", '{"n":"1"}', "a"), (1, "c", 3, "f", "{}", "b"), (1, "d", 4, "f", "oops", "e"), (1, "e", 5, "g", "{}", "d"), (1, "f", 6, "f", '{"z":1,"n":2}', "gone")],
