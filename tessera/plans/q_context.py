@@ -14,8 +14,8 @@ SPANS_SQL = """sp AS (SELECT l_orderkey % 300 AS owner, l_orderkey * 10 + l_line
   WHERE l_linenumber <= 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount) = 1)"""
 
 
-def _spans(spark, sf):
-    li = model.table(spark, sf, "lineitem").filter("l_linenumber <= 2")
+def _spans(spark, sf, lines="l_linenumber <= 2"):
+    li = model.table(spark, sf, "lineitem").filter(lines)
     one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_discount")).alias("s"))
     start = F.col("s.l_partkey") * 13 % 3000
     return one.select((F.col("l_orderkey") % 300).alias("owner"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), start.alias("start"), (start + F.col("s.l_quantity").cast("long") * 4).alias("end"), F.round(F.col("s.l_discount") * 10 - 0.4, 4).alias("cosine"))
@@ -213,7 +213,7 @@ def rank_fusion(spark, sf):
 def handed_over(spark, sf):
     from tessera.operators.catalog import hand_over
 
-    return hand_over(_spans(spark, sf).filter("owner < 20").select("id", "owner", "start", "end", (F.col("id") % 5 == 0).alias("explicit"), F.col("id").alias("rank")))
+    return hand_over(_spans(spark, sf, "true").select("id", "owner", "start", "end", (F.col("id") % 5 == 0).alias("explicit"), F.col("id").alias("rank")))
 
 
 @query("relations_admitted", "WITH r AS (SELECT l_orderkey AS rule, CASE WHEN l_linenumber % 2 = 0 THEN 'exception' ELSE 'condition' END AS role, l_partkey AS target, l_quantity::BIGINT AS bytes FROM lineitem WHERE l_orderkey < 500) SELECT rule, role, target, bytes FROM r WHERE rule % 3 = 0 AND (SELECT sum(x.bytes) FROM r x WHERE x.rule = r.rule) <= 120")

@@ -227,6 +227,18 @@ def test_context_queries_read_whole_tables(spark, tmp_path):
     assert {i % 3 for i in got} == {0, 1, 2}
 
 
+def test_handed_over_and_links_found_read_whole_tables(spark, tmp_path):
+    """Spans of any owner and line count, and links anywhere in a text."""
+    lines = [(o, o, n, 1, 10.0, 0.05) for o in (5, 25, 290) for n in (1, 2, 5)]
+    lines = [(o, p + 40 * n, n, s, q, d) for o, p, n, s, q, d in lines]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["owner"], r["start"]) for r in catalogue.QUERIES["handed_over"](spark, str(tmp_path)).collect()}
+    assert got == {(o, p * 13 % 3000) for o, p, *_ in lines}
+    spark.createDataFrame([(7, "plain " * 50 + "[[far|away]] end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES["links_found"](spark, str(tmp_path)).collect()
+    assert [r["label"] for r in found if r["target"] == "far"] == ["away"] and len(found) == 3
+
+
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60), st.integers(1, 20)), min_size=1, max_size=25))
 @settings(max_examples=8, deadline=None)
 def test_intervals_equal_brute_force(spark, spans):
