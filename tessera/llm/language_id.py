@@ -157,9 +157,9 @@ def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, most_bytes: float =
     return models
 
 
-def judge(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def judge(shared: Broadcast, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds a model's languages to what the models before it found: best is the shortest code's bits, mass the sum of
-    all languages' probabilities as multiples of the best one's."""
+    all languages' probabilities as multiples of the best one's. The last model's pass doesn't give the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -172,7 +172,8 @@ def judge(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             mass = b.column("mass").to_numpy() * np.exp2(best - old) + np.exp2(np.minimum(best[:, None] - bits, 0)).sum(axis=1)
             pred = np.where(least < old, names[mine], b.column("lang_pred").to_numpy(zero_copy_only=False))
             held = {"lang_pred": pa.array(pred, pa.string()), "best": pa.array(best), "mass": pa.array(mass)}
-            yield pa.RecordBatch.from_arrays([held.get(n, b.column(n)) for n in b.schema.names], b.schema.names)
+            out = [n for n in b.schema.names if n != "text" or not last]
+            yield pa.RecordBatch.from_arrays([held.get(n, b.column(n)) for n in out], out)
 
     return run
 
@@ -191,9 +192,11 @@ def identify_rows(docs: DataFrame, models: list[Broadcast] | None) -> DataFrame:
     if not models:
         return rows.select("row", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = rows.select("*", F.lit(None).cast("string").alias("lang_pred"), F.lit(math.inf).alias("best"), F.lit(0.0).alias("mass"))
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = [(f.name, f"{f.name} {f.dataType.simpleString()}") for f in rows.schema]
     for i, shared in enumerate(models):
-        rows = (written(rows, "judged") if i else rows).mapInArrow(judge(shared), kind)
+        last = i == len(models) - 1
+        kind = ", ".join(k for n, k in kinds if n != "text" or not last)
+        rows = (written(rows, "judged") if i else rows).mapInArrow(judge(shared, last), kind)
     return rows.select("row", "held_out", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), 1 / F.col("mass")).otherwise(0.0).alias("score"))
 
 
