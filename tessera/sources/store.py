@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # Spark's switch for shuffle files of a query that has ended
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where it is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors see; where it is unset, a temporary one if there is no cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all its machines see")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors.
+
+    The shuffle files of the write go when it ends, as the table stands for them; release() removes the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for t in tables:
+        jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.folder)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def publish(df: DataFrame, root: str, generation: int, by: list[str] | None = None) -> None:
@@ -35,8 +58,8 @@ def publish(df: DataFrame, root: str, generation: int, by: list[str] | None = No
 
 
 def published(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
-    """The newest published generation, 0 without any, and its rows."""
-    g = spark.read.schema("published long").json(f"{root}/pointer").agg(F.coalesce(F.max("published"), F.lit(0).cast("long"))).first()[0]
+    """The newest published generation and its rows. Without a pointer none is published: an error."""
+    g = spark.read.schema("published long").json(f"{root}/pointer").agg(F.max("published")).first()[0]
     return g, spark.read.parquet(f"{root}/gen={g}")
 
 
