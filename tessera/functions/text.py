@@ -8,21 +8,29 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from math import floor, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Grammatical words that say little about where a passage is; negations and restrictions are not among them.
-FUNCTION_WORDS = frozenset(
-    """a an the and or but as at by for from in into of on onto to with about after before between during over through
-    how what when where which who whom whose why i me my we us our you your he him his she her it its they them their
-    this that these those there here am is are was were be been being do does did have has had having can could would
-    should will shall may might if then than also each some any such""".split()
+FUNCTION_WORDS = (
+    "a", "an", "the", "and", "or", "but", "as", "at", "by", "for", "from", "in", "into", "of", "on", "onto", "to", "with", "about", "after", "before", "between",
+    "during", "over", "through", "how", "what", "when", "where", "which", "who", "whom", "whose", "why", "i", "me", "my", "we", "us", "our", "you", "your", "he", "him",
+    "his", "she", "her", "it", "its", "they", "them", "their", "this", "that", "these", "those", "there", "here", "am", "is", "are", "was", "were", "be", "been", "being",
+    "do", "does", "did", "have", "has", "had", "having", "can", "could", "would", "should", "will", "shall", "may", "might", "if", "then", "than", "also", "each", "some",
+    "any", "such",
 )
 _TOKEN = re.compile(r"[^\W_]+")
 _HEADING = re.compile(r"^(#{1,6}) (.*)$")
+_LINE = re.compile(rb"[^\n]*\n|[^\n]+")
+_BLANK = re.compile(rb"(?m)^(?:\r*\n|\r+\Z)")
+#: Where a token stands as a name: after one of `_-/\\: or before one of `_-( or after a dot that ends a word or, without a dot before it, before one that begins a word.
+_NAMED = re.compile(r"(?<![^\W_])(?:(?<=[`_\-/\\:])[^\W_]+|[^\W_]+(?=[`_\-(])|(?<=\w\.)[^\W_]+|(?<!\.)[^\W_]+(?=\.\w))")
 
 
 def mapped(df: DataFrame, run: Callable, inputs: tuple[str, ...], schema: str, keep: tuple[str, ...]) -> DataFrame:
@@ -93,15 +101,10 @@ def is_function_word(t: Column) -> Column:
 
 
 def content_terms(query: str) -> list[str]:
-    """A query's tokens without function words, except where its marks show an identifier: `can`, --with, _from, object.is, is()."""
-    raw, out = query.encode(), []
-    for token, i, j in token_spans(query):
-        before, after = raw[:i].decode(errors="ignore")[-2:], raw[j:].decode(errors="ignore")[:2]
-        mark = before[-1:] in tuple("`_-/\\:") or after[:1] in tuple("`_-(")
-        dotted = (before[-1:] == "." and (before[:-1][-1:].isalnum() or before[:-1][-1:] == "_")) or (after[:1] == "." and (after[1:].isalnum() or after[1:] == "_"))
-        if token not in FUNCTION_WORDS or mark or dotted:
-            out.append(token)
-    return list(dict.fromkeys(out))
+    """A query's distinct tokens in order without function words, but for those that its marks show to be names (_NAMED)."""
+    named = {m.start() for m in _NAMED.finditer(query)}
+    terms = ((fold(m.group()), m.start()) for m in _TOKEN.finditer(query))
+    return list(dict.fromkeys(t for t, at in terms if at in named or t not in FUNCTION_WORDS))
 
 
 def literal_spans(text: str | None, needle: str, most: int = 64) -> list[tuple[int, int]]:
@@ -152,44 +155,39 @@ def heading(line: str) -> tuple[int, str] | None:
     return (len(m[1]), m[2].strip().rstrip("#").strip()) if m else None
 
 
+def heading_chains(raw: bytes) -> tuple[list[int], list[list[str]]]:
+    """(starts of heading lines, with each the labels of the headings that it stands under, its own the last)."""
+    starts, chains, above = [], [], []
+    for line in _LINE.finditer(raw):
+        h = heading(line.group().rstrip(b"\r\n").decode(errors="replace"))
+        if h:
+            above = [x for x in above if x[0] < h[0]] + [h]
+            starts.append(line.start())
+            chains.append([label for _, label in above])
+    return starts, chains
+
+
 def segments(text: str | None, capacity: int) -> list[tuple[int, int, int, list[str]]]:
     """(ordinal, start, end, headings): the text cut at the last heading inside the capacity, else after the last blank line, else at a character.
 
-    No overlap and nothing lost; headings are those above the segment's first line, its own included. An empty
+    No overlap and nothing lost; headings are those above the segment's first line, its own included. An empty or null
     text is one empty segment.
     """
     raw = (text or "").encode()
-    if not raw:
-        return [(0, 0, 0, [])]
-    out, at, above = [], 0, []
-
-    def note(line_start: int) -> None:
-        if line_start == 0 or raw[line_start - 1 : line_start] == b"\n":
-            h = heading(raw[line_start:].split(b"\n", 1)[0].rstrip(b"\r").decode(errors="replace"))
-            if h:
-                while above and above[-1][0] >= h[0]:
-                    above.pop()
-                above.append(h)
-
-    while at < len(raw):
-        ceiling = char_end(raw, at + capacity)
-        if ceiling <= at:
+    starts, chains = heading_chains(raw)
+    cuts = [0]
+    while cuts[-1] < len(raw):
+        at = cuts[-1]
+        most = char_end(raw, at + capacity)
+        if most <= at:
             raise ValueError("the capacity can't hold a character")
-        end, by_heading, by_blank, offset = ceiling, None, None, at
-        if ceiling < len(raw):
-            for line in raw[at:ceiling].splitlines(keepends=True) if b"\r" not in raw[at:ceiling] else re.findall(rb"[^\n]*\n|[^\n]+", raw[at:ceiling]):
-                if offset > at and heading(raw[offset:].split(b"\n", 1)[0].rstrip(b"\r").decode(errors="replace")) and raw[offset - 1 : offset] == b"\n":
-                    by_heading = offset
-                offset += len(line)
-                if not line.strip(b"\r\n"):
-                    by_blank = offset
-            end = by_heading or by_blank or ceiling
-        note(at)
-        out.append((len(out), at, end, [label for _, label in above]))
-        for m in re.finditer(rb"\n", raw[at : end - 1]):
-            note(at + m.end())
-        at = end
-    return out
+        if most < len(raw):
+            last = bisect_left(starts, most) - 1  # the last heading that fits
+            blank = [m.end() for m in _BLANK.finditer(raw[at:most])]
+            most = starts[last] if last >= 0 and starts[last] > at else at + blank[-1] if blank else most
+        cuts.append(most)
+    of = [chains[k - 1] if (k := bisect_right(starts, at)) else [] for at in cuts]
+    return [(i, at, end, of[i]) for i, (at, end) in enumerate(zip(cuts, cuts[1:] or [0], strict=False))]
 
 
 def blocks(text: str | None) -> list[tuple[str, int, int]]:
@@ -225,36 +223,34 @@ def blocks(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def teaching_blocks(found: list[tuple[str, int, int]], capacity: int, tiny: int = 48, run: int = 8) -> list[tuple[str, int, int]]:
-    """Prose joined to the code or list that it explains, tiny prose to a neighbour, runs of code and prose kept together, within capacity."""
-    out: list[tuple[str, int, int]] = []
-    i = 0
-    kind_at = lambda k: found[k][0] if k < len(found) else None
-    fits = lambda k, start: k < len(found) and found[k][2] - start <= capacity
-    while i < len(found):
-        kind, start, end = found[i]
-        if kind == "prose" and kind_at(i + 1) in ("code", "list") and fits(i + 1, start):
-            i += 1
-            kind, end = found[i][0], found[i][2]
-        if kind == "prose" and end - start <= tiny:
-            if kind_at(i + 1) not in (None, "heading") and fits(i + 1, start):
-                i += 1
-                kind, end = found[i][0], found[i][2]
-            elif out and out[-1][0] == "prose" and end - out[-1][1] <= capacity:
-                out[-1] = (out[-1][0], out[-1][1], end)
-                i += 1
+    """Blocks in groups of at most capacity bytes, by one rule for a group and the block behind it.
+
+    Prose takes the code or list that follows and becomes of its kind; prose of at most tiny bytes takes prose too, and what can't
+    take anything joins prose before it. Code takes up to run blocks of code and prose; prose with no code behind it is the last.
+    """
+    groups: list[list] = []  # kind, start, end, blocks that it may still take
+
+    def settled() -> None:
+        """The last group is complete: left-over tiny prose goes to the prose before it."""
+        if len(groups) > 1 and groups[-1][0] == "prose" and groups[-1][3] and groups[-1][2] - groups[-1][1] <= tiny:
+            before, last = groups[-2:]
+            if before[0] == "prose" and last[2] - before[1] <= capacity:
+                groups[-2:] = [["prose", before[1], last[2], 0]]
+
+    for (kind, start, end), behind in zip(found, [*(b[0] for b in found[1:]), None], strict=False):
+        if groups and groups[-1][3] and end - groups[-1][1] <= capacity:
+            group = groups[-1]
+            small = group[2] - group[1] <= tiny
+            if group[0] == "code" and kind in ("prose", "code"):
+                groups[-1] = ["code", group[1], end, 0 if kind == "prose" and behind != "code" else group[3] - 1]
                 continue
-        if kind == "code":
-            for _ in range(run):
-                if kind_at(i + 1) not in ("prose", "code") or not fits(i + 1, start):
-                    break
-                last = kind_at(i + 1) == "prose" and kind_at(i + 2) != "code"
-                i += 1
-                end = found[i][2]
-                if last:
-                    break
-        out.append((kind, start, end))
-        i += 1
-    return out
+            if group[0] == "prose" and (kind in ("code", "list") or small and kind != "heading"):
+                groups[-1] = [kind, group[1], end, run if kind == "code" else 0]
+                continue
+        settled()
+        groups.append([kind, start, end, {"prose": 1, "code": run}.get(kind, 0)])
+    settled()
+    return [(kind, start, end) for kind, start, end, _ in groups]
 
 
 def excerpt_window(raw: bytes, anchor: int, size: int) -> tuple[int, int]:
@@ -270,42 +266,33 @@ def query_matches(text: str | None, query: str, size: int, most: int = 64) -> li
     occurrences in the window, begun at one, with the highest sum of weights of its distinct terms, the earliest such;
     a term's weight is round((1 + ln(tokens / occurrences)) * 1e6). The window's anchor comes first.
     """
-    from math import floor, log
-
-    text = text or ""
-    raw, spans, phrase = text.encode(), token_spans(text), [t for t, _, _ in token_spans(query)]
-    n = len(phrase)
-    if n > 1:
-        whole = [(spans[i][1], spans[i + n - 1][2]) for i in range(len(spans) - n + 1) if [s[0] for s in spans[i : i + n]] == phrase]
-        whole = [(a, b) for a, b in whole if b - a <= size * 2 // 3][:most]
-        if whole:
-            return whole
-    wanted = set(phrase)
-    hits = [(t, a, b) for t, a, b in spans if t in wanted]
-    if not hits:
+    raw, phrase = (text or "").encode(), [t for t, _, _ in token_spans(query)]
+    spans = token_spans(text)
+    term_of = {t: i for i, t in enumerate(dict.fromkeys(phrase))}
+    term = np.array([term_of.get(t, -1) for t, _, _ in spans], np.int64)
+    start, end = np.array([s[1:] for s in spans], np.int64).reshape(-1, 2).T
+    width = len(phrase)
+    if 1 < width <= len(spans):
+        whole = np.ones(len(spans) - width + 1, bool)
+        for j, t in enumerate(phrase):
+            whole &= term[j : len(spans) - width + 1 + j] == term_of[t]
+        at = np.flatnonzero(whole)
+        at = at[end[at + width - 1] - start[at] <= size * 2 // 3][:most]
+        if len(at):
+            return list(zip(start[at].tolist(), end[at + width - 1].tolist(), strict=True))
+    hit = np.flatnonzero(term >= 0)
+    if not len(hit):
         return []
-    count = {t: sum(h[0] == t for h in hits) for t in wanted}
-    weight = {t: floor((1 + log(len(spans) / c)) * 1e6 + 0.5) for t, c in count.items() if c}
-    best, best_score = 0, 0
-    held: dict[str, int] = {}
-    left = right = score = 0
-    for k, (_, a, _) in enumerate(hits):
-        lo, hi = excerpt_window(raw, a, size)
-        while right < len(hits) and hits[right][2] <= hi:
-            t = hits[right][0]
-            score += 0 if held.get(t) else weight[t]
-            held[t] = held.get(t, 0) + 1
-            right += 1
-        while left < right and hits[left][1] < lo:
-            t = hits[left][0]
-            held[t] -= 1
-            score -= 0 if held[t] else weight[t]
-            left += 1
-        if score > best_score:
-            best, best_score = k, score
-    lo, hi = excerpt_window(raw, hits[best][1], size)
-    rest = [(a, b) for k, (_, a, b) in enumerate(hits) if k != best and a >= lo and b <= hi]
-    return [hits[best][1:], *rest][:most]
+    term, start, end = term[hit], start[hit], end[hit]
+    low, high = np.array([excerpt_window(raw, a, size) for a in start.tolist()]).T
+    first, behind = np.searchsorted(start, low), np.searchsorted(end, high, side="right")
+    votes = np.zeros(len(hit), np.int64)
+    for t, n in enumerate(np.bincount(term, minlength=len(term_of)).tolist()):
+        seen = np.concatenate([[0], np.cumsum(term == t)])
+        votes += (seen[behind] > seen[first]) * floor((1 + log(len(spans) / max(n, 1))) * 1e6 + 0.5)
+    best = int(votes.argmax())
+    rest = [k for k in range(first[best], behind[best]) if k != best]
+    return [(int(start[k]), int(end[k])) for k in [best, *rest][:most]]
 
 
 def excerpt(text: str | None, query: str, size: int) -> list[tuple[str, int, int, int]]:
