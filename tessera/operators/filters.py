@@ -78,9 +78,10 @@ def in_sources(docs: DataFrame, sources: Sequence[str], evidence: DataFrame) ->
     return docs.join(cited, "record_id", "left").filter(F.col("source_id").isin(*sources) | F.coalesce("cited", F.lit(False))).drop("cited")
 
 
-def normal_policy() -> Column:
-    """What a plain search may show: current or stale text that is no draft, of no operational kind, not blank."""
-    return adopted() & F.col("eligibility").isin("current", "stale") & (F.coalesce("status", F.lit("")) != "draft") & ~F.coalesce("kind", F.lit("")).isin(*OPERATIONAL_KINDS) & ~F.coalesce("path", F.lit("")).rlike("(^|/)\\.") & (F.trim("body") != "")
+def normal_policy(blank: Column | None = None) -> Column:
+    """What a plain search may show: current or stale text that is no draft, of no operational kind, not blank (a column of an index's rows, else by the body)."""
+    full = F.trim("body") != "" if blank is None else ~blank
+    return adopted() & F.col("eligibility").isin("current", "stale") & (F.coalesce("status", F.lit("")) != "draft") & ~F.coalesce("kind", F.lit("")).isin(*OPERATIONAL_KINDS) & ~F.coalesce("path", F.lit("")).rlike("(^|/)\\.") & full
 
 
 def identity_policy() -> Column:

@@ -35,3 +35,26 @@ def assertion_units(assertions: DataFrame, entities: DataFrame) -> DataFrame:
         F.col("id").alias("target_id"),
         _lines(F.concat(F.lit("Subject: "), end("subject_id", "s")), F.concat(F.lit("Predicate: "), "predicate"), F.concat(F.lit("Object: "), end("object_id", "o")), F.concat(F.lit("Negated: "), F.col("negated").cast("string")), F.lit("Modality: asserted")).alias("utf8"),
     )
+
+
+def graph_rows(entities: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(target_id, target_kind, title, name, aliases, endpoints, predicate, qualifiers, description) of both, as they are indexed.
+
+    entities: id, title, aliases, description, eligibility; an entity has only its name, aliases and, while it is current, description.
+    assertions: id, subject_id, predicate, object_id, negated; one has the titles and aliases of its subject, then of its object, and
+    its qualifiers as JSON. An endpoint that is no entity has its id.
+    """
+    empty, none = F.lit(""), F.array().cast("array<string>")
+    e = entities.select(
+        F.col("id").alias("target_id"), F.lit("entity").alias("target_kind"), "title", F.col("title").alias("name"), "aliases", empty.alias("endpoints"), empty.alias("predicate"), empty.alias("qualifiers"),
+        F.when(F.col("eligibility") == "current", F.coalesce("description", empty)).otherwise(empty).alias("description"),
+    )
+    named = entities.select("id", F.concat_ws(" ", "title", F.array_join("aliases", " ")).alias("words"))
+    at = lambda side: named.select(F.col("id").alias(f"{side}_id"), F.col("words").alias(side))
+    a = assertions.join(at("subject"), "subject_id", "left").join(at("object"), "object_id", "left")
+    qualifiers = F.to_json(F.struct(F.lit("asserted").alias("modality"), F.coalesce("negated", F.lit(False)).alias("negated")))
+    a = a.select(
+        F.col("id").alias("target_id"), F.lit("assertion").alias("target_kind"), F.col("id").alias("title"), empty.alias("name"), none.alias("aliases"),
+        F.concat_ws(" ", F.coalesce("subject", "subject_id"), F.coalesce("object", "object_id")).alias("endpoints"), "predicate", qualifiers.alias("qualifiers"), empty.alias("description"),
+    )
+    return e.unionByName(a)

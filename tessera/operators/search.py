@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.filters import MOST_CANDIDATES, checked_query, top
-from tessera.sources.model import tokens
-from tessera.sources.store import written
+from tessera.sources.index import Index
 
 #: Weights of the indexed columns, in their order, and of graph rows by the kind of target.
 DOCUMENT_WEIGHTS = {"title": 8.0, "aliases": 6.0, "headings": 3.0, "tags": 2.0, "body": 1.0}
 ENTITY_WEIGHTS = {"name": 8.0, "aliases": 6.0, "endpoints": 0.0, "predicate": 0.0, "qualifiers": 0.0, "description": 1.0}
 ASSERTION_WEIGHTS = {"name": 0.0, "aliases": 0.0, "endpoints": 4.0, "predicate": 6.0, "qualifiers": 2.0, "description": 1.0}
+MOST_BODY, MOST_BODIES = 1 << 20, 16 << 20
 K1, B = 1.2, 0.75
 MOST_TERMS_JOINED = 4096
 
@@ -35,90 +35,53 @@ def phrases(query: str) -> list[list[str]]:
     return [p for p in (re.findall(r"[^\W_]+", fold(t)) for t in dict.fromkeys(checked_query(query))) if p]
 
 
-def _both(p: str):
-    return lambda a, b: a & (b == p)
+def phrase_hits(index: Index, wanted: Sequence[Sequence[str]], fields: Sequence[str] | None = None) -> DataFrame:
+    """(phrase, key, field, size, len, n): how often each phrase, by its number, stands in each field of each row that has it.
 
-
-def hits(column: str, phrase: Sequence[str]) -> Column:
-    """How often the phrase's tokens stand in a row in an array column."""
-    same = F.transform(column, lambda x: x == phrase[0])
-    for j, p in enumerate(phrase[1:], 1):
-        rest = F.slice(column, F.lit(j + 1), F.greatest(F.size(column) - j, F.lit(0)))
-        same = F.zip_with(same, rest, _both(p))
-    return F.size(F.filter(same, lambda x: F.coalesce(x, F.lit(False))))
+    The query's terms, at most MOST_TERMS_JOINED, are broadcast to the postings of their buckets. A phrase of several
+    terms is where all of them have the same start: position less place in the phrase.
+    """
+    asked = [(i, j, t, len(p)) for i, p in enumerate(wanted) for j, t in enumerate(p)]
+    if len(asked) > MOST_TERMS_JOINED:
+        raise ValueError(f"more than {MOST_TERMS_JOINED} terms")
+    spark = index.rows.sparkSession
+    found = index.of_terms(sorted({t for _, _, t, _ in asked}))
+    if fields is not None:
+        found = found.filter(F.col("field").isin(*fields))
+    found = found.join(F.broadcast(spark.createDataFrame(asked, "phrase int, place int, term string, terms int")), "term")
+    by = ["phrase", index.key, "field", "size", "len"]
+    if max(len(p) for p in wanted) > 1:
+        found = found.groupBy(*by, "terms", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("c")).filter("c = terms")
+    return found.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def token_columns(docs: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """keep, and for each text or list column c its tokens as t_c."""
-    kinds = dict(docs.dtypes)
-    text = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c)
-    return docs.select(*keep, *[tokens(text(c)).alias(f"t_{c}") for c in columns])
+def _scored(index: Index, matched: DataFrame, idf: Column, size: str, average: float, sign: int) -> DataFrame:
+    """(key, score) from (phrase, key, f, size) rows; idf is a column of the phrase's number of rows n."""
+    often = matched.groupBy("phrase").agg(F.count("*").cast("double").alias("n"))  # a row for each phrase
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col(size) / F.lit(average))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + norm) * sign
+    return matched.join(F.broadcast(often), "phrase").groupBy(index.key).agg(F.sum(part).alias("score"))
 
 
-def bm25_index_form(tokenised: DataFrame, query: str, weights: dict[str, float], key: str, only: Sequence[str] | None = None) -> DataFrame:
-    """(key, score) of matching rows, lower is better: a full-text index's built-in BM25 with column weights.
+def bm25_index_form(index: Index, query: str, weights: dict[str, float], only: Sequence[str] | None = None) -> DataFrame:
+    """(key, score) of matching rows, lower is better: a full-text index's built-in BM25 with field weights.
 
     score = -sum over phrases of idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg)); f is the sum of weight * hits, len
-    the tokens of all indexed columns, idf = max(ln((N - n + 0.5) / (n + 0.5)), 1e-6) with n the rows that match the
-    phrase (inside the columns `only`, if given). N, n and avg are over all rows: filter afterwards.
-    """
-    wanted = phrases(query)
-    seen = [c for c in weights if f"t_{c}" in tokenised.columns and (only is None or c in only)]
-    every = [c for c in tokenised.columns if c.startswith("t_")]
-    rows = tokenised.select(
-        key,
-        sum((F.size(c) for c in every), F.lit(0)).cast("double").alias("len"),
-        *[sum((F.lit(weights[c]) * hits(f"t_{c}", p) for c in seen), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(wanted)],
-        *[reduce(lambda a, b: a | b, [hits(f"t_{c}", p) > 0 for c in seen]).cast("int").alias(f"m{i}") for i, p in enumerate(wanted)],
-    )
-    rows = written(rows, "hits")  # a few numbers a row: texts are tokenised once, not again for the sums
-    stats = rows.agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"), *[F.sum(f"m{i}").cast("double").alias(f"n{i}") for i in range(len(wanted))])
-    idf = lambda i: F.greatest(F.ln((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg"))
-    score = sum((F.when(F.col(f"m{i}") > 0, -idf(i) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm)).otherwise(0.0) for i in range(len(wanted))), F.lit(0.0))
-    found = rows.filter(reduce(lambda a, b: a | b, [F.col(f"m{i}") > 0 for i in range(len(wanted))]))
-    return found.join(F.broadcast(stats)).select(key, score.alias("score"))  # one row of sums
-
-
-def bm25_unit_form(tokenised: DataFrame, terms: Sequence[str], key: str, column: str = "t_body") -> DataFrame:
-    """(key, score) of matching units, higher is better; idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over the units given."""
-    terms = list(dict.fromkeys(terms))
-    rows = tokenised.select(key, F.size(column).cast("double").alias("len"), *[hits(column, [t]).cast("double").alias(f"f{i}") for i, t in enumerate(terms)])
-    rows = written(rows, "hits")  # a few numbers a row: texts are tokenised once, not again for the sums
-    stats = rows.agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))])
-    idf = lambda i: F.ln(1 + (F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg"))
-    score = sum((F.when(F.col(f"f{i}") > 0, idf(i) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm)).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
-    found = rows.filter(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(terms))]))
-    return found.join(F.broadcast(stats)).select(key, score.alias("score"))
-
-
-def bm25_terms(tokenised: DataFrame, terms: Sequence[str], key: str, column: str = "t_body") -> DataFrame:
-    """The unit form for many terms: (key, score) by a join of postings with the query's terms instead of a column for each.
-
-    Terms are counted within a document before they are shuffled; the query's terms, at most MOST_TERMS_JOINED, are broadcast.
+    the tokens of all indexed fields, idf = max(ln((N - n + 0.5) / (n + 0.5)), 1e-6) with n the rows that match the
+    phrase (inside the fields `only`, if given). N, n and avg are over all rows: filter afterwards.
     """
-    terms = list(dict.fromkeys(terms))
-    if len(terms) > MOST_TERMS_JOINED:
-        raise ValueError(f"more than {MOST_TERMS_JOINED} terms")
-    spark = tokenised.sparkSession
-    rows = tokenised.select(key, F.size(column).cast("double").alias("len"), F.col(column).alias("t"))
-    asked = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
-    counted = rows.select(key, "len", F.explode_outer("t").alias("term")).join(asked.withColumn("asked", F.lit(1)), "term", "left")
-    counted = counted.groupBy(key, "len", F.when(F.col("asked") == 1, F.col("term")).alias("term")).agg(F.count("*").cast("double").alias("f"))
-    counted = written(counted, "hits")  # a row for each document and term of the query, and one for the rest
-    stats = counted.groupBy(key).agg(F.first("len").alias("len")).agg(F.count("*").cast("double").alias("N"), F.avg("len").alias("avg"))
-    hit = counted.filter("term is not null")
-    df = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg"))
-    score = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    return hit.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(key).agg(F.sum(score).alias("score"))
-
-
-def postings(tokenised: DataFrame, key: str) -> DataFrame:
-    """(term, key, column, position) of every token: the inverted index, to be written partitioned or bucketed by term."""
-    parts = [tokenised.select(key, F.lit(c[2:]).alias("column"), F.posexplode(c).alias("position", "term")) for c in tokenised.columns if c.startswith("t_")]
-    return reduce(DataFrame.unionByName, parts).select("term", key, "column", "position")
+    fields = [c for c in weights if c in index.fields and (only is None or c in only)]
+    weight = F.create_map(*[x for c in fields for x in (F.lit(c), F.lit(float(weights[c])))])[F.col("field")]
+    matched = phrase_hits(index, phrases(query), fields).groupBy("phrase", index.key, "len").agg(F.sum(weight * F.col("n")).alias("f"))
+    idf = F.greatest(F.ln((F.lit(float(index.count)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    return _scored(index, matched, idf, "len", index.average(), -1)
+
+
+def bm25_unit_form(index: Index, terms: Sequence[str], field: str = "body") -> DataFrame:
+    """(key, score) of units that have a term, higher is better; idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over all units."""
+    matched = phrase_hits(index, [[t] for t in dict.fromkeys(terms)], [field]).select("phrase", index.key, F.col("n").cast("double").alias("f"), "size")
+    idf = F.ln(1 + (F.lit(float(index.count)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    return _scored(index, matched, idf, "size", index.average([field]), 1)
 
 
 def literal(docs: DataFrame, needle: str, keep: Sequence[str], k: int = MOST_CANDIDATES) -> DataFrame:
@@ -134,19 +97,18 @@ def literal_count(docs: DataFrame, needle: str) -> DataFrame:
     return found.agg(F.count("*").alias("documents"), F.sum(F.regexp_count("body", F.lit(re.escape(needle)))).cast("long").alias("places"))
 
 
-def five_legs(docs: DataFrame, query: str, policy: Column, k: int = MOST_CANDIDATES) -> DataFrame:
+def five_legs(index: Index, query: str, policy: Column, k: int = MOST_CANDIDATES) -> DataFrame:
     """Candidates by tier: exact id 0; exact title, exact alias 1; text BM25, identity BM25 2.
 
     Each leg ranks what passes the policy and is cut at k; a path keeps its least (tier, score) and the rank of
     every leg that has it. Order: tier, score, coalesce(record_id, path), path.
     """
     narrow = ["path", "record_id"]
-    ok = docs.filter(policy)
+    ok = index.rows.filter(policy)
     low = query.lower()
-    tokenised = token_columns(docs, [c for c in DOCUMENT_WEIGHTS if c in docs.columns], ["path"])
     allowed = ok.select(*narrow)
     exact = lambda leg, tier, cond: ok.filter(cond).select(*narrow, F.lit(tier).alias("tier"), F.lit(0.0).alias("score"), F.lit(leg).alias("leg"))
-    scored = lambda leg, only: bm25_index_form(tokenised, query, DOCUMENT_WEIGHTS, "path", only).join(allowed, "path").select(*narrow, F.lit(2).alias("tier"), "score", F.lit(leg).alias("leg"))
+    scored = lambda leg, only: bm25_index_form(index, query, DOCUMENT_WEIGHTS, only).join(allowed, "path").select(*narrow, F.lit(2).alias("tier"), "score", F.lit(leg).alias("leg"))
     legs = [
         exact("exact_id", 0, F.col("record_id") == query),
         exact("exact_title", 1, F.lower("title") == low),
@@ -160,15 +122,50 @@ def five_legs(docs: DataFrame, query: str, policy: Column, k: int = MOST_CANDIDA
     return top(best, [F.col("tier"), F.col("score"), tie(), F.col("path")], k)
 
 
-def complete_phrase_first(ranked: DataFrame, docs: DataFrame, query: str) -> DataFrame:
-    """Stable preference, inside tier 2, for bodies that have all the query's tokens in a row."""
+def complete_phrase_first(ranked: DataFrame, index: Index, query: str) -> DataFrame:
+    """Stable preference, inside tier 2, for bodies that have all the query's tokens in a row.
+
+    Only a query of several tokens has witnesses, and none is looked for if a candidate's body is larger than
+    MOST_BODY or all of them together than MOST_BODIES.
+    """
     phrase = [t for p in phrases(query) for t in p]
-    bodies = docs.join(F.broadcast(ranked.select("path")), "path").select("path", tokens("body").alias("t_body"))  # k rows
-    flagged = ranked.join(bodies.select("path", (hits("t_body", phrase) > 0).alias("witness")), "path") if len(phrase) > 1 else ranked.withColumn("witness", F.lit(False))
-    flagged = flagged.withColumn("witness", F.col("witness") & (F.col("tier") == 2) & F.col("rank_identity_lexical").isNull())
+    ranked = ranked.join(F.broadcast(index.rows.join(F.broadcast(ranked.select("path")), "path").select("path", "bytes")), "path")  # k rows
+    small = (F.max("bytes").over(Window.partitionBy()) <= MOST_BODY) & (F.sum("bytes").over(Window.partitionBy()) <= MOST_BODIES)
+    if len(phrase) > 1:
+        having = phrase_hits(index, [phrase], ["body"]).select("path", F.lit(True).alias("having")).join(F.broadcast(ranked.select("path")), "path", "left_semi")
+        ranked = ranked.join(F.broadcast(having), "path", "left")
+    else:
+        ranked = ranked.withColumn("having", F.lit(False))
+    witness = F.coalesce("having", F.lit(False)) & (F.col("tier") == 2) & F.col("rank_identity_lexical").isNull() & small
+    flagged = ranked.withColumn("witness", witness).drop("having", "bytes")
     return flagged.withColumn("rank", F.row_number().over(Window.orderBy("tier", ~F.col("witness"), "rank")))
 
 
+def graph_seeds(index: Index, query: str, allowed: DataFrame, strategy: str = "combined", k: int = MOST_CANDIDATES) -> DataFrame:
+    """(target_id, target_kind, score, channels, rank): rows of the graph to begin a walk at.
+
+    strategy entity or relationship takes one kind, combined both. For each kind, exact id, exact title, exact alias and
+    BM25 over its fields rank what is allowed (target_id) and are cut at k; a row's score is the sum of 1 / (60 + rank), its
+    channels are told; rows with equal scores go by id.
+    """
+    kinds = {"entity": ["entity"], "relationship": ["assertion"], "combined": ["entity", "assertion"]}[strategy]
+    found = []
+    for kind in kinds:
+        ok = index.rows.filter(F.col("target_kind") == kind).join(allowed.select("target_id"), "target_id", "left_semi")
+        weights = ENTITY_WEIGHTS if kind == "entity" else ASSERTION_WEIGHTS
+        none = F.lit(0.0).alias("score")
+        legs = {
+            "exact_id": ok.filter(F.col("target_id") == query).select("target_id", none),
+            "exact_title": ok.filter(F.col("title") == query).select("target_id", none),
+            "exact_alias": ok.filter(F.array_contains("aliases", query)).select("target_id", none),
+            "graph_lexical": bm25_index_form(index, query, weights).join(ok.select("target_id"), "target_id"),
+        }
+        ranked = [top(leg, [F.col("score"), F.col("target_id")], k).select("target_id", "rank", F.lit(f"{kind}_{name}").alias("channel")) for name, leg in legs.items()]
+        fused = reduce(DataFrame.unionByName, ranked).groupBy("target_id").agg(F.sum(1.0 / (60.0 + F.col("rank"))).alias("score"), F.array_join(F.sort_array(F.collect_list("channel")), ",").alias("channels"))
+        found.append(top(fused.withColumn("score", F.round("score", 9)), [F.col("score").desc(), F.col("target_id")], k).withColumn("target_kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, found).select("target_id", "target_kind", "score", "channels", "rank")
+
+
 def page(ranked: DataFrame, offset: int, size: int) -> DataFrame:
     """One page by ranks; a row past the end tells that there is more."""
     return ranked.filter((F.col("rank") > offset) & (F.col("rank") <= offset + size + 1)).withColumn("more", F.col("rank") > offset + size)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import dense, filters, search
+from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.sources import model
-from tessera.sources.model import DOCUMENTS_SQL, TOKENS_SQL
+from tessera.sources.model import ASSERTIONS_SQL, DOCUMENTS_SQL, ENTITIES_SQL, TOKENS_SQL
 
 QUERY = "thing license tion"
 PHRASE = "of the"
@@ -29,9 +30,9 @@ def _unit_bm25_sql(terms: list[str], rows: str = "t") -> str:
 SELECT path, round(score, {ROUND}) AS score, row_number() OVER (ORDER BY round(score, {ROUND}) DESC, path) AS rank FROM tb WHERE eligibility = 'current' QUALIFY rank <= 10""",
 )
 def search_bm25_eligible(spark, sf):
-    docs = model.documents(spark, sf)
-    scored = search.bm25_unit_form(search.token_columns(docs, ["body"], ["path"]), QUERY.split(), "path")
-    scored = scored.join(docs.filter("eligibility = 'current'").select("path"), "path").withColumn("score", F.round("score", ROUND))
+    index = indexes.documents(spark, sf)
+    scored = search.bm25_unit_form(index, QUERY.split())
+    scored = scored.join(index.rows.filter("eligibility = 'current'").select("path"), "path").withColumn("score", F.round("score", ROUND))
     return filters.top(scored, [F.col("score").desc(), F.col("path")], 10).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -67,9 +68,9 @@ NORMAL_SQL = "coalesce(record_id, source_id) IS NOT NULL AND eligibility IN ('cu
 SELECT path, round(score, {ROUND}) AS score, row_number() OVER (ORDER BY round(score, {ROUND}), path) AS rank FROM b JOIN d USING (path) WHERE {NORMAL_SQL} QUALIFY rank <= 80""",
 )
 def search_bm25_document(spark, sf):
-    docs = model.documents(spark, sf)
-    scored = search.bm25_index_form(search.token_columns(docs, _COLS, ["path"]), QUERY + " token=", _W, "path")
-    scored = scored.join(docs.filter(filters.normal_policy()).select("path"), "path").withColumn("score", F.round("score", ROUND))
+    index = indexes.documents(spark, sf)
+    scored = search.bm25_index_form(index, QUERY + " token=", _W)
+    scored = scored.join(index.rows.filter(filters.normal_policy(F.col("blank"))).select("path"), "path").withColumn("score", F.round("score", ROUND))
     return filters.top(scored, [F.col("score"), F.col("path")], 80).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -79,8 +80,7 @@ def search_bm25_document(spark, sf):
 SELECT path, round(score, {ROUND}) AS score FROM b""",
 )
 def search_bm25_identity(spark, sf):
-    docs = model.documents(spark, sf)
-    return search.bm25_index_form(search.token_columns(docs, _COLS, ["path"]), "alias-7 the", _W, "path", ["title", "aliases"]).withColumn("score", F.round("score", ROUND))
+    return search.bm25_index_form(indexes.documents(spark, sf), "alias-7 the", _W, ["title", "aliases"]).withColumn("score", F.round("score", ROUND))
 
 
 @query(
@@ -89,8 +89,7 @@ def search_bm25_identity(spark, sf):
 SELECT path, {_hits_sql("toks", PHRASE.split())}::BIGINT AS n FROM t WHERE {_hits_sql("toks", PHRASE.split())} > 0""",
 )
 def search_phrase_counts(spark, sf):
-    t = search.token_columns(model.documents(spark, sf), ["body"], ["path"])
-    return t.select("path", search.hits("t_body", PHRASE.split()).cast("long").alias("n")).filter("n > 0")
+    return search.phrase_hits(indexes.documents(spark, sf), [PHRASE.split()], ["body"]).select("path", "n")
 
 
 LIT = "the MIT License"
@@ -109,41 +108,59 @@ def search_literal_count(spark, sf):
     return search.literal_count(model.documents(spark, sf), LIT)
 
 
-def _five_legs_sql() -> str:
-    q = "alias 7"
+def _five_legs_sql(q: str) -> str:
+    """Up to k: the first 20 candidates with their tiers, scores and ranks by leg."""
     exact = lambda leg, tier, cond: f"SELECT path, record_id, {tier} AS tier, 0.0::DOUBLE AS score, '{leg}' AS leg FROM d WHERE {NORMAL_SQL} AND {cond}"
     scored = lambda leg, b: f"SELECT path, record_id, 2, {b}.score, '{leg}' FROM {b} JOIN d USING (path) WHERE {NORMAL_SQL}"
     legs = " UNION ALL ".join([exact("exact_id", 0, f"record_id = '{q}'"), exact("exact_title", 1, f"lower(title) = '{q}'"), exact("exact_alias", 1, f"len(list_filter(aliases, lambda a: lower(a) = '{q}')) > 0"), scored("lexical", "b"), scored("identity_lexical", "ib")])
     ranks = ", ".join(f"min(rk) FILTER (leg = '{leg}') AS rank_{leg}" for leg in ("exact_id", "exact_title", "exact_alias", "lexical", "identity_lexical"))
     return f"""WITH {DOCUMENTS_SQL}, {TK_SQL}, {_index_bm25_sql(q, _COLS, "b")}, {_index_bm25_sql(q, ("title", "aliases"), "ib")},
 l AS ({legs}), r AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY score, coalesce(record_id, path), path) AS rk FROM l QUALIFY rk <= 20),
-m AS (SELECT path, record_id, min(tier) AS tier, min({{'t': tier, 's': score}}).s AS score, {ranks} FROM r GROUP BY path, record_id)
-SELECT path, tier, round(score, {ROUND}) AS score, rank_exact_id, rank_exact_title, rank_exact_alias, rank_lexical, rank_identity_lexical,
-  row_number() OVER (ORDER BY tier, score, coalesce(record_id, path), path) AS rank FROM m QUALIFY rank <= 20"""
+m AS (SELECT path, record_id, min(tier) AS tier, min({{'t': tier, 's': score}}).s AS score, {ranks} FROM r GROUP BY path, record_id),
+k AS (SELECT *, row_number() OVER (ORDER BY tier, score, coalesce(record_id, path), path) AS rank FROM m QUALIFY rank <= 20)"""
 
 
-@query("search_five_legs", _five_legs_sql())
+@query("search_five_legs", _five_legs_sql("alias 7") + f" SELECT path, tier, round(score, {ROUND}) AS score, rank_exact_id, rank_exact_title, rank_exact_alias, rank_lexical, rank_identity_lexical, rank FROM k")
 def search_five_legs(spark, sf):
-    out = search.five_legs(model.documents(spark, sf), "alias 7", filters.normal_policy(), 20)
+    out = search.five_legs(indexes.documents(spark, sf), "alias 7", filters.normal_policy(F.col("blank")), 20)
     ranks = [F.col(c).cast("long").alias(c) for c in out.columns if c.startswith("rank")]
     return out.select("path", "tier", F.round("score", ROUND).alias("score"), *ranks)
 
 
-@query("search_complete_phrase")
+PHRASE_SQL = f"""{_five_legs_sql(PHRASE)},
+w AS (SELECT path, tier, rank, tier = 2 AND rank_identity_lexical IS NULL AND {_hits_sql("t_body", PHRASE.split())} > 0 AND max(strlen(body)) OVER () <= 1048576 AND sum(strlen(body)) OVER () <= 16777216 AS witness
+  FROM k JOIN tk USING (path) JOIN (SELECT path, body FROM d) USING (path))
+SELECT path, tier, witness, row_number() OVER (ORDER BY tier, NOT witness, rank) AS rank FROM w"""
+
+
+@query("search_complete_phrase", PHRASE_SQL)
 def search_complete_phrase(spark, sf):
-    docs = model.documents(spark, sf)
-    ranked = search.five_legs(docs, "of the", filters.normal_policy(), 20)
-    return search.complete_phrase_first(ranked, docs, "of the").select("path", "tier", "witness", F.col("rank").cast("long").alias("rank"))
+    index = indexes.documents(spark, sf)
+    ranked = search.five_legs(index, PHRASE, filters.normal_policy(F.col("blank")), 20)
+    return search.complete_phrase_first(ranked, index, PHRASE).select("path", "tier", "witness", F.col("rank").cast("long").alias("rank"))
 
 
 @query("postings_terms", f"WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, unnest({TOKENS_SQL.format('body')}) AS term FROM d) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY term HAVING count(*) >= 50")
 def postings_terms(spark, sf):
     """The inverted index's terms that are in use 50 times or more."""
-    t = search.token_columns(model.documents(spark, sf), ["body"], ["doc_id"])
-    by_doc = search.postings(t, "doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    by_doc = indexes.documents(spark, sf).postings.filter("field = 'body'").groupBy("term", "path").agg(F.count("*").alias("n"))
     return by_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).filter("n >= 50")
 
 
+@query("index_fields", f"WITH {DOCUMENTS_SQL}, {TK_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS field, sum(len(t_{c}))::BIGINT AS tokens, count(DISTINCT path) FILTER (len(t_{c}) > 0) AS rows FROM tk" for c in _COLS))
+def index_fields(spark, sf):
+    """What the stored index of documents holds of each field; the first query of a session that needs the index builds it."""
+    return indexes.documents(spark, sf).postings.groupBy("field", "path").agg(F.count("*").alias("n")).groupBy("field").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+
+
+@query("index_unmatched", "SELECT '' AS path, '' AS field, '' AS reason LIMIT 0")
+def index_unmatched(spark, sf):
+    """Rows and postings of the stored index that don't fit: none."""
+    from tessera.sources.index import unmatched
+
+    return unmatched(indexes.documents(spark, sf))
+
+
 F_SQL = "coalesce(record_id, source_id) IS NOT NULL AND kind IN ('entity', 'page') AND list_contains(tags, 'en') AND starts_with(path, 'doc/en') AND status IN ('reviewed', 'deprecated')"
 
 
@@ -202,6 +219,72 @@ def search_second_page(spark, sf):
     return search.page(ranked, 20, 20).select("path", F.col("rank").cast("long").alias("rank"), "more")
 
 
+# Graph rows
+
+GRAPH_QUERY = "uses Supplier#000000007 asserted"
+GRAPH_WEIGHTS = {"entity": search.ENTITY_WEIGHTS, "assertion": search.ASSERTION_WEIGHTS}
+GRAPH_ROWS_SQL = f"""{ENTITIES_SQL}, {ASSERTIONS_SQL}, gr AS (
+  SELECT id AS target_id, 'entity' AS target_kind, title, title AS name, 'the ' || lower(title) AS aliases, '' AS endpoints, '' AS predicate, '' AS qualifiers, 'one ' || entity_type AS description FROM entities UNION ALL
+  SELECT a.id, 'assertion', a.id, '', '', s.title || ' the ' || lower(s.title) || ' ' || o.title || ' the ' || lower(o.title), predicate, '{{"modality":"asserted","negated":' || negated || '}}', ''
+  FROM assertions a JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id),
+tk AS MATERIALIZED (SELECT target_id AS path, target_kind, title, aliases, {", ".join(f"{TOKENS_SQL.format(c)} AS t_{c}" for c in search.ENTITY_WEIGHTS)} FROM gr)"""
+
+
+def _graph_bm25_sql(text: str, kind: str, name: str) -> str:
+    weights = GRAPH_WEIGHTS[kind]
+    wanted = search.phrases(text)
+    f = ", ".join(f"({' + '.join(f'{w} * {_hits_sql("t_" + c, p)}' for c, w in weights.items())})::DOUBLE AS f{i}, ({' + '.join(_hits_sql("t_" + c, p) for c in weights)}) > 0 AS m{i}" for i, p in enumerate(wanted))
+    stats = ", ".join(f"count(*) FILTER (m{i})::DOUBLE AS n{i}" for i in range(len(wanted)))
+    score = " + ".join(f"CASE WHEN m{i} THEN -greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avg)) ELSE 0 END" for i in range(len(wanted)))
+    return f"""{name}f AS (SELECT path, target_kind, ({" + ".join(f"len(t_{c})" for c in weights)})::DOUBLE AS len, {f} FROM tk), {name}s AS (SELECT count(*)::DOUBLE AS N, avg(len) AS avg, {stats} FROM {name}f),
+{name} AS (SELECT path AS target_id, {score} AS score FROM {name}f, {name}s WHERE target_kind = '{kind}' AND ({" OR ".join(f"m{i}" for i in range(len(wanted)))}))"""
+
+
+@query(
+    "search_graph_rows",
+    f"""WITH {GRAPH_ROWS_SQL}, {_graph_bm25_sql(GRAPH_QUERY, "entity", "be")}, {_graph_bm25_sql(GRAPH_QUERY, "assertion", "ba")}, al AS (SELECT 'entity' AS target_kind, * FROM be UNION ALL SELECT 'assertion', * FROM ba)
+SELECT target_kind, target_id, round(score, {ROUND}) AS score, row_number() OVER (PARTITION BY target_kind ORDER BY round(score, {ROUND}), target_id) AS rank FROM al QUALIFY rank <= 40""",
+)
+def search_graph_rows(spark, sf):
+    """Entities and assertions by BM25 over their rows, each kind with its weights."""
+    index = indexes.graph(spark, sf)
+    found = []
+    for kind, weights in GRAPH_WEIGHTS.items():
+        scored = search.bm25_index_form(index, GRAPH_QUERY, weights).join(index.rows.filter(F.col("target_kind") == kind).select("target_kind", "target_id"), "target_id")
+        found.append(filters.top(scored.withColumn("score", F.round("score", ROUND)), [F.col("score"), F.col("target_id")], 40))
+    return found[0].unionByName(found[1]).select("target_kind", "target_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _seeds_sql(text: str, kinds: tuple[str, ...], k: int, allowed: str) -> str:
+    parts, legs = [], []
+    for kind in kinds:
+        parts.append(_graph_bm25_sql(text, kind, f"b{kind}"))
+        one = lambda name, cond: f"SELECT '{kind}' AS kind, '{kind}_{name}' AS channel, path AS target_id, row_number() OVER (ORDER BY path) AS rank FROM tk WHERE target_kind = '{kind}' AND ({allowed.format('path')}) AND {cond} QUALIFY rank <= {k}"
+        legs += [one("exact_id", f"path = '{text}'"), one("exact_title", f"title = '{text}'"), one("exact_alias", f"aliases = '{text}'")]
+        legs.append(f"SELECT '{kind}', '{kind}_graph_lexical', target_id, row_number() OVER (ORDER BY score, target_id) AS rank FROM b{kind} WHERE {allowed.format('target_id')} QUALIFY rank <= {k}")
+    return f"""WITH {GRAPH_ROWS_SQL}, {", ".join(parts)}, al AS ({" UNION ALL ".join(f"({x})" for x in legs)}),
+fu AS (SELECT kind, target_id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)), 9) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM al GROUP BY ALL)
+SELECT target_id, kind AS target_kind, score, channels, row_number() OVER (PARTITION BY kind ORDER BY score DESC, target_id) AS rank FROM fu QUALIFY rank <= {k}"""
+
+
+@query("graph_seeds_fused", _seeds_sql("the europe", ("entity", "assertion"), 20, "{} NOT LIKE '%7'"))
+def graph_seeds_fused(spark, sf):
+    """Seeds of both kinds by all legs, fused, among the rows that a policy allows."""
+    index = indexes.graph(spark, sf)
+    out = search.graph_seeds(index, "the europe", index.rows.filter("target_id not like '%7'").select("target_id"), "combined", 20)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("graph_seeds_page", f"SELECT target_id, rank, rank > 12 AS more FROM ({_seeds_sql('nation_3', ('assertion',), 40, 'true')}) WHERE rank > 4 AND rank <= 13")
+def graph_seeds_page(spark, sf):
+    """The second page, of eight, of a relationship search; its cursor is bound to query and plan."""
+    index = indexes.graph(spark, sf)
+    ranked = search.graph_seeds(index, "nation_3", index.rows.select("target_id"), "relationship", 40)
+    plan = '{"strategy":"relationship","candidates":40}'
+    at = search.opened(search.cursor("nation_3", plan, 4), "nation_3", plan)
+    return search.page(ranked, at, 8).select("target_id", F.col("rank").cast("long").alias("rank"), "more")
+
+
 # Dense
 
 
@@ -268,9 +351,10 @@ al AS (FROM lx UNION ALL FROM dn UNION ALL FROM gr), fu AS (SELECT path, sum(1.0
 
 @query("hybrid_search", _hybrid_sql("SELECT path, round(score, 6) AS score, channels, row_number() OVER (ORDER BY round(score, 9) DESC, path) AS rank FROM fu QUALIFY rank <= 80"))
 def hybrid_search(spark, sf):
-    docs = model.documents(spark, sf)
-    ok = docs.filter(filters.normal_policy()).select("path", "doc_id")
-    lex = search.bm25_index_form(search.token_columns(docs, _COLS, ["path"]), QUERY, _W, "path").join(ok, "path").withColumn("score", F.round("score", 6))
+    index = indexes.documents(spark, sf)
+    docs = index.rows
+    ok = docs.filter(filters.normal_policy(F.col("blank"))).select("path", "doc_id")
+    lex = search.bm25_index_form(index, QUERY, _W).join(ok, "path").withColumn("score", F.round("score", 6))
     lex = filters.top(lex, [F.col("score"), F.col("path")], 80).select("path", F.lit("lexical").alias("channel"), "rank")
     near = model.units(spark, sf).join(ok, F.col("unit_id") == F.col("doc_id")).select("path", dense.cosine(F.col("embedding"), dense.literal_vector(_vector())).alias("s")).groupBy("path").agg(F.round(F.max("s"), 6).alias("s"))
     near = filters.top(near, [F.col("s").desc(), F.col("path")], 80).select("path", F.lit("dense").alias("channel"), "rank")
@@ -292,7 +376,8 @@ def retrieval_metrics(spark, sf):
     from tessera.operators.catalog import recall_and_ndcg
 
     docs = model.table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    scored = search.bm25_unit_form(search.token_columns(docs, ["body"], ["doc_id"]), ["thing"], "doc_id").withColumn("score", F.round("score", 6))
+    index = indexes.documents(spark, sf)
+    scored = search.bm25_unit_form(index, ["thing"]).join(index.rows.select("path", "doc_id"), "path").withColumn("score", F.round("score", 6))
     ranked = filters.top(scored, [F.col("score").desc(), F.col("doc_id")], 10).select(F.lit("thing").alias("query"), F.col("doc_id").alias("doc"), "rank")
     relevant = docs.filter(F.contains("body", F.lit("thing")) & (F.col("doc_id") % 3 == 0)).select(F.lit("thing").alias("query"), F.col("doc_id").alias("doc"))
     return recall_and_ndcg(ranked, relevant).select("query", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"))

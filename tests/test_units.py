@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import dataclasses
 import itertools
 import json
+import math
+import re
 
 import numpy as np
 import pytest
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars, text
 from tessera.operators import catalog, context, dense, eligibility, filters, graph, intervals, ledger, search
 from tessera.plans import catalogue
-from tessera.sources import model, store, vault
+from tessera.sources import index, model, store, vault
 from tessera.streaming import ledger as streams
 
 TEXTS = st.text(alphabet="ab é日\n#- `\r[]|", max_size=120)
@@ -83,6 +87,71 @@ def test_notes():
     assert text.parse_note("---\na: 1\nno end")[0][3] == "unterminated" and text.parse_note("---\na: 1\na: 2\n---\n")[0][3] == "repeated key" and text.parse_note(None)[0][0] == "plain"
 
 
+@given(st.lists(st.tuples(st.sampled_from(["prose", "code", "list", "heading"]), st.sampled_from([5, 48, 49, 90])), max_size=12), st.sampled_from([40, 100, 300, 9999]))
+@settings(max_examples=300, deadline=None)
+def test_teaching_blocks_follow_their_rule(parts, capacity):
+    """Groups are runs of whole blocks; a group of several begins with prose or code, fits, and is one that the rule allows."""
+    ends = list(itertools.accumulate(n for _, n in parts))
+    found = [(k, end - n, end) for (k, n), end in zip(parts, ends, strict=True)]
+    groups = text.teaching_blocks(found, capacity)
+    assert [g[1:] for g in groups] == list(zip([0, *[g[2] for g in groups][:-1]], [g[2] for g in groups], strict=True)) if found else groups == []
+    of = lambda g: [k for k, a, b in found if g[1] <= a and b <= g[2]]
+    for n, g in enumerate(groups):
+        kinds = of(g)
+        assert sum(b - a for _, a, b in found if g[1] <= a and b <= g[2]) == g[2] - g[1]
+        assert len(kinds) == 1 or g[2] - g[1] <= capacity and kinds[0] in ("prose", "code") and "heading" not in kinds
+        assert "list" not in kinds[:-1] and kinds.count("list") + kinds.count("code") <= 10
+        if kinds == ["prose"] and n + 1 < len(groups) and of(groups[n + 1])[0] in ("code", "list"):
+            first = next(b for _, a, b in found if a == groups[n + 1][1])
+            assert first - g[1] > capacity  # else it would have gone with that
+
+
+def naive_segments(t: str, capacity: int) -> list[tuple]:
+    raw, at, out = t.encode(), 0, []
+    starts = [0, *[m.end() for m in re.finditer(rb"\n", raw)]]
+    title = lambda i: re.match(r"(#{1,6}) (.*)", raw[i:].split(b"\n")[0].decode().rstrip("\r"))
+    while at < len(raw) or not out:
+        end = min(at + capacity, len(raw))
+        while 0 < end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        if end < len(raw):
+            heads = [i for i in starts if at < i < end and title(i)]
+            blank = [i for i in range(at + 1, end + 1) if (raw[i - 1 : i] == b"\n" or i == end) and not raw[max(at, starts[bisect.bisect_left(starts, i) - 1]) : i].strip(b"\r\n")]
+            end = heads[-1] if heads else blank[-1] if blank else end
+        above: list = []
+        for i in starts:
+            if i <= at and i < len(raw) and title(i):
+                above = [x for x in above if len(x[1]) < len(title(i)[1])] + [title(i)]
+        out.append((len(out), at, end, [m[2].strip().rstrip("#").strip() for m in above]))
+        at = end
+        if not raw:
+            break
+    return out
+
+
+@given(TEXTS, st.integers(4, 40))
+@settings(max_examples=300, deadline=None)
+def test_segments_equal_brute_force(t, capacity):
+    assert text.segments(t, capacity) == naive_segments(t, capacity)
+
+
+@given(st.text(alphabet="ab é.", max_size=90), st.sampled_from(["a", "a b", "b a é", "ab ab", "z"]), st.sampled_from([9, 20, 60]))
+@settings(max_examples=300, deadline=None)
+def test_query_matches_equal_brute_force(t, query, size):
+    raw, spans, wanted = t.encode(), text.token_spans(t), [w for w, _, _ in text.token_spans(query)]
+    whole = [(spans[i][1], spans[i + len(wanted) - 1][2]) for i in range(len(spans) - len(wanted) + 1) if [s[0] for s in spans[i : i + len(wanted)]] == wanted]
+    whole = [(a, b) for a, b in whole if b - a <= size * 2 // 3] if len(wanted) > 1 else []
+    hits = [s for s in spans if s[0] in wanted]
+    best, most = None, 0
+    for w, a, b in hits:
+        lo, hi = text.excerpt_window(raw, a, size)
+        inside = [h for h in hits if h[1] >= lo and h[2] <= hi]
+        votes = sum(int((1 + math.log(len(spans) / sum(h[0] == x for h in hits))) * 1e6 + 0.5) for x in {h[0] for h in inside})
+        if votes > most:
+            best, most = [(a, b), *[h[1:] for h in inside if h[1:] != (a, b)]], votes
+    assert text.query_matches(t, query, size) == (whole or best or [])[:64]
+
+
 def test_blocks_group_teaching_text():
     t = "# H\n\nRun this command to see the whole list of things:\n\n```\nls\n```\n\nThen read on, as the rest explains what was meant.\n\n- a\n- b\n"
     kinds = [k for k, _, _ in text.blocks(t)]
@@ -93,6 +162,8 @@ def test_blocks_group_teaching_text():
 
 def test_content_terms_keep_identifiers():
     assert text.content_terms("how can I use `can` and object.is or the --with flag") == ["use", "can", "object", "is", "with", "flag"]
+    assert text.content_terms("see .is.x now") == ["see", "x", "now"]
+    assert text.content_terms("Is is() it. a/of can_do THE what-if") == ["is", "of", "can", "do", "what", "if"]
 
 
 def test_stems(spark):
@@ -128,15 +199,31 @@ def test_cursor_is_bound_to_its_query():
 
 
 def test_phrase_hits_and_bm25_by_hand(spark):
-    docs = spark.createDataFrame([("p1", "a b a b c"), ("p2", "b a"), ("p3", ""), ("p4", None), ("p5", "Á b")], "path string, body string")
-    t = search.token_columns(docs, ["body"], ["path"])
-    assert {r["path"]: r["n"] for r in t.select("path", search.hits("t_body", ["a", "b"]).alias("n")).collect()} == {"p1": 2, "p2": 0, "p3": 0, "p4": 0, "p5": 1}
-    got = {r["path"]: r["score"] for r in search.bm25_unit_form(t, ["a"], "path").collect()}
+    docs = spark.createDataFrame([("p1", "a b a b c"), ("p2", "b a"), ("p3", ""), ("p4", None), ("p5", "Á b"), (None, "a b")], "path string, body string")
+    t = index.build(docs, "path", ["body"])
+    assert (t.count, t.sums) == (5, {"body": 9})
+    assert {r["path"]: r["n"] for r in search.phrase_hits(t, [["a", "b"]]).collect()} == {"p1": 2, "p5": 1}
+    got = {r["path"]: r["score"] for r in search.bm25_unit_form(t, ["a"]).collect()}
     n, df, avg = 5, 3, 9 / 5
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     assert got == {p: pytest.approx(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / avg))) for p, f, size in (("p1", 2, 5), ("p2", 1, 2), ("p5", 1, 2))}
-    low = {r["path"]: r["score"] for r in search.bm25_index_form(t, "c a,b", {"body": 1.0}, "path").collect()}
+    low = {r["path"]: r["score"] for r in search.bm25_index_form(t, "c a,b", {"body": 1.0}).collect()}
     assert low["p1"] < low["p5"] <= 0 and set(low) == {"p1", "p5"}
+    assert index.build(docs.limit(0), "path", ["body"]).count == 0
+
+
+def test_index_reads_the_terms_buckets_and_knows_missing_postings(spark):
+    docs = spark.createDataFrame([(i, f"common w{i} w{i % 7} aa aa", [f"t{i % 3}", "aa"]) for i in range(60)], "k int, body string, tags array<string>")
+    t = index.build(docs, "k", ["body", "tags"])
+    plan = t.of_terms(["w3"])._jdf.queryExecution().toString()
+    assert re.search(rf"PartitionFilters: \[[^]]*{index.bucket_of('w3')}", plan) and re.search(r"PushedFilters: \[[^]]*EqualTo\(term,w3\)", plan)
+    twice = {r["k"]: r["n"] for r in search.phrase_hits(t, [["aa", "aa"]], ["body"]).collect()}
+    assert twice == dict.fromkeys(range(60), 1)
+    assert index.unmatched(t).count() == 0
+    broken = dataclasses.replace(t, postings=t.postings.filter("not (k = 5 and term = 'aa' and position = 3)").filter("k <> 6"), rows=t.rows.filter("k <> 7"))
+    assert {(r["k"], r["field"], r["reason"]) for r in index.unmatched(broken).collect()} == {
+        (5, "body", "postings are missing"), (6, "body", "no postings"), (6, "tags", "no postings"), (7, "body", "postings without a row"), (7, "tags", "postings without a row")
+    }
 
 
 def test_dense_order_and_zero_vectors(spark):
@@ -370,13 +457,6 @@ def test_folding_equals_decomposition(spark):
     assert "".join(got)[:60] == text.fold(s)[:60]
 
 
-def test_bm25_by_join_equals_bm25_by_columns(spark):
-    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 9))) for i in range(60)], "k int, body string")
-    t = search.token_columns(docs, ["body"], ["k"])
-    a = {r["k"]: r["score"] for r in search.bm25_unit_form(t, ["w1", "w3", "zz"], "k").collect()}
-    assert a == {r["k"]: pytest.approx(r["score"]) for r in search.bm25_terms(t, ["w1", "w3", "zz"], "k").collect()}
-
-
 @given(TEXTS, st.integers(8, 40))
 @settings(max_examples=100, deadline=None)
 def test_packet_windows_are_disjoint_and_bounded(t, capacity):
