@@ -116,6 +116,22 @@ def literal_spans(text: str | None, needle: str, most: int = 64) -> list[tuple[i
     return out
 
 
+def literal_starts(text: Column, needle: str, most: int = 64) -> Column:
+    """literal_spans() as columns: the byte starts of the first places of needle that don't overlap."""
+    parts = F.split(text, "\\Q" + needle + "\\E", most + 1)
+    sizes = F.transform(parts, lambda p: F.octet_length(p).cast("long") + len(needle.encode()))
+    to = F.sequence(F.lit(1), F.size(parts) - 1)
+    starts = F.transform(to, lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x) - len(needle.encode()))
+    return F.when(F.size(parts) > 1, starts).otherwise(F.array().cast("array<bigint>"))
+
+
+def unique_start(text: Column, quote: Column) -> Column:
+    """unique_quote() as a column: the byte start of quote if it stands exactly once in the text, overlaps counted; else null."""
+    at = F.instr(text, quote)
+    once = (at > 0) & (F.position(quote, text, at + 1) == 0)
+    return F.when((F.length(quote) > 0) & once, F.octet_length(F.left(text, at - 1)).cast("long"))
+
+
 def unique_quote(text: str | None, quote: str, start: int = 0, end: int | None = None) -> tuple[int, int] | None:
     """The byte span of quote if it stands exactly once in the window, overlaps counted."""
     raw, q = (text or "").encode()[start:end], quote.encode()

@@ -71,33 +71,91 @@ def _by_request(rows: DataFrame, order: Sequence[Column], choose: Callable[[pd.D
     return cut_for_request(rows, order, most).groupBy("request").applyInPandas(run, f"request {kinds['request']}, key {kinds['key']}, position long")
 
 
-def pack(packets: DataFrame, max_bytes: int, max_tokens: int, most: int = MOST_PACKETS, per_owner: int = PER_OWNER) -> DataFrame:
-    """(request, key, position) of packets (request, key, owner, utility, bytes, child_bytes, graph) that fit the budget.
-
-    Best utility first, then key. A packet is passed over if its owner has per_owner already, if it would take graph
-    packets past half of the bytes, or if bytes or tokens (a quarter of the bytes, rounded up) would be too many; one
-    that is too large is tried once more with its child's bytes.
+PACKET = "request, key, owner, start, end, score, terms, weights, local, density, affinity, seed, clipped, graph, child_start, child_end"
+
+
+class _Tray:
+    """What is in a context: each owner's spans, merged where they overlap or touch, and their cost in bytes with a header each."""
+
+    def __init__(self, header: int):
+        self.header, self.spans = header, {}
+
+    def with_(self, owner, start: int, end: int, graph: bool) -> dict:
+        """The spans if this one were added: (start, end, graph bytes) of each owner."""
+        apart = [x for x in self.spans.get(owner, []) if x[1] < start or x[0] > end]
+        joined = [x for x in self.spans.get(owner, []) if not (x[1] < start or x[0] > end)]
+        one = (min([start, *(x[0] for x in joined)]), max([end, *(x[1] for x in joined)]), (end - start) * graph + sum(x[2] for x in joined))
+        return {**self.spans, owner: [*apart, one]}
+
+    def refusal(self, spans: dict, limits: dict) -> str | None:
+        every = [x for v in spans.values() for x in v]
+        cost = sum(x[1] - x[0] + self.header for x in every)
+        if any(x[1] - x[0] > limits["excerpt"] for x in every):
+            return "passage too long"
+        if any(len(v) > limits["per_owner"] for v in spans.values()):
+            return "owner has enough"
+        if cost > limits["bytes"] or -(-cost // 4) > limits["tokens"]:
+            return "does not fit"
+        return "graph has its share" if sum(x[2] for x in every) > GRAPH_SHARE * limits["bytes"] else None
+
+
+def pack(packets: DataFrame, max_bytes: int, max_tokens: int, excerpt: int, most: int = MOST_PACKETS, source_aware: bool = True, header: int = 120) -> DataFrame:
+    """(request, key, position, reason): packets in the order of their admission, or with the reason why they aren't admitted.
+
+    packets have the columns PACKET: a span of an owner, terms of the query that it covers with their weights, what utility()
+    asks for, and a child's span or null. The packet of the highest utility is tried, the least key among equals, and utilities are found again
+    after each admission, as terms that are covered aren't novel any more. Spans of an owner that meet are one passage. One that an
+    admitted passage contains is left out; one that doesn't fit is replaced by its child, of utility score and without terms, which is tried once.
+    An owner has at most PER_OWNER_SOURCES passages, PER_OWNER unless source_aware; graph packets take at most half of the bytes.
     """
-
-    def choose(g: pd.DataFrame) -> list[int]:
-        used, graph, owners, out = 0, 0, {}, []
-        for i in g.sort_values(["utility", "key"], ascending=[False, True]).index:
-            r = g.loc[i]
-            if owners.get(r["owner"], 0) >= per_owner:
+    limits = {"bytes": max_bytes, "tokens": max_tokens, "excerpt": excerpt, "per_owner": PER_OWNER_SOURCES if source_aware else PER_OWNER}
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        n = len(g)
+        names = sorted({t for x in g["terms"] for t in x})
+        place = {t: j for j, t in enumerate(names)}
+        worth = np.zeros((2 * n, len(names)))  # a child is a row of its own, behind all packets
+        for i, (terms, weights) in enumerate(zip(g["terms"], g["weights"], strict=True)):
+            worth[i, [place[t] for t in terms]] = weights
+        total = max(float(worth.max(axis=0, initial=0).sum()), 1.0)
+        column = lambda c, kind=float: g[c].to_numpy(kind)
+        affinity, none = column("affinity"), g["affinity"].isna().to_numpy()
+        best = max(0.0, float(np.nanmax(affinity, initial=0.0)))
+        near = (0.05 + (np.where(none, 0, np.maximum(affinity, 0)) / best if best else np.zeros(n)) ** 4)
+        start, end = np.concatenate([column("start"), column("child_start")]), np.concatenate([column("end"), column("child_end")])
+        open_, fate, novel_now = np.arange(2 * n) < n, {}, np.ones(len(names), bool)
+        tray, turn = _Tray(header), 0
+        while open_.any():
+            novel = worth[:n] @ novel_now / total
+            local = column("local") / total
+            value = np.where(none, (0.25 + 2 * novel + 0.5 * local + 0.05 * column("seed")) * (0.15 if best else 1.0), near * (1 + 0.25 * novel + 0.5 * local))
+            value = np.concatenate([column("score") * value * column("density") * np.where(column("clipped", bool), 0.7, 1.0), column("score")])
+            value = np.where(open_, np.round(value, 12), -np.inf)
+            i = min(np.flatnonzero(value == value.max()), key=lambda k: (g["key"].iloc[k % n], k))
+            open_[i] = False
+            k, owner, span = i % n, g["owner"].iloc[i % n], (int(start[i]), int(end[i]))
+            if any(x[0] <= span[0] and span[1] <= x[1] for x in tray.spans.get(owner, [])) and i < n:
+                fate[k] = (None, "contained")
                 continue
-            for size in (r["bytes"], r["child_bytes"]):
-                if pd.isna(size):
-                    continue
-                size = int(size)
-                fits = used + size <= max_bytes and -(-(used + size) // 4) <= max_tokens
-                if fits and not (r["graph"] and graph + size > GRAPH_SHARE * max_bytes):
-                    used, graph = used + size, graph + size * bool(r["graph"])
-                    owners[r["owner"]] = owners.get(r["owner"], 0) + 1
-                    out.append(i)
-                    break
-        return out
+            spans = tray.with_(owner, *span, bool(g["graph"].iloc[k]))
+            why = tray.refusal(spans, limits)
+            if why is None:
+                turn += 1
+                tray.spans, fate[k] = spans, (turn, "child" if i >= n else None)
+                if i < n:
+                    novel_now &= worth[k] == 0
+            elif i < n and not np.isnan(start[n + k]):
+                open_[n + k] = True
+            else:
+                fate[k] = (None, why)
+        return pd.DataFrame({"request": g["request"], "key": g["key"], "position": pd.array([fate[k][0] for k in range(n)], "Int64"), "reason": [fate[k][1] for k in range(n)]})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return choose(group.sort_values("key").reset_index(drop=True))
 
-    return _by_request(packets, [F.col("utility").desc(), F.col("key")], choose, most)
+    kinds = dict(packets.dtypes)
+    cut = cut_for_request(packets.select(*PACKET.split(", ")), [F.col("score").desc(), F.col("key")], most)
+    return cut.groupBy("request").applyInPandas(run, f"request {kinds['request']}, key {kinds['key']}, position long, reason string")
 
 
 def facility_location(candidates: DataFrame, k: int, exchange: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import OPPOSITION_KEY
+from tessera.operators.graph import OPPOSITION_KEY, opposition_columns, reach
 from tessera.sources.store import written
 
 
@@ -43,6 +43,7 @@ def support(assertions: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def mark_opposed(assertions: DataFrame, key: tuple[str, ...] = OPPOSITION_KEY) -> DataFrame:
     """disputed also where current, accepted assertions of equal key have both polarities; nulls in keys are equal."""
+    given, assertions = assertions.columns, opposition_columns(assertions)
     live = assertions.filter("eligibility = 'current' and status = 'accepted'")
     both = live.groupBy(*key).agg((F.bool_or("negated") & F.bool_or(~F.col("negated"))).alias("both")).filter("both").select(*[F.col(c).alias(f"k_{c}") for c in key])
     same = None
@@ -51,41 +52,33 @@ def mark_opposed(assertions: DataFrame, key: tuple[str, ...] = OPPOSITION_KEY) -
         same = e if same is None else same & e
     hit = assertions.join(both.withColumn("opposed", F.lit(True)), same, "left")
     mark = F.coalesce("opposed", F.lit(False)) & (F.col("eligibility") == "current") & (F.col("status") == "accepted")
-    return hit.select(*[c for c in assertions.columns if c != "disputed"], (F.col("disputed") | mark).alias("disputed"))
+    return hit.select(*[c for c in given if c != "disputed"], (F.col("disputed") | mark).alias("disputed"))
 
 
-def dependency_fixpoint(records: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def dependency_fixpoint(records: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, eligibility) after declared dependencies (id, depends_on): a missing or invalid one makes a record invalid, any other non-current one stale.
 
-    Rounds on a snapshot of states until none changes; each round is a join and an aggregation whose result is
-    written to the shared folder. A record that isn't current is left as it is, except that it may become invalid.
+    Badness (2 invalid, 1 not current) spreads from the records that have it against the edges, by a frontier of those whose badness rose.
+    A record that isn't current is left as it is, except that it may become invalid.
     """
-    state = written(records.select("id", "eligibility"), "states")
-    for _ in range(most):
-        seen = edges.join(state.select(F.col("id").alias("depends_on"), F.col("eligibility").alias("of")), "depends_on", "left")
-        need = seen.groupBy("id").agg(F.bool_or(F.col("of").isNull() | (F.col("of") == "invalid")).alias("broken"), F.bool_or(F.col("of") != "current").alias("old"))
-        new = F.when((F.col("eligibility") != "invalid") & F.coalesce("broken", F.lit(False)), "invalid").when((F.col("eligibility") == "current") & F.coalesce("old", F.lit(False)), "stale").otherwise(F.col("eligibility"))
-        after = written(state.join(need, "id", "left").select("id", new.alias("eligibility"), (new != F.col("eligibility")).alias("changed")), "states")
-        if after.filter("changed").isEmpty():
-            return after.select("id", "eligibility")
-        state = after.select("id", "eligibility")
-    raise RuntimeError("states did not settle")
-
-
-def propagate_invalid(records: DataFrame, references: DataFrame, most: int = 1000) -> DataFrame:
+    known = records.select("id")
+    edges = edges.select("id", "depends_on").join(known, "id", "left_semi")
+    missing = edges.join(known.withColumnRenamed("id", "depends_on"), "depends_on", "left_anti").select("id", F.lit(2).alias("bad"))
+    own = records.filter("eligibility <> 'current'").select("id", F.when(F.col("eligibility") == "invalid", 2).otherwise(1).alias("bad"))
+    back = written(edges.select(F.col("depends_on").alias("a"), F.col("id").alias("b")), "edges")
+    bad = reach(back, missing.unionByName(own), "bad")
+    new = F.when(F.col("bad") == 2, "invalid").when((F.col("bad") == 1) & (F.col("eligibility") == "current"), "stale").otherwise(F.col("eligibility"))
+    return records.select("id", "eligibility").join(bad, "id", "left").select("id", new.alias("eligibility"))
+
+
+def propagate_invalid(records: DataFrame, references: DataFrame) -> DataFrame:
     """(id, invalid) over typed references (id, target, identity_only): what refers to an invalid record becomes invalid.
 
     An entity's identity survives the failure of its description: references that need the identity only don't pass it on.
     """
-    state = written(records.select("id", "invalid"), "invalid")
-    edges = references.filter(~F.col("identity_only")).select("id", "target")
-    for _ in range(most):
-        hit = edges.join(state.filter("invalid").select(F.col("id").alias("target")), "target", "left_semi").select("id").distinct()
-        fresh = written(hit.join(state.filter(~F.col("invalid")), "id", "left_semi"), "invalid")
-        if fresh.isEmpty():
-            return state
-        state = written(state.join(fresh.withColumn("hit", F.lit(True)), "id", "left").select("id", (F.col("invalid") | F.coalesce("hit", F.lit(False))).alias("invalid")), "invalid")
-    raise RuntimeError("validity did not settle")
+    back = references.filter(~F.col("identity_only")).join(records.select("id"), "id", "left_semi").select(F.col("target").alias("a"), F.col("id").alias("b"))
+    hit = reach(written(back, "edges"), records.filter("invalid").select("id", F.lit(1).alias("hit")), "hit")
+    return records.select("id").join(hit, "id", "left").select("id", F.col("hit").isNotNull().alias("invalid"))
 
 
 def dual_channel(entities: DataFrame) -> DataFrame:
@@ -106,10 +99,16 @@ def apply_decisions(decisions: DataFrame, records: DataFrame) -> DataFrame:
     """(id, eligibility, reasons) of active decisions (id, action, inputs, outputs) against the records' statuses.
 
     accept and reject need assertions with that status; merge needs superseded inputs and one active output that they
-    name; split superseded inputs and active outputs; correct superseded or retracted inputs. A mismatch is invalid.
+    name; split superseded inputs and active outputs; correct superseded or retracted inputs, and of evidence a successor (a
+    record that is one of the outputs) that names it as its predecessor, in a column predecessor if there is one. Decisions that
+    have a status other than active don't count. A mismatch is invalid.
     """
-    one = lambda side: decisions.select("id", "action", F.lit(side).alias("side"), F.explode(side).alias("record"), F.size("outputs").alias("n"), F.get("outputs", F.lit(0)).alias("first"))
-    rows = one("inputs").unionByName(one("outputs")).join(records.select(F.col("id").alias("record"), "status", "superseded_by"), "record", "left")
+    if "status" in decisions.columns:
+        decisions = decisions.filter("status = 'active'")
+    if "predecessor" not in records.columns:
+        records = records.withColumn("predecessor", F.lit(None).cast("string")).withColumn("kind", F.lit(None).cast("string"))
+    one = lambda side: decisions.select("id", "action", F.lit(side).alias("side"), F.explode(side).alias("record"), F.size("outputs").alias("n"), F.get("outputs", F.lit(0)).alias("first"), "inputs")
+    rows = one("inputs").unionByName(one("outputs")).join(records.select(F.col("id").alias("record"), F.col("status"), "superseded_by", "predecessor", "kind"), "record", "left")
     s, a, inp = F.col("status"), F.col("action"), F.col("side") == "inputs"
     wrong = (
         F.when(s.isNull(), "missing")
@@ -120,6 +119,7 @@ def apply_decisions(decisions: DataFrame, records: DataFrame) -> DataFrame:
         .when((a == "split") & inp & (s != "superseded"), "not superseded")
         .when(a.isin("merge", "split") & ~inp & (s != "active"), "not active")
         .when((a == "correct") & inp & ~s.isin("superseded", "retracted"), "not replaced")
+        .when((a == "correct") & ~inp & (F.col("kind") == "evidence") & ~F.coalesce(F.array_contains("inputs", F.col("predecessor")), F.lit(False)), "names no predecessor")
     )
     out = rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(wrong)), ",").alias("reasons"))
     return decisions.select("id").join(out, "id", "left").select("id", F.when(F.coalesce("reasons", F.lit("")) == "", "current").otherwise("invalid").alias("eligibility"), F.coalesce("reasons", F.lit("")).alias("reasons"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.sources.store import written
+from tessera.sources.index import bucket_of
+from tessera.sources.store import release, written
 
 #: The caps of a walk, and of the evidence shown for an assertion.
 MOST_SEEDS, MOST_DEPTH, PER_SEED, PER_WALK = 12, 2, 16, 128
 SUPPORTS, CONTRADICTS = 2, 1
-OPPOSITION_KEY = ("subject_id", "predicate", "object_id")
+#: What two opposite assertions agree in; an absent modality is asserted.
+OPPOSITION_KEY = ("subject_id", "predicate", "object_id", "literal_type", "literal_value", "property", "unit", "modality", "valid_from", "valid_until")
 
 
 def adjacency(assertions: DataFrame) -> DataFrame:
@@ -28,20 +32,24 @@ def neighbors(assertions: DataFrame, entity: str, k: int = PER_SEED) -> DataFram
     return cut[0].unionByName(cut[1]).join(F.broadcast(total), "direction").select("node", "other", "id", "direction", F.greatest(F.col("total") - k, F.lit(0)).alias("omitted"))
 
 
-def walk(assertions: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, per_seed: int = PER_SEED, per_walk: int = PER_WALK) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, per_seed: int = PER_SEED, per_walk: int = PER_WALK) -> DataFrame:
     """(seed, seed_rank, id, hop, node, other, direction, path, rank) of edges admitted from at most MOST_SEEDS seeds (id, rank).
 
+    edges are an adjacency(); a stored one (indexes.adjacency) is read by the buckets of the frontier's nodes alone.
     Breadth first; a seed takes an edge once and at most per_seed of them, nearer hops first, in a hop by round
     robin over frontier nodes and then id; the walk takes at most per_walk, by round robin over seeds. The frontier
     of the second hop is that of admitted edges, so rows are bounded by seeds times per_seed times their degree.
     """
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth is 1..{MOST_DEPTH}")
-    edges = adjacency(assertions)
     start = seeds.orderBy("rank").limit(MOST_SEEDS).select(F.col("id").alias("seed"), F.col("rank").alias("seed_rank"), F.col("id").alias("node"), F.lit(0).alias("frontier_rank"), F.array().cast("array<string>").alias("path"))
     found = None
     for hop in range(1, depth + 1):
-        step = edges.join(F.broadcast(start), "node").withColumn("hop", F.lit(hop))  # seeds, or seeds * per_seed rows
+        nodes = sorted({r["node"] for r in start.select("node").collect()})  # seeds, or seeds * per_seed nodes at most
+        near = edges.filter(F.col("node").isin(nodes))
+        if "bucket" in edges.columns:
+            near = near.filter(F.col("bucket").isin(sorted({bucket_of(n) for n in nodes}))).drop("bucket")
+        step = near.join(F.broadcast(start), "node").withColumn("hop", F.lit(hop))
         if found is not None:
             step = step.join(found.select("seed", "id"), ["seed", "id"], "left_anti")
         step = step.withColumn("turn", F.row_number().over(Window.partitionBy("seed", "node").orderBy("id", "direction"))).filter(F.col("turn") <= per_seed)
@@ -82,8 +90,17 @@ def attach_evidence(ids: DataFrame, evidence: DataFrame, sources: list[str] | No
     return shown.select("assertion_id", "stance", F.col("id").alias("evidence_id"), (F.col("total") - F.col("shown")).alias("omitted"))
 
 
+def opposition_columns(assertions: DataFrame) -> DataFrame:
+    """The assertions with all columns of OPPOSITION_KEY: absent ones are null, the modality asserted unless it says another."""
+    for c in OPPOSITION_KEY:
+        if c not in assertions.columns:
+            assertions = assertions.withColumn(c, F.lit(None).cast("string"))
+    return assertions.withColumn("modality", F.coalesce("modality", F.lit("asserted")))
+
+
 def opposing(assertions: DataFrame, key: tuple[str, ...] = OPPOSITION_KEY) -> DataFrame:
     """(id, opposed): pairs with equal keys, nulls equal to nulls, and opposite negation."""
+    assertions = opposition_columns(assertions)
     a = assertions.select(*[F.col(c).alias(f"a_{c}") for c in key], F.col("id").alias("id"), F.col("negated").alias("n"))
     b = assertions.select(*[F.col(c).alias(f"b_{c}") for c in key], F.col("id").alias("opposed"), F.col("negated").alias("m"))
     same = None
@@ -115,8 +132,59 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    return closure(edges).filter("a = b").select(F.col("a").alias("id"))
+def reach(edges: DataFrame, seeds: DataFrame, value: str, most: int = 1000) -> DataFrame:
+    """(id, value): the largest value of the seeds (id, value) that each id can be reached from along edges (a, b), a to b.
+
+    A frontier of ids whose value rose is joined to the edges, round by round; each round's rises are a table in the
+    shared folder. What a round shuffles is the frontier's edges, not the whole graph's states.
+    """
+    seen = [written(seeds.groupBy("id").agg(F.max(value).alias(value)), "reach")]
+    for _ in range(most):
+        hit = edges.join(seen[-1].withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max(value).alias(value))
+        known = reduce(DataFrame.unionByName, seen).groupBy("id").agg(F.max(value).alias("known"))
+        fresh = written(hit.join(known, "id", "left").filter(F.col("known").isNull() | (F.col(value) > F.col("known"))).select("id", value), "reach")
+        if fresh.isEmpty():
+            return reduce(DataFrame.unionByName, seen).groupBy("id").agg(F.max(value).alias(value))
+        seen.append(fresh)
+        if len(seen) > 8:
+            older = written(reduce(DataFrame.unionByName, seen[:-1]).groupBy("id").agg(F.max(value).alias(value)), "reach")
+            release(*seen[:-1])
+            seen = [older, fresh]
+    raise RuntimeError("values did not settle")
+
+
+def cycle_members(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(id) of nodes on a cycle: those of strongly connected components with several nodes, and with an edge to themselves.
+
+    Nodes without an edge in or out are trimmed until none is left. Then every node takes the largest node that reaches it as its
+    color, and what reaches that node inside the color is its component; components leave the graph and the rest goes on.
+    Rows are those of the graph, never pairs of nodes.
+    """
+    rest = written(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "cycles")
+    found = [rest.filter("a = b").select(F.col("a").alias("id"))]
+    rest = written(rest.filter("a <> b"), "cycles")
+    left = rest.count()
+    for _ in range(most):
+        while True:
+            trimmed = rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(rest.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+            before, rest = rest, written(trimmed, "cycles")
+            release(before)
+            now = rest.count()
+            if now in (left, 0):
+                break
+            left = now
+        if not now:
+            return reduce(DataFrame.unionByName, found).distinct()
+        color = reach(rest, rest.select(F.col("a").alias("id"), F.col("a").alias("color")), "color")
+        of = lambda side: color.select(F.col("id").alias(side), F.col("color").alias(f"{side}_color"))
+        inside = written(rest.join(of("a"), "a").join(of("b"), "b").filter("a_color = b_color").select("a", "b", F.col("a_color").alias("color")), "inside")
+        back = inside.select(F.col("b").alias("a"), F.col("a").alias("b"))  # an edge back stays in its color, so a root's flag does
+        whole = written(reach(back, color.filter("id = color").select("id", F.lit(1).alias("one")), "one").select("id"), "members")
+        found.append(inside.join(whole.withColumnRenamed("id", "a"), "a", "left_semi").join(whole.withColumnRenamed("id", "b"), "b", "left_semi").select(F.explode(F.array("a", "b")).alias("id")))
+        before, rest = rest, written(rest.join(whole.withColumnRenamed("id", "a"), "a", "left_anti").join(whole.withColumnRenamed("id", "b"), "b", "left_anti"), "cycles")
+        release(before)
+        left = rest.count()
+    raise RuntimeError("components did not settle")
 
 
 def longest_chains(edges: DataFrame, limit: int = 64) -> DataFrame:
@@ -132,14 +200,17 @@ def longest_chains(edges: DataFrame, limit: int = 64) -> DataFrame:
 
 
 def topological(edges: DataFrame, nodes: DataFrame, limit: int = 10_000) -> list[str]:
-    """Order of a change's operations (at most limit): the smallest id that waits for nothing comes first. a waits for b."""
+    """Order of a change's operations (at most limit, with 16 times as many edges): the smallest id that waits for nothing comes first. a waits for b."""
     import heapq
 
     ids = [r[0] for r in nodes.limit(limit + 1).collect()]
     if len(ids) > limit:
         raise ValueError(f"more than {limit} operations")
     waits, after = {i: 0 for i in ids}, {i: [] for i in ids}
-    for r in edges.collect():
+    pairs = edges.select("a", "b").distinct().limit(16 * limit + 1).collect()
+    if len(pairs) > 16 * limit:
+        raise ValueError(f"more than {16 * limit} dependencies")
+    for r in pairs:
         waits[r["a"]] += 1
         after[r["b"]].append(r["a"])
     ready, out = [i for i in ids if not waits[i]], []

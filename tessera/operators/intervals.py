@@ -25,14 +25,22 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, cell: int = 4096) -> Data
     return both.filter((lo < hi) & (F.floor(lo / cell) == F.col("cell"))).withColumn("overlap", hi - lo).drop("cell")
 
 
-def merge_overlapping(spans: DataFrame, keys: Sequence[str], touch: bool = True) -> DataFrame:
-    """(keys, start, end, parts): unions of a key's intervals that overlap (or touch): gaps and islands by a running maximum."""
+def _islands(spans: DataFrame, keys: Sequence[str], touch: bool) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     gap = (F.col("start") > before) if touch else (F.col("start") >= before)
-    marked = spans.filter(F.col("end") > F.col("start")).withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int"))
+    marked = spans.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int"))
     island = marked.withColumn("island", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("parts")).drop("island")
+    return island.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("parts").alias("parts")).drop("island")
+
+
+def merge_overlapping(spans: DataFrame, keys: Sequence[str], touch: bool = True, cell: int = 65_536) -> DataFrame:
+    """(keys, start, end, parts): unions of a key's intervals that overlap (or touch): gaps and islands by a running maximum.
+
+    First among intervals that start in the same cell, so that a key with many is spread over its cells, then among what is left.
+    """
+    rows = spans.filter(F.col("end") > F.col("start")).select(*keys, "start", "end", F.lit(1).cast("long").alias("parts"), F.floor(F.col("start") / cell).alias("_cell"))
+    return _islands(_islands(rows, [*keys, "_cell"], touch).drop("_cell"), keys, touch)
 
 
 def coverage(wanted: DataFrame, shown: DataFrame, key: str) -> DataFrame:
@@ -71,6 +79,7 @@ def contained(passages: DataFrame, key: str = "owner") -> DataFrame:
     return both.groupBy(F.col("a_id").alias("id")).agg(F.min("b_id").alias("by"))
 
 
-def interleave(rows: DataFrame, owner: str, order: Sequence, owner_order: str) -> DataFrame:
-    """Round robin over owners: each owner's first row, then each one's second; owners in owner_order. Adds turn."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).orderBy("turn", owner_order)
+def interleave(rows: DataFrame, owner: str, order: Sequence, owner_order: str, most: int = 160) -> DataFrame:
+    """Round robin over owners: each owner's first row, then each one's second, up to its most-th; owners in owner_order. Adds turn."""
+    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).filter(F.col("turn") <= most)
+    return ranked.orderBy("turn", owner_order)

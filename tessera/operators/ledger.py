@@ -33,9 +33,16 @@ def clock_violations(events: DataFrame, key: str, sequence: str, ts: str) -> Dat
 
 
 def rate_window(events: DataFrame, key: str, ts: str, value: str, seconds: int = 60) -> DataFrame:
-    """Requests and value of the seconds up to each event, its own included and the instant `seconds` ago not."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return events.withColumn("requests", F.count("*").over(w)).withColumn("amount", F.sum(value).over(w))
+    """Requests and value of the seconds up to each event, its own included and the instant `seconds` ago not.
+
+    Events are dealt by key and span of `seconds`; each also goes to the span behind its own, which may look back at it. So a
+    task has two spans of a key and not its history.
+    """
+    micros, wide = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    rows = events.withColumn("_at", micros).withColumn("_own", F.floor(F.col("_at") / wide)).withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(key, "_span").orderBy("_at").rangeBetween(-wide + 1, 0)
+    out = rows.withColumn("requests", F.count("*").over(w)).withColumn("amount", F.sum(value).over(w))
+    return out.filter("_own = _span").drop("_at", "_own", "_span")
 
 
 def attempts(events: DataFrame) -> DataFrame:

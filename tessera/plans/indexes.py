@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import render
+from tessera.operators.graph import adjacency as adjacent
 from tessera.sources import index, model
+from tessera.sources.store import shared_dir
 
-_built: dict[tuple, index.Index] = {}
+_built: dict[tuple, index.Index | DataFrame] = {}
 
 
 def stamp(spark: SparkSession, path: str) -> tuple:
@@ -20,7 +23,7 @@ def stamp(spark: SparkSession, path: str) -> tuple:
     return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where))
 
 
-def _kept(spark: SparkSession, sf: str, name: str, tables: tuple[str, ...], make: Callable[[], index.Index]) -> index.Index:
+def _kept(spark: SparkSession, sf: str, name: str, tables: tuple[str, ...], make: Callable):
     key = (spark.sparkContext.applicationId, sf, name, tuple(stamp(spark, f"{sf}/{t}.parquet") for t in tables))
     if key not in _built:
         _built[key] = make()
@@ -46,6 +49,18 @@ def graph(spark: SparkSession, sf: str) -> index.Index:
     return _kept(spark, sf, "graph", ("region", "nation", "customer", "supplier", "part", "lineitem"), make)
 
 
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph's adjacency, partitioned by bucket of nodes and sorted by node."""
+
+    def make() -> DataFrame:
+        root = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
+        a = adjacent(model.assertions(spark, sf)).withColumn("bucket", index.bucket(F.col("node")))
+        a.repartition(index.BUCKETS * index.SPREAD, "bucket", F.pmod(F.xxhash64("id"), F.lit(index.SPREAD))).sortWithinPartitions("bucket", "node").write.partitionBy("bucket").parquet(root)
+        return spark.read.schema(a.schema).parquet(root)
+
+    return _kept(spark, sf, "adjacency", ("nation", "customer", "supplier", "lineitem"), make)
+
+
 def graph_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = model.entities(spark, sf).select("id", "title", F.array(F.concat(F.lit("the "), F.lower("title"))).alias("aliases"), F.concat(F.lit("one "), "entity_type").alias("description"), F.lit("current").alias("eligibility"))
     return render.graph_rows(e, model.assertions(spark, sf))

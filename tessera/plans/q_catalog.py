@@ -80,9 +80,9 @@ def captured(spark, sf):
     return catalog.capture(model.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), raw.alias("bytes"))).select("id", "status", F.length("content").cast("long").alias("chars"))
 
 
-@query("content_hashes", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 10 = 0")
+@query("content_hashes", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hashes(spark, sf):
-    return model.table(spark, sf, "documents").filter("doc_id % 10 = 0").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return model.table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
 
 
 @query(
@@ -165,9 +165,9 @@ def published_generation(spark, sf):
     return rows.select("r_regionkey", "r_name").withColumn("gen", F.lit(int(g)))
 
 
-@query("vectors_stored", "SELECT 's' AS space, vec_id::VARCHAR AS input_hash, vec_id % 2 = 0 AS ready FROM embeddings WHERE vec_id < 100")
+@query("vectors_stored", "SELECT 's' AS space, vec_id::VARCHAR AS input_hash, vec_id % 2 = 0 AS ready FROM embeddings")
 def vectors_stored(spark, sf):
-    u = model.units(spark, sf).filter("unit_id < 100").select(F.lit("s").alias("space"), F.col("unit_id").cast("string").alias("input_hash"))
+    u = model.units(spark, sf).select(F.lit("s").alias("space"), F.col("unit_id").cast("string").alias("input_hash"))
     held = store.put_vectors(u.filter("input_hash % 3 = 0").withColumn("ready", F.lit(False)), u)
     return store.confirm_vectors(held, u.filter("input_hash % 2 = 0"))
 
@@ -198,10 +198,10 @@ def maintenance_queue(spark, sf):
     return catalog.maintenance(("revalidate citations", d.filter("eligibility = 'historical'")), ("review contradiction", d.filter("eligibility = 'withdrawn'")), ("repair page support", d.filter("kind = 'page' and record_id is null")))
 
 
-@query("record_errors", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'date,' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 THEN 'decimal,' ELSE '' END || 'id' AS errors FROM orders WHERE o_orderkey % 12 <> 5")
+@query("record_errors", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'date,' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 THEN 'decimal,' ELSE '' END || 'id' AS errors FROM orders")
 def record_errors(spark, sf):
     k = F.col("o_orderkey")
-    rows = model.table(spark, sf, "orders").filter("o_orderkey % 12 <> 5").select("o_orderkey", F.when(k % 6 == 0, "2024-02-30").otherwise("2024-02-29").alias("d"), F.when(k % 4 == 0, "01.5").otherwise("-1.50").alias("n"), F.lit("-bad").alias("i"))
+    rows = model.table(spark, sf, "orders").select("o_orderkey", F.when(k % 6 == 0, "2024-02-30").otherwise("2024-02-29").alias("d"), F.when(k % 4 == 0, "01.5").otherwise("-1.50").alias("n"), F.lit("-bad").alias("i"))
     return rows.select("o_orderkey", scalars.errors(date=scalars.as_date(F.col("d")).isNotNull(), decimal=scalars.is_decimal(F.col("n")), id=scalars.is_record_id(F.col("i"))).alias("errors"))
 
 

@@ -10,15 +10,14 @@ from tessera.plans.registry import query
 from tessera.sources import model
 from tessera.sources.model import TOKENS_SQL
 
-SPANS_SQL = """sp AS (SELECT l_orderkey % 300 AS owner, l_orderkey * 10 + l_linenumber AS id, (l_partkey * 13) % 3000 AS start, (l_partkey * 13) % 3000 + l_quantity::BIGINT * 4 AS "end", round(l_discount * 10 - 0.4, 4) AS cosine FROM lineitem
-  WHERE l_linenumber <= 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount) = 1)"""
+SPANS_SQL = """sp AS (SELECT l_orderkey // 32 AS owner, l_orderkey * 10 + l_linenumber AS id, (l_partkey * 13) % 3000 AS start, (l_partkey * 13) % 3000 + l_quantity::BIGINT * 4 AS "end", (round(l_discount * 100)::BIGINT - 4) / 16::DOUBLE AS cosine FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount) = 1)"""
 
 
-def _spans(spark, sf, lines="l_linenumber <= 2"):
-    li = model.table(spark, sf, "lineitem").filter(lines)
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_discount")).alias("s"))
+def _spans(spark, sf):
+    one = model.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_discount")).alias("s"))
     start = F.col("s.l_partkey") * 13 % 3000
-    return one.select((F.col("l_orderkey") % 300).alias("owner"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), start.alias("start"), (start + F.col("s.l_quantity").cast("long") * 4).alias("end"), F.round(F.col("s.l_discount") * 10 - 0.4, 4).alias("cosine"))
+    return one.select(F.floor(F.col("l_orderkey") / 32).alias("owner"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), start.alias("start"), (start + F.col("s.l_quantity").cast("long") * 4).alias("end"), ((F.round(F.col("s.l_discount") * 100).cast("long") - 4) / 16.0).alias("cosine"))
 
 
 CANDS_SQL = 'cd AS (SELECT owner, id, start, "end" FROM sp WHERE id % 2 = 0), cu AS (SELECT owner, id, start, "end", cosine FROM sp WHERE id % 2 = 1)'
@@ -56,11 +55,12 @@ def span_coverage(spark, sf):
 
 @query(
     "cue_affinity",
-    f"""WITH {SPANS_SQL}, {CANDS_SQL} SELECT cd.id, round(greatest(-1, least(1, sum(cosine * (least(cd."end", cu."end") - greatest(cd.start, cu.start))) / sum(least(cd."end", cu."end") - greatest(cd.start, cu.start)))), 6) AS affinity
+    f"""WITH {SPANS_SQL}, {CANDS_SQL} SELECT cd.id, floor(greatest(-1, least(1, sum(cosine * (least(cd."end", cu."end") - greatest(cd.start, cu.start))) / sum(least(cd."end", cu."end") - greatest(cd.start, cu.start)))) * 1e6 + 0.5)::BIGINT AS affinity
 FROM cd JOIN cu ON cd.owner = cu.owner AND cd.start < cu."end" AND cu.start < cd."end" GROUP BY cd.id""",
 )
 def cue_affinity(spark, sf):
-    return intervals.affinity(*_cands(spark, sf)).select("id", F.round("affinity", 6).alias("affinity"))
+    """Affinities in millionths: halves are dyadic, so sums are the same in any order."""
+    return intervals.affinity(*_cands(spark, sf)).select("id", F.floor(F.col("affinity") * 1e6 + 0.5).alias("affinity"))
 
 
 @query(
@@ -86,7 +86,7 @@ def contained_spans(spark, sf):
     return intervals.contained(_spans(spark, sf).select("owner", "id", "start", "end"))
 
 
-@query("owner_interleave", "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS turn FROM embeddings WHERE label IS NOT NULL")
+@query("owner_interleave", "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS turn FROM embeddings WHERE label IS NOT NULL QUALIFY turn <= 160")
 def owner_interleave(spark, sf):
     e = model.table(spark, sf, "embeddings").filter("label is not null").select("vec_id", "label")
     return intervals.interleave(e, "label", ["vec_id"], "label").withColumn("turn", F.col("turn").cast("long"))
@@ -132,8 +132,18 @@ def packet_utility(spark, sf):
 
 @query("context_packed")
 def context_packed(spark, sf):
-    u = _utilities(spark, sf).withColumn("bytes", (200 + F.col("key") * 37 % 3000).cast("long")).withColumn("child_bytes", F.when(F.col("key") % 2 == 0, (F.col("bytes") / 3).cast("long"))).withColumn("graph", F.col("key") % 8 == 0)
-    return context.pack(u.select("request", "key", "owner", F.round("utility", 9).alias("utility"), "bytes", "child_bytes", "graph"), 8000, 2000)
+    """Each request's packets, admitted or refused with the reason."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = model.table(spark, sf, "orders")
+    terms = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit("t"), ((k + 3 * i) % 9).cast("string")))
+    start, size = k * 37 % 5000, 200 + k * 53 % 1500
+    packets = o.select(
+        F.floor(c / 16).alias("request"), k.alias("key"), (c % 7).alias("owner"), start.alias("start"), (start + size).alias("end"), (1.0 / (60.0 + k % 50)).alias("score"), F.array_distinct(terms).alias("terms"),
+        F.transform(F.array_distinct(terms), lambda t: 100 + F.ascii(F.right(t, F.lit(1))) % 7 * 50).alias("weights"), (k % 13 * 10).alias("local"), (0.25 + (k % 4) / 8.0).alias("density"),
+        F.when((k % 3 != 0) & (c % 40 < 20), (k % 17) / 17.0 - 0.2).alias("affinity"), (k % 5 == 0).alias("seed"), (k % 6 == 0).alias("clipped"), (k % 8 == 0).alias("graph"),
+        F.when(k % 2 == 0, start).cast("double").alias("child_start"), F.when(k % 2 == 0, start + F.floor(size / 3)).cast("double").alias("child_end"),
+    )
+    return context.pack(packets, 8000, 2000, 2048)
 
 
 @query(
@@ -178,7 +188,7 @@ def units_selected(spark, sf):
 
 @query(
     "evidence_bundles",
-    """WITH p AS (SELECT 'a' || (l_suppkey % 50) || '_' || (l_partkey % 20) AS assertion_id, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS passage_id, l_returnflag <> 'R' AS supports, l_returnflag <> 'N' AS contradicts, l_linestatus = 'O' AS cur, 'p' || (l_orderkey % 40) AS path, l_quantity::BIGINT AS start, l_orderkey % 15 AS support_group FROM lineitem WHERE l_linenumber = 1),
+    """WITH p AS (SELECT 'a' || (l_suppkey % 50) || '_' || (l_partkey % 20) AS assertion_id, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS passage_id, l_returnflag <> 'R' AS supports, l_returnflag <> 'N' AS contradicts, l_linestatus = 'O' AS cur, 'p' || (l_orderkey % 40) AS path, l_quantity::BIGINT AS start, l_orderkey % 15 AS support_group FROM lineitem),
 ag AS (SELECT * FROM p WHERE contradicts QUALIFY row_number() OVER (PARTITION BY assertion_id ORDER BY NOT supports, NOT cur, path, start, passage_id) = 1),
 fs AS (SELECT * FROM p WHERE supports AND NOT contradicts QUALIFY row_number() OVER (PARTITION BY assertion_id, support_group ORDER BY NOT cur, path, start, passage_id) = 1),
 tw AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY assertion_id ORDER BY NOT cur, path, start, passage_id) <= 2),
@@ -186,7 +196,7 @@ al AS (SELECT assertion_id, 'supports' AS role, passage_id FROM tw UNION ALL SEL
 SELECT DISTINCT assertion_id, role, passage_id FROM al WHERE assertion_id IN (SELECT assertion_id FROM p WHERE supports)""",
 )
 def evidence_bundles(spark, sf):
-    li = model.table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    li = model.table(spark, sf, "lineitem")
     p = li.select(
         F.concat(F.lit("a"), (F.col("l_suppkey") % 50).cast("string"), F.lit("_"), (F.col("l_partkey") % 20).cast("string")).alias("assertion_id"),
         (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("passage_id"),
@@ -209,17 +219,23 @@ def rank_fusion(spark, sf):
     return dense.fuse(lists).withColumn("score", F.round("score", 8))
 
 
-@query("handed_over")
+HANDED_SQL = f"""WITH {SPANS_SQL}, on_ AS (SELECT owner, start, "end", min({{'late': id % 5 <> 0, 'rank': id, 'id': id}}) AS b FROM sp GROUP BY owner, start, "end"), o AS (SELECT owner, start, "end", b.late AS late, b.id AS id FROM on_),
+k AS (SELECT * FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.owner = a.owner AND b.id <> a.id AND b.start <= a.start AND b."end" >= a."end")), f AS (FROM k ORDER BY late, id LIMIT 32),
+n AS (SELECT *, row_number() OVER w AS n, sum("end" - start) OVER w AS s FROM f WINDOW w AS (ORDER BY late, id))
+SELECT 'p' || n AS passage, owner, start, "end" FROM n WHERE s <= 65536"""
+
+
+@query("handed_over", HANDED_SQL)
 def handed_over(spark, sf):
     from tessera.operators.catalog import hand_over
 
-    return hand_over(_spans(spark, sf, "true").select("id", "owner", "start", "end", (F.col("id") % 5 == 0).alias("explicit"), F.col("id").alias("rank")))
+    return hand_over(_spans(spark, sf).select("id", "owner", "start", "end", (F.col("id") % 5 == 0).alias("explicit"), F.col("id").alias("rank")))
 
 
-@query("relations_admitted", "WITH r AS (SELECT l_orderkey AS rule, CASE WHEN l_linenumber % 2 = 0 THEN 'exception' ELSE 'condition' END AS role, l_partkey AS target, l_quantity::BIGINT AS bytes FROM lineitem WHERE l_orderkey < 500) SELECT rule, role, target, bytes FROM r WHERE rule % 3 = 0 AND (SELECT sum(x.bytes) FROM r x WHERE x.rule = r.rule) <= 120")
+@query("relations_admitted", "WITH r AS (SELECT l_orderkey AS rule, CASE WHEN l_linenumber % 2 = 0 THEN 'exception' ELSE 'condition' END AS role, l_partkey AS target, l_quantity::BIGINT AS bytes FROM lineitem) SELECT rule, role, target, bytes FROM r WHERE rule % 3 = 0 AND rule IN (SELECT rule FROM r GROUP BY rule HAVING sum(bytes) <= 120)")
 def relations_admitted(spark, sf):
     from tessera.operators.catalog import relations_admitted as admit
 
-    li = model.table(spark, sf, "lineitem").filter("l_orderkey < 500")
+    li = model.table(spark, sf, "lineitem")
     r = li.select(F.col("l_orderkey").alias("rule"), F.when(F.col("l_linenumber") % 2 == 0, "exception").otherwise("condition").alias("role"), F.col("l_partkey").alias("target"), F.col("l_quantity").cast("long").alias("bytes"))
     return admit(r, r.filter("rule % 3 = 0").select(F.col("rule").alias("id")).distinct(), 120)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog, dense, eligibility, filters, graph
+from tessera.plans import indexes
+from tessera.plans.q_search import COS_SQL, _vector
 from tessera.plans.registry import query
 from tessera.sources import model
 from tessera.sources.model import ASSERTIONS_SQL, ENTITIES_SQL, EVIDENCE_SQL
@@ -39,26 +41,26 @@ WALK_SQL = f"""WITH {ADJ_SQL}, sd(seed, seed_rank) AS (VALUES ('nation_1', 1), (
 h1a AS (SELECT seed, seed_rank, node, other, id, direction, row_number() OVER (PARTITION BY seed, node ORDER BY id, direction) AS turn FROM adj JOIN sd ON node = seed QUALIFY turn <= 16),
 h1b AS (SELECT * FROM h1a QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY turn, direction) = 1),
 h1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY turn, id) AS admit FROM h1b QUALIFY admit <= 16),
-fr AS (SELECT seed, seed_rank, other AS node, min(admit) AS frontier_rank FROM h1 WHERE other <> seed GROUP BY ALL),
-h2a AS (SELECT fr.seed, fr.seed_rank, adj.node, adj.other, adj.id, adj.direction, frontier_rank, row_number() OVER (PARTITION BY fr.seed, adj.node ORDER BY adj.id, adj.direction) AS turn
+fr AS (SELECT seed, seed_rank, other AS node, min(admit) AS frontier_rank, arg_min(id, admit) AS via FROM h1 WHERE other <> seed GROUP BY ALL),
+h2a AS (SELECT fr.seed, fr.seed_rank, adj.node, adj.other, adj.id, adj.direction, frontier_rank, via, row_number() OVER (PARTITION BY fr.seed, adj.node ORDER BY adj.id, adj.direction) AS turn
   FROM adj JOIN fr USING (node) WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.seed = fr.seed AND h1.id = adj.id) QUALIFY turn <= 16),
 h2b AS (SELECT * FROM h2a QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY turn, frontier_rank, direction) = 1),
 h2c AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY turn, frontier_rank, id) AS admit FROM h2b),
 h2 AS (SELECT h2c.* FROM h2c LEFT JOIN (SELECT seed, count(*) AS have FROM h1 GROUP BY seed) USING (seed) WHERE admit + coalesce(have, 0) <= 16),
-al AS (SELECT seed, seed_rank, id, 1 AS hop, node, other, direction, admit FROM h1 UNION ALL SELECT seed, seed_rank, id, 2, node, other, direction, admit FROM h2),
-tn AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, admit) AS turn FROM al)
-SELECT seed, id, hop, node, other, direction, row_number() OVER (ORDER BY turn, seed_rank) AS rank FROM tn QUALIFY rank <= 40"""
+al AS (SELECT seed, seed_rank, id, 1 AS hop, node, other, direction, admit, id AS path FROM h1 UNION ALL SELECT seed, seed_rank, id, 2, node, other, direction, admit, via || ' / ' || id FROM h2),
+tn AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, admit) AS turn FROM al), rk AS (SELECT *, row_number() OVER (ORDER BY turn, seed_rank) AS rank FROM tn)
+SELECT """
 
 
-@query("graph_walk", WALK_SQL)
+@query("graph_walk", f"{WALK_SQL} seed, id, hop, node, other, direction, rank FROM rk WHERE rank <= 40")
 def graph_walk(spark, sf):
-    out = graph.walk(model.assertions(spark, sf), _seeds(spark), per_walk=40)
+    out = graph.walk(indexes.adjacency(spark, sf), _seeds(spark), per_walk=40)
     return out.select("seed", "id", "hop", "node", "other", "direction", F.col("rank").cast("long").alias("rank"))
 
 
-@query("graph_walk_paths")
+@query("graph_walk_paths", f"{WALK_SQL} seed, id, hop, path, rank FROM rk WHERE rank <= 128")
 def graph_walk_paths(spark, sf):
-    out = graph.walk(model.assertions(spark, sf), _seeds(spark))
+    out = graph.walk(indexes.adjacency(spark, sf), _seeds(spark))
     return out.select("seed", "id", "hop", F.array_join("path", " / ").alias("path"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -81,14 +83,14 @@ def graph_policy(spark, sf):
 
 @query(
     "evidence_attached",
-    f"""WITH {EVIDENCE_SQL}, ev AS (SELECT *, {STATE_SQL} AS eligibility FROM evidence WHERE assertion_id LIKE 'supplier_1>%'),
+    f"""WITH {EVIDENCE_SQL}, ev AS (SELECT *, {STATE_SQL} AS eligibility FROM evidence),
 t AS (SELECT assertion_id, stance, count(*) AS total FROM ev GROUP BY ALL),
 s AS (SELECT * FROM ev WHERE source_id IN ('src_1', 'src_2', 'src_3', 'src_4', 'src_5', 'src_6', 'src_7', 'src_8', 'src_9', 'src_11', 'src_12', 'src_13', 'src_14') QUALIFY row_number() OVER (PARTITION BY assertion_id, stance ORDER BY eligibility <> 'current', id) <= CASE WHEN stance = 'supports' THEN 2 ELSE 1 END),
 c AS (SELECT assertion_id, stance, count(*) AS shown FROM s GROUP BY ALL)
 SELECT assertion_id, stance, id AS evidence_id, total - shown AS omitted FROM s JOIN t USING (assertion_id, stance) JOIN c USING (assertion_id, stance)""",
 )
 def evidence_attached(spark, sf):
-    ev = model.evidence(spark, sf).filter("assertion_id like 'supplier_1>%'").withColumn("eligibility", eligibility.evidence_state())
+    ev = model.evidence(spark, sf).withColumn("eligibility", eligibility.evidence_state())
     ids = model.assertions(spark, sf).select("id")
     return graph.attach_evidence(ids, ev, [f"src_{i}" for i in range(1, 15) if i != 10])
 
@@ -104,36 +106,42 @@ def assertion_support(spark, sf):
 
 
 def _two_sided(spark, sf):
-    """Assertions about regions and parts: both polarities occur, and some objects are null."""
+    """Ratings of parts by suppliers: both polarities occur, and some objects, properties, dates and modalities are null."""
     li = model.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
+    p = F.col("l_partkey")
     return li.select(
-        F.concat(F.lit("c_"), F.col("l_suppkey").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit("_"), "l_returnflag").alias("id"),
+        F.concat(F.lit("c_"), F.col("l_suppkey").cast("string"), F.lit("_"), p.cast("string"), F.lit("_"), "l_returnflag").alias("id"),
         F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("subject_id"),
         F.lit("rates").alias("predicate"),
-        F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit("part_"), (F.col("l_partkey") % 50).cast("string"))).alias("object_id"),
+        F.when(p % 40 != 0, F.concat(F.lit("part_"), F.floor(p / 4).cast("string"))).alias("object_id"),
+        F.when(p % 3 == 0, "grade").alias("property"),
+        F.when(p % 2 == 0, "asserted").when(p % 7 == 1, "possible").alias("modality"),
+        F.when(p % 5 == 0, "2020-01-01").alias("valid_from"),
         (F.col("l_returnflag") == "R").alias("negated"),
         F.when(F.col("l_returnflag") == "A", "proposed").otherwise("accepted").alias("status"),
-        F.when(F.col("l_partkey") % 7 == 0, "stale").otherwise("current").alias("eligibility"),
+        F.when(p % 7 == 0, "stale").otherwise("current").alias("eligibility"),
         F.lit(False).alias("disputed"),
     )
 
 
-TWO_SQL = """tw AS (SELECT DISTINCT 'c_' || l_suppkey || '_' || l_partkey || '_' || l_returnflag AS id, 'supplier_' || l_suppkey AS subject_id, 'rates' AS predicate, CASE WHEN l_partkey % 5 <> 0 THEN 'part_' || (l_partkey % 50) END AS object_id,
+TWO_SQL = """tw AS (SELECT DISTINCT 'c_' || l_suppkey || '_' || l_partkey || '_' || l_returnflag AS id, 'supplier_' || l_suppkey AS subject_id, 'rates' AS predicate, CASE WHEN l_partkey % 40 <> 0 THEN 'part_' || (l_partkey // 4) END AS object_id,
+  CASE WHEN l_partkey % 3 = 0 THEN 'grade' END AS property, CASE WHEN l_partkey % 2 = 0 THEN 'asserted' WHEN l_partkey % 7 = 1 THEN 'possible' ELSE 'asserted' END AS modality, CASE WHEN l_partkey % 5 = 0 THEN '2020-01-01' END AS valid_from,
   l_returnflag = 'R' AS negated, CASE WHEN l_returnflag = 'A' THEN 'proposed' ELSE 'accepted' END AS status, CASE WHEN l_partkey % 7 = 0 THEN 'stale' ELSE 'current' END AS eligibility FROM lineitem)"""
+SAME_SQL = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("subject_id", "object_id", "property", "modality", "valid_from"))
 
 
 @query(
     "opposition_marked",
-    f"""WITH {TWO_SQL}, k AS (SELECT subject_id, object_id, bool_or(negated) AND bool_or(NOT negated) AS sides FROM tw WHERE eligibility = 'current' AND status = 'accepted' GROUP BY ALL)
-SELECT id, eligibility, coalesce(sides, false) AND eligibility = 'current' AND status = 'accepted' AS disputed FROM tw LEFT JOIN k ON tw.subject_id = k.subject_id AND tw.object_id IS NOT DISTINCT FROM k.object_id""",
+    f"""WITH {TWO_SQL}, b AS (SELECT subject_id, object_id, property, modality, valid_from, bool_or(negated) AND bool_or(NOT negated) AS sides FROM tw WHERE eligibility = 'current' AND status = 'accepted' GROUP BY ALL)
+SELECT a.id, eligibility, coalesce(sides, false) AND eligibility = 'current' AND status = 'accepted' AS disputed FROM tw a LEFT JOIN b ON {SAME_SQL}""",
 )
 def opposition_marked(spark, sf):
     return eligibility.mark_opposed(_two_sided(spark, sf)).select("id", "eligibility", "disputed")
 
 
-@query("opposing_pairs", f"WITH {TWO_SQL} SELECT a.id, b.id AS opposed FROM tw a JOIN tw b ON a.subject_id = b.subject_id AND a.object_id IS NOT DISTINCT FROM b.object_id AND a.negated <> b.negated WHERE a.subject_id IN ('supplier_1', 'supplier_2')")
+@query("opposing_pairs", f"WITH {TWO_SQL} SELECT a.id, b.id AS opposed FROM tw a JOIN tw b ON {SAME_SQL} AND a.negated <> b.negated")
 def opposing_pairs(spark, sf):
-    return graph.opposing(_two_sided(spark, sf).filter(F.col("subject_id").isin("supplier_1", "supplier_2")))
+    return graph.opposing(_two_sided(spark, sf))
 
 
 def _deps(spark, sf):
@@ -171,12 +179,13 @@ def invalid_propagated(spark, sf):
     return eligibility.propagate_invalid(records.select("id", (F.col("eligibility") == "invalid").alias("invalid")), refs)
 
 
-CHAIN_SQL = "ch AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 140 AS b FROM customer WHERE c_custkey < 140 AND c_custkey % 6 <> 1)"
+CHAIN_SQL = """ch AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 8 <> 7 UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 16 = 6 UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 50 = 0)"""
 
 
 def _chain(spark, sf):
-    c = F.col("c_custkey")
-    return model.table(spark, sf, "customer").filter("c_custkey < 140 and c_custkey % 6 <> 1").select(c.alias("a"), ((c * 7 + 3) % 140).alias("b"))
+    """Chains of eight customers each; every other chain has a cycle of four, and some customers lead to themselves."""
+    c, all_ = F.col("c_custkey"), model.table(spark, sf, "customer")
+    return all_.filter("c_custkey % 8 <> 7").select(c.alias("a"), (c + 1).alias("b")).unionByName(all_.filter("c_custkey % 16 = 6").select(c.alias("a"), (c - 3).alias("b"))).unionByName(all_.filter("c_custkey % 50 = 0").select(c.alias("a"), c.alias("b")))
 
 
 @query("reachability", f"WITH RECURSIVE {CHAIN_SQL}, r AS (FROM ch UNION SELECT r.a, ch.b FROM r JOIN ch ON r.b = ch.a) SELECT a, b FROM r")
@@ -191,7 +200,7 @@ def cycle_members(spark, sf):
 
 @query(
     "longest_chains",
-    """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 AND p_partkey < 2000 UNION ALL SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 10 = 0 AND p_partkey > 3),
+    """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 10 = 0 AND p_partkey > 3),
 r AS (SELECT a AS id, b AS at, 1 AS n FROM e UNION SELECT r.id, e.b, n + 1 FROM r JOIN e ON r.at = e.a),
 ids AS (SELECT a AS id FROM e UNION SELECT b FROM e)
 SELECT id, coalesce(max(n), 0)::INTEGER AS length FROM ids LEFT JOIN r USING (id) GROUP BY id""",
@@ -199,7 +208,7 @@ SELECT id, coalesce(max(n), 0)::INTEGER AS length FROM ids LEFT JOIN r USING (id
 def longest_chains(spark, sf):
     p = F.col("p_partkey")
     part = model.table(spark, sf, "part")
-    edges = part.filter("p_partkey > 1 and p_partkey < 2000").select(p.alias("a"), F.floor(p / 2).alias("b")).unionByName(part.filter("p_partkey % 10 = 0 and p_partkey > 3").select(p.alias("a"), (p - 3).alias("b")))
+    edges = part.filter("p_partkey > 1").select(p.alias("a"), F.floor(p / 2).alias("b")).unionByName(part.filter("p_partkey % 10 = 0 and p_partkey > 3").select(p.alias("a"), (p - 3).alias("b")))
     return graph.longest_chains(edges)
 
 
@@ -273,7 +282,12 @@ def withdrawal_affects(spark, sf):
     return catalog.withdrawal("src_7", revisions, model.evidence(spark, sf))
 
 
-@query("decisions_applied")
+@query(
+    "decisions_applied",
+    """WITH st AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'superseded' ELSE 'active' END AS status FROM supplier),
+w AS (SELECT d.k, CASE WHEN i.status <> 'superseded' THEN CASE WHEN d.k % 2 = 0 THEN 'not merged' ELSE 'not superseded' END END AS a, CASE WHEN o.status IS NULL THEN 'missing' WHEN o.status <> 'active' THEN 'not active' END AS b FROM st d JOIN st i ON i.k = d.k LEFT JOIN st o ON o.k = d.k + 1)
+SELECT 'd_' || k AS id, CASE WHEN a IS NULL AND b IS NULL THEN 'current' ELSE 'invalid' END AS eligibility, array_to_string(list_sort(list_filter([a, b], lambda x: x IS NOT NULL)), ',') AS reasons FROM w""",
+)
 def decisions_applied(spark, sf):
     k = F.col("s_suppkey")
     s = lambda c: F.concat(F.lit("supplier_"), c.cast("string"))
@@ -282,11 +296,9 @@ def decisions_applied(spark, sf):
     return eligibility.apply_decisions(decisions, records)
 
 
-@query("semantic_seeds", None)
+@query("semantic_seeds", f"WITH s AS (SELECT vec_id % 25 AS owner, max({COS_SQL}) AS score FROM embeddings GROUP BY 1) SELECT 'nation_' || owner AS id, row_number() OVER (ORDER BY score DESC, owner) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 12")
 def semantic_seeds(spark, sf):
     """Dense hits collapsed to graph targets."""
-    from tessera.plans.q_search import _vector
-
     units = model.units(spark, sf).select((F.col("unit_id") % 25).alias("owner"), "unit_id", "embedding")
     best = dense.dense_owners(units, _vector(), graph.MOST_SEEDS).filter("unit_rank = 1")
     return best.select(F.concat(F.lit("nation_"), F.col("owner").cast("string")).alias("id"), F.col("owner_rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))

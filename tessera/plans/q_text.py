@@ -8,7 +8,7 @@ from tessera.functions import scalars, text
 from tessera.operators import render
 from tessera.plans.registry import query
 from tessera.sources import model
-from tessera.sources.model import TOKENS_SQL
+from tessera.sources.model import ASSERTIONS_SQL, ENTITIES_SQL, TOKENS_SQL
 
 STEM_SQL = """CASE WHEN NOT regexp_full_match(t, '[\\x00-\\x7F]{5,}') THEN t ELSE regexp_replace(s, '^(.{4,})e$', '\\1') END"""
 
@@ -34,7 +34,7 @@ def _docs(spark, sf):
     return model.table(spark, sf, "documents").select("doc_id", "text")
 
 
-@query("token_spans")
+@query("token_spans", "WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS ts FROM documents) SELECT doc_id, len(ts) AS tokens, strlen(text) - strlen(regexp_extract(text, '[^\\p{L}\\p{N}]*$')) AS last, list_sum(list_transform(ts, lambda x: strlen(x)))::BIGINT AS bytes FROM t WHERE len(ts) > 0")
 def token_spans(spark, sf):
     out = text.mapped(_docs(spark, sf), text.token_spans, ("text",), "token string, start long, end long", ("doc_id",))
     return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
@@ -69,23 +69,16 @@ def _excerpt(t):
     return text.excerpt(t, "thing license tion", 300)
 
 
-@query("literal_places", "SELECT doc_id, least(len(string_split(text, 'the')) - 1, 64) AS places FROM documents WHERE contains(text, 'the')")
+@query("literal_places", "WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, 'the'), 1) AS n, string_split(text, 'the') AS parts FROM documents WHERE contains(text, 'the')) SELECT doc_id, count(*) AS places, max(strlen(array_to_string(parts[1:n], 'the'))) AS last FROM p WHERE n < len(parts) AND n <= 64 GROUP BY doc_id")
 def literal_places(spark, sf):
-    return text.mapped(_docs(spark, sf), _places, ("text",), "start long, end long", ("doc_id",)).groupBy("doc_id").agg(F.count("*").alias("places"))
-
-
-def _places(t):
-    return text.literal_spans(t, "the")
+    """How many places of a literal, of at most 64, and where the last one of them begins, in bytes."""
+    found = _docs(spark, sf).filter(F.contains("text", F.lit("the"))).select("doc_id", text.literal_starts(F.col("text"), "the").alias("at"))
+    return found.select("doc_id", F.size("at").cast("long").alias("places"), F.element_at("at", -1).alias("last"))
 
 
 @query("unique_quotes", "SELECT doc_id, strlen(substr(text, 1, position('License' IN text) - 1)) AS start FROM documents WHERE contains(text, 'License') AND position('License' IN substr(text, position('License' IN text) + 1)) = 0")
 def unique_quotes(spark, sf):
-    return text.mapped(_docs(spark, sf), _quote, ("text",), "start long", ("doc_id",))
-
-
-def _quote(t):
-    found = text.unique_quote(t, "License")
-    return [(found[0],)] if found else []
+    return _docs(spark, sf).select("doc_id", text.unique_start(F.col("text"), F.lit("License")).alias("start")).filter("start is not null")
 
 
 @query("byte_slices", "SELECT doc_id, decode(encode(text)[11:60]) AS part FROM documents WHERE regexp_full_match(text[:100], '[\\x00-\\x7F]*') AND strlen(text) > 100")
@@ -94,11 +87,15 @@ def byte_slices(spark, sf):
     return d.select("doc_id", text.byte_slice(F.col("text"), F.lit(10), F.lit(60)).alias("part"))
 
 
-@query("readable_html")
+@query(
+    "readable_html",
+    """WITH r AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<[^>]*>', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS runs FROM pages)
+SELECT page_id, len(runs) AS runs, list_sum(list_transform(runs, lambda x: strlen(x)))::BIGINT AS bytes FROM r WHERE len(runs) > 0""",
+)
 def readable_html(spark, sf):
     p = model.table(spark, sf, "pages").select("page_id", "html")
     out = text.mapped(p, text.readable, ("html",), "run string, start long, end long", ("page_id",))
-    return out.groupBy("page_id").agg(F.count("*").alias("runs"), F.sum(F.octet_length("run")).cast("long").alias("bytes"), F.max("end").alias("last"))
+    return out.groupBy("page_id").agg(F.count("*").alias("runs"), F.sum(F.octet_length("run")).cast("long").alias("bytes"))
 
 
 @query("links_found")
@@ -122,12 +119,20 @@ def _note(t):
 
 @query(
     "units_rendered",
-    "SELECT doc_id, md5('Title: ' || to_json(regexp_extract(text, '^(\\S+ \\S+)', 1))::VARCHAR || chr(10) || 'Headings: []' || chr(10) || chr(10) || text) AS hash FROM documents WHERE strlen(text) <= 4000",
+    "SELECT doc_id, md5('Title: ' || to_json(regexp_extract(text, '^(\\S+ \\S+)', 1))::VARCHAR || chr(10) || 'Headings: []' || chr(10) || chr(10) || text) AS hash, strlen(text) > 4000 AS long FROM documents",
 )
 def units_rendered(spark, sf):
+    """Every note's unit; that of a long one is rendered for its segments put together, as SQL can't cut them."""
     title = F.to_json(F.array(F.regexp_extract("text", r"^(\S+ \S+)", 1)))
-    body = F.concat(F.lit("Title: "), F.substring(title, F.lit(2), F.length(title) - 2), F.lit("\nHeadings: []\n\n"), "text")
-    return _docs(spark, sf).filter(F.octet_length("text") <= 4000).select("doc_id", F.md5(body.cast("binary")).alias("hash"))
+    cut = text.mapped(_docs(spark, sf), _cut_long, ("text",), "ordinal long, start long, end long, part string", ("doc_id", "text"))
+    whole = cut.groupBy("doc_id", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "part"))), lambda x: x["part"]), "").alias("body"), F.count("*").alias("parts"))
+    body = F.concat(F.lit("Title: "), F.substring(title, F.lit(2), F.length(title) - 2), F.lit("\nHeadings: []\n\n"), "body")
+    return whole.select("doc_id", F.md5(body.cast("binary")).alias("hash"), (F.col("parts") > 1).alias("long"))
+
+
+def _cut_long(t):
+    raw = t.encode()
+    return [(n, a, b, raw[a:b].decode()) for n, a, b, _ in text.segments(t, 4000)]
 
 
 @query("graph_rows_rendered", "SELECT 'supplier_' || s_suppkey AS target_id, s_name AS name, s_name || ' ' || n_name AS endpoints, '{\"modality\":\"asserted\",\"negated\":' || CASE WHEN s_suppkey % 10 = 0 THEN 'true' ELSE 'false' END || '}' AS qualifiers FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -137,9 +142,9 @@ def graph_rows_rendered(spark, sf):
     return s.select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("target_id"), F.col("s_name").alias("name"), F.concat_ws(" ", "s_name", "n_name").alias("endpoints"), F.to_json(F.struct(F.lit("asserted").alias("modality"), (F.col("s_suppkey") % 10 == 0).alias("negated"))).alias("qualifiers"))
 
 
-@query("dates_checked", "SELECT DISTINCT l_shipdate::DATE::VARCHAR AS d, l_shipdate::DATE AS day, true AS ok FROM lineitem WHERE year(l_shipdate) = 1995")
+@query("dates_checked", "SELECT DISTINCT l_shipdate::DATE::VARCHAR AS d, l_shipdate::DATE AS day, true AS ok FROM lineitem")
 def dates_checked(spark, sf):
-    li = model.table(spark, sf, "lineitem").filter(F.year("l_shipdate") == 1995).select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("d")).distinct()
+    li = model.table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("d")).distinct()
     day = scalars.as_date(F.col("d"))
     return li.select("d", day.alias("day"), (day.isNotNull() & scalars.is_interval(day, F.date_add(day, 1))).alias("ok"))
 
@@ -163,11 +168,11 @@ def entity_units_rendered(spark, sf):
 
 @query(
     "assertion_units_rendered",
-    """SELECT 'supplier_' || s_suppkey || '>nation_' || s_nationkey AS target_id, 'Subject: {"id":"supplier_' || s_suppkey || '","title":' || to_json(s_name)::VARCHAR || '}' || chr(10) || 'Predicate: located_in' || chr(10) ||
-  'Object: {"id":"nation_' || s_nationkey || '","title":' || to_json(n_name)::VARCHAR || '}' || chr(10) || 'Negated: false' || chr(10) || 'Modality: asserted' AS utf8 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    f"""WITH {ENTITIES_SQL}, {ASSERTIONS_SQL} SELECT a.id AS target_id, 'Subject: {{"id":"' || subject_id || '","title":' || to_json(s.title)::VARCHAR || '}}' || chr(10) || 'Predicate: ' || predicate || chr(10) ||
+  'Object: {{"id":"' || object_id || '","title":' || to_json(o.title)::VARCHAR || '}}' || chr(10) || 'Negated: ' || negated || chr(10) || 'Modality: asserted' AS utf8 FROM assertions a JOIN entities s ON s.id = subject_id JOIN entities o ON o.id = object_id""",
 )
 def assertion_units_rendered(spark, sf):
-    a = model.assertions(spark, sf).filter("predicate = 'located_in' and subject_id like 'supplier%'")
+    a = model.assertions(spark, sf)
     return render.assertion_units(a, model.entities(spark, sf))
 
 

@@ -249,18 +249,62 @@ def test_worklist_fills_batches_greedily(spark):
             assert r["batch"] == batch
 
 
-def test_packing_keeps_its_budget(spark):
-    rows = [(1, i, i % 4, float(100 - i), 100 + i, 40 if i % 2 else None, i % 3 == 0) for i in range(40)] + [(2, 1, 1, 1.0, 10_000, None, False)]
-    df = spark.createDataFrame(rows, "request int, key int, owner int, utility double, bytes long, child_bytes long, graph boolean")
-    got = context.pack(df, 600, 150).orderBy("request", "position").collect()
-    used, graph_bytes, owners, want = 0, 0, {}, []
-    for r in sorted((r for r in rows if r[0] == 1), key=lambda r: (-r[3], r[1])):
-        for size in [s for s in (r[4], r[5]) if s]:
-            if owners.get(r[2], 0) < 2 and used + size <= 600 and not (r[6] and graph_bytes + size > 300):
-                used, graph_bytes, want = used + size, graph_bytes + size * r[6], [*want, r[1]]
-                owners[r[2]] = owners.get(r[2], 0) + 1
-                break
-    assert [r["key"] for r in got] == want
+def packed_by_hand(rows: list[dict], most_bytes: int, excerpt: int, per_owner: int, header: int = 120) -> dict:
+    """key -> (position, reason) by trying every packet each time."""
+    total = sum(max(w for r in rows for t, w in zip(r["terms"], r["weights"], strict=True) if t == name) for name in {t for r in rows for t in r["terms"]}) or 1
+    best = max([0, *(r["affinity"] for r in rows if r["affinity"] is not None)])
+    covered, inside, out, queue = set(), [], {}, [(r, False) for r in rows]
+
+    def worth(r: dict, child: bool) -> float:
+        if child:
+            return round(r["score"], 12)
+        novel, local = sum(w for t, w in zip(r["terms"], r["weights"], strict=True) if t not in covered) / total, r["local"] / total
+        if r["affinity"] is not None:
+            x = (0.05 + ((max(r["affinity"], 0) / best) if best else 0) ** 4) * (1 + 0.25 * novel + 0.5 * local)
+        else:
+            x = (0.25 + 2 * novel + 0.5 * local + 0.05 * r["seed"]) * (0.15 if best else 1)
+        return round(r["score"] * x * r["density"] * (0.7 if r["clipped"] else 1), 12)
+
+    while queue:
+        r, child = min(queue, key=lambda q: (-worth(*q), q[0]["key"], q[1]))
+        queue.remove((r, child))
+        a, b = (r["child_start"], r["child_end"]) if child else (r["start"], r["end"])
+        if not child and any(o == r["owner"] and x <= a and b <= y for o, x, y, _ in inside):
+            out[r["key"]] = (None, "contained")
+            continue
+        near = [x for x in inside if x[0] == r["owner"] and not (x[2] < a or x[1] > b)]
+        trial = [x for x in inside if x not in near] + [(r["owner"], min([a, *(x[1] for x in near)]), max([b, *(x[2] for x in near)]), (b - a) * r["graph"] + sum(x[3] for x in near))]
+        cost = sum(y - x + header for _, x, y, _ in trial)
+        why = "passage too long" if any(y - x > excerpt for _, x, y, _ in trial) else "owner has enough" if any(sum(t[0] == o for t in trial) > per_owner for o, *_ in trial) else "does not fit" if cost > most_bytes else "graph has its share" if sum(t[3] for t in trial) > most_bytes / 2 else None
+        if why is None:
+            inside = trial
+            out[r["key"]] = (1 + sum(v[0] is not None for v in out.values()), "child" if child else None)
+            covered |= set() if child else set(r["terms"])
+        elif not child and r["child_start"] is not None:
+            queue.append((r, True))
+        else:
+            out[r["key"]] = (None, why)
+    return out
+
+
+def test_packing_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for request in range(6):
+        for key in range(30):
+            a, n, terms = int(rng.integers(0, 2500)), int(rng.integers(50, 900)), [f"t{j}" for j in rng.choice(6, rng.integers(0, 4), False)]
+            child = rng.random() < 0.5
+            rows.append({
+                "request": request, "key": key, "owner": int(rng.integers(0, 4)), "start": a, "end": a + n, "score": 1 / (60 + int(rng.integers(0, 9))), "terms": terms, "weights": [100 + int(t[1]) * 10 for t in terms], "local": int(rng.integers(0, 60)),
+                "density": 0.5, "affinity": float(rng.integers(-1, 5)) / 4 if request % 2 and rng.random() < 0.7 else None, "seed": bool(rng.random() < 0.3), "clipped": bool(rng.random() < 0.3), "graph": bool(rng.random() < 0.3),
+                "child_start": float(a) if child else None, "child_end": float(a + n // 3) if child else None,
+            })
+    kinds = "request int, key int, owner int, start long, end long, score double, terms array<string>, weights array<long>, local long, density double, affinity double, seed boolean, clipped boolean, graph boolean, child_start double, child_end double"
+    df = spark.createDataFrame([tuple(r[k.split()[0]] for k in kinds.split(", ")) for r in rows], kinds)
+    for aware, per_owner in ((True, 4), (False, 2)):
+        got = {(r["request"], r["key"]): (r["position"], r["reason"]) for r in context.pack(df, 3000, 750, 1200, source_aware=aware).collect()}
+        want = {(n, k): v for n in range(6) for k, v in packed_by_hand([r for r in rows if r["request"] == n], 3000, 1200, per_owner).items()}
+        assert got == want and {"contained", "child", "does not fit", None} <= {v[1] for v in want.values()}
 
 
 def test_facility_location_is_greedy(spark):
@@ -320,7 +364,7 @@ def test_handed_over_and_links_found_read_whole_tables(spark, tmp_path):
     lines = [(o, p + 40 * n, n, s, q, d) for o, p, n, s, q, d in lines]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r["owner"], r["start"]) for r in catalogue.QUERIES["handed_over"](spark, str(tmp_path)).collect()}
-    assert got == {(o, p * 13 % 3000) for o, p, *_ in lines}
+    assert got == {(o // 32, p * 13 % 3000) for o, p, *_ in lines}
     spark.createDataFrame([(7, "plain " * 50 + "[[far|away]] end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalogue.QUERIES["links_found"](spark, str(tmp_path)).collect()
     assert [r["label"] for r in found if r["target"] == "far"] == ["away"] and len(found) == 3
@@ -343,12 +387,35 @@ def test_walk_respects_caps(spark):
     edges = [(f"s>{i}", "s", "uses", f"n{i:02d}") for i in range(40)] + [(f"n{i:02d}>m{j}", f"n{i:02d}", "uses", f"m{j}") for i in range(40) for j in range(3)]
     a = spark.createDataFrame(edges, "id string, subject_id string, predicate string, object_id string")
     seeds = spark.createDataFrame([("s", 1), ("n05", 2), ("gone", 3)], "id string, rank int")
-    rows = graph.walk(a, seeds).collect()
+    rows = graph.walk(graph.adjacency(a), seeds).collect()
     by = {s: [r for r in rows if r["seed"] == s] for s in ("s", "n05")}
     assert len(by["s"]) == 16 and all(r["hop"] == 1 for r in by["s"]) and {r["hop"] for r in by["n05"]} == {1, 2} and len(by["n05"]) <= 16
     assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1)) and all(r["path"][-1] == r["id"] and len(r["path"]) == r["hop"] for r in rows)
     with pytest.raises(ValueError):
-        graph.walk(a, seeds, depth=3)
+        graph.walk(graph.adjacency(a), seeds, depth=3)
+
+
+def test_cycles_reach_and_chains_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    for n, m in ((12, 14), (25, 30), (40, 38), (5, 0)):
+        edges = {(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))} | ({(0, 1), (1, 2), (2, 0), (3, 3)} if n > 12 else set())
+        df = spark.createDataFrame([*edges, (None, 1), (2, None)], "a int, b int")
+        far = {a: {b for x, b in edges if x == a} for a in range(n)}
+        for _ in range(n):
+            far = {a: v | {c for b in v for c in far[b]} for a, v in far.items()}
+        assert {r["id"] for r in graph.cycle_members(df).collect()} == {a for a in far if a in far[a]}
+        seeds = {0: 3, 1: 1, 4: 2}
+        got = {r["id"]: r["v"] for r in graph.reach(df.na.drop(), spark.createDataFrame([*seeds.items(), (0, 1)], "id int, v int"), "v").collect()}
+        want = {x: max(v for s, v in seeds.items() if s == x or x in far[s]) for x in range(n) if any(s == x or x in far[s] for s in seeds)}
+        assert got == want
+
+
+def test_rate_window_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 2], int(t), float(i % 5)) for i, t in enumerate(rng.integers(0, 400, 120))]
+    df = spark.createDataFrame(rows, "id int, k string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["id"]: (r["requests"], r["amount"]) for r in ledger.rate_window(df, "k", "ts", "v").collect()}
+    assert got == {i: (sum(k == y and t - 60 < u <= t for _, y, u, _ in rows), sum(w for _, y, u, w in rows if k == y and t - 60 < u <= t)) for i, k, t, _ in rows}
 
 
 def test_topological_order(spark):
