@@ -125,6 +125,12 @@ def remap_errors(remap: DataFrame, assertions: DataFrame, sources: DataFrame) ->
     return missing.unionByName(extra).unionByName(twice)
 
 
+def set_differences(rows: DataFrame) -> DataFrame:
+    """(id, missing, extra) of rows (id, expected, actual: arrays): what one has and the other hasn't, in order, joined by commas."""
+    listed = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")
+    return rows.select("id", listed("expected", "actual").alias("missing"), listed("actual", "expected").alias("extra"))
+
+
 def review(evidence: DataFrame, answers: DataFrame) -> DataFrame:
     """(id, outcome) of reviewed evidence (id, stance): same assessment unchanged, another stance retract and succeed, insufficient retract; uncovered if it has no answer; of several answers the least counts."""
     rows = evidence.join(answers.groupBy("id").agg(F.min("assessment").alias("assessment")), "id", "left")

@@ -112,9 +112,3 @@ def hybrid(*lists: DataFrame, k: int = 80) -> DataFrame:
     return top(fuse(reduce(DataFrame.unionByName, lists)), [F.col("score").desc(), F.col("path")], k)
 
 
-#: Failures after which a semantic search falls back to a lexical one.
-FALLBACK = frozenset({"capability_unavailable", "offline", "untrusted"})
-
-
-def falls_back(error: str) -> bool:
-    return error in FALLBACK

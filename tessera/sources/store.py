@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # Spark's switch for shuffle files of a query that has ended
+#: While a table is written: shuffle files of a query that has ended go, and what is handed to Python at a time is bounded.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITING = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,19 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors.
 
-    The shuffle files of the write go when it ends, as the table stands for them; release() removes the table.
+    The shuffle files of the write go when it ends, as the table stands for them; release() removes the table. With
+    few, its last stage has four tasks, and files, for each core at most: for small or even rows, none for a hot key's.
     """
     spark = df.sparkSession
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
@@ -63,6 +70,39 @@ def published(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
     return g, spark.read.parquet(f"{root}/gen={g}")
 
 
+def rebuild(spark: SparkSession, root: str, make: Callable[[], DataFrame], check: Callable[[DataFrame], bool]) -> int:
+    """Writes a whole generation beside the published one and moves the pointer if its rows, read again, pass the check; else the
+    new folder goes, the old generation stays and ValueError is raised. Returns the generation."""
+    g = published(spark, root)[0] + 1
+    made = make()
+    made.write.mode("overwrite").parquet(f"{root}/gen={g}")
+    rows = spark.read.schema(made.schema).parquet(f"{root}/gen={g}")
+    if not check(rows):
+        rows.folder = f"{root}/gen={g}"
+        release(rows)
+        raise ValueError(f"generation {g} fails its check")
+    spark.createDataFrame([(g,)], "published long").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    return g
+
+
+def put_delta(writes: DataFrame, deletes: DataFrame, root: str, generation: int, number: int) -> None:
+    """Writes what a change affects, and no more: rows to write, and keys to delete. A number that is repeated overwrites itself."""
+    rows = writes.withColumn("_gone", F.lit(False)).unionByName(deletes.withColumn("_gone", F.lit(True)), True)
+    rows.write.mode("overwrite").parquet(f"{root}/deltas/of={generation}/number={number}")
+
+
+def with_deltas(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The published generation with its deltas: of each key the row of the highest number, without deleted ones.
+
+    Only deltas are grouped; the base is joined to the keys that they touch, which are few.
+    """
+    g, base = published(spark, root)
+    deltas = spark.read.option("basePath", f"{root}/deltas").parquet(f"{root}/deltas/of={g}").drop("of")
+    last = latest(deltas, key, "number", "_gone")
+    untouched = base.join(deltas.select(key).distinct(), key, "left_anti")
+    return untouched.unionByName(last.select(*base.columns))
+
+
 def overlay(base: DataFrame, writes: DataFrame, deletes: DataFrame, key: str = "path") -> DataFrame:
     """base with proposed rows in place of those with their key, and without deleted ones."""
     gone = writes.select(key).unionByName(deletes.select(key))

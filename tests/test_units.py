@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, text
-from tessera.operators import catalog, context, dense, eligibility, filters, graph, intervals, ledger, search
+from tessera.operators import access, catalog, context, dense, eligibility, filters, graph, intervals, ledger, search
 from tessera.plans import catalogue
 from tessera.sources import index, model, store, vault
 from tessera.streaming import ledger as streams
@@ -231,7 +231,6 @@ def test_dense_order_and_zero_vectors(spark):
     units = spark.createDataFrame(rows, "unit_id long, owner int, embedding array<float>")
     got = [(r["owner"], r["owner_rank"], r["unit_rank"], r["unit_id"]) for r in dense.dense_owners(units, [1.0, 0.0], 2).orderBy("owner_rank", "unit_rank").collect()]
     assert got == [(0, 1, 1, 1), (0, 1, 2, 2), (1, 2, 1, 3)]
-    assert dense.falls_back("offline") and not dense.falls_back("budget")
 
 
 def test_worklist_fills_batches_greedily(spark):
@@ -505,6 +504,65 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_fallback(spark):
+    rows = spark.createDataFrame([("a",)], "path string")
+
+    def fails(reason):
+        def run():
+            raise access.Unavailable(reason)
+
+        return run
+
+    assert [tuple(r) for r in access.search_or_fall_back(lambda: rows, fails("offline")).collect()] == [("a", "semantic", None)]
+    assert [tuple(r) for r in access.search_or_fall_back(fails("untrusted"), lambda: rows).collect()] == [("a", "lexical", "untrusted")]
+    with pytest.raises(access.Unavailable):
+        access.search_or_fall_back(fails("budget"), lambda: rows)
+
+
+def nominated_by_hand(anchors, nodes, edges, depth, spans, span_bytes, text_bytes):
+    """The same by lists: (from, to) -> reason or None."""
+    held, out, level = [], [], []
+    for a in anchors:
+        s = nodes[a]
+        if s in held or (s[1] - s[0] <= span_bytes and len(held) < spans and sum(y - x for x, y in held) + s[1] - s[0] <= text_bytes):
+            held += [s] * (s not in held)
+            level.append(a)
+    known = set(anchors)
+    for _ in range(depth):
+        nxt = []
+        for n in level:
+            for _, to, s in sorted((o, t, s) for f, t, o, s in edges if f == n):
+                new = [x for x in dict.fromkeys([s, nodes[to]]) if x not in held]
+                used = sum(y - x for x, y in held)
+                why = "span" if any(y - x > span_bytes for x, y in new) else "candidates" if len(held) + len(new) > spans else "text" if used + sum(y - x for x, y in new) > text_bytes else None
+                out.append((n, to, why))
+                if not why:
+                    held += new
+                    if to not in known:
+                        known.add(to)
+                        nxt.append(to)
+        level = nxt
+    return out
+
+
+def test_nomination_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    want, anchors, nodes, edges = [], [], [], []
+    for source in range(8):
+        place = {f"n{i}": (a := int(rng.integers(0, 900)), a + int(rng.integers(10, 300))) for i in range(12)}
+        links = [(f"n{rng.integers(0, 12)}", f"n{rng.integers(0, 12)}", o, (a := int(rng.integers(2000, 3000)), a + int(rng.integers(5, 120)))) for o in range(30)]
+        begin = ["n3", "n0"]
+        anchors += [(source, n, i) for i, n in enumerate(begin)]
+        nodes += [(source, n, *s) for n, s in place.items()]
+        edges += [(source, f, t, o, *s) for f, t, o, s in links]
+        want += [(source, f, t, not w, w) for f, t, w in nominated_by_hand(begin, place, links, 3, 14, 280, 1500)]
+    got = access.nominate(
+        spark.createDataFrame(anchors, "source int, node string, rank int"), spark.createDataFrame(nodes, "source int, node string, start long, end long"),
+        spark.createDataFrame(edges, "source int, node_from string, node_to string, ordinal long, start long, end long"), 3, 14, 280, 1500,
+    )
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and {"span", "candidates", "text", None} == {w[4] for w in want}
+
+
 def test_hand_over_and_metrics(spark):
     p = spark.createDataFrame([(1, "o", 0, 100, False, 1), (2, "o", 10, 20, True, 9), (3, "o", 0, 100, True, 5), (4, "q", 0, 60, False, 2)], "id int, owner string, start long, end long, explicit boolean, rank int")
     assert [(r["passage"], r["owner"]) for r in catalog.hand_over(p).orderBy("passage").collect()] == [("p1", "o"), ("p2", "q")]
