@@ -1,9 +1,7 @@
-"""What the operators share: tables written to the shared folder, whole groups from sorted batches, hot-group blocks."""
+"""What the operators share: whole groups from sorted batches, hot-group blocks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,22 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.store import release, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where it is unset, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "pair_blocks", "release", "rows_of", "sliced", "text_key", "whole_groups", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +37,13 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             at = to
 
 
+def rows_of(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str], least: int = 20_000) -> Iterator[pa.Table]:
     """Tables in which every group of the keys is complete; the batches are sorted by them."""
     held: list[pa.RecordBatch] = []

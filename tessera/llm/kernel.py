@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,6 +59,34 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(at: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges [i, j) of ascending places that are less than most apart each."""
+    out, i = [], 0
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + most, side="left"))
+        out.append((i, max(j, i + 1)))
+        i = out[-1][1]
+    return out
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int, over: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text of each piece, its place in the text, bytes, offsets of pieces) of texts, some most bytes at a time.
+
+    A text of more than most bytes is several pieces, each with `over` bytes of the one behind it.
+    """
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        size = int(offsets[j] - offsets[i])
+        if j > i + 1 or size <= most + over:
+            yield np.arange(i, j), np.zeros(j - i, np.int64), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        else:
+            for a in range(0, size - over, most):
+                part = data[offsets[i] + a : offsets[i] + min(size, a + most + over)]
+                yield np.array([i]), np.array([a]), part, np.array([0, len(part)])
+        i = j
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, index of each text's first word and the end)."""
     n = len(data)

@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, text_key, whole_groups, written
-from .kernel import U, flat, mix, powers, prefix_hash
+from .common import documents, release, rows_of, sliced, text_key, whole_groups, written
+from .kernel import U, flat, mix, pieces, powers, prefix_hash, runs
 
 LENGTH = 200  # bytes of a repeated string
 ANCHOR = 48  # bytes of an anchor
 STEP = 8  # offsets of the windows that a row of a hot anchor keeps
 HOT = 8192  # places of an anchor beyond which its rows are split by more of their bytes
 SHARD = 4096  # rows of a shard
+PIECE = 1 << 18  # bytes of texts whose anchors and snippets are found at a time, some eighty times as many in arrays
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -142,7 +143,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
     """(tk, spans): for each text_key the maximal byte ranges [start, end) that repeated strings cover, in order.
 
     Texts without any aren't listed. All texts take part whole; of equal texts each task counts two, which tells as
-    much as all of them.
+    much as all of them. Each step's result is a table in the shared folder, which goes when the next one stands, so
+    that the joins are between tables, which Spark can split at hot keys, and their shuffle files don't add up.
     """
     k = k or max(1, length * ANCHOR // LENGTH)
     wide = length - k
@@ -157,17 +159,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
                 if seen[tk] <= 2:
                     kept.append(i)
             b = b.take(pa.array(kept, pa.int64())) if len(kept) < b.num_rows else b
-            text, at, first, last, h = anchors(*flat(b.column("text")), length, k)
-            place = (at << 32) | ((at - first) << 16) | (last - first)
-            yield pa.RecordBatch.from_arrays([b.column("tk").take(pa.array(text)), pa.array(place), pa.array(h.view(np.int64))], ["tk", "place", "h"])
+            data, offsets = flat(b.column("text"))
+            for text, base, part, ends in pieces(data, offsets, PIECE, length - 1):
+                of, at, first, last, h = anchors(part, ends, length, k)
+                place = ((at + base[of]) << 32) | ((at - first) << 16) | (last - first)
+                yield pa.RecordBatch.from_arrays([b.column("tk").take(pa.array(text[of])), pa.array(place), pa.array(h.view(np.int64))], ["tk", "place", "h"])
 
     long_enough = docs.filter(F.octet_length("text") >= length).select("text", text_key().alias("tk"), "doc_id")
-    found = written(long_enough.select("text", "tk").mapInArrow(find, "tk long, place long, h long"), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    hits = found.join(often, "h").groupBy("tk", "place", "h").agg(F.count("*").cast("int").alias("copies"), F.first("hot").alias("hot"))
+    found = written(long_enough.select("text", "tk").mapInArrow(find, "tk long, place long, h long"), "anchors", few=True)
+    often = written(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "often", few=True)
+    # a place of a text has one anchor: not grouped by h, so that the join may split a hot one
+    hits = found.join(often, "h").groupBy("tk", "place").agg(F.first("h").alias("h"), F.count("*").cast("int").alias("copies"), F.first("hot").alias("hot"))
     by_text = hits.groupBy("tk").agg(F.collect_list(F.struct("place", "h", "copies", "hot")).alias("hits"))
+    by_text = written(by_text, "hits", few=True)
+    release(found, often)
     one = docs.filter(F.octet_length("text") >= length).groupBy(text_key().alias("tk")).agg(F.min("doc_id").alias("least"))
-    by_text = by_text.join(one, "tk")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", 1 << 20):
@@ -176,48 +182,55 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
             doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             hit = lists.flatten()
             place, h, copies, hot = (hit.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            order = np.lexsort((place, doc))
+            doc, place, h, copies, hot = (x[order] for x in (doc, place, h, copies, hot.astype(bool)))
             at, left, span = place >> 32, (place >> 16) & 0xFFFF, place & 0xFFFF
-            hot = hot.astype(bool)
-            if hot.any():
-                # rows of STEP windows each; all windows with the anchor at STEP * r ... STEP * r + STEP - 1 share what the new key is of
-                low, high = (left - span) // STEP, left // STEP
-                times = np.where(hot, high - low + 1, 1)
-                of = np.repeat(np.arange(len(at)), times)
-                r = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-                is_hot = hot[of]
-                most = np.where(is_hot, np.minimum(left[of], r * STEP + STEP - 1), left[of])
-                least = np.where(is_hot, np.maximum((left - span)[of], r * STEP), (left - span)[of])
-                p = prefix_hash(data)
-                _, down = powers(len(data) + 1)
-                begin = np.where(is_hot, offsets[:-1][doc[of]] + at[of] - r * STEP, 0)
-                end = np.where(is_hot, begin + length - STEP + 1, 0)
-                h = np.where(is_hot, mix((p[end] - p[begin]) * down[begin] + r.astype(np.uint64)), h[of].view(np.uint64)).view(np.int64)
-                doc, at, copies, left, span = doc[of], at[of], copies[of], most, most - least
-            start = at - left
-            begin, end = offsets[:-1][doc] + start, offsets[:-1][doc] + start + span + length
-            shape = (left << 16) | span
-            # a snippet that stands at several places of the text is one row
-            p = prefix_hash(data)
-            _, down = powers(len(data) + 1)
-            same = mix((p[end] - p[begin]) * down[begin])
-            order = np.lexsort((start, same, shape, h, doc))
-            key = np.stack([doc[order], h[order], shape[order], same[order].view(np.int64)])
-            new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else order
-            ends = np.append(new[1:], len(order))[: len(new)]
-            total = np.add.reduceat(copies[order], new) if len(new) else new
-            for i in range(0, len(new), 8192):
-                n, e = new[i : i + 8192], ends[i : i + 8192]
-                one = order[n]
-                snippets = [data[x:y].tobytes() for x, y in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
-                starts = pa.ListArray.from_arrays(pa.array(np.append(n, e[-1]).astype(np.int32) - np.int32(n[0])), pa.array(start[order[n[0] : e[-1]]]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("tk").take(pa.array(doc[one])), starts, pa.array(h[one]), pa.array(shape[one]), pa.array(total[i : i + 8192].astype(np.int64)), pa.array(snippets, pa.binary())],
-                    ["tk", "starts", "h", "shape", "copies", "snippet"],
-                )
+            begins = offsets[:-1][doc] + at - left  # where the first window of a hit starts: ascending, in steps of a window at most
+            for i, j in runs(begins, PIECE):
+                lo, hi = max(0, begins[i:j].min() - length), min(len(data), begins[i:j].max() + 3 * length)
+                yield from snippets(b.column("tk"), data[lo:hi], offsets[:-1] - lo, doc[i:j], at[i:j], left[i:j], span[i:j], h[i:j], copies[i:j], hot[i:j])
+
+    def snippets(tks: pa.Array, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.ndarray, span: np.ndarray, h: np.ndarray, copies: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        p = prefix_hash(data)
+        _, down = powers(len(data) + 1)
+        if hot.any():
+            # rows of STEP windows each; all windows with the anchor at STEP * r ... STEP * r + STEP - 1 share what the new key is of
+            low, high = (left - span) // STEP, left // STEP
+            times = np.where(hot, high - low + 1, 1)
+            of = np.repeat(np.arange(len(at)), times)
+            r = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            is_hot = hot[of]
+            most = np.where(is_hot, np.minimum(left[of], r * STEP + STEP - 1), left[of])
+            least = np.where(is_hot, np.maximum((left - span)[of], r * STEP), (left - span)[of])
+            begin = np.where(is_hot, offsets[doc[of]] + at[of] - r * STEP, 0)
+            end = np.where(is_hot, begin + length - STEP + 1, 0)
+            h = np.where(is_hot, mix((p[end] - p[begin]) * down[begin] + r.astype(np.uint64)), h[of].view(np.uint64)).view(np.int64)
+            doc, at, copies, left, span = doc[of], at[of], copies[of], most, most - least
+        start = at - left
+        begin = offsets[doc] + start
+        end = begin + span + length
+        shape = (left << 16) | span
+        # a snippet that stands at several places of the text is one row
+        same = mix((p[end] - p[begin]) * down[begin])
+        order = np.lexsort((start, same, shape, h, doc))
+        key = np.stack([doc[order], h[order], shape[order], same[order].view(np.int64)])
+        new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else order
+        ends = np.append(new[1:], len(order))[: len(new)]
+        total = np.add.reduceat(copies[order], new) if len(new) else new
+        for i in range(0, len(new), 8192):
+            n, e = new[i : i + 8192], ends[i : i + 8192]
+            one = order[n]
+            cuts_ = [data[x:y].tobytes() for x, y in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+            starts = pa.ListArray.from_arrays(pa.array(np.append(n, e[-1]).astype(np.int32) - np.int32(n[0])), pa.array(start[order[n[0] : e[-1]]]))
+            yield pa.RecordBatch.from_arrays(
+                [tks.take(pa.array(doc[one])), starts, pa.array(h[one]), pa.array(shape[one]), pa.array(total[i : i + 8192].astype(np.int64)), pa.array(cuts_, pa.binary())],
+                ["tk", "starts", "h", "shape", "copies", "snippet"],
+            )
 
     texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "text", text_key().alias("tk"))
-    texts = texts.join(by_text, "tk").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "tk", "hits")
+    texts = texts.join(by_text.join(one, "tk"), "tk").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "tk", "hits")
     cuts = written(texts.mapInArrow(cut, "tk long, starts array<long>, h long, shape long, copies long, snippet binary").withColumn("sid", F.xxhash64("shape", "snippet")), "snippets")
+    release(by_text)
     distinct = cuts.groupBy("h", "sid", "shape", "snippet").agg(F.sum("copies").alias("copies"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
     by_text = places.groupBy("tk").agg(F.collect_list(F.struct("starts", "windows")).alias("places"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rows_of(batches, 256):
             out = []
             for places_ in b.column("places"):
                 v = places_.values
@@ -248,26 +261,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
                 out.append(np.stack([starts[new], starts[np.append(new[1:], len(starts)) - 1] + length], axis=1).ravel())
             yield pa.RecordBatch.from_arrays([b.column("tk"), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], ["tk", "spans"])
 
-    return by_text.mapInArrow(spans, "tk long, spans array<long>")
+    out = written(by_text.mapInArrow(spans, "tk long, spans array<long>"), "spans", few=True)
+    release(cuts)
+    return out
 
 
 def cut_rows(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept_sha256, kept, cut) of every row; without texts the last two are null.
+    """(row, n_bytes, n_removed, kept_sha256, n_spans, spans, cut, emptied) of every row.
 
-    row holds all columns of the row, or without texts doc_id alone. kept is the rest of the text in bytes; cut the
-    same as a string, for which spans shrink to whole characters. Null texts count as empty, texts shorter than
-    length lose nothing. Matches don't cross rows; a text that stands in two rows loses all it has. Repeated rows and
-    null ids are rows like others; an empty table gives an empty one.
+    row holds all columns but text, or without texts doc_id alone. spans are the removed ranges of bytes, start and
+    end in turn; kept_sha256 is of the bytes that are left. cut is the rest as a string, for which spans shrink to whole
+    characters: null for a null text, and for all without texts; emptied says that only blanks are left of a text that had more.
+    Null texts count as empty, texts shorter than length lose nothing. Matches don't cross rows; a text that stands in
+    two rows loses all it has. Repeated rows and null ids are rows like others; an empty table gives an empty one.
     """
-    spans = written(repeated_spans(docs, length), "spans")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if texts or c == "doc_id"]).alias("row")
-    rows = docs.select(row, F.coalesce("text", F.lit("")).alias("text"), text_key().alias("tk")).join(spans, "tk", "left").select("row", "text", "spans")
+    spans = repeated_spans(docs, length)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text" and (texts or c == "doc_id")]).alias("row")
+    rows = docs.select(row, "text", text_key().alias("tk")).join(spans, "tk", "left").select("row", "text", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", 2 << 20):
-            n, removed, count, sha, kept, cut = [], [], [], [], [], []
+        for b in sliced(batches, "text", 1 << 20):
+            n, removed, count, sha, cut, emptied = [], [], [], [], [], []
             data, offsets = flat(b.column("text"))
-            for i, s in enumerate(b.column("spans").to_pylist()):
+            lists = b.column("spans").to_pylist()
+            for i, (s, null) in enumerate(zip(lists, b.column("text").is_null().to_pylist(), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 s = s or []
                 parts, whole, at, at_char = [], [], 0, 0
@@ -281,19 +298,20 @@ def cut_rows(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataF
                     whole.append(text[at_char:x])
                     at_char = y
                 rest = b"".join([*parts, text[at:]])
+                left = b"".join([*whole, text[at_char:]]) if s else text
                 n.append(len(text))
                 removed.append(len(text) - len(rest))
                 count.append(len(s) // 2)
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if texts else None)
-                cut.append(b"".join([*whole, text[at_char:]]).decode() if texts else None)
+                cut.append(left.decode() if texts and not null else None)
+                emptied.append(bool(s) and not left.strip() and bool(text.strip()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(cut, pa.string())],
-                ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "cut"],
+                [b.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(count, pa.int64()), b.column("spans"), pa.array(cut, pa.string()), pa.array(emptied, pa.bool_())],
+                ["row", "n_bytes", "n_removed", "kept_sha256", "n_spans", "spans", "cut", "emptied"],
             )
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(apply, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, cut string")
+    return rows.mapInArrow(apply, f"row {kind}, n_bytes long, n_removed long, kept_sha256 string, n_spans long, spans array<long>, cut string, emptied boolean")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
