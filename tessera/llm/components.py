@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(edges, "links")
     seen = None
     for _ in range(rounds):
-        edges = written(_star(_star(edges, True), False), "links")
+        before, edges = edges, written(_star(_star(edges, True), False), "links")
+        release(before)
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(pmod(xxhash64(b, a), 1000000007) as long)"))).first()
         if state == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

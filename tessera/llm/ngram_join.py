@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, pair_blocks, sliced, text_key, whole_groups, written
+from .common import documents, pair_blocks, release, sliced, text_key, whole_groups, written
 from .components import connected_components
 from .kernel import U, flat, mix, shingles
 
@@ -222,8 +222,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     id_type = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", "text", text_key().alias("tk"))
     rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets")
-    kinds = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds")
-    kinds = kinds.select("set_key", "one.tk", F.col("one.doc_id").alias("one"), "n", "vec")
+    kinds_table = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds")
+    kinds = kinds_table.select("set_key", "one.tk", F.col("one.doc_id").alias("one"), "n", "vec")
     # Signatures, many times the sets, are shuffled once and not written: sorted by signature, those of several sets stay.
     signed = docs.select("text").mapInArrow(signed_sets, "sig long, set_key long")
     by_key, whole = Window.partitionBy("sig").orderBy("set_key"), Window.partitionBy("sig")
@@ -234,20 +234,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     # near copies share most of their signatures: each set of members meets in one tree
     trees = several.groupBy("members", "m1", "m2").agg(F.min("sig").alias("sig")).select("sig")
     members = several.select("sig", "set_key", "members").join(trees, "sig").join(kinds.select("set_key", "n", "vec"), "set_key")
-    near = written(_task_links(pair_blocks(members, "sig", "set_key", "members", CAP), "sig", num, den, None), "near").select("a", "b").distinct()
-    coarse = written(connected_components(near), "coarse")
-    coarse = coarse.join(coarse.groupBy("component").agg(F.count("*").alias("members")), "component")
+    near = written(_task_links(pair_blocks(members, "sig", "set_key", "members", CAP), "sig", num, den, None), "near")
+    release(several)
+    coarse_table = written(connected_components(near), "coarse")
+    release(near)
+    coarse = coarse_table.join(coarse_table.groupBy("component").agg(F.count("*").alias("members")), "component")
     wanted = coarse.join(kinds.select(F.col("set_key").alias("node"), "tk", "one", "n", "vec"), "node").select(F.col("node").alias("set_key"), "component", "members", "tk", "one", "n", "vec")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("tk"))
     dealt = pair_blocks(wanted.join(texts, "tk").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("component", "set_key", "members", "n", "vec", "text"), "component", "set_key", "members", CAP // 4)
     links = _task_links(dealt, "component", num, den, words)
     found = connected_components(links)
+    release(kinds_table, coarse_table)
     least = rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     least = least.withColumn("class", F.coalesce("component", "set_key"))
     classes_ = least.groupBy("class").agg(F.min("least").alias("component_id"))
     of_set = written(least.select("set_key", "class").join(classes_, "class"), "classes")  # a row for each set: what rows join is without heavy keys on this side
     out = rows.select("doc_id", "n", "set_key", "tk").join(of_set, "set_key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "tk")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "tk")
+    out = written(out, "members")
+    release(rows, of_set)
+    return out
 
 
 def _sets_of(column: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
