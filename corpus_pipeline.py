@@ -29,16 +29,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.withColumn("_key", text_key())
     rows = rows.join(kept, (F.col("_key") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi").drop("_key")
     repeated = found.filter("n_shingles > 0").groupBy("doc_id", "tk").count().filter("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+    if repeated.isEmpty():
+        return rows
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # of rows with the same id and text the least stays
+    return rows.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_least")).select(*[F.col(c if c not in rest else f"_least.`{c}`") for c in docs.columns])
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of suffix_dedup.LENGTH bytes or more that repeat; documents of which nothing is left go."""
-    cut = suffix_dedup.cut_rows(docs)
-    kept = cut.filter(F.col("cut").rlike(r"\S") | ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"\S"))
-    text = F.when(F.col("row.text").isNotNull(), F.col("cut"))
-    new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return kept.select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
+    cut = suffix_dedup.cut_rows(docs).filter("not emptied")
+    new = {"text": F.col("cut").alias("text"), "n_chars": F.length("cut").cast("long").alias("n_chars")}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
