@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, sliced
 from .kernel import flat, shingles
@@ -16,6 +18,7 @@ from .kernel import flat, shingles
 K = 128  # hashes kept of each text
 WORDS = 5  # words of a shingle
 DIGITS = 8  # hexadecimal digits of a hash: 32 bits
+MOST_PARTS = 1 << 17  # ranges of ids, whose bounds the driver holds
 
 
 def sketch_texts(column: pa.Array, k: int = K, words: int = WORDS) -> list[np.ndarray]:
@@ -23,9 +26,12 @@ def sketch_texts(column: pa.Array, k: int = K, words: int = WORDS) -> list[np.nd
     h, at = shingles(*flat(column), words)
     top = (h >> np.uint64(32)).astype(np.uint32)  # ascending as h is
     out = []
-    for i, j in zip(at[:-1], at[1:], strict=True):
-        x = top[i : min(j, i + 2 * k)]
-        x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        wide = 2 * k
+        x = np.unique(top[i : min(j, i + wide)])
+        while len(x) < k and i + wide < j:  # equal upper halves took the room of others
+            wide *= 2
+            x = np.unique(top[i : min(j, i + wide)])
         out.append(x[:k])
     return out
 
@@ -73,6 +79,17 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.length(a) > 0, F.least(F.lit(1.0), r / (1 + r) * (distinct_shingles(a, k) + distinct_shingles(b, k)) / distinct_shingles(a, k)))
 
 
+def merged_by(rows: DataFrame, by: list[str], sketch: str = "fingerprint", k: int = K) -> DataFrame:
+    """(by, fingerprint): the sketch of all rows of a group together, as if their shingles were one text's.
+
+    Hashes are made distinct and cut to the k least of a group before and after the shuffle, so that no task
+    has all hashes of a group; a group of empty sketches has an empty one, null sketches count as empty.
+    """
+    each = rows.select(*by, F.explode_outer(hashes(F.coalesce(F.col(sketch), F.lit("")))).alias("h")).distinct()
+    least = each.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("h").asc_nulls_last()))).filter(F.col("n") <= k)
+    return least.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("fingerprint"))
+
+
 def fingerprint(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint) of every row; null and empty texts have an empty fingerprint, equal texts equal ones."""
 
@@ -88,16 +105,24 @@ def with_next(docs: DataFrame, per_part: int = 20_000) -> tuple[DataFrame, int]:
 
     Returns (frame of doc_id, text, ghost, part; number of parts). Bounds between ranges are quantiles of the
     ids, a few for each million rows; each range but for its ghost rows is whole, so a row and the next one
-    meet in one task and each text is shuffled once.
+    meet in one task and each text is shuffled once. A row finds its range by binary search.
     """
+    from pyspark.ml.feature import Bucketizer
+
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     ids = docs.select(F.col("doc_id").cast("double").alias("d"))
     n = docs.count()
-    want = min(max(1, n // per_part + 1), 4096)
+    want = min(max(1, n // per_part + 1), MOST_PARTS)
     want = max(want, min(n // 64 + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set(ids.filter("d is not null").approxQuantile("d", [i / want for i in range(1, want)], 0.2 / want))) if want > 1 and n else []
     # part 0 has the largest ids; a null id comes after all others
-    rank = F.lit(len(cuts)) - F.expr("size(filter(array({}), x -> x < cast(doc_id as double)))".format(", ".join(f"{c!r}D" for c in cuts) or "0D")) if cuts else F.lit(0)
+    if cuts:
+        dealer = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="_range", handleInvalid="keep")
+        docs = dealer.transform(docs.withColumn("_id", F.col("doc_id").cast("double"))).drop("_id")
+        rank = F.lit(len(cuts)) - F.col("_range")
+    else:
+        rank = F.lit(0)
     part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(rank).cast("int")
     rows = docs.select("doc_id", "text", part.alias("part"))
     firsts = rows.groupBy("part").agg(F.max("doc_id").alias("first")).orderBy("part").collect()
