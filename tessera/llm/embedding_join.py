@@ -27,7 +27,10 @@ COVARIANCE_DIMS = 256  # of wider vectors the first so many take part in the pri
 
 
 def _matrix(column, dims: int) -> np.ndarray:
-    return flat(column)[0].view("<f4").reshape(-1, dims).astype(np.float64)
+    """Rows of dims doubles, each scaled by a power of two so that its largest component is about 1: products don't overflow."""
+    raw = flat(column)[0]
+    x = raw.view("<f4" if len(raw) == 4 * dims * len(column) else "<f8").reshape(-1, dims).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
 
 
 def _by_width(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -132,14 +135,15 @@ def cosine_components(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     spark = rows.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7)
     fine = F.col("label").isNotNull() & F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    source = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label").withColumn("fine", F.coalesce(fine, F.lit(False)))
+    single = rows.schema["embedding"].dataType.elementType.simpleString() == "float"  # others are compared as doubles
+    source = rows.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), "label").withColumn("fine", F.coalesce(fine, F.lit(False)))
     equal = F.xxhash64("label", "embedding")
     distinct = source.filter("fine").groupBy("label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("embedding")
-            flat_values = v.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            flat_values = v.flatten().to_numpy(zero_copy_only=False).astype("<f4" if single else "<f8")
             ends = np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))])
             blobs = [flat_values[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), b.column("weight"), pa.array(np.diff(ends)), pa.array(blobs, pa.binary())], ["key", "label", "weight", "d", "v"])
