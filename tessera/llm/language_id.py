@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, sliced, written
 from .kernel import flat
@@ -123,11 +124,11 @@ def spread(texts: dict[str, list[bytes]], most_bytes: float) -> Iterator[Model]:
 
 
 def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, most_bytes: float = MODEL_BYTES) -> list[Broadcast] | None:
-    """Models of the labelled rows that aren't held out, from whole texts drawn by a hash of their ids.
+    """Models of the labelled rows that aren't held out, from whole texts drawn by a hash of the text.
 
     Every value of lang is learned; one model has them all if it fits, else each has some. Languages' sizes are
-    counted over all rows. About sample_bytes are drawn for each, and no more than twice that reach the driver in
-    text order of the hash; texts longer than sample_bytes / 4 are left out of the sample. A language of which
+    counted over all rows. About sample_bytes are drawn for each, equal texts once, and cut to twice that, in the order of
+    the hash, before they reach the driver; texts longer than sample_bytes / 4 are left out of the sample. A language of which
     nothing is drawn so is learned from the first sample_bytes of its shortest text. None if no row is labelled.
     """
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -135,19 +136,16 @@ def learn(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, most_bytes: float =
     sizes = {r["lang"]: (r["b"], r["small"] or 0) for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.when(small, F.octet_length("text"))).alias("small")).collect()}
     if not any(b for b, _ in sizes.values()):
         return None
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     names, models = sorted(sizes), []
     for at in range(0, len(names), MAX_LANGUAGES):
         group = names[at : at + MAX_LANGUAGES]
         share = F.create_map(*[x for k in group for x in (F.lit(k), F.lit(min(1.0, sample_bytes / max(sizes[k][1], 1))))])
-        drawn = labelled.filter(small & F.col("lang").isin(group)).withColumn("u", u).filter(F.col("u") < share[F.col("lang")]).select("lang", "u", "text")
+        drawn = labelled.filter(small & F.col("lang").isin(group)).withColumn("u", u).filter(F.col("u") < share[F.col("lang")]).select("lang", "u", "text").distinct()
+        upto = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("u", "text"))  # some sample_bytes of each
         texts: dict[str, list[bytes]] = {k: [] for k in group}
-        left = dict.fromkeys(group, 2 * sample_bytes)
-        for r in sorted(drawn.toLocalIterator(), key=lambda r: (r["lang"], r["u"], r["text"])):
-            text = r["text"].encode()
-            if left[r["lang"]] >= len(text):
-                texts[r["lang"]].append(text)
-                left[r["lang"]] -= len(text)
+        for r in sorted(drawn.withColumn("upto", upto).filter(F.col("upto") <= 2 * sample_bytes).toLocalIterator(), key=lambda r: (r["lang"], r["u"], r["text"])):
+            texts[r["lang"]].append(r["text"].encode())
         undrawn = [k for k in group if not any(texts[k]) and sizes[k][0]]
         if undrawn:
             head = F.struct(F.octet_length("text").alias("n"), F.substring("text", 1, sample_bytes).alias("text"))
