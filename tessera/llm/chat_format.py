@@ -112,6 +112,27 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: tuple[Tool, ...] = T
     return rows.select(*key, "turn", "name", "level", "result_turn", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("results", F.lit(0)).alias("results"), "valid", "errors", text.alias("json"))
 
 
+def conversations(turns: DataFrame, roles: tuple[str, ...] = ("system", "user", "assistant", "tool")) -> DataFrame:
+    """(conv_id, turns, errors, json) of each conversation: its messages in the order of their turns as one canonical JSON text.
+
+    turns: conv_id, turn, role, text. Equal turns go by role and text. errors tells, in a fixed order: no conversation (a null conv_id, whose rows
+    are one conversation), no turn, repeated turn, unknown role (a null one too), no text, and role twice in a row. Nulls are written as null; nothing is left out.
+    A conversation's messages meet in its one row.
+    """
+    line = F.concat(F.lit('{"content":'), F.when(F.col("m.text").isNull(), "null").otherwise(quoted(F.col("m.text"))), F.lit(',"role":'), F.when(F.col("m.role").isNull(), "null").otherwise(quoted(F.col("m.role"))), F.lit(',"turn":'), F.coalesce(F.col("m.turn").cast("string"), F.lit("null")), F.lit("}"))
+    rows = turns.select("conv_id", F.struct("turn", "role", "text").alias("m")).withColumn("line", line)
+    known = F.coalesce(F.col("m.role").isin(*roles), F.lit(False))
+    sums = rows.groupBy("conv_id").agg(
+        F.count("*").alias("turns"), F.count_if(F.col("m.turn").isNull()).alias("lost"), F.count("m.turn").alias("numbered"), F.countDistinct("m.turn").alias("different"), F.count_if(~known).alias("odd"), F.count_if(F.col("m.text").isNull()).alias("empty"),
+        F.array_sort(F.collect_list(F.struct(F.col("m.turn").isNull().alias("last"), F.col("m.turn").alias("turn"), F.col("m.role").alias("role"), F.col("line")))).alias("all"),
+    )
+    twice = F.exists(F.sequence(F.lit(1), F.size("all")), lambda i: (i > 1) & F.element_at("all", i)["role"].eqNullSafe(F.element_at("all", F.greatest(i - 1, F.lit(1)))["role"]))
+    problems = [(F.col("conv_id").isNull(), "no conversation"), (F.col("lost") > 0, "no turn"), (F.col("numbered") > F.col("different"), "repeated turn"), (F.col("odd") > 0, "unknown role"), (F.col("empty") > 0, "no text"), (twice, "role twice in a row")]
+    found = F.concat_ws(",", *[F.when(c, name) for c, name in problems])
+    text = F.concat(F.lit('{"conv_id":'), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(',"messages":['), F.array_join(F.transform("all", lambda x: x["line"]), ","), F.lit("]}"))
+    return sums.select("conv_id", "turns", found.alias("errors"), text.alias("json"))
+
+
 def unlinked(rows: DataFrame) -> DataFrame:
     """Rows of calls or results that have no identifier."""
     return rows.filter("conv_id is null or call_id is null")

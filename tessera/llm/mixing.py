@@ -53,19 +53,20 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, power: float = POWER, targets:
     return cells
 
 
-def mix_sources(docs: DataFrame, budget: float = BUDGET, seed: str = SEED, **raking) -> DataFrame:
+def mix_sources(docs: DataFrame, budget: float = BUDGET, seed: str = SEED, topics: Column | None = None, **raking) -> DataFrame:
     """(row, source, language, topic, tokens, weight, probability, chosen, copies) of every row; row holds all its columns.
 
     tokens are runs without spaces, at least 1. A row's probability is the budget's share of its cell's weight over
     the cell's tokens, at most 1; it is chosen if a hash of seed and doc_id, as a number below 1, is less. copies are
     how often a row must stand in the sample for the targets to be met: what the 1 cuts off is whole copies and a
     chance of one more, by the same hash; a row has copies exactly if it is chosen. Nulls in
-    source and lang are a value of their own, (none); null ids hash as empty; repeated rows are chosen alike.
+    source and lang are a value of their own, (none); null ids hash as empty; repeated rows are chosen alike. topics is the
+    column of a row's topic, where there is a better one than topic(), which only tells kinds of lines apart.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
     words = F.greatest(F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r]+")), F.lit(0)), F.lit(1)).cast("long")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    kinds = [blank("source").alias("source"), blank("lang").alias("language"), topic().alias("topic"), words.alias("tokens")]
+    kinds = [blank("source").alias("source"), blank("lang").alias("language"), (topic() if topics is None else F.coalesce(topics.cast("string"), F.lit("(none)"))).alias("topic"), words.alias("tokens")]
     cells = rake(written(docs.select(*kinds).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells"), **raking)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = F.lit(budget) * F.col("weight") * F.lit(float(total)) / F.col("tokens")
