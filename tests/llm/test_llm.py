@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -67,17 +68,33 @@ def test_suffix_dedup_equals_brute_force(docs, texts):
                 cover[i : i + 200] = b"\1" * 200
         spans = sum(1 for i in range(len(x)) if cover[i] and (i == 0 or not cover[i - 1]))
         want.append((ident, len(x), sum(cover), spans, hashlib.sha256(bytes(b for b, m in zip(x, cover, strict=True) if not m)).hexdigest()))
-    rows = suffix_dedup.cut_rows(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "cut", "row.text").collect()
+    rows = suffix_dedup.cut_rows(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "cut", "emptied").collect()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in rows)
-    assert all(r["cut"] == (r["text"] or "") for r in rows if not r["n_removed"])
+    assert sorted((r["doc_id"] or -1, r["cut"] or "") for r in rows if not r["n_removed"]) == sorted((w[0] or -1, t or "") for w, (_, t) in zip(want, texts, strict=True) if not w[2])
+    assert all(r["emptied"] == bool(r["n_removed"] and not r["cut"].strip()) for r in rows) and any(r["emptied"] for r in rows)
 
 
 def test_suffix_dedup_splits_hot_anchors_and_shards_alike(docs, monkeypatch):
     whole = sorted(map(str, suffix_dedup.cut_rows(docs, texts=False).select("row.doc_id", "n_removed", "kept_sha256").collect()))
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
     assert whole == sorted(map(str, suffix_dedup.cut_rows(docs, texts=False).select("row.doc_id", "n_removed", "kept_sha256").collect()))
 
 
+def test_pieces_and_runs():
+    data, offsets = np.arange(1000) % 251, np.array([0, 0, 10, 700, 705, 1000])
+    seen = {i: set() for i in range(5)}
+    for text, base, part, ends in kernel.pieces(data, offsets, 100, 9):
+        assert len(part) <= 109 and ends[-1] == len(part)
+        for n, (i, b) in enumerate(zip(text.tolist(), base.tolist(), strict=True)):
+            got = part[ends[n] : ends[n + 1]]
+            assert (got == data[offsets[i] + b : offsets[i] + b + len(got)]).all()
+            seen[i] |= {b + x for x in range(len(got) - 9)}
+    assert all(seen[i] == set(range(n - 9)) for i, n in enumerate(np.diff(offsets).tolist()))
+    at = np.array([0, 5, 99, 100, 101, 350, 350])
+    assert kernel.runs(at, 100) == [(0, 3), (3, 5), (5, 7)] and kernel.runs(at[:0], 9) == []
+
+
 def test_merged_order_is_the_sorted_one():
     rng = np.random.default_rng(3)
     rows, group = rng.integers(0, 3, (500, 12)).astype(np.uint8), np.sort(rng.integers(0, 5, 500))
@@ -159,6 +176,15 @@ def test_language_id_edges(docs, none):
     assert out.count() == docs.count() and language_id.identify(none, language_id.learn(none)).count() == 0
 
 
+def test_language_id_of_repeated_rows(spark):
+    """However often a row is repeated, the sample that reaches the driver is bounded, and nothing fails."""
+    one = spark.range(20_000).select(F.lit(0).cast("long").alias("doc_id"), F.lit("wieder und wieder derselbe satz " * 4).alias("text"), F.lit("de").alias("lang"))
+    docs = one.unionByName(spark.createDataFrame([(1, "another sentence altogether", "en")], kind := "doc_id long, text string, lang string"))
+    models = language_id.learn(docs, 1 << 12)
+    got = language_id.identify(spark.createDataFrame([(1, "derselbe satz", None), (2, "another sentence", None)], kind), models)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "de", 2: "en"}
+
+
 def test_language_id_learns_every_language(spark):
     """More languages than are trained at a time, and one that has giant texts only; spread over models as in one."""
     rng = random.Random(3)
@@ -192,6 +218,43 @@ def test_sharding_is_whole_and_near_equal(spark, docs, none):
     assert len(loads) == 8 and max(loads) - min(loads) < 0.03 * sum(loads) / 8
 
 
+def test_sharding_equals_brute_force(spark, docs, texts):
+    """Items of the same sizes packed one by one: the largest share first, each where the dot product with what is left is highest."""
+    shards = 3
+    texts = [(i, t) for i, t in texts if i != 60]  # no text has a third of all
+    placed = sharding.place(docs.filter("doc_id is null or doc_id <> 60"), shards).collect()
+    groups: dict = {}
+    for _, t in texts:
+        raw = (t or "").encode()
+        g = groups.setdefault(t or "", [0, 0, 0])
+        g[0], g[1], g[2] = g[0] + len(raw) + 1, g[1] + len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")), g[2] + 1
+    total = [sum(g[k] for g in groups.values()) for k in range(3)]
+    of = {r["text_crc32"]: r["group"] for r in placed}
+    split = {t for t, g in groups.items() if max(x / y for x, y in zip(g, total, strict=True)) > 1 / shards}
+    heavy = {t for t, g in groups.items() if any(x > max(1, int(y * sharding.HEAVY)) for x, y in zip(g, total, strict=True))}
+    assert {zlib.crc32(t.encode()) for t in groups} == set(of)
+    items: dict = {}
+    for t, g in groups.items():
+        if t not in split:
+            name = f"h{of[zlib.crc32(t.encode())]}.0" if t in heavy else f"c{of[zlib.crc32(t.encode())] % sharding.CELLS}"
+            items[name] = [a + b for a, b in zip(items.get(name, [0, 0, 0]), g, strict=True)]
+    got = {}
+    for r in placed:
+        got.setdefault(r["group"], set()).add(r["shard"])
+    whole = [of[zlib.crc32(t.encode())] for t in groups if t not in split]
+    assert all(len(got[g]) == 1 for g in whole)
+    assert not split
+    left, want = [[1 / shards] * 3 for _ in range(shards)], {}
+    for name, g in sorted(sorted(items.items()), key=lambda x: -max(a / b for a, b in zip(x[1], total, strict=True))):
+        share = [a / b for a, b in zip(g, total, strict=True)]
+        best = max(range(shards), key=lambda s: (round(sum(x * y for x, y in zip(left[s], share, strict=True)), 12), -s))
+        want[name] = best
+        left[best] = [x - y for x, y in zip(left[best], share, strict=True)]
+    for t in groups:
+        g = of[zlib.crc32(t.encode())]
+        assert got[g] == {want[f"h{g}.0" if t in heavy else f"c{g % sharding.CELLS}"]}
+
+
 def test_sharding_keeps_groups_and_splits_giants(spark):
     df = spark.createDataFrame([(i, "same text" if i % 2 else f"text number {i}") for i in range(2000)], "doc_id long, text string")
     loads = [r["size"] for r in sharding.balance(sharding.place(df, 4)).collect()]
@@ -212,6 +275,12 @@ def test_mixing_equals_sql_and_meets_targets(spark):
         assert {r[m]: pytest.approx(r["w"], abs=1e-6) for r in cells.groupBy(m).agg(F.sum("weight").alias("w")).collect()} == t
 
 
+def test_mixing_takes_a_topic_column(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en", "s", i % 3 if i % 5 else None) for i in range(300)], "doc_id long, text string, lang string, source string, kind int")
+    out = mixing.mix_sources(docs, topics=F.col("kind"))
+    assert {r["topic"] for r in out.select("topic").distinct().collect()} == {"0", "1", "2", "(none)"} and out.count() == 300
+
+
 def test_mixing_edges(docs, none):
     out = mixing.mix_sources(docs)
     assert out.count() == docs.count() and out.filter("probability is null").count() == 0
@@ -252,6 +321,16 @@ def test_embedding_join_equals_brute_force(spark):
     assert embedding_join.cosine_components(df.limit(0)).count() == 0
 
 
+def test_embedding_join_keeps_doubles(spark):
+    """A column of doubles is compared as such: beyond the range of floats, and where floats would be equal."""
+    rows = [(1, [1e200, 2e200], 0), (2, [1e-200, 2e-200], 0), (3, [1.0, 0.0], 1), (4, [0.98, float(np.sqrt(1 - 0.98**2))], 1), (5, [0.98 - 1e-12, float(np.sqrt(1 - (0.98 - 1e-12) ** 2))], 1), (6, [float("inf"), 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_join.cosine_components(df).collect()}
+    cos = lambda a, b: np.dot(a, b) / (np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(b, b)))
+    want = {i: sum(j != i and cos(np.array(v), np.array(w)) >= 0.98 for j, w, m in rows[2:5] if m == 1) for i, v, _ in rows[2:5]}
+    assert got == {1: 1, 2: 1, 6: 0} | want
+
+
 def shingle_set(text: str | None, k: int) -> frozenset:
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
@@ -297,13 +376,34 @@ def codec():
         return sentencepiece_scan.Codec(f.read())
 
 
-def test_sentencepiece_path_is_best_and_exact(codec):
-    for text in ("the quick brown  fox\n naïve ▁ 日本", " lead", "x", "\t\r\n", "trail "):
-        ids, score = codec.encode(text)
-        ids = np.frombuffer(ids, "<i4")
-        assert codec.decode(ids) == text
-        if "▁" not in text:
-            assert codec.best(codec.escaped(text)[0])[0][-1] == score
+@pytest.fixture(scope="module")
+def library():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+
+
+def odd_texts() -> list[str]:
+    rng = random.Random(4)
+    bits = ["a", "b", "th", "e", "in", " ", "  ", "é", "日", "\n", "😀", "aaaa", "1", "--", "=", "\x00", "\u0301"]
+    return ["the quick brown  fox\n naïve 日本", " lead", "x", "\t\r\n", "trail ", "a" * 700, "=-" * 300, " " * 40, *("".join(rng.choice(bits) for _ in range(rng.randint(1, 150))) for _ in range(40))]
+
+
+def test_sentencepiece_equals_library(spark, codec, library):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + odd_texts()
+    ids, counts = codec.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library.encode(texts)
+    assert codec.decode(ids, counts) == texts
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 17, 64])
+def test_sentencepiece_scan_equals_library(codec, library, chunk):
+    for text in odd_texts():
+        part = codec.escaped(text)[0]
+        cut = [(part[i - min(i, codec.longest) : i + chunk + codec.longest - 1], min(i, codec.longest), min(chunk, len(part) - i)) for i in range(0, len(part), chunk)]
+        states = sentencepiece_scan.boundaries([codec.transfer(*c) for c in cut])
+        found = [codec.path(*c, a, b) for c, a, b in zip(cut, states[:-1], states[1:], strict=True)]
+        assert np.concatenate(found).tolist() == library.encode(text)
 
 
 @pytest.mark.parametrize("chunk", [16, 37, 500])
@@ -312,17 +412,19 @@ def test_sentencepiece_chunks_equal_whole(spark, codec, docs, none, chunk):
     rows = sentencepiece_scan.encode(small, chunk=chunk).select("row.text", "ids", "score", "decoded").collect()
     assert len(rows) == small.count()
     for r in rows:
-        assert r["decoded"] == r["text"] and r["score"] == codec.encode(r["text"] or "")[1]
+        ids, _ = codec.encode([r["text"] or ""])
+        assert r["decoded"] == r["text"] and r["ids"] == ids.tolist() and r["score"] == codec.score(ids)
     assert sentencepiece_scan.encode(none).count() == 0
 
 
 def test_max_plus_scan():
     rng = np.random.default_rng(1)
-    m = [rng.integers(-50, 0, (4, 4)) for _ in range(7)]
+    states = [[(0, c) for c in "abcd"[: rng.integers(1, 5)]] for _ in range(8)]
+    m = [(a, b, rng.integers(-50, 0, (len(a), len(b)))) for a, b in zip(states[:-1], states[1:], strict=True)]
     want = m[0]
     for i, got in enumerate(sentencepiece_scan.scan(m)):
         want = sentencepiece_scan.max_plus(want, m[i]) if i else want
-        assert (got == want).all()
+        assert got[:2] == want[:2] and (got[2] == want[2]).all()
 
 
 def test_chat_format_equals_sql(spark):
@@ -351,6 +453,19 @@ def test_chat_format_keeps_unlinked_and_repeated(spark):
     }
 
 
+def test_conversations_are_whole_and_ordered(spark):
+    rows = [(1, 1, "assistant", 'a "b"\n'), (1, 0, "user", "é"), (2, 0, "user", None), (2, 1, "user", "x"), (2, 1, "robot", "y"), (None, 3, "user", "lost"), (3, None, None, "z"), (3, 2, "system", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.conversations(df).collect()}
+    assert {k: (r["turns"], r["errors"]) for k, r in got.items()} == {1: (2, ""), 2: (3, "repeated turn,unknown role,no text"), None: (1, "no conversation"), 3: (2, "no turn,unknown role")} | {2: (3, got[2]["errors"])}
+    assert {"repeated turn", "unknown role", "no text"} <= set(got[2]["errors"].split(","))
+    assert got[1]["json"] == '{"conv_id":1,"messages":[{"content":"é","role":"user","turn":0},{"content":"a \\"b\\"\\n","role":"assistant","turn":1}]}'
+    for k, r in got.items():
+        said = json.loads(r["json"])
+        assert said["conv_id"] == k and sorted(repr((m["turn"], m["role"], m["content"])) for m in said["messages"]) == sorted(repr((t, o, x)) for c, t, o, x in rows if c == k)
+    assert chat_format.conversations(df.limit(0)).count() == 0
+
+
 def test_chat_levels_and_schemas(spark):
     calls = spark.createDataFrame(
         [(1, "a", 1, "f", '{"n":1,"b":[2, 1]}', None), (1, "b", 2, "f", '{"n":"1"}', "a"), (1, "c", 3, "f", "{}", "b"), (1, "d", 4, "f", "oops", "e"), (1, "e", 5, "g", "{}", "d"), (1, "f", 6, "f", '{"z":1,"n":2}', "gone")],
@@ -377,6 +492,57 @@ def test_fingerprints_equal_brute_force(docs, texts, none):
     assert fingerprints.fingerprint_edits(none).count() == 0
 
 
+def naive_sketch(text: str, k: int = fingerprints.K, words: int = fingerprints.WORDS) -> list[int]:
+    """Bottom-k by whole numbers: a word is a polynomial of its bytes, a shingle one of its words."""
+    full = (1 << 64) - 1
+
+    def mix(x: int) -> int:
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m & full
+        return x ^ x >> 33
+
+    tokens = [w.translate(LOWER).encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    hashes = [mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) & full) for w in tokens]
+    runs = [hashes[i : i + words] for i in range(max(1, len(hashes) - words + 1))] if hashes else []
+    return sorted({mix(sum(h * ((2 * j + 1) * 0xD6E8FEB86659FD93 & full) for j, h in enumerate(r)) & full) >> 32 for r in runs})[:k]
+
+
+def naive_likeness(a: list[int], b: list[int], k: int = fingerprints.K) -> float:
+    if not a or not b:
+        return float(a == b)
+    union = sorted({*a, *b})[:k]
+    return len([x for x in union if x in a and x in b]) / len(union)
+
+
+def test_fingerprints_equal_naive_bottom_k(docs, texts):
+    order = sorted(texts, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = Counter()
+    for i, (ident, text) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        cut = len(text) // 3
+        a, e, n = naive_sketch(text), naive_sketch(text[: len(text) - cut] + after[:cut]), naive_sketch(after)
+        as_hex = lambda x: "".join(f"{h:08x}" for h in x)
+        want[(ident, as_hex(a), as_hex(e), round(naive_likeness(a, e), 9), round(naive_likeness(a, n), 9))] += 1
+    rows = fingerprints.fingerprint_edits(docs).collect()
+    assert want == Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows)
+
+
+def test_sketches_with_equal_upper_halves_have_k_hashes(monkeypatch):
+    many = np.sort(np.concatenate([np.arange(500, dtype=np.uint64), (np.arange(40, dtype=np.uint64) + np.uint64(1)) << np.uint64(32)]))
+    monkeypatch.setattr(fingerprints, "shingles", lambda *a: (many, np.array([0, len(many)])))
+    assert fingerprints.sketch_texts(pa.array(["x"]), 16)[0].tolist() == list(range(16))
+
+
+def test_merged_sketches_are_those_of_all_texts(spark, docs, texts):
+    rows = fingerprints.fingerprint(docs).withColumn("g", F.coalesce(F.col("doc_id") % 4, F.lit(-1)))
+    got = {r["g"]: r["fingerprint"] for r in fingerprints.merged_by(rows, ["g"]).collect()}
+    for g in got:
+        mine = [naive_sketch(t or "") for i, t in texts if (-1 if i is None else i % 4) == g]
+        assert got[g] == "".join(f"{h:08x}" for h in sorted({h for m in mine for h in m})[: fingerprints.K])
+    blank = spark.createDataFrame([("a", ""), ("a", None)], "g string, fingerprint string")
+    assert [tuple(r) for r in fingerprints.merged_by(blank, ["g"]).collect()] == [("a", "")]
+
+
 def test_sketch_functions(spark):
     rng = random.Random(4)
     a, b = prose(rng, 3000), prose(rng, 3000)
