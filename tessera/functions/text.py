@@ -206,36 +206,59 @@ def segments(text: str | None, capacity: int) -> list[tuple[int, int, int, list[
     return [(i, at, end, of[i]) for i, (at, end) in enumerate(zip(cuts, cuts[1:] or [0], strict=False))]
 
 
+_FENCE = re.compile(rb" {0,3}(`{3,}|~{3,})")
+_ITEM = re.compile(rb" {0,3}([-*+]|\d{1,9}[.)])[ \t\n]")
+_RULE = re.compile(rb" {0,3}([-*_])[ \t]*(\1[ \t]*){2,}\r?\n?$")
+_UNDERLINE = re.compile(rb" {0,3}(=+|-+)[ \t]*\r?\n?$")
+
+
 def blocks(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of a Markdown text's outer blocks: heading, prose, code (fenced), list."""
-    raw, out, at, fence = (text or "").encode(), [], 0, None
-    kind = None
-    for line in re.findall(rb"[^\n]*\n|[^\n]+", raw):
-        s = line.strip()
+    """(kind, start, end) of a Markdown text's outer blocks: heading, prose, code (fenced or indented), list.
+
+    A fence is closed by one of its kind that is no shorter; what a list or a quote holds belongs to it, a quote being prose; an underline
+    makes a heading of the prose before it; a rule is no block and ends one. Lines that follow prose without a blank continue it.
+    """
+    raw, out, fence, blank = (text or "").encode(), [], b"", True
+
+    def grow(kind: str, line: re.Match, new: bool) -> None:
+        if new or not out or out[-1][0] != kind:
+            out.append([kind, line.start(), line.end()])
+        out[-1][2] = line.end()
+
+    for line in _LINE.finditer(raw):
+        s = line.group()
+        last = out[-1][0] if out and (not blank or out[-1][0] in ("list", "code")) else None
+        mark = _FENCE.match(s)
         if fence:
-            out[-1][2] = at + len(line)
-            if s.startswith(fence):
-                fence, kind = None, None
-        elif s.startswith((b"```", b"~~~")):
-            fence, kind = s[:3], "code"
-            out.append(["code", at, at + len(line)])
-        elif not s:
-            kind = kind if kind == "list" else None
-        elif heading(line.decode(errors="replace").rstrip("\r\n")):
-            out.append(["heading", at, at + len(line)])
-            kind = None
-        elif re.match(rb"\s*([-*+]|\d+[.)]) ", line) or (kind == "list" and line[:1] in b" \t"):
-            if kind != "list":
-                out.append(["list", at, at + len(line)])
-            out[-1][2] = at + len(line)
-            kind = "list"
+            grow(last, line, False)
+            if mark and mark[1].startswith(fence) and not s[mark.end() :].strip():
+                fence = b""
+            blank = False
+            continue
+        if not s.strip():
+            blank = True
+            continue
+        inside = last == "list" and (s[:1] in (b" ", b"\t") or not blank and not mark)
+        if mark and not inside:
+            fence = mark[1]
+            grow("code", line, True)
+        elif heading(s.decode(errors="replace").rstrip("\r\n")):
+            grow("heading", line, True)
+        elif last == "prose" and not blank and _UNDERLINE.match(s) and raw[out[-1][1] : out[-1][1] + 1] != b">":
+            out[-1][0], out[-1][2] = "heading", line.end()
+        elif _RULE.match(s):
+            blank = True
+            out.append(["rule", line.start(), line.end()])
+            continue
+        elif inside or _ITEM.match(s):
+            fence = mark[1] if mark else b""
+            grow("list", line, last != "list")
+        elif s.startswith((b"    ", b"\t")) and last != "prose":
+            grow("code", line, blank and last != "code" or last is None)
         else:
-            if kind != "prose":
-                out.append(["prose", at, at + len(line)])
-            out[-1][2] = at + len(line)
-            kind = "prose"
-        at += len(line)
-    return [tuple(b) for b in out]
+            grow("prose", line, blank)
+        blank = False
+    return [tuple(b) for b in out if b[0] != "rule"]
 
 
 def teaching_blocks(found: list[tuple[str, int, int]], capacity: int, tiny: int = 48, run: int = 8) -> list[tuple[str, int, int]]:
@@ -338,8 +361,46 @@ def byte_slice(text: Column, start: Column, end: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8"))
 
 
+def mapping(lines: list[str]) -> tuple[list[tuple[str, str]], str | None]:
+    """(fields, error) of a block of `key: value` lines: nested keys are joined by dots, lists ([a, b] or - items) are JSON arrays.
+
+    Quotes around values go; comments and blank lines are skipped. Errors: a line that is neither, a key that is repeated.
+    """
+    import json
+
+    values: dict[str, str | list[str]] = {}
+    above: list[tuple[int, str]] = []  # indentation and name of the keys that a line may stand under
+    error = None
+    plain = lambda v: v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "'\"" else v
+    for line in lines:
+        part = line.strip()
+        indent = len(line) - len(line.lstrip())
+        if not part or part.startswith("#"):
+            continue
+        item = part == "-" or part.startswith("- ")
+        while above and (above[-1][0] > indent or above[-1][0] == indent and not item):
+            above.pop()
+        if item and above and values.get(above[-1][1]) in ("", None) or item and above and isinstance(values.get(above[-1][1]), list):
+            name = above[-1][1]
+            values[name] = [*(values[name] or []), plain(part[1:].strip())]
+            continue
+        key, colon, value = part.partition(":")
+        if item or not colon or not key.strip():
+            error = "not a mapping"
+            continue
+        name, value = ".".join([*([above[-1][1]] if above else []), plain(key.strip())]), value.strip()
+        if name in values:
+            error = "repeated key"
+        if value.startswith("[") and value.endswith("]"):
+            values[name] = [plain(v.strip()) for v in value[1:-1].split(",") if v.strip()]
+        else:
+            values[name] = plain(value)
+        above.append((indent, name))
+    return [(k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in values.items()], error
+
+
 def parse_note(text: str | None, most: int = 256 * 1024) -> list[tuple[str, list[tuple[str, str]], int, str | None]]:
-    """(state, fields, body_start, error) of a note: flat `key: value` lines between --- lines, an optional BOM before.
+    """(state, fields, body_start, error) of a note: a mapping() between --- lines, an optional BOM before.
 
     A note without an envelope is plain; an unterminated, too long or repeated-key envelope is invalid but stays readable.
     """
@@ -352,15 +413,7 @@ def parse_note(text: str | None, most: int = 256 * 1024) -> list[tuple[str, list
         return [("invalid", [], 0, "unterminated")]
     if body.start() > most:
         return [("invalid", [], 0, "too long")]
-    fields, error = [], None
-    for line in raw[at : at + body.start()].decode(errors="replace").splitlines()[1:]:
-        key, sep, value = line.partition(":")
-        if not sep and line.strip():
-            error = "not a mapping"
-        elif sep:
-            if any(k == key.strip() for k, _ in fields):
-                error = "repeated key"
-            fields.append((key.strip(), value.strip()))
+    fields, error = mapping(raw[at : at + body.start()].decode(errors="replace").splitlines()[1:])
     return [("invalid" if error else "record", fields, at + body.end(), error)]
 
 

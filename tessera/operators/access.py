@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import text
+from tessera.functions import scalars, text
+from tessera.operators.catalog import PASSAGE_BYTES, PASSAGES
 from tessera.operators.filters import Filters, embeddable, matches
 from tessera.sources.store import written
 
@@ -173,6 +174,47 @@ def review_plan(decisions: DataFrame, evidence: DataFrame, checks: DataFrame) ->
     return out.select("assertion_id", outcome.alias("outcome"), "unchanged", "retract", "successors")
 
 
+def research_packet(passages: DataFrame, most: int = PASSAGES, most_bytes: int = PASSAGE_BYTES, candidates: int = 8 * PASSAGES) -> DataFrame:
+    """(run, passage, owner, start, end) of each run's packet from passages (run, owner, start, end, explicit, rank).
+
+    Explicit ranges come first, then by rank, owner and start; of a run the first `candidates` different ones take part, so that a run's fold is bounded. A passage inside a chosen one, or
+    around an explicit one, is dropped; one around chosen automatic ones takes their place, and an explicit one also that of an automatic one
+    around it, if the packet still has most_bytes at most. At most `most` passages, named p1, p2, ... in their order.
+    """
+    once = passages.groupBy("run", "owner", "start", "end").agg(F.min(F.struct(~F.col("explicit"), "rank")).alias("b")).select("run", "owner", "start", "end", F.col("b.col1").alias("late"), F.col("b.rank").alias("rank"))
+    w = Window.partitionBy("run").orderBy("late", "rank", "owner", "start", "end")
+    cut = once.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= candidates)
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        chosen: list = []  # rows in the packet's order
+        around = lambda a, b: a.owner == b.owner and a.start <= b.start and a.end >= b.end
+        size = lambda rows: sum(r.end - r.start for r in rows)
+        for r in g.sort_values("n").itertuples():
+            if r.late and any(around(c, r) or (not c.late and around(r, c)) for c in chosen):
+                continue
+            places = [i for i, c in enumerate(chosen) if c.late and (around(r, c) or (not r.late and around(c, r)))]
+            if places:
+                rest = [c for i, c in enumerate(chosen) if i not in places]
+                if size(rest) + r.end - r.start <= most_bytes:
+                    chosen = [r if i == places[0] else c for i, c in enumerate(chosen) if i == places[0] or i not in places]
+                    continue
+            if len(chosen) < most and size(chosen) + r.end - r.start <= most_bytes:
+                chosen.append(r)
+        return pd.DataFrame({"run": [g["run"].iloc[0]] * len(chosen), "passage": [f"p{i + 1}" for i in range(len(chosen))], "owner": [c.owner for c in chosen], "start": [c.start for c in chosen], "end": [c.end for c in chosen]})
+
+    kinds = dict(passages.dtypes)
+    return cut.groupBy("run").applyInPandas(fold, f"run {kinds['run']}, passage string, owner {kinds['owner']}, start {kinds['start']}, end {kinds['end']}")
+
+
+def decoded(rows: DataFrame, schema: str, checks: dict[str, Column], most_bytes: int = 1 << 20, column: str = "json") -> DataFrame:
+    """(the other columns, record, errors): stored JSON rows as a typed struct, with what is wrong: too large (then it isn't parsed), not a record, or the names of checks (columns of record) that fail."""
+    large = F.octet_length(column) > most_bytes
+    typed = rows.withColumn("record", F.when(~large, F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})))
+    broken = F.col("record").isNull() | F.try_parse_json(column).isNull()
+    found = F.when(F.coalesce(large, F.lit(False)), "too large").when(broken, "not a record").otherwise(scalars.errors(**checks))
+    return typed.withColumn("errors", found).withColumn("record", F.when(F.col("errors") == "", F.col("record"))).drop(column)
+
+
 def submissions(rows: DataFrame) -> DataFrame:
     """(packet, ordinal, outcome) of submissions (packet, ordinal, hash): the first one of a packet is consumed; the same again is unchanged, another one conflicts."""
     w = Window.partitionBy("packet").orderBy("ordinal")

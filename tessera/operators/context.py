@@ -19,7 +19,7 @@ from tessera.operators.dense import RRF
 #: Caps of a context.
 MOST_PACKETS, PER_OWNER, PER_OWNER_SOURCES, GRAPH_SHARE = 160, 2, 4, 0.5
 WHOLE_OWNERS, WHOLE_PATHS, WHOLE_BYTES = 10, 16, 96 * 1024
-SET_CANDIDATES = 80
+SET_CANDIDATES, OWNER_CANDIDATES = 80, 32
 
 
 def term_weights(blocks: DataFrame) -> DataFrame:
@@ -185,9 +185,37 @@ def facility_location(candidates: DataFrame, k: int, exchange: bool = True) -> D
     return _by_request(candidates, [F.col("weight").desc(), F.col("key")], choose, SET_CANDIDATES)
 
 
-def complementary(candidates: DataFrame, k: int, per_region: int = 2) -> DataFrame:
+def expand_parents(chosen: DataFrame, max_bytes: int) -> DataFrame:
+    """(request, key, position, whole): chosen children (request, key, position, parent, bytes, parent_bytes) with whether the parent takes its place.
+
+    In the order of their positions, a child's parent is taken if what is chosen still has max_bytes at most with it; children whose parent is
+    there already go, and so do children of a parent that is taken later. Children that don't fit even alone stay children.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["position", "key"]).reset_index(drop=True)
+        cost, whole = dict(enumerate(g["bytes"].astype(int))), {}
+        for i, parent in enumerate(g["parent"]):
+            if i not in cost or pd.isna(parent):
+                continue
+            family = [j for j in cost if g["parent"][j] == parent]
+            if sum(v for j, v in cost.items() if j not in family) + int(g["parent_bytes"][i]) <= max_bytes:
+                cost = {j: v for j, v in cost.items() if j not in family} | {i: int(g["parent_bytes"][i])}
+                whole[i] = True
+        kept = g.loc[sorted(cost)]
+        return pd.DataFrame({"request": kept["request"], "key": kept["key"], "position": kept["position"].astype("int64"), "whole": [whole.get(i, False) for i in kept.index]})
+
+    kinds = dict(chosen.dtypes)
+    return chosen.groupBy("request").applyInPandas(run, f"request {kinds['request']}, key {kinds['key']}, position long, whole boolean")
+
+
+def complementary(candidates: DataFrame, k: int, per_region: int = 2, per_owner: int = OWNER_CANDIDATES) -> DataFrame:
     """(request, key, position): passages (request, key, region, strength, terms, weights) by strength, at most per_region of a region,
-    then those that add the most weight of terms not covered yet, until none adds any or there are k."""
+    then those that add the most weight of terms not covered yet, until none adds any or there are k. Where candidates have an owner, each
+    owner's per_owner strongest take part."""
+    if "owner" in candidates.columns:
+        w = Window.partitionBy("request", "owner").orderBy(F.col("strength").desc(), "key")
+        candidates = candidates.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_owner).drop("_n")
 
     def choose(g: pd.DataFrame) -> list[int]:
         regions, covered, out = {}, set(), []

@@ -76,7 +76,7 @@ def worklist(units: DataFrame, vectors: DataFrame, shards: int = 64, key: str =
     than a batch is alone. Filling is sequential, so each shard's sorted rows are streamed through one fold.
     """
     missing = units.join(vectors.select(key), key, "left_anti").groupBy(key).agg(F.max("bytes").cast("long").alias("bytes"))
-    dealt = missing.select(F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(shards)).cast("int").alias("shard"), key, "bytes")
+    dealt = missing.select(F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int").alias("shard"), key, "bytes")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, batch, items, held = None, 0, 0, 0

@@ -340,3 +340,29 @@ def lifecycle_states(spark, sf):
     li, n = model.table(spark, sf, "lineitem"), F.col("l_linenumber")
     rows = li.select(F.col("l_orderkey").alias("id"), n.alias("line"), F.when(n == 1, "revision").when(n == 2, "assertion").otherwise("page").alias("kind"), F.when(F.col("l_returnflag") == "A", "proposed").when(F.col("l_returnflag") == "R", "superseded").otherwise("active").alias("status"), (F.col("l_orderkey") % 40 == 0).alias("withdrawn"), (F.col("l_tax") < 0.02).alias("older"))
     return rows.select("id", "line", eligibility.lifecycle().alias("state"))
+
+
+@query("packets_handed")
+def packets_handed(spark, sf):
+    """Each run's research packet: explicit ranges first, spans around others in their place."""
+    li = model.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity")).alias("s"))
+    start = F.col("s.l_partkey") * 17 % 600
+    p = li.select(F.floor(F.col("l_orderkey") / 16).alias("run"), (F.col("l_orderkey") % 4).alias("owner"), start.alias("start"), (start + F.col("s.l_quantity").cast("long") * 16).alias("end"), (F.col("l_linenumber") == 5).alias("explicit"), (F.col("s.l_partkey") % 50).alias("rank"))
+    return access.research_packet(p, 12, 6000)
+
+
+@query(
+    "records_decoded",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'not a record' WHEN o_orderkey % 13 = 0 THEN 'too large' WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 = 0 THEN 'day,kind' WHEN o_orderkey % 7 = 0 THEN 'day' WHEN o_orderkey % 5 = 0 THEN 'kind' ELSE '' END AS errors, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN o_custkey END AS customer, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN o_orderkey % 28 + 1 END AS day FROM orders",
+)
+def records_decoded(spark, sf):
+    """Orders as stored JSON rows, decoded into a typed record: some are broken, too large, of an unknown kind or of a day that isn't there."""
+    from tessera.functions import scalars
+
+    k = F.col("o_orderkey")
+    day = F.when(k % 7 == 0, "2024-02-30").otherwise(F.concat(F.lit("2024-02-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")))
+    made = F.to_json(F.struct(F.when(k % 5 == 0, "other").otherwise("order").alias("kind"), day.alias("day"), F.col("o_custkey").alias("customer")))
+    json = F.when(k % 11 == 0, F.lit("{oops")).when(k % 13 == 0, F.concat(made, F.repeat(F.lit(" "), 400))).otherwise(made)
+    checks = {"kind": F.col("record.kind") == "order", "day": scalars.as_date(F.col("record.day")).isNotNull()}
+    out = access.decoded(model.table(spark, sf, "orders").select("o_orderkey", json.alias("json")), "kind string, day string, customer long", checks, 300)
+    return out.select("o_orderkey", "errors", F.col("record.customer").alias("customer"), F.dayofmonth(scalars.as_date(F.col("record.day"))).cast("long").alias("day"))

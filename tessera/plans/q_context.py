@@ -167,7 +167,7 @@ def facility_location(spark, sf):
 
 @query("complementary_passages")
 def complementary_passages(spark, sf):
-    d = model.table(spark, sf, "documents").select((F.col("doc_id") % 10).alias("request"), F.col("doc_id").alias("key"), (F.col("doc_id") % 6).alias("region"), F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") % 97) / 97.0).otherwise(0.0).alias("strength"), "text")
+    d = model.table(spark, sf, "documents").select((F.col("doc_id") % 10).alias("request"), F.col("doc_id").alias("key"), (F.col("doc_id") % 6).alias("region"), context.semantic_strength(F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") % 97) / 97.0)).alias("strength"), "text")
     d = context.cut_for_request(d, [F.col("strength").desc(), F.col("key")])  # the operator's own cut, before texts become terms
     d = d.withColumn("terms", F.array_distinct(model.tokens("text"))).drop("text")
     return context.complementary(d.withColumn("weights", F.transform("terms", lambda t: F.length(t).cast("long"))), 8)

@@ -320,7 +320,7 @@ def vector_normalise(spark, sf):
 
 
 def _cache(spark, sf):
-    u = model.units(spark, sf).select(F.col("unit_id").cast("string").alias("input_hash"), (F.col("unit_id") % 4000 + 10).cast("long").alias("bytes"), "unit_id", "embedding")
+    u = model.units(spark, sf).select(F.col("unit_id").cast("string").alias("input_hash"), ((F.col("unit_id") % 4000 + 10) * 50).cast("long").alias("bytes"), "unit_id", "embedding")
     stored = u.filter("unit_id % 5 <> 0").select("input_hash", F.when(F.col("unit_id") % 7 == 0, F.col("embedding")).otherwise(dense.normalised("embedding")).alias("vector"), (F.col("unit_id") % 3 != 0).alias("ready"))
     return u.select("input_hash", "bytes"), stored
 
@@ -334,7 +334,17 @@ def vector_coverage(spark, sf):
     return dense.coverage(*_cache(spark, sf))
 
 
-@query("vector_worklist")
+_FULL = "(r.items = 32 OR r.held + o.bytes > 262144)"
+
+
+@query(
+    "vector_worklist",
+    f"""WITH RECURSIVE m AS (SELECT vec_id::VARCHAR AS input_hash, (vec_id % 4000 + 10) * 50 AS bytes, (('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 4)::INTEGER AS shard FROM embeddings WHERE vec_id % 5 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY input_hash) AS n FROM m),
+r AS (SELECT shard, n, input_hash, bytes, 0 AS batch, 1 AS items, bytes AS held FROM o WHERE n = 1 UNION ALL
+  SELECT o.shard, o.n, o.input_hash, o.bytes, r.batch + CASE WHEN {_FULL} THEN 1 ELSE 0 END, CASE WHEN {_FULL} THEN 1 ELSE r.items + 1 END, CASE WHEN {_FULL} THEN o.bytes ELSE r.held + o.bytes END FROM r JOIN o ON o.shard = r.shard AND o.n = r.n + 1)
+SELECT shard, batch, input_hash, bytes FROM r""",
+)
 def vector_worklist(spark, sf):
     units, stored = _cache(spark, sf)
     return dense.worklist(units, stored, 4)

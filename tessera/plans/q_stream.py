@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ledger import RUN_STATES
 from tessera.plans.registry import query
 from tessera.sources import model, store
 from tessera.streaming import ledger
@@ -40,7 +41,16 @@ def stream_rates(spark, sf):
     return last.select(F.unix_seconds("start").alias("start"), "event_type", "r.requests", F.round("r.amount", 4).alias("amount"))
 
 
-@query("stream_replay")
+_STEP = f"(r.state = '' AND o.state = 'planned' OR r.state || '>' || o.state IN ({', '.join(repr(f'{a}>{b}') for a, b in sorted(RUN_STATES))}))"
+
+
+@query(
+    "stream_replay",
+    f"""WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS run_id, event_id + 1 AS sequence, ['running', 'paused', 'stopped', 'planned', 'running', 'completed', 'planned'][event_id % 7 + 1] AS state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT DISTINCT run_id, 0::BIGINT AS n, '' AS state, 0::BIGINT AS last, 0::BIGINT AS refused FROM o UNION ALL
+  SELECT o.run_id, o.n, CASE WHEN {_STEP} THEN o.state ELSE r.state END, o.sequence, r.refused + CASE WHEN {_STEP} THEN 0 ELSE 1 END FROM r JOIN o ON o.run_id = r.run_id AND o.n = r.n + 1)
+SELECT run_id, state, last, refused FROM r QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1""",
+)
 def stream_replay(spark, sf):
     """The state of each user's run after a replay; the states are made of the events' numbers."""
     names = F.array(*[F.lit(x) for x in ("running", "paused", "stopped", "planned", "running", "completed", "planned")])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars, text
 from tessera.operators import render
+from tessera.plans.q_search import GRAPH_ROWS_SQL
 from tessera.plans.registry import query
 from tessera.sources import model
 from tessera.sources.model import ASSERTIONS_SQL, ENTITIES_SQL, TOKENS_SQL
@@ -106,7 +107,7 @@ def links_found(spark, sf):
     return text.mapped(d, text.links, ("text",), "start long, target string, label string", ("doc_id",))
 
 
-@query("notes_parsed", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'record' WHEN 1 THEN 'plain' WHEN 2 THEN 'invalid' ELSE 'invalid' END AS state, CASE doc_id % 4 WHEN 2 THEN 'unterminated' WHEN 3 THEN 'repeated key' END AS error, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 2 ELSE 0 END AS fields FROM documents")
+@query("notes_parsed", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'record' WHEN 1 THEN 'plain' WHEN 2 THEN 'invalid' ELSE 'invalid' END AS state, CASE doc_id % 4 WHEN 2 THEN 'unterminated' WHEN 3 THEN 'repeated key' END AS error, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS fields FROM documents")
 def notes_parsed(spark, sf):
     head = F.when(F.col("doc_id") % 4 == 0, "---\nkind: page\ntitle: x\n---\n").when(F.col("doc_id") % 4 == 2, "---\nkind: page\n").when(F.col("doc_id") % 4 == 3, "---\nkind: a\nkind: b\n---\n").otherwise("")
     d = model.table(spark, sf, "documents").select("doc_id", F.concat(head, F.regexp_replace("text", "---", "")).alias("text"))
@@ -135,11 +136,14 @@ def _cut_long(t):
     return [(n, a, b, raw[a:b].decode()) for n, a, b, _ in text.segments(t, 4000)]
 
 
-@query("graph_rows_rendered", "SELECT 'supplier_' || s_suppkey AS target_id, s_name AS name, s_name || ' ' || n_name AS endpoints, '{\"modality\":\"asserted\",\"negated\":' || CASE WHEN s_suppkey % 10 = 0 THEN 'true' ELSE 'false' END || '}' AS qualifiers FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query(
+    "graph_rows_rendered",
+    f"WITH {GRAPH_ROWS_SQL} SELECT target_id, target_kind, title, name, aliases, endpoints, predicate, qualifiers, description FROM gr",
+)
 def graph_rows_rendered(spark, sf):
-    n = model.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    s = model.table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    return s.select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("target_id"), F.col("s_name").alias("name"), F.concat_ws(" ", "s_name", "n_name").alias("endpoints"), F.to_json(F.struct(F.lit("asserted").alias("modality"), (F.col("s_suppkey") % 10 == 0).alias("negated"))).alias("qualifiers"))
+    from tessera.plans import indexes
+
+    return indexes.graph_rows(spark, sf).withColumn("aliases", F.array_join("aliases", " "))
 
 
 @query("dates_checked", "SELECT DISTINCT l_shipdate::DATE::VARCHAR AS d, l_shipdate::DATE AS day, true AS ok FROM lineitem")

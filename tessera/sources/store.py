@@ -26,14 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """df with a last stage of four tasks, and so files, for each core at most: partitions beyond that are taken one after the other."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors.
 
-    The shuffle files of the write go when it ends, as the table stands for them; release() removes the table. With
-    few, its last stage has four tasks, and files, for each core at most: for small or even rows, none for a hot key's.
+    The shuffle files of the write go when it ends, as the table stands for them; release() removes the table. few writes
+    fewer() files: for small or even rows, none for a hot key's.
     """
     spark = df.sparkSession
-    df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df
+    df = fewer(df) if few else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k) for k in WRITING}
     for k, v in WRITING.items():

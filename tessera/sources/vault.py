@@ -63,6 +63,25 @@ def parsed(notes_: DataFrame) -> DataFrame:
     return out.select("path", "state", F.col("pairs").alias("fields"), "body_start", "error")
 
 
+def transient(notes_: DataFrame) -> dict[str, DataFrame]:
+    """The catalog's tables of notes that aren't published: documents, links and headings, for one command. Nothing is written; a table that isn't asked for isn't computed."""
+    envelope = parsed(notes_)
+    fields = F.map_from_entries(F.transform("fields", lambda p: F.struct(p["k"], p["v"])))
+    known = envelope.select("path", "state", "error", "body_start", fields.alias("f"))
+    rows = notes_.join(known, "path")
+    documents = rows.select(
+        "path", "hash", F.col("f")["id"].alias("record_id"), F.col("f")["kind"].alias("kind"), F.coalesce(F.col("f")["title"], F.regexp_extract("text", r"(?m)^#{1,6} +(.*?) *#* *$", 1)).alias("title"), "state", "error",
+        F.when(F.col("state") == "invalid", "invalid").otherwise("current").alias("eligibility"), F.expr("substring(encode(text, 'UTF-8'), cast(body_start as int) + 1)").cast("string").alias("body"),
+    )
+    found = text.mapped(notes_, text.links, ("text",), "byte_start long, target string, label string", ("path",)).withColumnRenamed("path", "from_path")
+    headings = text.mapped(notes_, _headings, ("text",), "byte_start long, headings array<string>", ("path",))
+    return {"documents": documents, "links": found, "headings": headings}
+
+
+def _headings(t: str | None) -> list[tuple[int, list[str]]]:
+    return list(zip(*text.heading_chains((t or "").encode()), strict=True))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON-lines manifest with an explicit schema; a line that is no JSON has nulls."""
     return spark.read.schema(MANIFEST).option("mode", "PERMISSIVE").json(path)
@@ -84,10 +103,13 @@ def manifest_page(rows: DataFrame, after: int, most: int) -> DataFrame:
     return rows.filter((F.col("type") == "item") & (F.col("ordinal") > after) & (F.col("ordinal") <= after + most))
 
 
-def body_hash(rows: DataFrame) -> DataFrame:
-    """One row: a digest of the items that doesn't hang on their order, summed by partial aggregation."""
-    d = F.conv(F.substring(F.sha2(F.concat_ws("\0", F.col("ordinal").cast("string"), "path", "original_hash"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.filter("type = 'item'").agg(F.sha2(F.coalesce(F.sum(d), F.lit(0)).cast("string"), 256).alias("body_hash"))
+def body_hash(rows: DataFrame, page: int = 4096) -> DataFrame:
+    """One row: a digest of the items in their order: of each page of ordinals a digest of its items' digests, of all pages one of theirs."""
+    d = F.sha2(F.concat_ws("\0", F.col("ordinal").cast("string"), "path", "original_hash"), 256)
+    items = rows.filter("type = 'item'").select("ordinal", F.floor(F.col("ordinal") / page).alias("page"), d.alias("d"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["d"]), "")
+    pages = items.groupBy("page").agg(F.sha2(joined(F.struct("ordinal", "d")), 256).alias("d"))
+    return pages.agg(F.sha2(joined(F.struct("page", "d")), 256).alias("body_hash"))
 
 
 def journal(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

@@ -519,6 +519,65 @@ def test_fallback(spark):
         access.search_or_fall_back(fails("budget"), lambda: rows)
 
 
+def test_research_packets_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for run in range(10):
+        for rank in range(40):
+            a, n = int(rng.integers(0, 300)), int(rng.integers(5, 120))
+            rows.append((run, int(rng.integers(0, 2)), a, a + n, bool(rng.random() < 0.2), rank // 2))
+    kinds = "run int, owner int, start long, end long, explicit boolean, rank int"
+    got = access.research_packet(spark.createDataFrame(rows + rows[:9], kinds), 8, 500).collect()
+    for run in range(10):
+        mine = {}
+        for _, o, a, b, x, k in [r for r in rows if r[0] == run]:
+            mine[o, a, b] = min(mine.get((o, a, b), (True, 99)), (not x, k))
+        packet: list[tuple] = []
+        covers = lambda p, q: p[0] == q[0] and p[1] <= q[1] and p[2] >= q[2]
+        for p, (late, _) in sorted(mine.items(), key=lambda m: (m[1], m[0])):
+            if late and any(covers(q, p) or (not l and covers(p, q)) for q, l in packet):
+                continue
+            out = [x for x in packet if x[1] and (covers(p, x[0]) or (not late and covers(x[0], p)))]
+            rest = [x for x in packet if x not in out]
+            if out and sum(q[2] - q[1] for q, _ in rest) + p[2] - p[1] <= 500:
+                at = packet.index(out[0])
+                packet = [x for x in packet[:at] if x not in out] + [(p, late)] + [x for x in packet[at:] if x not in out]
+            elif len(packet) < 8 and sum(q[2] - q[1] for q, _ in packet) + p[2] - p[1] <= 500:
+                packet.append((p, late))
+        found = sorted((int(r["passage"][1:]), r["owner"], r["start"], r["end"]) for r in got if r["run"] == run)
+        assert found == [(i + 1, *p) for i, (p, _) in enumerate(packet)]
+
+
+def test_parents_take_the_place_of_their_children(spark):
+    rows = [(1, "a", 1, "P", 10, 50), (1, "b", 2, "Q", 10, 200), (1, "c", 3, "P", 10, 50), (1, "d", 4, None, 30, None), (1, "e", 5, "R", 5, 20), (2, "z", 1, "P", 10, 50)]
+    df = spark.createDataFrame(rows, "request int, key string, position long, parent string, bytes long, parent_bytes long")
+    got = sorted(tuple(r) for r in context.expand_parents(df, 110).collect())
+    assert got == [(1, "a", 1, True), (1, "b", 2, False), (1, "d", 4, False), (1, "e", 5, True), (2, "z", 1, True)]
+
+
+def test_transient_tables(spark):
+    notes = spark.createDataFrame([("a.md", "---\nid: r1\nkind: page\ntags: [x, y]\nmeta:\n  by: me\n---\n# Top\nsee [[b|B]]\n", "h1"), ("b.md", "## Plain title ##\ntext", "h2"), ("c.md", "---\nid: 1\nid: 2\n---\nz", "h3")], "path string, text string, hash string")
+    t = vault.transient(notes)
+    got = {r["path"]: (r["record_id"], r["kind"], r["title"], r["eligibility"], r["body"]) for r in t["documents"].collect()}
+    assert got == {"a.md": ("r1", "page", "Top", "current", "# Top\nsee [[b|B]]\n"), "b.md": (None, None, "Plain title", "current", "## Plain title ##\ntext"), "c.md": ("2", None, "", "invalid", "z")}
+    assert [(r["from_path"], r["target"], r["label"]) for r in t["links"].collect()] == [("a.md", "b", "B")]
+    assert sorted((r["path"], r["headings"]) for r in t["headings"].collect()) == [("a.md", ["Top"]), ("b.md", ["Plain title"])]
+
+
+def test_mappings():
+    lines = ["a: 1", "# no", "list:", "  - x", "  - 'y z'", "flow: [p, \"q\"]", "deep:", "  in: ner", "  more:", "    - k", "same:", "- v", "quoted: 'a: b'"]
+    assert text.mapping(lines) == ([("a", "1"), ("list", '["x", "y z"]'), ("flow", '["p", "q"]'), ("deep", ""), ("deep.in", "ner"), ("deep.more", '["k"]'), ("same", '["v"]'), ("quoted", "a: b")], None)
+    assert text.mapping(["a: 1", "a: 2"])[1] == "repeated key" and text.mapping(["- x"])[1] == "not a mapping" and text.mapping(["nothing here"])[1] == "not a mapping" and text.mapping([]) == ([], None)
+
+
+def test_blocks_of_markdown():
+    t = "Title\n=====\n\npara one\nstill\n> quote\n\n````\n```\n# no\n````\n- a\n\n  inside\n- b\n\n    code\n\ttabbed\n\n---\nlast\n---\n"
+    found = [(k, t.encode()[a:b].decode()) for k, a, b in text.blocks(t)]
+    assert found == [("heading", "Title\n=====\n"), ("prose", "para one\nstill\n> quote\n"), ("code", "````\n```\n# no\n````\n"), ("list", "- a\n\n  inside\n- b\n\n    code\n\ttabbed\n"), ("heading", "last\n---\n")]
+    t = "text\n\n    code\n    more\n\npara\n    cont\n1. x\n2) y\n~~~\ncode\n~~~~\nafter\n"
+    assert [k for k, _, _ in text.blocks(t)] == ["prose", "code", "prose", "list", "code", "prose"]
+
+
 def nominated_by_hand(anchors, nodes, edges, depth, spans, span_bytes, text_bytes):
     """The same by lists: (from, to) -> reason or None."""
     held, out, level = [], [], []
