@@ -166,6 +166,28 @@ def readable(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+_FENCED = re.compile(rb"(?m)^ {0,3}(?:`{3,}|~{3,})[^\n]*\n?")
+#: What Markdown puts around readable text: marks of headings, items and quotes, images' and links' brackets and targets, code marks, emphasis, HTML.
+_MARKS = re.compile(
+    rb"(?m)<!--(?s:.*?)-->|<(?:script|style)\b(?s:.*?)</(?:script|style)\s*>|</?[A-Za-z][^>\n]*>|^ {0,3}#{1,6}[ \t]+|[ \t]+#+[ \t]*$|^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+|^ {0,3}>[ \t]?|"
+    rb"\[\[[^\]|\n]*\||\[\[|\]\]|!?\[(?=[^\]\n]*\]\()|\]\([^)\n]*\)|`+|\*{1,3}|(?<![A-Za-z0-9])_{1,3}|_{1,3}(?![A-Za-z0-9])"
+)
+
+
+def readable_markdown(text: str | None) -> list[tuple[str, int, int]]:
+    """(run, start, end): readable runs of Markdown with the byte spans that they are, line by line; without marks, targets of links, comments, scripts, styles and fence lines."""
+    raw, out, at = (text or "").encode(), [], 0
+    holes = sorted([m.span() for m in _FENCED.finditer(raw)] + [m.span() for m in _MARKS.finditer(raw)])
+    for a, b in [*holes, (len(raw), len(raw))]:
+        for line in _LINE.finditer(raw, at, max(a, at)):
+            run = line.group().strip()
+            if run:
+                start = line.start() + len(line.group()) - len(line.group().lstrip())
+                out.append((run.decode(), start, start + len(run)))
+        at = max(at, b)
+    return out
+
+
 def heading(line: str) -> tuple[int, str] | None:
     m = _HEADING.match(line)
     return (len(m[1]), m[2].strip().rstrip("#").strip()) if m else None

@@ -65,6 +65,17 @@ def withdrawal(source: str, revisions: DataFrame, evidence: DataFrame) -> DataFr
     return a.unionByName(b)
 
 
+def new_evidence(claims: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(id, assertion_id, source_id, revision, stance, span_start, span_end, quote_hash, error) of claims (id, assertion_id, source_id, stance, quote) on
+    the sources' current revisions (source_id, revision, text): a record where the quote stands exactly once, else the error: no source, no quote, ambiguous quote."""
+    from tessera.functions.text import unique_start
+
+    rows = claims.join(revisions.select("source_id", "revision", "text"), "source_id", "left").withColumn("at", unique_start(F.col("text"), F.col("quote")))
+    error = F.when(F.col("text").isNull(), "no source").when(F.col("at").isNotNull(), "").when(F.contains("text", F.col("quote")) & (F.length("quote") > 0), "ambiguous quote").otherwise("no quote")
+    ok = lambda c: F.when(F.col("at").isNotNull(), c)
+    return rows.select("id", "assertion_id", "source_id", "revision", "stance", F.col("at").alias("span_start"), ok(F.col("at") + F.octet_length("quote")).alias("span_end"), ok(F.sha2(F.col("quote").cast("binary"), 256)).alias("quote_hash"), error.alias("error"))
+
+
 def revalidate(evidence: DataFrame, current: DataFrame) -> DataFrame:
     """(id, state, start): evidence (id, source_id, revision, quote) against the sources' current revisions (source_id, revision, text).
 

@@ -252,12 +252,15 @@ def whole_originals(owners: DataFrame, max_bytes: int = WHOLE_BYTES, most: int =
     return _by_request(owners, [F.col("rank"), F.col("key")], choose, WHOLE_OWNERS)
 
 
-def bundles(passages: DataFrame) -> DataFrame:
+def bundles(passages: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(assertion_id, role, passage_id) of bundles from passages (assertion_id, passage_id, supports, contradicts, current, path, start, support_group).
 
     Order: current first, path, start. The first passage that both contradicts and supports, else the first that
-    contradicts; then the first of at most two support groups, mixed passages left out; no support, no bundle.
+    contradicts; then the first of at most two support groups, mixed passages left out; no support, no bundle. paths
+    (path_id, connected), as access.connected_paths gives them, leave bundles to assertions whose path is connected.
     """
+    if paths is not None:
+        passages = passages.join(paths.filter("connected").select(F.col("path_id").alias("assertion_id")), "assertion_id", "left_semi")
     order = [~F.col("current"), F.col("path"), F.col("start"), F.col("passage_id")]
     against = passages.filter("contradicts").withColumn("n", F.row_number().over(Window.partitionBy("assertion_id").orderBy(~F.col("supports"), *order))).filter("n = 1")
     pro = passages.filter("supports and not contradicts")
@@ -266,3 +269,15 @@ def bundles(passages: DataFrame) -> DataFrame:
     out = two.select("assertion_id", F.lit("supports").alias("role"), "passage_id").unionByName(against.select("assertion_id", F.lit("contradicts").alias("role"), "passage_id"))
     has = passages.filter("supports").select("assertion_id").distinct()
     return out.join(has, "assertion_id", "left_semi")
+
+
+def reply_errors(replies: DataFrame, originals: DataFrame) -> DataFrame:
+    """(request, key, start, end, reason) of a reply's ranges (request, key, start, end) that don't hold against the originals that were shown (request, key, text):
+    not shown, empty, outside, inside a character, or given twice (then once for the range)."""
+    rows = replies.groupBy("request", "key", "start", "end").agg(F.count("*").alias("n")).join(originals.withColumn("shown", F.lit(True)), ["request", "key"], "left")
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    cuts = ~F.is_valid_utf8(F.substring(raw, (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).cast("string"))
+    reason = (
+        F.when(F.col("shown").isNull(), "not shown").when(F.col("end") <= F.col("start"), "empty").when((F.col("start") < 0) | (F.col("end") > F.octet_length(raw)), "outside").when(cuts, "inside a character").when(F.col("n") > 1, "twice")
+    )
+    return rows.select("request", "key", "start", "end", reason.alias("reason")).filter("reason is not null")

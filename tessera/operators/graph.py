@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessera.sources.index import bucket_of
 from tessera.sources.store import release, written
 
+NODE_BUCKETS = 32  # of a stored adjacency
 #: The caps of a walk, and of the evidence shown for an assertion.
 MOST_SEEDS, MOST_DEPTH, PER_SEED, PER_WALK = 12, 2, 16, 128
 SUPPORTS, CONTRADICTS = 2, 1
@@ -48,7 +49,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, per_seed:
         nodes = sorted({r["node"] for r in start.select("node").collect()})  # seeds, or seeds * per_seed nodes at most
         near = edges.filter(F.col("node").isin(nodes))
         if "bucket" in edges.columns:
-            near = near.filter(F.col("bucket").isin(sorted({bucket_of(n) for n in nodes}))).drop("bucket")
+            near = near.filter(F.col("bucket").isin(sorted({bucket_of(n, NODE_BUCKETS) for n in nodes}))).drop("bucket")
         step = near.join(F.broadcast(start), "node").withColumn("hop", F.lit(hop))
         if found is not None:
             step = step.join(found.select("seed", "id"), ["seed", "id"], "left_anti")

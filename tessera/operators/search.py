@@ -39,7 +39,7 @@ def phrase_hits(index: Index, wanted: Sequence[Sequence[str]], fields: Sequence[
     """(phrase, key, field, size, len, n): how often each phrase, by its number, stands in each field of each row that has it.
 
     The query's terms, at most MOST_TERMS_JOINED, are broadcast to the postings of their buckets. A phrase of several
-    terms is where all of them have the same start: position less place in the phrase.
+    terms is where all of them have the same start: position less place in the phrase. Keys are unique in an index.
     """
     asked = [(i, j, t, len(p)) for i, p in enumerate(wanted) for j, t in enumerate(p)]
     if len(asked) > MOST_TERMS_JOINED:
@@ -50,9 +50,12 @@ def phrase_hits(index: Index, wanted: Sequence[Sequence[str]], fields: Sequence[
         found = found.filter(F.col("field").isin(*fields))
     found = found.join(F.broadcast(spark.createDataFrame(asked, "phrase int, place int, term string, terms int")), "term")
     by = ["phrase", index.key, "field", "size", "len"]
-    if max(len(p) for p in wanted) > 1:
-        found = found.groupBy(*by, "terms", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("c")).filter("c = terms")
-    return found.groupBy(*by).agg(F.count("*").alias("n"))
+    single = found.select(*by, F.col("n").cast("long").alias("n"))
+    if max(len(p) for p in wanted) == 1:
+        return single
+    several = found.filter("terms > 1").select(*by, "terms", "place", F.explode("positions").alias("position"))
+    several = several.groupBy(*by, "terms", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("c")).filter("c = terms").groupBy(*by).agg(F.count("*").alias("n"))
+    return several if min(len(p) for p in wanted) > 1 else found.filter("terms = 1").select(*by, F.col("n").cast("long").alias("n")).unionByName(several)
 
 
 def _scored(index: Index, matched: DataFrame, idf: Column, size: str, average: float, sign: int) -> DataFrame:

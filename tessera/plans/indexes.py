@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import render
+from tessera.operators.graph import NODE_BUCKETS
 from tessera.operators.graph import adjacency as adjacent
 from tessera.sources import index, model
 from tessera.sources.store import shared_dir
@@ -54,8 +55,8 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
 
     def make() -> DataFrame:
         root = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
-        a = adjacent(model.assertions(spark, sf)).withColumn("bucket", index.bucket(F.col("node")))
-        a.repartition(index.BUCKETS * index.SPREAD, "bucket", F.pmod(F.xxhash64("id"), F.lit(index.SPREAD))).sortWithinPartitions("bucket", "node").write.partitionBy("bucket").parquet(root)
+        a = adjacent(model.assertions(spark, sf)).withColumn("bucket", index.bucket(F.col("node"), NODE_BUCKETS))
+        a.repartition(2 * NODE_BUCKETS, "bucket", F.pmod(F.xxhash64("id"), F.lit(2))).sortWithinPartitions("bucket", "node").write.partitionBy("bucket").parquet(root)
         return spark.read.schema(a.schema).parquet(root)
 
     return _kept(spark, sf, "adjacency", ("nation", "customer", "supplier", "lineitem"), make)

@@ -366,3 +366,57 @@ def records_decoded(spark, sf):
     checks = {"kind": F.col("record.kind") == "order", "day": scalars.as_date(F.col("record.day")).isNotNull()}
     out = access.decoded(model.table(spark, sf, "orders").select("o_orderkey", json.alias("json")), "kind string, day string, customer long", checks, 300)
     return out.select("o_orderkey", "errors", F.col("record.customer").alias("customer"), F.dayofmonth(scalars.as_date(F.col("record.day"))).cast("long").alias("day"))
+
+
+@query(
+    "evidence_created",
+    """WITH q AS (SELECT doc_id, source, text, CASE doc_id % 4 WHEN 0 THEN substr(text, 10, 40) WHEN 1 THEN 'the' WHEN 2 THEN '#never#' ELSE substr(text, 1, 60) END AS quote, doc_id % 9 = 5 AS gone FROM documents WHERE length(text) > 80),
+p AS (SELECT *, CASE WHEN NOT gone AND position(quote IN text) > 0 AND position(quote IN substr(text, position(quote IN text) + 1)) = 0 THEN strlen(substr(text, 1, position(quote IN text) - 1)) END AS place FROM q)
+SELECT doc_id AS id, CASE WHEN gone THEN 'no source' WHEN place IS NOT NULL THEN '' WHEN contains(text, quote) THEN 'ambiguous quote' ELSE 'no quote' END AS error, place AS span_start, place + strlen(quote) AS span_end, CASE WHEN place IS NOT NULL THEN sha256(quote) END AS quote_hash FROM p""",
+)
+def evidence_created(spark, sf):
+    """Evidence records of quotes: some stand once, some often, some never, some in sources that aren't there."""
+    d, k = model.table(spark, sf, "documents").filter(F.length("text") > 80), F.col("doc_id")
+    quote = F.when(k % 4 == 0, F.substring("text", 10, 40)).when(k % 4 == 1, "the").when(k % 4 == 2, "#never#").otherwise(F.substring("text", 1, 60))
+    claims = d.select(k.alias("id"), _s("a", k).alias("assertion_id"), k.alias("source_id"), F.lit("supports").alias("stance"), quote.alias("quote"))
+    revisions = d.filter("doc_id % 9 <> 5").select(k.alias("source_id"), F.lit(1).alias("revision"), "text")
+    return catalog.new_evidence(claims, revisions).select("id", "error", "span_start", "span_end", "quote_hash")
+
+
+@query("pages_put", "SELECT 'p' || page_id AS path, CASE WHEN page_id % 10 = 3 THEN 'conflict' WHEN page_id % 10 = 4 THEN 'unchanged' ELSE 'held' END AS outcome FROM pages WHERE page_id % 2 = 0 OR page_id % 10 = 3")
+def pages_put(spark, sf):
+    """Guarded writes: a writer that saw other bytes conflicts, which holds the batch's other writes."""
+    p, k = model.table(spark, sf, "pages"), F.col("page_id")
+    pages = p.filter("page_id % 10 <> 8").select(_s("p", k).alias("path"), F.col("html").alias("text"))
+    seen = F.when(k % 10 == 3, "other").when(k % 10 != 8, F.sha2(F.col("html").cast("binary"), 256))
+    writes = p.filter("page_id % 2 = 0 or page_id % 10 = 3").select(_s("p", k).alias("path"), seen.alias("expected"), F.when(k % 10 == 4, F.col("html")).otherwise(F.concat("html", F.lit("!"))).alias("text"))
+    return store.put_pages(pages, writes)
+
+
+@query(
+    "replies_checked",
+    """WITH r AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 7 WHEN 2 THEN -1 ELSE 0 END::BIGINT AS start, CASE doc_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 20 WHEN 2 THEN 4 WHEN 3 THEN strlen(text) + 1 ELSE strlen(text) END::BIGINT AS "end" FROM documents WHERE strlen(text) > 30)
+SELECT doc_id AS key, start, "end", CASE WHEN doc_id % 7 = 0 THEN 'not shown' WHEN doc_id % 6 = 0 THEN 'empty' WHEN doc_id % 6 IN (2, 3) THEN 'outside' WHEN doc_id % 6 = 4 THEN 'twice' END AS reason FROM r WHERE doc_id % 6 <> 1 AND (doc_id % 7 = 0 OR doc_id % 6 <> 5)""",
+)
+def replies_checked(spark, sf):
+    """Ranges of replies against the originals that were shown; a range inside a text, which may cut a character, is left to a test."""
+    from tessera.operators import context
+
+    d, k = model.table(spark, sf, "documents").filter(F.octet_length("text") > 30), F.col("doc_id")
+    size = F.octet_length("text").cast("long")
+    start = F.when(k % 6 == 0, 5).when(k % 6 == 1, 7).when(k % 6 == 2, -1).otherwise(0).cast("long")
+    end = F.when(k % 6 == 0, F.lit(5).cast("long")).when(k % 6 == 1, F.lit(20).cast("long")).when(k % 6 == 2, F.lit(4).cast("long")).when(k % 6 == 3, size + 1).otherwise(size)
+    replies = d.filter("doc_id % 6 <> 1").select(F.lit(1).alias("request"), k.alias("key"), start.alias("start"), end.alias("end"))
+    replies = replies.unionByName(replies.filter("key % 6 = 4"))
+    return context.reply_errors(replies, d.filter("doc_id % 7 <> 0").select(F.lit(1).alias("request"), k.alias("key"), "text")).drop("request")
+
+
+@query("markdown_mapped", "SELECT doc_id, true AS same, true AS found FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
+def markdown_mapped(spark, sf):
+    """Readable runs of notes of Markdown: each is the bytes of its span, and what was put between marks is found without them."""
+    note = F.concat(F.lit("# Head *one* #\n- see [a label](far/away.md) and [[n1|other]]\n```\ncode line\n```\n<b>bold</b> "), "text")
+    rows = model.table(spark, sf, "documents").filter(~F.col("text").rlike(r"^[ \t\n\x0B\f\r]*$")).select("doc_id", note.alias("note"))
+    out = text.mapped(rows, text.readable_markdown, ("note",), "run string, start long, end long", ("doc_id", "note"))
+    want = ["Head", "one", "see", "a label", "and", "other", "code line", "bold"]
+    runs = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("start", "run"))), 1, len(want)), lambda x: x["run"])
+    return out.groupBy("doc_id").agg(F.bool_and(text.byte_slice(F.col("note"), F.col("start"), F.col("end")) == F.col("run")).alias("same"), (runs == F.array(*[F.lit(w) for w in want])).alias("found"))

@@ -143,14 +143,14 @@ def search_complete_phrase(spark, sf):
 @query("postings_terms", f"WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, unnest({TOKENS_SQL.format('body')}) AS term FROM d) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY term HAVING count(*) >= 50")
 def postings_terms(spark, sf):
     """The inverted index's terms that are in use 50 times or more."""
-    by_doc = indexes.documents(spark, sf).postings.filter("field = 'body'").groupBy("term", "path").agg(F.count("*").alias("n"))
+    by_doc = indexes.documents(spark, sf).postings.filter("field = 'body'").select("term", "path", "n")
     return by_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).filter("n >= 50")
 
 
 @query("index_fields", f"WITH {DOCUMENTS_SQL}, {TK_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS field, sum(len(t_{c}))::BIGINT AS tokens, count(DISTINCT path) FILTER (len(t_{c}) > 0) AS rows FROM tk" for c in _COLS))
 def index_fields(spark, sf):
     """What the stored index of documents holds of each field; the first query of a session that needs the index builds it."""
-    return indexes.documents(spark, sf).postings.groupBy("field", "path").agg(F.count("*").alias("n")).groupBy("field").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+    return indexes.documents(spark, sf).postings.groupBy("field", "path").agg(F.sum("n").alias("n")).groupBy("field").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
 
 
 @query("index_unmatched", "SELECT '' AS path, '' AS field, '' AS reason LIMIT 0")

@@ -1,9 +1,10 @@
 """A stored full-text index: postings with positions by bucket of terms, narrow rows of what is indexed, sums for BM25.
 
-A posting is a row for each occurrence of a term: (bucket, term, key, field, position, size, len), size being the tokens
-of its field and len those of all fields. Files are partitioned by bucket, a checksum of the term, and sorted by term, so
-that a query reads the buckets and the row groups of its terms alone. A bucket is written by SPREAD tasks, so that the
-postings of a term that is everywhere don't meet in one.
+A posting is a row for each term of each field of a row: (bucket, term, key, field, n, positions, size, len), n being how
+often the term is there, size the tokens of its field and len those of all fields. Files are partitioned by bucket, a checksum
+of the term, and sorted by term, so that a query reads the buckets and the row groups of its terms alone, and positions only for
+phrases. There is a bucket for each million tokens, of a few hundred at most, and a bucket of many tokens is
+written by several tasks, so that the postings of a term that is everywhere don't meet in one.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from tessera.sources.model import tokens
 from tessera.sources.store import CLEANUP, release, shared_dir, written
 
-BUCKETS = 32
-SPREAD = 4
+BUCKETS = (8, 512)  # the least and the most; a power of 2
+BUCKET_TOKENS = 1 << 20  # tokens of a bucket, as long as there are few enough
+TASK_TOKENS = 1 << 25  # tokens of a bucket's task
 
 
 @dataclass(frozen=True)
@@ -34,22 +36,23 @@ class Index:
     fields: tuple[str, ...]
     count: int
     sums: dict[str, int]
+    buckets: int
 
     def average(self, fields: Sequence[str] | None = None) -> float:
         return sum(self.sums[f] for f in fields or self.fields) / max(self.count, 1)
 
     def of_terms(self, terms: Sequence[str]) -> DataFrame:
         """The postings of these terms: others' buckets aren't read, and others' row groups are skipped."""
-        found = self.postings.filter(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})))
+        found = self.postings.filter(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})))
         return found.filter(F.col("term").isin(*terms))
 
 
-def bucket_of(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
+def bucket_of(term: str, buckets: int) -> int:
+    return zlib.crc32(term.encode()) % buckets
 
 
-def bucket(term: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+def bucket(term: Column, buckets: int) -> Column:
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
 def text_of(df: DataFrame, c: str) -> Column:
@@ -65,31 +68,38 @@ def build(df: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str] =
     total = sum((F.size(f"t_{f}") for f in fields), F.lit(0))
     sizes = [F.size(f"t_{f}").alias(f"size_{f}") for f in fields]
     tokenised.select(*held, *sizes).write.parquet(f"{root}/rows")
+    count, sums = _sums(spark.read.parquet(f"{root}/rows"), fields)
+    every = sum(sums.values())
+    buckets = min(BUCKETS[1], max(BUCKETS[0], 1 << (every // BUCKET_TOKENS).bit_length()))
+    spread = every // (buckets * TASK_TOKENS) + 1
     one = lambda f: tokenised.select(F.col(key), F.lit(f).alias("field"), F.size(f"t_{f}").alias("size"), total.alias("len"), F.posexplode(f"t_{f}").alias("position", "term"))
-    found = reduce(DataFrame.unionByName, [one(f) for f in fields]).withColumn("bucket", bucket(F.col("term")))
-    found = found.repartition(BUCKETS * SPREAD, "bucket", F.pmod(F.xxhash64(key), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", key)
+    found = reduce(DataFrame.unionByName, [one(f) for f in fields]).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(spread)))
+    by = ["bucket", "_part", "term", key, "field", "size", "len"]
+    found = found.repartition(buckets * spread, "bucket", "_part").groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("position")).alias("positions"))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        found.select("bucket", "term", key, "field", "position", "size", "len").write.partitionBy("bucket").parquet(f"{root}/postings")
+        found.sortWithinPartitions("bucket", "term", key).select("term", key, "field", "n", "positions", "size", "len", "bucket").write.partitionBy("bucket").parquet(f"{root}/postings")
     finally:
         spark.conf.set(CLEANUP, before)
     release(tokenised)
-    return opened(spark, root, key, fields)
+    return Index(*_tables(spark, root, key), key, tuple(fields), count, sums, buckets)
 
 
-def opened(spark: SparkSession, root: str, key: str, fields: Sequence[str]) -> Index:
-    """An index that was built before."""
-    rows = spark.read.parquet(f"{root}/rows")
-    kind = dict(rows.dtypes)[key]
-    postings = spark.read.schema(f"term string, {key} {kind}, field string, position int, size int, len int, bucket int").parquet(f"{root}/postings")
+def _sums(rows: DataFrame, fields: Sequence[str]) -> tuple[int, dict[str, int]]:
     one = rows.agg(F.count("*").alias("n"), *[F.sum(f"size_{f}").alias(f) for f in fields]).first()
-    return Index(rows, postings, key, tuple(fields), one["n"], {f: one[f] or 0 for f in fields})
+    return one["n"], {f: one[f] or 0 for f in fields}
+
+
+def _tables(spark: SparkSession, root: str, key: str) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.parquet(f"{root}/rows")
+    postings = f"term string, {key} {dict(rows.dtypes)[key]}, field string, n int, positions array<int>, size int, len int, bucket int"
+    return rows, spark.read.schema(postings).parquet(f"{root}/postings")
 
 
 def unmatched(index: Index) -> DataFrame:
     """(key, reason) of rows and postings that don't fit: postings without their row, and rows whose field has not as many postings as tokens."""
-    counted = index.postings.groupBy(index.key, "field").agg(F.count("*").alias("found"))
+    counted = index.postings.groupBy(index.key, "field").agg(F.sum("n").alias("found"))
     wanted = index.rows.select(index.key, F.explode(F.map_from_arrays(F.array(*[F.lit(f) for f in index.fields]), F.array(*[F.col(f"size_{f}") for f in index.fields]))).alias("field", "size")).filter("size > 0")
     both = wanted.join(counted, [index.key, "field"], "full")
     reason = F.when(F.col("size").isNull(), "postings without a row").when(F.col("found").isNull(), "no postings").when(F.col("found") != F.col("size"), "postings are missing")

@@ -108,6 +108,24 @@ def with_deltas(spark: SparkSession, root: str, key: str) -> DataFrame:
     return untouched.unionByName(last.select(*base.columns))
 
 
+def put_pages(pages: DataFrame, writes: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, outcome) of guarded writes (path, expected, text) to pages (path, text): expected is the hash of the bytes that the writer saw, null for a new page.
+
+    written; unchanged where the text is there already; conflict where the page isn't what was expected, or several writes name it. The batch is one change: no
+    write counts unless all are written or unchanged, and what would have been written is then held. A batch of more than `most` is refused.
+    """
+    if most is not None and writes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} changes")
+    hash_ = lambda c: F.sha2(c.cast("binary"), 256)
+    one = writes.groupBy("path").agg(F.count("*").alias("n"), F.min("expected").alias("expected"), F.min("text").alias("new"))
+    rows = one.join(pages.select("path", F.col("text").alias("old")), "path", "left")
+    same = hash_(F.col("old")).eqNullSafe(F.col("expected"))
+    outcome = F.when(F.col("n") > 1, "conflict").when(F.col("old") == F.col("new"), "unchanged").when(same, "written").otherwise("conflict")
+    judged = rows.select("path", outcome.alias("outcome"))
+    broken = judged.agg(F.coalesce(F.bool_or(F.col("outcome") == "conflict"), F.lit(False)).alias("broken"))
+    return judged.join(F.broadcast(broken)).select("path", F.when(F.col("broken") & (F.col("outcome") == "written"), "held").otherwise(F.col("outcome")).alias("outcome"))
+
+
 def overlay(base: DataFrame, writes: DataFrame, deletes: DataFrame, key: str = "path") -> DataFrame:
     """base with proposed rows in place of those with their key, and without deleted ones."""
     gone = writes.select(key).unionByName(deletes.select(key))

@@ -216,11 +216,11 @@ def test_index_reads_the_terms_buckets_and_knows_missing_postings(spark):
     docs = spark.createDataFrame([(i, f"common w{i} w{i % 7} aa aa", [f"t{i % 3}", "aa"]) for i in range(60)], "k int, body string, tags array<string>")
     t = index.build(docs, "k", ["body", "tags"])
     plan = t.of_terms(["w3"])._jdf.queryExecution().toString()
-    assert re.search(rf"PartitionFilters: \[[^]]*{index.bucket_of('w3')}", plan) and re.search(r"PushedFilters: \[[^]]*EqualTo\(term,w3\)", plan)
+    assert re.search(rf"PartitionFilters: \[[^]]*{index.bucket_of('w3', t.buckets)}", plan) and re.search(r"PushedFilters: \[[^]]*EqualTo\(term,w3\)", plan)
     twice = {r["k"]: r["n"] for r in search.phrase_hits(t, [["aa", "aa"]], ["body"]).collect()}
     assert twice == dict.fromkeys(range(60), 1)
     assert index.unmatched(t).count() == 0
-    broken = dataclasses.replace(t, postings=t.postings.filter("not (k = 5 and term = 'aa' and position = 3)").filter("k <> 6"), rows=t.rows.filter("k <> 7"))
+    broken = dataclasses.replace(t, postings=t.postings.withColumn("n", F.expr("n - int(k = 5 and term = 'aa' and field = 'body')")).filter("k <> 6"), rows=t.rows.filter("k <> 7"))
     assert {(r["k"], r["field"], r["reason"]) for r in index.unmatched(broken).collect()} == {
         (5, "body", "postings are missing"), (6, "body", "no postings"), (6, "tags", "no postings"), (7, "body", "postings without a row"), (7, "tags", "postings without a row")
     }
@@ -564,6 +564,39 @@ def test_transient_tables(spark):
     assert sorted((r["path"], r["headings"]) for r in t["headings"].collect()) == [("a.md", ["Top"]), ("b.md", ["Plain title"])]
 
 
+def test_guarded_writes(spark):
+    import hashlib
+
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    pages = spark.createDataFrame([("a", "one"), ("b", "two")], "path string, text string")
+    kinds = "path string, expected string, text string"
+    good = spark.createDataFrame([("a", h("one"), "one!"), ("b", "whatever", "two"), ("c", None, "new")], kinds)
+    assert {tuple(r) for r in store.put_pages(pages, good, 16).collect()} == {("a", "written"), ("b", "unchanged"), ("c", "written")}
+    bad = spark.createDataFrame([("a", h("one"), "x"), ("b", None, "y"), ("d", None, "z"), ("d", None, "zz")], kinds)
+    assert {tuple(r) for r in store.put_pages(pages, bad).collect()} == {("a", "held"), ("b", "conflict"), ("d", "conflict")}
+    with pytest.raises(ValueError):
+        store.put_pages(pages, good, 2)
+
+
+def test_replies_and_bundles(spark):
+    shown = spark.createDataFrame([(1, "k", "aé日b"), (1, "n", None)], "request int, key string, text string")
+    replies = spark.createDataFrame([(1, "k", 1, 3), (1, "k", 2, 3), (1, "k", 0, 7), (1, "k", 0, 8), (1, "x", 0, 1), (1, "n", 0, 1), (1, "k", 3, 6), (1, "k", 3, 6)], "request int, key string, start long, end long")
+    got = {(r["key"], r["start"], r["end"]): r["reason"] for r in context.reply_errors(replies, shown).collect()}
+    assert got == {("k", 2, 3): "inside a character", ("k", 0, 8): "outside", ("x", 0, 1): "not shown", ("n", 0, 1): "outside", ("k", 3, 6): "twice"}
+    passages = spark.createDataFrame([(a, i, True, False, True, "p", i, i) for a in "xy" for i in range(3)], "assertion_id string, passage_id int, supports boolean, contradicts boolean, current boolean, path string, start int, support_group int")
+    paths = spark.createDataFrame([("x", True), ("y", False)], "path_id string, connected boolean")
+    assert {r["assertion_id"] for r in context.bundles(passages, paths).collect()} == {"x"} and context.bundles(passages).count() == 4
+
+
+@given(st.text(alphabet="ab #*_`[]()!<>-\n1.é|", max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_readable_markdown_runs_are_their_bytes(t):
+    runs = text.readable_markdown(t)
+    raw = t.encode()
+    assert all(raw[a:b].decode() == r and r.strip() == r and r for r, a, b in runs)
+    assert all(x[2] <= y[1] for x, y in itertools.pairwise(runs))
+
+
 def test_mappings():
     lines = ["a: 1", "# no", "list:", "  - x", "  - 'y z'", "flow: [p, \"q\"]", "deep:", "  in: ner", "  more:", "    - k", "same:", "- v", "quoted: 'a: b'"]
     assert text.mapping(lines) == ([("a", "1"), ("list", '["x", "y z"]'), ("flow", '["p", "q"]'), ("deep", ""), ("deep.in", "ner"), ("deep.more", '["k"]'), ("same", '["v"]'), ("quoted", "a: b")], None)
