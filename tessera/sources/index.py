@@ -73,9 +73,9 @@ def build(df: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str] =
     buckets = min(BUCKETS[1], max(BUCKETS[0], 1 << (every // BUCKET_TOKENS).bit_length()))
     spread = every // (buckets * TASK_TOKENS) + 1
     one = lambda f: tokenised.select(F.col(key), F.lit(f).alias("field"), F.size(f"t_{f}").alias("size"), total.alias("len"), F.posexplode(f"t_{f}").alias("position", "term"))
-    found = reduce(DataFrame.unionByName, [one(f) for f in fields]).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(spread)))
+    found = reduce(DataFrame.unionByName, [one(f) for f in fields]).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(4)) + 4 * F.pmod(F.xxhash64(key), F.lit(spread)))
     by = ["bucket", "_part", "term", key, "field", "size", "len"]
-    found = found.repartition(buckets * spread, "bucket", "_part").groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("position")).alias("positions"))
+    found = found.repartition(4 * buckets * spread, "bucket", "_part").groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("position")).alias("positions"))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
