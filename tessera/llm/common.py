@@ -1,4 +1,4 @@
-"""What the operators share: whole groups from sorted batches, hot-group blocks."""
+"""What the operators share: whole groups from sorted batches."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.store import release, written
+from tessera.sources.store import fewer, release, written
 
-__all__ = ["documents", "pair_blocks", "release", "rows_of", "sliced", "text_key", "whole_groups", "written"]
+__all__ = ["documents", "fewer", "release", "rows_of", "sliced", "text_key", "whole_groups", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,21 +74,3 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str], least:
             least = max(least, 2 * rows)  # a long group isn't scanned again for each batch
     if rows:
         yield pa.Table.from_batches(held)
-
-
-def pair_blocks(rows: DataFrame, key: str, ident: str, count: str, cap: int) -> DataFrame:
-    """Deals each group into tasks (key, block_a, block_b) that see every pair of its members.
-
-    A group of up to cap rows is one task. A larger one is split by a hash of ident into blocks of about cap
-    rows and each pair of blocks is a task of its own, so that no task gets more than about 2 * cap rows.
-    side says in which block of its task a row is (0, 1; both blocks are the same if block_a = block_b).
-    """
-    blocks = F.ceil(F.col(count) / F.lit(cap)).cast("int")
-    dealt = rows.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return dealt.select(
-        *[c for c in rows.columns if c != count],
-        F.least("_b", "_o").alias("block_a"),
-        F.greatest("_b", "_o").alias("block_b"),
-        (F.col("_b") > F.col("_o")).cast("int").alias("side"),
-    )

@@ -1,8 +1,10 @@
 """N-gram Jaccard join: texts whose sets of word shingles are alike, by count vectors in an R-tree.
 
-Shingle hashes are dealt into DIMS groups; the group counts of a text are a point. The overlap of two texts is at
+Shingle hashes are dealt into groups; the group counts of a text are a point. The overlap of two texts is at
 most the sum of the coordinate minima of their points, and of two boxes of points at most the sum of the minima
-of their upper corners, which prunes the tree join. Pairs that survive are verified on the sets.
+of their upper corners, which prunes the tree join. Pairs that survive are verified on the sets. Counts of some four
+hashes a group tell unlike texts apart, so a larger set has more groups, a power of 2; points of different lengths meet
+at the shorter one's, the longer one's neighbouring groups being added up.
 
 What meets in one tree is found exactly by the same idea of token groups: two sets with a Jaccard index of at
 least t differ in at most D = floor(min size * (1 - t) / t) tokens, so of G > D + E groups of the tokens more than
@@ -19,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, pair_blocks, release, sliced, text_key, whole_groups, written
+from .common import documents, release, sliced, text_key, whole_groups, written
 from .components import connected_components
 from .kernel import U, flat, mix, shingles
 
-DIMS = 128  # dimensions of a count vector, a power of 2
+DIMS, MOST_DIMS = 128, 16_384  # dimensions of a count vector, powers of 2
 LEAF = 32  # points in a leaf of the R-tree and children of a node
-CAP = 4096  # members of a group that one task takes; a larger group is dealt into pairs of blocks
+CAP = 1024  # points of a signature that one task takes; the members of a larger group are compared with its pivot first
+TEXTS = 1024  # texts of a component that one task verifies
+SHINGLES = 1 << 20  # and their shingles
 
 
 class SizeClasses:
@@ -77,10 +81,34 @@ def signatures(tokens: np.ndarray, at: np.ndarray, classes: SizeClasses) -> tupl
     return found[order], texts[order]
 
 
-def vectors(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+def vectors(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The point of each set: counts of its tokens by their leading bits."""
     sizes = np.diff(at)
+    bits = np.clip(np.floor(np.log2(np.maximum(sizes, 1) / 4)), np.log2(DIMS), np.log2(MOST_DIMS)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(1 << bits)])
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(doc * DIMS + (tokens >> U(65 - DIMS.bit_length())).astype(np.int64), minlength=len(sizes) * DIMS).reshape(-1, DIMS)
+    place = ends[:-1][doc] + (tokens >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(place, minlength=int(ends[-1])).astype("<u4")
+    return [counts[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+class Points:
+    """The points of a table's rows, which are seen at DIMS dimensions, or those of a group at as many as all of it have."""
+
+    def __init__(self, table: pa.Table):
+        data, ends = flat(table.column("vec"))
+        self.data, self.ends = data.view("<u4").view(np.int32), ends // 4
+        self.dims = np.diff(self.ends)
+        self.low = np.zeros((len(self.dims), DIMS), np.int32)
+        for d in np.unique(self.dims).tolist():
+            rows = np.flatnonzero(self.dims == d)
+            self.low[rows] = self.data[self.ends[:-1][rows, None] + np.arange(d)].reshape(len(rows), DIMS, d // DIMS).sum(axis=2)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        d = int(self.dims[rows].min(initial=MOST_DIMS))
+        if d == DIMS or not len(rows):
+            return self.low[rows]
+        return np.stack([self.data[self.ends[r] : self.ends[r + 1]].reshape(d, -1).sum(axis=1) for r in rows.tolist()])
 
 
 def set_keys(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,12 +190,16 @@ class Forest:
             self.up = self.up[self.up]
 
 
-def _links(side: np.ndarray, split: bool, points: np.ndarray, sizes: np.ndarray, num: int, den: int, verify=None) -> list[tuple[int, int]]:
+def _links(side: np.ndarray, split: bool, points: np.ndarray, sizes: np.ndarray, num: int, den: int, verify=None, joined: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a task that pass the bound and verify(i, j); between the sides if split.
 
-    A pair whose ends are already connected by verified links isn't looked at again.
+    A pair whose ends are already connected, by links or as rows of one of the joined sets, isn't looked at again.
     """
     forest, out = Forest(len(sizes)), []
+    for same in joined or []:
+        for x in same[1:].tolist():
+            forest.join(int(same[0]), x)
+    forest.settle()
     rows = [np.flatnonzero(side == s) for s in (0, 1)] if split else [np.arange(len(sizes))] * 2
     if not len(rows[0]) or not len(rows[1]):
         return out
@@ -196,16 +228,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     and equal texts are linked; other columns are not read; an empty table gives an empty one.
 
     Copies meet once: from the first pass on a set stands for all texts that have it. No step lists the pairs of a
-    group: tasks return spanning forests of links, and groups of more than CAP are dealt into pairs of blocks.
+    group: tasks return spanning forests of links; in groups of more than CAP points, and in verification, members are
+    compared with their group's pivot first (_connected).
     """
     classes = SizeClasses(num, den)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             tokens, at = shingles(*flat(b.column("text")), words)
-            points = vectors(tokens, at).astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("tk"), pa.array(np.diff(at)), pa.array(set_keys(tokens, at).view(np.int64)), pa.array([x.tobytes() for x in points], pa.binary())],
+                [b.column("doc_id"), b.column("tk"), pa.array(np.diff(at)), pa.array(set_keys(tokens, at).view(np.int64)), pa.array(vectors(tokens, at), pa.binary())],
                 ["doc_id", "tk", "n", "set_key", "vec"],
             )
 
@@ -221,8 +253,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     id_type = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", "text", text_key().alias("tk"))
-    rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets")
-    kinds_table = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds")
+    rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets", few=True)
+    kinds_table = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds", few=True)
     kinds = kinds_table.select("set_key", "one.tk", F.col("one.doc_id").alias("one"), "n", "vec")
     # Signatures, many times the sets, are shuffled once and not written: sorted by signature, those of several sets stay.
     signed = docs.select("text").mapInArrow(signed_sets, "sig long, set_key long")
@@ -234,24 +266,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     # near copies share most of their signatures: each set of members meets in one tree
     trees = several.groupBy("members", "m1", "m2").agg(F.min("sig").alias("sig")).select("sig")
     members = several.select("sig", "set_key", "members").join(trees, "sig").join(kinds.select("set_key", "n", "vec"), "set_key")
-    near = written(_task_links(pair_blocks(members, "sig", "set_key", "members", CAP), "sig", num, den, None), "near")
+    near = _task_links(members.filter(F.col("members") <= CAP), "sig", num, den)
+    large = several.filter(F.col("members") > CAP)
+    if not large.isEmpty():
+        large = written(members.filter(F.col("members") > CAP).select("sig", "set_key", "n", "vec"), "large")
+        near = near.unionByName(_connected(large, "sig", CAP, num, den, None))
+    near = written(near, "near")
     release(several)
-    coarse_table = written(connected_components(near), "coarse")
+    coarse_table = written(connected_components(near), "coarse", few=True)
     release(near)
-    coarse = coarse_table.join(coarse_table.groupBy("component").agg(F.count("*").alias("members")), "component")
-    wanted = coarse.join(kinds.select(F.col("set_key").alias("node"), "tk", "one", "n", "vec"), "node").select(F.col("node").alias("set_key"), "component", "members", "tk", "one", "n", "vec")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("tk"))
-    dealt = pair_blocks(wanted.join(texts, "tk").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("component", "set_key", "members", "n", "vec", "text"), "component", "set_key", "members", CAP // 4)
-    links = _task_links(dealt, "component", num, den, words)
+    links = _verified(docs, coarse_table, kinds, num, den, words)
     found = connected_components(links)
     release(kinds_table, coarse_table)
     least = rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     least = least.withColumn("class", F.coalesce("component", "set_key"))
     classes_ = least.groupBy("class").agg(F.min("least").alias("component_id"))
-    of_set = written(least.select("set_key", "class").join(classes_, "class"), "classes")  # a row for each set: what rows join is without heavy keys on this side
+    of_set = written(least.select("set_key", "class").join(classes_, "class"), "classes", few=True)  # a row for each set: what rows join is without heavy keys on this side
     out = rows.select("doc_id", "n", "set_key", "tk").join(of_set, "set_key", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "tk")
-    out = written(out, "members")
+    out = written(out, "members", few=True)
     release(rows, of_set)
     return out
 
@@ -266,48 +299,129 @@ def _sets_of(column: pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(tokens), np.cumsum(np.concatenate(sizes))
 
 
-def _task_links(dealt: DataFrame, key: str, num: int, den: int, words: int | None) -> DataFrame:
-    """Links (a, b) of set keys that each task's tree join finds; verified on the texts' sets if words is given."""
+def _cuts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where groups of the keys begin in sorted rows, and the end."""
+    task = np.stack([table.column(c).to_numpy() for c in keys])
+    return np.flatnonzero(np.concatenate([[True], (task[:, 1:] != task[:, :-1]).any(axis=0), [True]]))
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _task_links(members: DataFrame, key: str, num: int, den: int) -> DataFrame:
+    """Links (a, b) of set keys that pass the bound, as the tree join of each group of a key finds them; two points need no tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, [key, "block_a", "block_b"], 20_000 if words is None else 512):
-            task = np.stack([table.column(c).to_numpy() for c in (key, "block_a", "block_b")])
-            cuts = np.flatnonzero(np.concatenate([[True], (task[:, 1:] != task[:, :-1]).any(axis=0), [True]]))
+        for table in whole_groups(batches, [key], 2048):
+            cuts, points = _cuts(table, [key]), Points(table)
+            ident, sizes = (table.column(c).to_numpy() for c in ("set_key", "n"))
+            i = cuts[:-1][np.flatnonzero(np.diff(cuts) == 2)]
+            j = i + 1
+            ok = (ident[i] != ident[j]) & (np.minimum(points.low[i], points.low[j]).sum(axis=1) * (num + den) >= num * (sizes[i] + sizes[j]))
+            for k in np.flatnonzero(ok & (np.minimum(points.dims[i], points.dims[j]) > DIMS)).tolist():
+                ok[k] = points.of(np.array([i[k], j[k]])).min(axis=0).sum() * (num + den) >= num * (sizes[i[k]] + sizes[j[k]])
+            a, b = ident[i[ok]].tolist(), ident[j[ok]].tolist()
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j - i > 2:
+                    _, one = np.unique(ident[i:j], return_index=True)  # copies of a text bring its set again
+                    one += i
+                    for p, q in _links(np.zeros(len(one)), False, points.of(one), sizes[one], num, den):
+                        a.append(int(ident[one[p]]))
+                        b.append(int(ident[one[q]]))
+            if a:
+                yield _pairs(a, b)
+
+    return members.repartition(key).sortWithinPartitions(key).mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, coarse: DataFrame, kinds: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """Links (a, b) of set keys, verified on the texts' sets, that connect what any links between members of a coarse component (node, component) connect."""
+    sized = coarse.join(kinds.select(F.col("set_key").alias("node"), "tk", "one", "n", "vec"), "node").withColumnRenamed("node", "set_key")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("tk"))
+    full = sized.join(texts, "tk").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("component", "set_key", "n", "vec", "text")
+    full = written(full, "candidates")
+    if not full.groupBy("set_key").count().filter("count > 1").isEmpty():  # repeated rows, with their ids
+        again, full = full, written(full.dropDuplicates(["set_key"]), "candidates")
+        release(again)
+    return _connected(full, "component", TEXTS, num, den, words)
+
+
+def _connected(full: DataFrame, key: str, most: int, num: int, den: int, words: int | None) -> DataFrame:
+    """Links (a, b) that connect what any links between members of a group of the key connect, of full (key, set_key, n, vec, with words text), a written table that goes.
+
+    Links pass the bound, and with words hold on the texts' sets. Every member is compared with its group's pivot, the member of
+    the least key, in tasks of some `most` members, or SHINGLES shingles, each. Near copies of one text all link there, however many. Members that
+    don't are compared with all members, by trees, in pairs of blocks; what linked to the pivot counts as connected
+    there. So rows are copied by the blocks of unlinked members only.
+    """
+    text = ["text"] if words else []
+    weight = F.ceil(F.greatest(F.count("*") / F.lit(most), *([F.sum("n") / F.lit(SHINGLES)] if words else [F.lit(0.0)]))).cast("int")
+    load = written(full.groupBy(key).agg(weight.alias("blocks"), F.min("set_key").alias("pivot")), "load", few=True)
+    block = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = full.join(load, key)
+    own, first = dealt.filter("set_key <> pivot").withColumn("block", F.array(block("blocks"))), dealt.filter("set_key = pivot").withColumn("block", every("blocks"))
+    rows = own.unionByName(first).select(key, F.explode("block").alias("block"), "set_key", "n", "vec", *text, (F.col("set_key") == F.col("pivot")).alias("is_pivot"))
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, [key, "block"], 512):
+            ident, size, points, a, b = table.column("set_key").to_numpy(), table.column("n").to_numpy(), Points(table), [], []
+            tokens, at = _sets_of(table.column("text"), words) if words else (None, None)
+            cuts = _cuts(table, [key, "block"])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # the pivot stands first
+                if words:
+                    mine = np.isin(tokens[at[i] : at[j]], tokens[at[i] : at[i + 1]])
+                    both = np.diff(np.concatenate([[0], np.cumsum(mine)])[at[i : j + 1] - at[i]])
+                else:
+                    mine = points.of(np.arange(i, j))
+                    both = np.minimum(mine[0], mine).sum(axis=1)
+                near = np.flatnonzero(both * (num + den) >= num * (size[i:j] + size[i]))[1:] + i
+                a += [int(ident[i])] * len(near)
+                b += ident[near].tolist()
+            if a:
+                yield _pairs(a, b)
+
+    near = written(rows.repartition(key, "block").sortWithinPartitions(key, "block", F.col("is_pivot").desc(), "set_key").mapInArrow(stars, "a long, b long"), "stars")
+    linked = near.select(F.col("a").alias("pivot"), F.col("b").alias("set_key"), F.lit(True).alias("linked")).distinct()
+    marked = dealt.join(linked, ["pivot", "set_key"], "left").withColumn("linked", F.col("linked").isNotNull() | (F.col("set_key") == F.col("pivot")))
+    rest = marked.filter("not linked")
+    if rest.isEmpty():
+        release(load, full)
+        return near
+    left = written(rest.groupBy(key).agg(weight.alias("left")), "left", few=True)
+    of = lambda df, side, x, y: df.join(left, key).select(key, F.explode(x).alias("block_a"), "set_key", "n", "vec", *text, "linked", F.lit(side).alias("side"), y.alias("_b")).withColumn("block_b", F.explode("_b")).drop("_b")
+    pairs = of(rest, 0, F.array(block("left")), every("blocks")).unionByName(of(marked, 1, every("left"), F.array(block("blocks"))))
+    order = [key, "block_a", "block_b"]
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, order, 512):
+            cuts, points = _cuts(table, order), Points(table)
             ident, sizes, side = (table.column(c).to_numpy() for c in ("set_key", "n", "side"))
-            data, _ = flat(table.column("vec"))
-            points = data.view("<u4").reshape(-1, DIMS).view(np.int32)
+            there = table.column("linked").to_numpy()
             a, b = [], []
-            if words is None:
-                pair = np.flatnonzero(np.diff(cuts) == 2)  # most groups: no tree is needed for two points
-                i = cuts[:-1][pair]
-                j = i + 1
-                ok = (ident[i] != ident[j]) & (np.minimum(points[i], points[j]).sum(axis=1) * (num + den) >= num * (sizes[i] + sizes[j]))
-                split = task[1, i] != task[2, i]
-                ok &= ~split | (side[i] != side[j])
-                a += ident[i[ok]].tolist()
-                b += ident[j[ok]].tolist()
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if j - i < 2 or words is None and j - i == 2:
-                    continue
-                _, one = np.unique(np.stack([ident[i:j], side[i:j]]), axis=1, return_index=True)  # copies of a text bring its set again
-                one += i
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 verify = None
-                if words is not None:
-                    tokens, at = _sets_of(table.column("text").take(pa.array(one)), words)
+                if words:
+                    tokens, at = _sets_of(table.column("text").slice(i, j - i), words)
 
                     def verify(p: int, q: int, tokens=tokens, at=at) -> bool:
                         x, y = tokens[at[p] : at[p + 1]], tokens[at[q] : at[q + 1]]
                         both = len(np.intersect1d(x, y, assume_unique=True))
                         return den * both >= num * (len(x) + len(y) - both)
 
-                for p, q in _links(side[one], bool(task[1, i] != task[2, i]), points[one], sizes[one], num, den, verify):
-                    a.append(int(ident[one[p]]))
-                    b.append(int(ident[one[q]]))
+                own = ident[i:j]
+                by_key = np.argsort(own, kind="stable")
+                twice = [by_key[k : k + 2] for k in np.flatnonzero(own[by_key[1:]] == own[by_key[:-1]])]  # a row that is on both sides
+                for p, q in _links(side[i:j], True, points.of(np.arange(i, j)), sizes[i:j], num, den, verify, [*twice, np.flatnonzero(there[i:j])]):
+                    a.append(int(own[p]))
+                    b.append(int(own[q]))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield _pairs(a, b)
 
-    order = [key, "block_a", "block_b"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    more = written(pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(trees, "a long, b long"), "links")
+    release(load, full, left)
+    return near.unionByName(more)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
