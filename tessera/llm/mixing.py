@@ -40,7 +40,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, power: float = POWER, targets:
             sums = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("p"))
             whole = F.lit(float(sums.agg(F.sum("p")).first()[0] or 1.0))
             cells = cells.join(sums.select(m, (F.col("p") / whole).alias(f"to_{m}")), m)
-    cells = written(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    cells = written(cells.withColumn("weight", F.col("tokens").cast("double")), "cells", few=True)
     single = cells.count() <= ONE_TASK
     if single:
         cells = cells.coalesce(1)
@@ -48,7 +48,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, power: float = POWER, targets:
         for m in MARGINS:
             cells = cells.withColumn("weight", F.col("weight") * F.col(f"to_{m}") / F.sum("weight").over(Window.partitionBy(m)))
         if i % 5 == 4 and i + 1 < rounds:
-            cells = written(cells, "cells")
+            cells = written(cells, "cells", few=True)
             cells = cells.coalesce(1) if single else cells
     return cells
 
@@ -67,10 +67,10 @@ def mix_sources(docs: DataFrame, budget: float = BUDGET, seed: str = SEED, topic
     words = F.greatest(F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r]+")), F.lit(0)), F.lit(1)).cast("long")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     kinds = [blank("source").alias("source"), blank("lang").alias("language"), (topic() if topics is None else F.coalesce(topics.cast("string"), F.lit("(none)"))).alias("topic"), words.alias("tokens")]
-    cells = rake(written(docs.select(*kinds).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells"), **raking)
+    cells = rake(written(docs.select(*kinds).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells", few=True), **raking)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = F.lit(budget) * F.col("weight") * F.lit(float(total)) / F.col("tokens")
-    rate = written(cells.select(*MARGINS, "weight", F.least(F.lit(1.0), wanted).alias("probability"), wanted.alias("wanted")), "rates")
+    rate = written(cells.select(*MARGINS, "weight", F.least(F.lit(1.0), wanted).alias("probability"), wanted.alias("wanted")), "rates", few=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *kinds, u.alias("u"))
     sure = F.floor("wanted")
     copies = sure + (F.col("u") < F.col("wanted") - sure).cast("long")

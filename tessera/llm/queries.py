@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import chat_format, embedding_join, fingerprints, language_id, mixing, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
+from .common import fewer
+
+
+
+def result(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """f, whose rows are left in a few files for each core: many small ones would cost more than they spread."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fewer(f(spark, sf_dir))
+
+    return run
+
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +34,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
+QUERIES = {name: result(f) for name, f in QUERIES.items()}
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
     "op5_mixing": mixing.ORACLE,
