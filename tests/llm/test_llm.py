@@ -340,6 +340,8 @@ def shingle_set(text: str | None, k: int) -> frozenset:
 def test_ngram_join_equals_brute_force(spark, k, num, den, cap, monkeypatch):
     if cap:
         monkeypatch.setattr(ngram_join, "CAP", cap)
+        monkeypatch.setattr(ngram_join, "TEXTS", cap)
+        monkeypatch.setattr(ngram_join, "SHINGLES", 600)
     rng = random.Random(k)
     base, texts = prose(rng, 120), [None, "", "  ", "one", "ONE", "one two"]
     for i in range(150):
@@ -362,6 +364,47 @@ def test_ngram_join_equals_brute_force(spark, k, num, den, cap, monkeypatch):
     got = ngram_join.jaccard_components(df, k, num, den).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, got.collect())) == [(i, len(s), c) for i, (s, c) in enumerate(zip(sets, comp, strict=True))]
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
+    again = ngram_join.jaccard_components(df.unionByName(df.filter("doc_id > 100")).withColumn("doc_id", F.expr("nullif(doc_id, 155)")), k, num, den)
+    assert {r["n_shingles"] for r in again.filter("doc_id is null").collect()} == {len(sets[155])} and again.count() == len(texts) + len([i for i in range(len(texts)) if i > 100])
+
+
+def test_points_bound_the_overlap():
+    """Points of any lengths: the sum of minima is never less than the overlap, and longer points tell unlike sets apart."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 60_000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 3, 400, 2000, 5000, 5200, 20_000, 40_000)] + [pool[:5000], np.concatenate([pool[200:5000], pool[9000:9200]])]
+    sets = [np.sort(x) for x in sets]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    table = pa.table({"vec": pa.array(ngram_join.vectors(np.concatenate(sets), at), pa.binary())})
+    points = ngram_join.Points(table)
+    assert points.dims.min() == ngram_join.DIMS and points.dims.max() == 4096 and (points.low.sum(axis=1) == np.diff(at)).all()
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            x, y = points.of(np.array([i, j]))
+            assert np.minimum(x, y).sum() >= len(np.intersect1d(sets[i], sets[j])) and x.sum() == len(sets[i])
+    far, low = points.of(np.array([5, 9])), points.low[[5, 9]]
+    assert far.min(axis=0).sum() < 0.8 * len(sets[5]) < low.min(axis=0).sum()
+
+
+def test_ngram_join_links_chains_and_clusters(spark):
+    """Sets that each resemble the next and not the first, and many copies of one with small changes: one component each."""
+    rng = random.Random(3)
+    base, rows = prose(rng, 200), []
+    for i in range(30):
+        own = [*prose(random.Random(i), 8 * i), *base][:200]
+        rows.append((i, " ".join(own)))
+    core = prose(rng, 150)
+    for i in range(100, 160):
+        own = list(core)
+        own[i % 150] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    comp = {i: i for i in sets}
+    for _ in range(40):
+        for i in sets:
+            comp[i] = min(comp[j] for j in sets if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]))
+    assert got == comp and {comp[i] for i in range(100, 160)} == {100}
 
 
 def test_components(spark):
