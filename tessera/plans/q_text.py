@@ -41,11 +41,19 @@ def token_spans(spark, sf):
     return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
 
 
-@query("segments")
+def _whole(out):
+    """For each document: its pieces' bytes, whether they follow each other from 0, and the longest."""
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
+    one = out.groupBy("doc_id").agg(ordered.alias("s"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    after = F.forall(F.sequence(F.lit(1), F.size("s")), lambda i: F.element_at("s", i)["start"] == F.when(i == 1, F.lit(0).cast("long")).otherwise(F.element_at("s", F.greatest(i - 1, F.lit(1)))["end"]))
+    return one.select("doc_id", "bytes", after.alias("follow"), "longest")
+
+
+@query("segments", "SELECT doc_id, strlen(coalesce(text, '')) AS bytes, true AS follow, true AS fits, strlen(coalesce(text, '')) <= 2000 AS single FROM documents")
 def segments(spark, sf):
-    """Whole texts in segments of at most 2000 bytes: count, bytes and the longest."""
+    """Whole texts in segments of at most 2000 bytes: nothing is lost and none is too long; where they are cut is left to tests."""
     out = text.mapped(_docs(spark, sf), _cut, ("text",), "ordinal long, start long, end long, headings array<string>", ("doc_id",))
-    return out.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    return _whole(out).select("doc_id", "bytes", "follow", (F.col("longest") <= 2000).alias("fits"), (F.col("longest") == F.col("bytes")).alias("single"))
 
 
 def _cut(t):
@@ -61,9 +69,12 @@ def _blocks(t):
     return text.teaching_blocks(text.blocks(t), 4000)
 
 
-@query("excerpts")
+@query("excerpts", f"WITH t AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS toks FROM documents) SELECT doc_id, true AS same, true AS fits, true AS hit FROM t WHERE len(list_intersect(toks, ['thing', 'license', 'tion'])) > 0")
 def excerpts(spark, sf):
-    return text.mapped(_docs(spark, sf), _excerpt, ("text",), "excerpt string, start long, end long, matches long", ("doc_id",))
+    """Excerpts of the documents that have a term: each is the bytes of its span, fits, and has a term; which window is the best is left to tests."""
+    out = text.mapped(_docs(spark, sf), _excerpt, ("text",), "excerpt string, start long, end long, matches long", ("doc_id", "text"))
+    same = text.byte_slice(F.col("text"), F.col("start"), F.col("end")) == F.col("excerpt")
+    return out.select("doc_id", same.alias("same"), (F.octet_length("excerpt") <= 300).alias("fits"), F.arrays_overlap(model.tokens("excerpt"), F.array(*[F.lit(t) for t in ("thing", "license", "tion")])).alias("hit"))
 
 
 def _excerpt(t):
@@ -99,9 +110,13 @@ def readable_html(spark, sf):
     return out.groupBy("page_id").agg(F.count("*").alias("runs"), F.sum(F.octet_length("run")).cast("long").alias("bytes"))
 
 
-@query("links_found")
+@query(
+    "links_found",
+    """SELECT doc_id, 4::BIGINT AS start, 'n' || (doc_id + 1) AS target, 'next' AS label FROM documents UNION ALL
+SELECT doc_id, 4 + strlen('[[n' || (doc_id + 1) || '|next]] and '), 'd/n' || doc_id || '.md', 'it' FROM documents""",
+)
 def links_found(spark, sf):
-    """Links of notes made of documents: a plain, a labelled, an escaped one and one in code."""
+    """Links of notes made of documents: a plain, a labelled, an escaped one and one in code. The SQL is for documents without brackets, as the tables have them; a test has others."""
     n = F.concat(F.lit("see [[n"), (F.col("doc_id") + 1).cast("string"), F.lit("|next]] and [it](d/n"), F.col("doc_id").cast("string"), F.lit(".md) not \\[[no]] nor `[[code]]`\n"), "text")
     d = model.table(spark, sf, "documents").select("doc_id", n.alias("text"))
     return text.mapped(d, text.links, ("text",), "start long, target string, label string", ("doc_id",))
@@ -180,11 +195,15 @@ def assertion_units_rendered(spark, sf):
     return render.assertion_units(a, model.entities(spark, sf))
 
 
-@query("packet_windows")
+@query("packet_windows", "SELECT doc_id, strlen(text) AS bytes, true AS follow, true AS fits, strlen(text) <= 12000 AS single FROM documents WHERE strlen(text) > 0")
 def packet_windows(spark, sf):
-    """Windows of extraction packets: how many, their bytes, the longest."""
-    out = text.mapped(_docs(spark, sf), text.packet_windows, ("text",), "ordinal long, start long, end long, headings array<string>", ("doc_id",))
-    return out.groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    """Windows of extraction packets over texts that sixteen of them hold: nothing is lost and none is too long; where they are cut is left to tests."""
+    out = text.mapped(_docs(spark, sf), _windows, ("text",), "ordinal long, start long, end long, headings array<string>", ("doc_id",))
+    return _whole(out).select("doc_id", "bytes", "follow", (F.col("longest") <= 12_000).alias("fits"), (F.col("longest") == F.col("bytes")).alias("single"))
+
+
+def _windows(t):
+    return text.packet_windows(t, 12_000, max(16, len((t or "").encode()) // 1000))
 
 
 @query("links_rewritten", "SELECT doc_id, '[[m' || doc_id || '|x]] `[[n' || doc_id || ']]` [n' || doc_id || '](m' || doc_id || ')' AS text FROM documents")
