@@ -26,19 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """df with a last stage of four tasks, and so files, for each core at most: partitions beyond that are taken one after the other."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+def fewer(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df with a last stage of four tasks, and so files, for each core, or one for each 64 MB of the tables that `of` reads if those
+    are more: partitions beyond that are taken one after the other."""
+    size = 0 if of is None else int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, size >> 26), 1 << 24))
 
 
-def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, few: bool | DataFrame = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors.
 
     The shuffle files of the write go when it ends, as the table stands for them; release() removes the table. few writes
-    fewer() files: for small or even rows, none for a hot key's.
+    fewer() files, of the tables that are given: for small or even rows, none for a hot key's.
     """
     spark = df.sparkSession
-    df = fewer(df) if few else df
+    if few is not False:
+        df = fewer(df, None if few is True else few)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k) for k in WRITING}
     for k, v in WRITING.items():
