@@ -62,13 +62,13 @@ def levels(calls: DataFrame) -> DataFrame:
     named = calls.select("conv_id", "call_id", F.col("depends_on").alias("to"))
     there = ids.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("there"))
     state = named.join(there, ["conv_id", "to"], "left").select("conv_id", "call_id", F.when(F.col("there"), F.col("to")).alias("to"))
-    state = written(state.withColumn("level", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long")), "levels", few=True)
+    state = written(state.withColumn("level", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long")), "levels", few=calls)
     most = max(1, calls.count()).bit_length() + 1
     for _ in range(most):
         if state.filter("to is not null").isEmpty():
             break
         far = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"))
-        state = written(state.join(far, ["conv_id", "to"], "left").select("conv_id", "call_id", F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels", few=True)
+        state = written(state.join(far, ["conv_id", "to"], "left").select("conv_id", "call_id", F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels", few=calls)
     return state.select("conv_id", "call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
 
 
@@ -86,9 +86,9 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: tuple[Tool, ...] = T
     ok = "conv_id is not null and call_id is not null"
     call, content = F.struct("turn", "name", "arguments", "depends_on"), F.struct("turn", "content")
     first = calls.filter(ok).groupBy(*key).agg(F.min(call).alias("c"), F.count("*").alias("calls"), (F.min(call) != F.max(call)).alias("differ"))
-    first = written(first.select(*key, "c.*", "calls", "differ"), "calls", few=True)
+    first = written(first.select(*key, "c.*", "calls", "differ"), "calls", few=calls)
     answer = results.filter(ok).groupBy(*key).agg(F.min(content).alias("r"), F.count("*").alias("results"), (F.min(content) != F.max(content)).alias("differ"))
-    answer = written(answer.select(*key, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"), "results", "differ"), "results", few=True)
+    answer = written(answer.select(*key, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"), "results", "differ"), "results", few=results)
     more = calls.filter(f"not ({ok})").select(*key, "turn", "name", "arguments", F.lit(1).cast("long").alias("calls"), F.lit("no identifier").alias("why"))
     lost = results.filter(f"not ({ok})").select(*key, F.col("turn").alias("result_turn"), F.col("content").alias("result"), F.lit(1).cast("long").alias("results"), F.lit("no identifier").alias("why"))
     others = calls.groupBy(*key, "turn", "name", "arguments", "depends_on").agg(F.count("*").alias("calls"))

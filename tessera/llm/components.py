@@ -36,10 +36,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     a component; each round's links are a table in the shared folder.
     """
     edges = edges.select("a", "b").filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "links", few=True)
+    edges = written(edges, "links", few=edges)
     seen = None
     for _ in range(rounds):
-        before, edges = edges, written(_star(_star(edges, True), False), "links", few=True)
+        before, edges = edges, written(_star(_star(edges, True), False), "links", few=edges)
         release(before)
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(pmod(xxhash64(b, a), 1000000007) as long)"))).first()
         if state == seen:

@@ -150,7 +150,7 @@ def cosine_components(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     label_type = dict(source.dtypes)["label"]
     keyed = distinct.select(equal.alias("key"), "label", "weight", "embedding").mapInArrow(packed, f"key long, label {label_type}, weight long, d long, v binary")
-    vectors = written(keyed, "vectors", few=True)
+    vectors = written(keyed, "vectors", few=rows)
     bases = spark.sparkContext.broadcast(principal(vectors))  # LEADING numbers for each component of a width
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

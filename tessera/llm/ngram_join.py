@@ -253,8 +253,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     id_type = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", "text", text_key().alias("tk"))
-    rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets", few=True)
-    kinds_table = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds", few=True)
+    rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets", few=docs)
+    kinds_table = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds", few=docs)
     kinds = kinds_table.select("set_key", "one.tk", F.col("one.doc_id").alias("one"), "n", "vec")
     # Signatures, many times the sets, are shuffled once and not written: sorted by signature, those of several sets stay.
     signed = docs.select("text").mapInArrow(signed_sets, "sig long, set_key long")
@@ -273,7 +273,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         near = near.unionByName(_connected(large, "sig", CAP, num, den, None))
     near = written(near, "near")
     release(several)
-    coarse_table = written(connected_components(near), "coarse", few=True)
+    coarse_table = written(connected_components(near), "coarse", few=docs)
     release(near)
     links = _verified(docs, coarse_table, kinds, num, den, words)
     found = connected_components(links)
@@ -281,10 +281,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     least = rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     least = least.withColumn("class", F.coalesce("component", "set_key"))
     classes_ = least.groupBy("class").agg(F.min("least").alias("component_id"))
-    of_set = written(least.select("set_key", "class").join(classes_, "class"), "classes", few=True)  # a row for each set: what rows join is without heavy keys on this side
+    of_set = written(least.select("set_key", "class").join(classes_, "class"), "classes", few=docs)  # a row for each set: what rows join is without heavy keys on this side
     out = rows.select("doc_id", "n", "set_key", "tk").join(of_set, "set_key", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class", "tk")
-    out = written(out, "members", few=True)
+    out = written(out, "members", few=docs)
     release(rows, of_set)
     return out
 
@@ -357,7 +357,7 @@ def _connected(full: DataFrame, key: str, most: int, num: int, den: int, words:
     """
     text = ["text"] if words else []
     weight = F.ceil(F.greatest(F.count("*") / F.lit(most), *([F.sum("n") / F.lit(SHINGLES)] if words else [F.lit(0.0)]))).cast("int")
-    load = written(full.groupBy(key).agg(weight.alias("blocks"), F.min("set_key").alias("pivot")), "load", few=True)
+    load = written(full.groupBy(key).agg(weight.alias("blocks"), F.min("set_key").alias("pivot")), "load", few=full)
     block = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     dealt = full.join(load, key)
@@ -389,7 +389,7 @@ def _connected(full: DataFrame, key: str, most: int, num: int, den: int, words:
     if rest.isEmpty():
         release(load, full)
         return near
-    left = written(rest.groupBy(key).agg(weight.alias("left")), "left", few=True)
+    left = written(rest.groupBy(key).agg(weight.alias("left")), "left", few=full)
     of = lambda df, side, x, y: df.join(left, key).select(key, F.explode(x).alias("block_a"), "set_key", "n", "vec", *text, "linked", F.lit(side).alias("side"), y.alias("_b")).withColumn("block_b", F.explode("_b")).drop("_b")
     pairs = of(rest, 0, F.array(block("left")), every("blocks")).unionByName(of(marked, 1, every("left"), F.array(block("blocks"))))
     order = [key, "block_a", "block_b"]

@@ -12,16 +12,18 @@ from .common import fewer
 
 
 
-def result(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """f, whose rows are left in a few files for each core: many small ones would cost more than they spread."""
+def result(f: Callable[[SparkSession, str], DataFrame], table: str) -> Callable[[SparkSession, str], DataFrame]:
+    """f, whose rows are left in as many files as its table is large: many small ones would cost more than they spread."""
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fewer(f(spark, sf_dir))
+        return fewer(f(spark, sf_dir), spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
     return run
 
 
+#: What the queries read, where it isn't documents.
+TABLES = {"op2_url_filter": "pages", "op6_embedding_near_dedup": "embeddings", "op9_chat_format": "conversations"}
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
@@ -34,7 +36,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
-QUERIES = {name: result(f) for name, f in QUERIES.items()}
+QUERIES = {name: result(f, TABLES.get(name, "documents")) for name, f in QUERIES.items()}
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
     "op5_mixing": mixing.ORACLE,

@@ -491,9 +491,9 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
             yield _result(c, b.column("row"), np.concatenate(ids), np.array([len(x) for x in ids]), b.column("text").to_pylist())
 
     schema = f"row {kind}, ids array<int>, n_tokens long, score long, decoded string"
-    giants = written(rows.filter(~short).withColumn("rid", F.monotonically_increasing_id()), "giants", few=True)
+    giants = written(rows.filter(~short).withColumn("rid", F.monotonically_increasing_id()), "giants", few=docs)
     state = "struct<over: int, piece: string>"
-    chunks = written(giants.select("rid", "text").mapInArrow(split, f"rid long, no long, part long, begins boolean, chars string, before int, n int, enter array<{state}>, leave array<{state}>, scores binary"), "chunks", few=True)
+    chunks = written(giants.select("rid", "text").mapInArrow(split, f"rid long, no long, part long, begins boolean, chars string, before int, n int, enter array<{state}>, leave array<{state}>, scores binary"), "chunks", few=docs)
     states = chunks.groupBy("rid").agg(F.collect_list(F.struct("no", "part", "n", "enter", "leave", "scores")).alias("chunks")).mapInArrow(bound, f"rid long, no long, from {state}, to {state}")
     paths = chunks.select("rid", "no", "part", "begins", "chars", "before", "n").join(states, ["rid", "no"])
     ids = paths.mapInArrow(traced, "rid long, no long, ids binary").groupBy("rid").agg(F.collect_list(F.struct("no", "ids")).alias("chunks"))

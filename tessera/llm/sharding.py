@@ -47,7 +47,7 @@ def place(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.xxhash64(text).alias("group"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    rows = written(rows, "sized", few=True)
+    rows = written(rows, "sized", few=docs)
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     bound = [max(1, int((x or 0) * HEAVY)) for x in total]
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))

@@ -166,12 +166,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
                 yield pa.RecordBatch.from_arrays([b.column("tk").take(pa.array(text[of])), pa.array(place), pa.array(h.view(np.int64))], ["tk", "place", "h"])
 
     long_enough = docs.filter(F.octet_length("text") >= length).select("text", text_key().alias("tk"), "doc_id")
-    found = written(long_enough.select("text", "tk").mapInArrow(find, "tk long, place long, h long"), "anchors", few=True)
-    often = written(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "often", few=True)
+    found = written(long_enough.select("text", "tk").mapInArrow(find, "tk long, place long, h long"), "anchors", few=docs)
+    often = written(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "often", few=docs)
     # a place of a text has one anchor: not grouped by h, so that the join may split a hot one
     hits = found.join(often, "h").groupBy("tk", "place").agg(F.first("h").alias("h"), F.count("*").cast("int").alias("copies"), F.first("hot").alias("hot"))
     by_text = hits.groupBy("tk").agg(F.collect_list(F.struct("place", "h", "copies", "hot")).alias("hits"))
-    by_text = written(by_text, "hits", few=True)
+    by_text = written(by_text, "hits", few=docs)
     release(found, often)
     one = docs.filter(F.octet_length("text") >= length).groupBy(text_key().alias("tk")).agg(F.min("doc_id").alias("least"))
 
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
                 out.append(np.stack([starts[new], starts[np.append(new[1:], len(starts)) - 1] + length], axis=1).ravel())
             yield pa.RecordBatch.from_arrays([b.column("tk"), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], ["tk", "spans"])
 
-    out = written(by_text.mapInArrow(spans, "tk long, spans array<long>"), "spans", few=True)
+    out = written(by_text.mapInArrow(spans, "tk long, spans array<long>"), "spans", few=docs)
     release(cuts)
     return out
 
