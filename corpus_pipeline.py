@@ -16,7 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is known; lang is the predicted one."""
     judged = language_id.identify_rows(docs, language_id.learn(docs))
     kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return fewer(kept.select(*[F.col(f"row.`{c}`") if c != "lang" else F.col("lang_pred").alias("lang") for c in docs.columns]))
+    return fewer(kept.select(*[F.col(f"row.`{c}`") if c != "lang" else F.col("lang_pred").alias("lang") for c in docs.columns]), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = rows.join(kept, (F.col("_key") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi").drop("_key")
     repeated = found.filter("n_shingles > 0").groupBy("doc_id", "tk").count().filter("count > 1")
     if repeated.isEmpty():
-        return fewer(rows)
+        return fewer(rows, docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # of rows with the same id and text the least stays
     return rows.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_least")).select(*[F.col(c if c not in rest else f"_least.`{c}`") for c in docs.columns])
 
@@ -39,19 +39,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Texts without the passages of suffix_dedup.LENGTH bytes or more that repeat; documents of which nothing is left go."""
     cut = suffix_dedup.cut_rows(docs).filter("not emptied")
     new = {"text": F.col("cut").alias("text"), "n_chars": F.length("cut").cast("long").alias("n_chars")}
-    return fewer(cut.select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns]))
+    return fewer(cut.select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns]), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample whose tokens have the target shares of sources, languages and topics; a document that is too scarce for its share is repeated."""
     chosen = mixing.mix_sources(docs).filter("chosen")
-    return fewer(chosen.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*"))
+    return fewer(chosen.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*"), docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source, ids, n_tokens; the text is what the ids decode to."""
     done = sentencepiece_scan.encode(docs)
-    return fewer(done.select("row.doc_id", F.col("decoded").alias("text"), "row.lang", "row.source", "ids", "n_tokens"))
+    return fewer(done.select("row.doc_id", F.col("decoded").alias("text"), "row.lang", "row.source", "ids", "n_tokens"), docs)
 
 
 STAGES = [
