@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embedding_join, fingerprints, language_id, mixing, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
+from . import chat_format, embedding_join, fill_in_middle, fingerprints, language_id, mixing, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
 from .common import fewer
 
 
@@ -35,6 +35,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_scan.op8_sentencepiece,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 QUERIES = {name: result(f, TABLES.get(name, "documents")) for name, f in QUERIES.items()}
 ORACLES = {
@@ -42,4 +43,5 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op6_embedding_near_dedup": embedding_join.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
 }
