@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embedding_join, fill_in_middle, fingerprints, language_id, mixing, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
+from . import chat_format, embedding_join, fill_in_middle, fingerprints, language_id, mixing, multi_index, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
 from .common import fewer
 
 
@@ -23,7 +23,7 @@ def result(f: Callable[[SparkSession, str], DataFrame], table: str) -> Callable[
 
 
 #: What the queries read, where it isn't documents.
-TABLES = {"op2_url_filter": "pages", "op6_embedding_near_dedup": "embeddings", "op9_chat_format": "conversations"}
+TABLES = {"op2_url_filter": "pages", "op6_embedding_near_dedup": "embeddings", "op9_chat_format": "conversations", "op12_multi_index": "embeddings", "op13_conversation_repair": "conversations"}
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
@@ -36,6 +36,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_multi_index": multi_index.op12_multi_index,
 }
 QUERIES = {name: result(f, TABLES.get(name, "documents")) for name, f in QUERIES.items()}
 ORACLES = {
