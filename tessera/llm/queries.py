@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embedding_join, fill_in_middle, fingerprints, language_id, mixing, multi_index, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
+from . import chat_format, conversation_repair, embedding_join, fill_in_middle, fingerprints, language_id, mixing, multi_index, ngram_join, sentencepiece_scan, sharding, suffix_dedup, url_filter
 from .common import fewer
 
 
@@ -37,6 +37,7 @@ QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_multi_index": multi_index.op12_multi_index,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 QUERIES = {name: result(f, TABLES.get(name, "documents")) for name, f in QUERIES.items()}
 ORACLES = {
@@ -45,4 +46,5 @@ ORACLES = {
     "op6_embedding_near_dedup": embedding_join.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
