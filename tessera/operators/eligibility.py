@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import OPPOSITION_KEY, opposition_columns, reach
-from tessera.sources.store import written
+from tessera.sources.store import release, written
 
 
 def lifecycle(kind: str = "kind", status: str = "status", withdrawn: str = "withdrawn", older: str = "older") -> Column:
@@ -55,22 +55,82 @@ def mark_opposed(assertions: DataFrame, key: tuple[str, ...] = OPPOSITION_KEY) -
     return hit.select(*[c for c in given if c != "disputed"], (F.col("disputed") | mark).alias("disputed"))
 
 
-def dependency_fixpoint(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, eligibility) after declared dependencies (id, depends_on): a missing or invalid one makes a record invalid, any other non-current one stale.
-
-    Badness (2 invalid, 1 not current) spreads from the records that have it against the edges, by a frontier of those whose badness rose.
-    A record that isn't current is left as it is, except that it may become invalid.
-    """
+def own_badness(records: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, bad) of records, or of those of some ids, that are bad by themselves: 2 if invalid or a declared dependency (id, depends_on) is missing, 1 if not current."""
     known = records.select("id")
-    edges = edges.select("id", "depends_on").join(known, "id", "left_semi")
-    missing = edges.join(known.withColumnRenamed("id", "depends_on"), "depends_on", "left_anti").select("id", F.lit(2).alias("bad"))
+    if ids is not None:
+        records, edges = records.join(ids, "id", "left_semi"), edges.join(ids, "id", "left_semi")
+    missing = edges.select("id", "depends_on").join(records.select("id"), "id", "left_semi").join(known.withColumnRenamed("id", "depends_on"), "depends_on", "left_anti").select("id", F.lit(2).alias("bad"))
     own = records.filter("eligibility <> 'current'").select("id", F.when(F.col("eligibility") == "invalid", 2).otherwise(1).alias("bad"))
-    back = written(edges.select(F.col("depends_on").alias("a"), F.col("id").alias("b")), "edges")
-    bad = reach(back, missing.unionByName(own), "bad")
+    return missing.unionByName(own).groupBy("id").agg(F.max("bad").alias("bad"))
+
+
+def badness(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, bad) of all records whose bad is above 0: own_badness(), spread from dependencies to what depends on them by a frontier."""
+    back = edges.select(F.col("depends_on").alias("a"), F.col("id").alias("b")).join(records.select(F.col("id").alias("b")), "b", "left_semi")
+    return reach(back, own_badness(records, edges), "bad")
+
+
+def judged(records: DataFrame, bad: DataFrame) -> DataFrame:
+    """(id, eligibility) of records by their badness: one that isn't current is left as it is, except that it may become invalid."""
     new = F.when(F.col("bad") == 2, "invalid").when((F.col("bad") == 1) & (F.col("eligibility") == "current"), "stale").otherwise(F.col("eligibility"))
     return records.select("id", "eligibility").join(bad, "id", "left").select("id", new.alias("eligibility"))
 
 
+def dependency_fixpoint(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, eligibility) after declared dependencies (id, depends_on): a missing or invalid one makes a record invalid, any other non-current one stale."""
+    return judged(records, badness(records, edges))
+
+
+def refreshed_badness(before: DataFrame, records: DataFrame, edges: DataFrame, changed: DataFrame, most: int = 1000) -> DataFrame:
+    """(id, bad) of the records that a change may touch, 0 where they are good now; of all others `before`, the badness() before it, holds.
+
+    records and edges are those after the change, changed has the ids of records that were put, changed or removed and of those with an
+    edge put or removed. First badness that may rest on what changed is taken back: from records that are less bad by themselves
+    than they were, against dependencies, as long as a record was as bad as the one it depends on. Then it is derived again for these from
+    what they are by themselves and from dependencies that kept theirs, and what rises, there or at a changed record, goes on.
+    Only rows that join a frontier are shuffled. Cycles are no danger: what only supports itself is taken back as a whole.
+    """
+    before = before.select("id", F.col("bad").alias("was"))
+    edges = edges.select("id", "depends_on").join(records.select("id"), "id", "left_semi")
+    dependents = edges.join(changed.select(F.col("id").alias("depends_on")).distinct(), "depends_on", "left_semi").select("id")
+    first = written(changed.select("id").unionByName(dependents).distinct(), "changed")
+    start = first.join(before, "id").join(own_badness(records, edges, first), "id", "left").filter(F.col("was") > F.coalesce("bad", F.lit(0))).select("id", "was")
+    taken = [written(start, "taken")]
+    for _ in range(most):
+        step = edges.join(taken[-1].select(F.col("id").alias("depends_on"), F.col("was").alias("of")), "depends_on").select("id", "of").distinct()
+        step = step.join(before, "id").filter("was = of").select("id", "was")
+        for t in taken:
+            step = step.join(t.select("id"), "id", "left_anti")
+        step = written(step.distinct(), "taken")
+        if step.isEmpty():
+            break
+        taken.append(step)
+        if len(taken) > 8:
+            older = written(_all(taken[:-1]), "taken")
+            release(*taken[:-1])
+            taken = [older, step]
+    else:
+        raise RuntimeError("the change did not settle")
+    gone = written(_all(taken).select("id"), "gone")
+    kept = before.join(gone, "id", "left_anti").select("id", F.col("was").alias("bad"))
+    again = written(gone.unionByName(first).distinct(), "again")
+    rests = edges.join(again, "id", "left_semi").join(kept.withColumnRenamed("id", "depends_on"), "depends_on").select("id", "bad")
+    back = edges.select(F.col("depends_on").alias("a"), F.col("id").alias("b"))
+    risen = reach(back, own_badness(records, edges, again).unionByName(rests), "bad", known=kept)
+    touched = again.unionByName(risen.select("id")).distinct().join(records.select("id"), "id", "left_semi")
+    stands = touched.join(kept, "id").select("id", "bad")
+    now = risen.unionByName(stands).groupBy("id").agg(F.max("bad").alias("bad"))
+    return touched.join(now, "id", "left").select("id", F.coalesce("bad", F.lit(0)).alias("bad"))
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def propagate_invalid(records: DataFrame, references: DataFrame) -> DataFrame:
     """(id, invalid) over typed references (id, target, identity_only): what refers to an invalid record becomes invalid.
 

@@ -12,6 +12,7 @@ from tessera.sources.index import bucket_of
 from tessera.sources.store import release, written
 
 NODE_BUCKETS = 32  # of a stored adjacency
+HOPS = 2  # edges that a frontier is moved on before it is held against what is known
 #: The caps of a walk, and of the evidence shown for an assertion.
 MOST_SEEDS, MOST_DEPTH, PER_SEED, PER_WALK = 12, 2, 16, 128
 SUPPORTS, CONTRADICTS = 2, 1
@@ -133,61 +134,89 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, value: str, most: int = 1000) -> DataFrame:
-    """(id, value): the largest value of the seeds (id, value) that each id can be reached from along edges (a, b), a to b.
+def reach(edges: DataFrame, seeds: DataFrame, value: str | list[str], most: int = 1000, known: DataFrame | None = None) -> DataFrame:
+    """(id, value): the largest value of the seeds (id, value) that each id can be reached from along edges (a, b), a to b; of several values each its largest.
 
-    A frontier of ids whose value rose is joined to the edges, round by round; each round's rises are a table in the
-    shared folder. What a round shuffles is the frontier's edges, not the whole graph's states.
+    A frontier of ids of which a value rose is moved HOPS edges on, then held against what is known and written; edges stay
+    dealt out by their start, so that a round shuffles the frontier's edges, not the graph. With `known` (id, value), values
+    that the ids have already, only what rises above them goes on, and only that is returned.
     """
-    seen = [written(seeds.groupBy("id").agg(F.max(value).alias(value)), "reach")]
-    for _ in range(most):
-        hit = edges.join(seen[-1].withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.max(value).alias(value))
-        known = reduce(DataFrame.unionByName, seen).groupBy("id").agg(F.max(value).alias("known"))
-        fresh = written(hit.join(known, "id", "left").filter(F.col("known").isNull() | (F.col(value) > F.col("known"))).select("id", value), "reach")
-        if fresh.isEmpty():
-            return reduce(DataFrame.unionByName, seen).groupBy("id").agg(F.max(value).alias(value))
-        seen.append(fresh)
-        if len(seen) > 8:
-            older = written(reduce(DataFrame.unionByName, seen[:-1]).groupBy("id").agg(F.max(value).alias(value)), "reach")
-            release(*seen[:-1])
-            seen = [older, fresh]
+    values = [value] if isinstance(value, str) else value
+    dealt = edges.select("a", "b").repartition("a").persist()
+    top = [F.max(v).alias(v) for v in values]
+
+    def rose(new: list[DataFrame], old: list[DataFrame]) -> DataFrame:
+        """What of the new values is above the old ones: one aggregation of both."""
+        none = [F.lit(None).cast(dict(seeds.dtypes)[v]) for v in values]
+        rows = [t.select("id", *values, *[n.alias(f"_{v}") for v, n in zip(values, none, strict=True)]) for t in new]
+        rows += [t.select("id", *[n.alias(v) for v, n in zip(values, none, strict=True)], *[F.col(v).alias(f"_{v}") for v in values]) for t in old]
+        both = reduce(DataFrame.unionByName, rows).groupBy("id").agg(*[F.max(c).alias(c) for v in values for c in (v, f"_{v}")])
+        more = reduce(lambda x, y: x | y, [F.col(v).isNotNull() & (F.col(f"_{v}").isNull() | (F.col(v) > F.col(f"_{v}"))) for v in values])
+        return both.filter(more).select("id", *values)
+
+    given = [] if known is None else [known]
+    seen = [written(rose([seeds], given), "reach")]
+    try:
+        for _ in range(most):
+            hop, hits = seen[-1], []
+            for _ in range(HOPS):
+                hop = dealt.join(hop.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(*top)
+                hits.append(hop)
+            fresh = written(rose(hits, [*given, *seen]), "reach")
+            if fresh.isEmpty():
+                release(fresh)
+                return reduce(DataFrame.unionByName, seen).groupBy("id").agg(*top)
+            seen.append(fresh)
+            if len(seen) > 8:
+                older = written(reduce(DataFrame.unionByName, seen[:-1]).groupBy("id").agg(*top), "reach")
+                release(*seen[:-1])
+                seen = [older, fresh]
+    finally:
+        dealt.unpersist()
     raise RuntimeError("values did not settle")
 
 
-def cycle_members(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(id) of nodes on a cycle: those of strongly connected components with several nodes, and with an edge to themselves.
+def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(id, component) of the nodes of strongly connected components of several nodes; component is one of them.
 
     Nodes without an edge in or out are trimmed until none is left. Then every node takes the largest node that reaches it as its
     color, and what reaches that node inside the color is its component; components leave the graph and the rest goes on.
-    Rows are those of the graph, never pairs of nodes.
+    Rows are those of the graph, never pairs of nodes. Rounds follow the longest shortest path, HOPS edges each.
     """
-    rest = written(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "cycles")
-    found = [rest.filter("a = b").select(F.col("a").alias("id"))]
-    rest = written(rest.filter("a <> b"), "cycles")
+    rest = written(edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct(), "cycles")
+    found = [rest.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component"))]
     left = rest.count()
     for _ in range(most):
-        while True:
-            trimmed = rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(rest.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        while left:
+            trimmed = rest
+            for _ in range(HOPS):
+                trimmed = trimmed.join(trimmed.select(F.col("b").alias("a")), "a", "left_semi").join(trimmed.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
             before, rest = rest, written(trimmed, "cycles")
             release(before)
             now = rest.count()
-            if now in (left, 0):
+            if now == left:
                 break
             left = now
-        if not now:
-            return reduce(DataFrame.unionByName, found).distinct()
+        if not left:
+            return reduce(DataFrame.unionByName, found)
         color = reach(rest, rest.select(F.col("a").alias("id"), F.col("a").alias("color")), "color")
         of = lambda side: color.select(F.col("id").alias(side), F.col("color").alias(f"{side}_color"))
         inside = written(rest.join(of("a"), "a").join(of("b"), "b").filter("a_color = b_color").select("a", "b", F.col("a_color").alias("color")), "inside")
-        back = inside.select(F.col("b").alias("a"), F.col("a").alias("b"))  # an edge back stays in its color, so a root's flag does
+        back = inside.select(F.col("b").alias("a"), F.col("a").alias("b"))  # an edge back stays in its color, so a root's mark does
         whole = written(reach(back, color.filter("id = color").select("id", F.lit(1).alias("one")), "one").select("id"), "members")
-        found.append(inside.join(whole.withColumnRenamed("id", "a"), "a", "left_semi").join(whole.withColumnRenamed("id", "b"), "b", "left_semi").select(F.explode(F.array("a", "b")).alias("id")))
+        member = inside.join(whole.withColumnRenamed("id", "a"), "a", "left_semi").join(whole.withColumnRenamed("id", "b"), "b", "left_semi")
+        found.append(written(member.select(F.explode(F.array("a", "b")).alias("id"), F.col("color").alias("component")).distinct(), "components"))
         before, rest = rest, written(rest.join(whole.withColumnRenamed("id", "a"), "a", "left_anti").join(whole.withColumnRenamed("id", "b"), "b", "left_anti"), "cycles")
-        release(before)
+        release(before, inside, whole)
         left = rest.count()
     raise RuntimeError("components did not settle")
 
 
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(id) of nodes on a cycle: those of strong_components(), and those with an edge to themselves."""
+    return strong_components(edges).select("id").unionByName(edges.filter("a = b").select(F.col("a").alias("id"))).distinct()
+
+
 def longest_chains(edges: DataFrame, limit: int = 64) -> DataFrame:
     """(id, length): edges on the longest path from each node of an acyclic graph, capped at limit + 1; level by level."""
     level = written(edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().withColumn("length", F.lit(0)), "chain")

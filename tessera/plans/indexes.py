@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import render
+from tessera.operators import eligibility, reachability, render
 from tessera.operators.graph import NODE_BUCKETS
 from tessera.operators.graph import adjacency as adjacent
 from tessera.sources import index, model
-from tessera.sources.store import shared_dir
+from tessera.sources.store import shared_dir, written
 
-_built: dict[tuple, index.Index | DataFrame] = {}
+_built: dict[tuple, index.Index | DataFrame | reachability.ReachIndex] = {}
 
 
 def stamp(spark: SparkSession, path: str) -> tuple:
@@ -62,6 +62,15 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
     return _kept(spark, sf, "adjacency", ("nation", "customer", "supplier", "lineitem"), make)
 
 
+def badness(spark: SparkSession, sf: str, deps: Callable) -> DataFrame:
+    """The stored fixpoint of the orders' dependencies, (id, bad)."""
+    return _kept(spark, sf, "badness", ("orders",), lambda: written(eligibility.badness(*deps()), "badness"))
+
+
+def reach(spark: SparkSession, sf: str, edges: Callable) -> reachability.ReachIndex:
+    return _kept(spark, sf, "reach", ("orders",), lambda: reachability.build(edges()))
+
+
 def graph_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = model.entities(spark, sf).select("id", "title", F.array(F.concat(F.lit("the "), F.lower("title"))).alias("aliases"), F.concat(F.lit("one "), "entity_type").alias("description"), F.lit("current").alias("eligibility"))
     return render.graph_rows(e, model.assertions(spark, sf))

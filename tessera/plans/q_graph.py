@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog, dense, eligibility, filters, graph
+from tessera.operators.reachability import reachable
 from tessera.plans import indexes
 from tessera.plans.q_search import COS_SQL, _vector
 from tessera.plans.registry import query
@@ -179,6 +180,37 @@ def invalid_propagated(spark, sf):
     return eligibility.propagate_invalid(records.select("id", (F.col("eligibility") == "invalid").alias("invalid")), refs)
 
 
+def _changed_deps(spark, sf):
+    """_deps() after a change of one in a hundred: some records become invalid, current or go, some come, and some depend on another one."""
+    records, edges = _deps(spark, sf)
+    n, o = F.col("id"), model.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    now = F.when(n % 300 == 17, F.when(F.col("eligibility") == "current", "invalid").otherwise("current")).otherwise(F.col("eligibility"))
+    new = records.filter("id % 1200 <> 29").select("id", now.alias("eligibility")).unionByName(o.filter("id % 97 = 5 and id % 4 = 1").select("id", F.lit("current").alias("eligibility")))
+    moved = edges.filter("id % 600 <> 41").unionByName(edges.filter("id % 600 = 41").select("id", F.floor(F.col("depends_on") / 3).alias("depends_on")))
+    changed = o.filter("id % 300 = 17 or id % 1200 = 29 or id % 600 = 41 or (id % 97 = 5 and id % 4 = 1)")
+    return new, moved, changed
+
+
+FIX_SQL = """bad(id) AS (SELECT id FROM rec WHERE eligibility = 'invalid' UNION SELECT e.id FROM ed e JOIN rec USING (id) WHERE NOT EXISTS (SELECT 1 FROM rec r WHERE r.id = e.depends_on) UNION SELECT e.id FROM bad b JOIN ed e ON e.depends_on = b.id JOIN rec r ON r.id = e.id),
+soft(id) AS (SELECT id FROM rec WHERE eligibility <> 'current' UNION SELECT id FROM bad UNION SELECT e.id FROM soft s JOIN ed e ON e.depends_on = s.id JOIN rec r ON r.id = e.id),
+fix AS (SELECT id, CASE WHEN id IN (FROM bad) THEN 'invalid' WHEN eligibility = 'current' AND id IN (FROM soft) THEN 'stale' ELSE eligibility END AS eligibility FROM rec)"""
+
+
+@query(
+    "fixpoint_refreshed",
+    f"""WITH RECURSIVE {DEPS_SQL.replace("rec AS", "rec0 AS").replace("ed AS", "ed0 AS")},
+rec AS (SELECT id, CASE WHEN id % 300 = 17 THEN CASE WHEN eligibility = 'current' THEN 'invalid' ELSE 'current' END ELSE eligibility END AS eligibility FROM rec0 WHERE id % 1200 <> 29 UNION ALL SELECT n, 'current' FROM n WHERE n % 97 = 5 AND n % 4 = 1),
+ed AS (SELECT id, CASE WHEN id % 600 = 41 THEN depends_on // 3 ELSE depends_on END AS depends_on FROM ed0), {FIX_SQL}
+SELECT id, eligibility FROM fix""",
+)
+def fixpoint_refreshed(spark, sf):
+    """The fixpoint after a change, from the stored one before it and what depends on the change."""
+    records, edges, changed = _changed_deps(spark, sf)
+    before = indexes.badness(spark, sf, lambda: _deps(spark, sf))
+    touched = eligibility.refreshed_badness(before, records, edges, changed)
+    return eligibility.judged(records, before.join(touched, "id", "left_anti").unionByName(touched))
+
+
 CHAIN_SQL = """ch AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 8 <> 7 UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE c_custkey % 16 = 6 UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 50 = 0)"""
 
 
@@ -193,6 +225,36 @@ def reachability(spark, sf):
     return graph.closure(_chain(spark, sf))
 
 
+def _tangle(spark, sf):
+    """Orders by number: two of three are a component (each leads to two, as binary numbers are shifted), the others lead to a third of their number."""
+    n = F.col("o_orderkey")
+    o = model.table(spark, sf, "orders").select(n, (F.floor(n / 3) * 2 + n % 3).alias("r"))
+    size = model.table(spark, sf, "orders").agg((2 * F.floor((F.max(n) - 2) / 3)).alias("m"))
+    inside = o.filter("o_orderkey % 3 <> 2").join(F.broadcast(size)).filter("r < m")
+    number = lambda r: F.floor(r / 2) * 3 + r % 2
+    shifted = [inside.select(n.alias("a"), number((2 * F.col("r") + i) % F.col("m")).alias("b")) for i in (0, 1)]
+    tail = o.filter("o_orderkey % 3 = 2").select(n.alias("a"), F.floor(n / 3).alias("b"))
+    return shifted[0].unionByName(shifted[1]).unionByName(tail)
+
+
+@query(
+    "reachability_asked",
+    """WITH RECURSIVE m AS (SELECT 2 * ((max(o_orderkey) - 2) // 3) AS m FROM orders), n AS (SELECT o_orderkey AS n, o_orderkey // 3 * 2 + o_orderkey % 3 AS r FROM orders),
+com AS (SELECT n FROM n, m WHERE n % 3 <> 2 AND r < m), tails AS (SELECT n AS a, n // 3 AS b FROM n WHERE n % 3 = 2),
+dag AS (SELECT CASE WHEN a IN (FROM com) THEN -1 ELSE a END AS a, CASE WHEN b IN (FROM com) THEN -1 ELSE b END AS b FROM tails),
+up AS (SELECT a, b FROM dag UNION SELECT up.a, dag.b FROM up JOIN dag ON dag.a = up.b),
+asked AS (SELECT o_orderkey AS a, o_orderkey // 7 * 2 + 2 AS b FROM orders UNION SELECT o_orderkey, o_orderkey // 9 FROM orders),
+c AS (SELECT a, b, CASE WHEN a IN (FROM com) THEN -1 ELSE a END AS ca, CASE WHEN b IN (FROM com) THEN -1 ELSE b END AS cb FROM asked)
+SELECT c.a, c.b, (ca = -1 AND cb = -1) OR EXISTS (SELECT 1 FROM up WHERE up.a = ca AND up.b = cb) AS reaches FROM c""",
+)
+def reachability_asked(spark, sf):
+    """Asked pairs against an index of a graph with a component of two thirds of the orders."""
+    index = indexes.reach(spark, sf, lambda: _tangle(spark, sf))
+    o, n = model.table(spark, sf, "orders"), F.col("o_orderkey")
+    pairs = o.select(n.alias("a"), (F.floor(n / 7) * 2 + 2).alias("b")).unionByName(o.select(n.alias("a"), F.floor(n / 9).alias("b")))
+    return reachable(index, pairs).select("a", "b", "reaches")
+
+
 @query("cycle_members", f"WITH RECURSIVE {CHAIN_SQL}, r AS (FROM ch UNION SELECT r.a, ch.b FROM r JOIN ch ON r.b = ch.a) SELECT a AS id FROM r WHERE a = b")
 def cycle_members(spark, sf):
     return graph.cycle_members(_chain(spark, sf))
