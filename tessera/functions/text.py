@@ -7,16 +7,18 @@ mapInArrow on whole batches; spans are half-open byte offsets [start, end) that
 from __future__ import annotations
 
 import re
-import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from math import floor, log
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.model import TOKEN, fold
+
 #: Grammatical words that say little about where a passage is; negations and restrictions are not among them.
 FUNCTION_WORDS = (
     "a", "an", "the", "and", "or", "but", "as", "at", "by", "for", "from", "in", "into", "of", "on", "onto", "to", "with", "about", "after", "before", "between",
@@ -25,7 +27,7 @@ FUNCTION_WORDS = (
     "do", "does", "did", "have", "has", "had", "having", "can", "could", "would", "should", "will", "shall", "may", "might", "if", "then", "than", "also", "each", "some",
     "any", "such",
 )
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = regex.compile(TOKEN)
 _HEADING = re.compile(r"^(#{1,6}) (.*)$")
 _LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 _BLANK = re.compile(rb"(?m)^(?:\r*\n|\r+\Z)")
@@ -56,12 +58,8 @@ def mapped(df: DataFrame, run: Callable, inputs: tuple[str, ...], schema: str, k
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(go, f"{kinds}, {schema}")
 
 
-def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-
-
 def token_spans(text: str | None) -> list[tuple[str, int, int]]:
-    """(token, start, end): runs of letters and digits, lower-cased and without diacritics, with their byte spans."""
+    """(token, start, end): runs of letters and digits and marks inside them, folded, with their byte spans."""
     out, at, byte = [], 0, 0
     text = text or ""
     for m in _TOKEN.finditer(text):

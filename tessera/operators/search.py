@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 
 from tessera.operators.filters import MOST_CANDIDATES, checked_query, top
 from tessera.sources.index import Index
+from tessera.sources.model import tokens_of
+from tessera.sources.store import written
 
 #: Weights of the indexed columns, in their order, and of graph rows by the kind of target.
 DOCUMENT_WEIGHTS = {"title": 8.0, "aliases": 6.0, "headings": 3.0, "tags": 2.0, "body": 1.0}
@@ -19,6 +22,7 @@ ASSERTION_WEIGHTS = {"name": 0.0, "aliases": 0.0, "endpoints": 4.0, "predicate":
 MOST_BODY, MOST_BODIES = 1 << 20, 16 << 20
 K1, B = 1.2, 0.75
 MOST_TERMS_JOINED = 4096
+FIRST = 32  # chunks that give the threshold
 
 
 def tie() -> Column:
@@ -27,12 +31,8 @@ def tie() -> Column:
 
 
 def phrases(query: str) -> list[list[str]]:
-    """Each whitespace term of a query as the tokens that a phrase match needs in a row."""
-    import re
-    import unicodedata
-
-    fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
-    return [p for p in (re.findall(r"[^\W_]+", fold(t)) for t in dict.fromkeys(checked_query(query))) if p]
+    """Each whitespace term of a query as the tokens that a phrase match needs in a row, folded as the index is."""
+    return [p for p in (tokens_of(t) for t in dict.fromkeys(checked_query(query))) if p]
 
 
 def phrase_hits(index: Index, wanted: Sequence[Sequence[str]], fields: Sequence[str] | None = None) -> DataFrame:
@@ -53,17 +53,45 @@ def phrase_hits(index: Index, wanted: Sequence[Sequence[str]], fields: Sequence[
     single = found.select(*by, F.col("n").cast("long").alias("n"))
     if max(len(p) for p in wanted) == 1:
         return single
-    several = found.filter("terms > 1").select(*by, "terms", "place", F.explode("positions").alias("position"))
+    several = found.filter("terms > 1")
+    # rows without a phrase's rarest term aren't opened
+    known = index.frequencies([t for p in wanted if len(p) > 1 for t in p], fields or index.fields)
+    rarest = F.create_map(*[x for i, p in enumerate(wanted) if len(p) > 1 for x in (F.lit(i), F.lit(min(p, key=lambda t: (known[t], t))))])[F.col("phrase")]
+    several = several.join(several.filter(F.col("term") == rarest).select("phrase", index.key, "field"), ["phrase", index.key, "field"], "left_semi")
+    several = several.select(*by, "terms", "place", F.explode("positions").alias("position"))
     several = several.groupBy(*by, "terms", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("c")).filter("c = terms").groupBy(*by).agg(F.count("*").alias("n"))
     return several if min(len(p) for p in wanted) > 1 else found.filter("terms = 1").select(*by, F.col("n").cast("long").alias("n")).unionByName(several)
 
 
-def _scored(index: Index, matched: DataFrame, idf: Column, size: str, average: float, sign: int) -> DataFrame:
-    """(key, score) from (phrase, key, f, size) rows; idf is a column of the phrase's number of rows n."""
-    often = matched.groupBy("phrase").agg(F.count("*").cast("double").alias("n"))  # a row for each phrase
+def _score(index: Index, matched: DataFrame, idf: dict[int, float], size: str, average: float, sign: int) -> DataFrame:
+    """(key, score) from (phrase, key, f, size) rows and the weight of each phrase."""
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col(size) / F.lit(average))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + norm) * sign
-    return matched.join(F.broadcast(often), "phrase").groupBy(index.key).agg(F.sum(part).alias("score"))
+    part = F.create_map(*[x for p, w in idf.items() for x in (F.lit(p), F.lit(w))])[F.col("phrase")] * F.col("f") * (K1 + 1) / (F.col("f") + norm) * sign
+    return matched.groupBy(index.key).agg(F.sum(part).alias("score"))
+
+
+def frequencies(index: Index, wanted: Sequence[Sequence[str]], fields: Sequence[str]) -> dict[int, int]:
+    """In how many rows each phrase is, in one of the fields: of single terms the index knows it, of others their rows are counted."""
+    known = index.frequencies([p[0] for p in wanted if len(p) == 1], fields)
+    found = {i: known[p[0]] for i, p in enumerate(wanted) if len(p) == 1}
+    name = lambda i: " ".join([*wanted[i], *sorted(fields)])
+    several = [i for i, p in enumerate(wanted) if len(p) > 1]
+    new = [i for i in several if name(i) not in index.counted]
+    if new:
+        hits = phrase_hits(index, [wanted[i] for i in new], fields).select("phrase", index.key).distinct().groupBy("phrase").count()
+        got = {r["phrase"]: r["count"] for r in hits.collect()}  # a row for each phrase
+        if len(index.counted) > MOST_TERMS_JOINED:
+            index.counted.clear()
+        index.counted |= {name(i): got.get(j, 0) for j, i in enumerate(new)}
+    return found | {i: index.counted[name(i)] for i in several}
+
+
+def full_text_idf(n: int, count: int) -> float:
+    return max(log((count - n + 0.5) / (n + 0.5)), 1e-6)
+
+
+def unit_idf(n: int, count: int) -> float:
+    return log(1 + (count - n + 0.5) / (n + 0.5))
 
 
 def bm25_index_form(index: Index, query: str, weights: dict[str, float], only: Sequence[str] | None = None) -> DataFrame:
@@ -75,16 +103,59 @@ def bm25_index_form(index: Index, query: str, weights: dict[str, float], only: S
     """
     fields = [c for c in weights if c in index.fields and (only is None or c in only)]
     weight = F.create_map(*[x for c in fields for x in (F.lit(c), F.lit(float(weights[c])))])[F.col("field")]
-    matched = phrase_hits(index, phrases(query), fields).groupBy("phrase", index.key, "len").agg(F.sum(weight * F.col("n")).alias("f"))
-    idf = F.greatest(F.ln((F.lit(float(index.count)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    return _scored(index, matched, idf, "len", index.average(), -1)
+    wanted = phrases(query)
+    idf = {p: full_text_idf(n, index.count) for p, n in frequencies(index, wanted, fields).items() if n}
+    matched = phrase_hits(index, wanted, fields)
+    if not idf:
+        return matched.select(index.key, F.lit(0.0).alias("score")).limit(0)
+    return _score(index, matched.groupBy("phrase", index.key, "len").agg(F.sum(weight * F.col("n")).alias("f")), idf, "len", index.average(), -1)
 
 
 def bm25_unit_form(index: Index, terms: Sequence[str], field: str = "body") -> DataFrame:
     """(key, score) of units that have a term, higher is better; idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over all units."""
-    matched = phrase_hits(index, [[t] for t in dict.fromkeys(terms)], [field]).select("phrase", index.key, F.col("n").cast("double").alias("f"), "size")
-    idf = F.ln(1 + (F.lit(float(index.count)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    return _scored(index, matched, idf, "size", index.average([field]), 1)
+    wanted = [[t] for t in dict.fromkeys(terms)]
+    idf = {p: unit_idf(n, index.count) for p, n in frequencies(index, wanted, [field]).items() if n}
+    matched = phrase_hits(index, wanted, [field]).select("phrase", index.key, F.col("n").cast("double").alias("f"), "size")
+    if not idf:
+        return matched.select(index.key, F.lit(0.0).alias("score")).limit(0)
+    return _score(index, matched, idf, "size", index.average([field]), 1)
+
+
+def bm25_top(index: Index, terms: Sequence[str], k: int, field: str = "body", allowed: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(key, score, rank) of the k best units by bm25_unit_form(), and of how many chunks of rows the postings were scored.
+
+    The index has a row for each term and chunk of rows with the most hits and the shortest field there, which bounds what a row of the chunk can score for
+    the term; the sum over terms bounds its whole score. The FIRST chunks of the highest bounds are scored; the k-th best of their rows
+    (of those in `allowed`, keys, if given) is a threshold, and of the other chunks only those whose bound reaches it are scored. Equal scores go by key.
+    """
+    wanted = [t for t in dict.fromkeys(terms)]
+    idf = {wanted[p]: unit_idf(n, index.count) for p, n in frequencies(index, [[t] for t in wanted], [field]).items() if n}
+    average = index.average([field])
+    weight = F.create_map(*[x for t, w in (idf or {"": 0.0}).items() for x in (F.lit(t), F.lit(w))])[F.col("term")]
+    norm = lambda size: F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col(size) / F.lit(average))
+    blocks = index.of_terms(list(idf), index.blocks).filter(F.col("field") == field)
+    blocks = blocks.groupBy("chunk", "term").agg(F.max("most").alias("most"), F.min("shortest").alias("shortest"))
+    bound = F.sum(weight * F.col("most") * (K1 + 1) / (F.col("most") + norm("shortest"))) * (1 + 1e-9)
+    chunks = blocks.groupBy("chunk").agg(bound.alias("bound"))
+    chunks = written(chunks, "bounds")
+
+    def scored(which: Column | DataFrame) -> DataFrame:
+        found = index.of_terms(list(idf)).filter(F.col("field") == field)
+        found = found.filter(which) if isinstance(which, Column) else found.join(which.select("chunk"), "chunk", "left_semi")
+        out = found.groupBy(index.key).agg(F.sum(weight * F.col("n") * (K1 + 1) / (F.col("n") + norm("size"))).alias("score"))
+        return out if allowed is None else out.join(allowed.select(index.key), index.key, "left_semi")
+
+    order = [F.col("score").desc(), F.col(index.key)]
+    first = [r["chunk"] for r in chunks.orderBy(F.col("bound").desc(), "chunk").limit(FIRST).collect()]
+    best = written(scored(F.col("chunk").isin(first)).orderBy(*order).limit(k), "best")
+    least = best.agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
+    rest = chunks.filter(~F.col("chunk").isin(first))
+    if least["n"] == k:
+        rest = rest.filter(F.col("bound") >= least["least"])
+    more = rest.count()
+    both = best.unionByName(scored(rest)) if more else best
+    report = {"chunks": chunks.count(), "first": len(first), "second": more}
+    return top(both, order, k), report
 
 
 def literal(docs: DataFrame, needle: str, keep: Sequence[str], k: int = MOST_CANDIDATES) -> DataFrame:

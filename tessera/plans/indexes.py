@@ -21,7 +21,11 @@ def stamp(spark: SparkSession, path: str) -> tuple:
     """Names, lengths and times of a table's files: an index is read again only while they are the same."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where))
+    found, files = [], fs.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def _kept(spark: SparkSession, sf: str, name: str, tables: tuple[str, ...], make: Callable):
@@ -36,7 +40,7 @@ def documents(spark: SparkSession, sf: str) -> index.Index:
 
     def make() -> index.Index:
         d = model.documents(spark, sf).withColumn("blank", F.trim("body") == "").withColumn("bytes", F.octet_length("body").cast("long"))
-        return index.build(d, "path", ("title", "aliases", "tags", "body"), [c for c in d.columns if c != "body"])
+        return index.build(d, "path", ("title", "aliases", "headings", "tags", "body"), [c for c in d.columns if c != "body"])
 
     return _kept(spark, sf, "documents", ("documents", "labels"), make)
 

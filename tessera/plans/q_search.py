@@ -8,6 +8,7 @@ from tessera.operators import dense, filters, search
 from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.sources import model
+from tessera.sources.index import audit, unmatched
 from tessera.sources.model import ASSERTIONS_SQL, DOCUMENTS_SQL, ENTITIES_SQL, TOKENS_SQL
 
 QUERY = "thing license tion"
@@ -36,7 +37,7 @@ def search_bm25_eligible(spark, sf):
     return filters.top(scored, [F.col("score").desc(), F.col("path")], 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-_COLS = ("title", "aliases", "tags", "body")
+_COLS = ("title", "aliases", "headings", "tags", "body")
 _W = search.DOCUMENT_WEIGHTS
 
 
@@ -53,12 +54,12 @@ def _index_bm25_sql(text: str, only: tuple[str, ...], name: str) -> str:
     m = " OR ".join(f"f{i} > 0" for i in range(len(wanted)))
     stats = ", ".join(f"count(*) FILTER (f{i} > 0)::DOUBLE AS n{i}" for i in range(len(wanted)))
     score = " + ".join(f"CASE WHEN f{i} > 0 THEN -greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avg)) ELSE 0 END" for i in range(len(wanted)))
-    return f"""{name}f AS (SELECT path, (len(t_title) + len(t_aliases) + len(t_tags) + len(t_body))::DOUBLE AS len, {f} FROM tk),
+    return f"""{name}f AS (SELECT path, ({" + ".join(f"len(t_{c})" for c in _COLS)})::DOUBLE AS len, {f} FROM tk),
 {name}s AS (SELECT count(*)::DOUBLE AS N, avg(len) AS avg, {stats} FROM {name}f), {name} AS (SELECT path, {score} AS score FROM {name}f, {name}s WHERE {m})"""
 
 
 TK_SQL = f"""tk AS MATERIALIZED (SELECT path, {TOKENS_SQL.format("title")} AS t_title, {TOKENS_SQL.format("array_to_string(aliases, ' ')")} AS t_aliases,
-  {TOKENS_SQL.format("array_to_string(tags, ' ')")} AS t_tags, {TOKENS_SQL.format("body")} AS t_body FROM d)"""
+  {TOKENS_SQL.format("array_to_string(headings, ' ')")} AS t_headings, {TOKENS_SQL.format("array_to_string(tags, ' ')")} AS t_tags, {TOKENS_SQL.format("body")} AS t_body FROM d)"""
 NORMAL_SQL = "coalesce(record_id, source_id) IS NOT NULL AND eligibility IN ('current', 'stale') AND coalesce(status, '') <> 'draft' AND coalesce(kind, '') NOT IN ('extraction_packet', 'extraction', 'run', 'run_event', 'change') AND trim(body) <> ''"
 
 
@@ -140,6 +141,27 @@ def search_complete_phrase(spark, sf):
     return search.complete_phrase_first(ranked, index, PHRASE).select("path", "tier", "witness", F.col("rank").cast("long").alias("rank"))
 
 
+RARE = "worthless damn tabl license ipsum copyright"
+
+
+@query(
+    "search_top_blocks",
+    f"""WITH {DOCUMENTS_SQL}, t AS (SELECT path, eligibility, {TOKENS_SQL.format("body")} AS toks FROM d), {_unit_bm25_sql(RARE.split())}
+SELECT path, round(score, {ROUND}) AS score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM tb WHERE eligibility = 'current' QUALIFY rank <= 10""",
+)
+def search_top_blocks(spark, sf):
+    """The best ten of the current documents, from the chunks of postings whose bounds reach the threshold."""
+    index = indexes.documents(spark, sf)
+    found, _ = search.bm25_top(index, RARE.split(), 10, "body", index.rows.filter("eligibility = 'current'"))
+    return found.select("path", F.round("score", ROUND).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("index_audit", "SELECT '' AS term, '' AS path, '' AS field, 0 AS position, '' AS side LIMIT 0")
+def index_audit(spark, sf):
+    """Occurrences by which the stored index differs from one that is built anew: none."""
+    return audit(indexes.documents(spark, sf), model.documents(spark, sf))
+
+
 @query("postings_terms", f"WITH {DOCUMENTS_SQL}, t AS (SELECT doc_id, unnest({TOKENS_SQL.format('body')}) AS term FROM d) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY term HAVING count(*) >= 50")
 def postings_terms(spark, sf):
     """The inverted index's terms that are in use 50 times or more."""
@@ -147,7 +169,7 @@ def postings_terms(spark, sf):
     return by_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).filter("n >= 50")
 
 
-@query("index_fields", f"WITH {DOCUMENTS_SQL}, {TK_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS field, sum(len(t_{c}))::BIGINT AS tokens, count(DISTINCT path) FILTER (len(t_{c}) > 0) AS rows FROM tk" for c in _COLS))
+@query("index_fields", f"WITH {DOCUMENTS_SQL}, {TK_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS field, sum(len(t_{c}))::BIGINT AS tokens, count(DISTINCT path) FILTER (len(t_{c}) > 0) AS rows FROM tk HAVING tokens > 0" for c in _COLS))
 def index_fields(spark, sf):
     """What the stored index of documents holds of each field; the first query of a session that needs the index builds it."""
     return indexes.documents(spark, sf).postings.groupBy("field", "path").agg(F.sum("n").alias("n")).groupBy("field").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
@@ -156,8 +178,6 @@ def index_fields(spark, sf):
 @query("index_unmatched", "SELECT '' AS path, '' AS field, '' AS reason LIMIT 0")
 def index_unmatched(spark, sf):
     """Rows and postings of the stored index that don't fit: none."""
-    from tessera.sources.index import unmatched
-
     return unmatched(indexes.documents(spark, sf))
 
 

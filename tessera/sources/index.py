@@ -1,51 +1,76 @@
-"""A stored full-text index: postings with positions by bucket of terms, narrow rows of what is indexed, sums for BM25.
-
-A posting is a row for each term of each field of a row: (bucket, term, key, field, n, positions, size, len), n being how
-often the term is there, size the tokens of its field and len those of all fields. Files are partitioned by bucket, a checksum
-of the term, and sorted by term, so that a query reads the buckets and the row groups of its terms alone, and positions only for
-phrases. There is a bucket for each million tokens, of a few hundred at most, and a bucket of many tokens is
-written by several tasks, so that the postings of a term that is everywhere don't meet in one.
+"""A stored full-text index: postings with positions by bucket of terms, what bounds them, narrow rows of what is indexed, sums for BM25.
+
+A posting is a row for each term of each field of a row: (bucket, term, chunk, key, field, n, positions, size, len, mask), n being how
+often the term is there, size the tokens of its field, len those of all fields, and mask the fields of the row that have the term. Files are
+partitioned by bucket, a checksum of the term, and sorted by term and chunk, some CHUNK rows by the hash of their key, so that a
+query reads the buckets and the row groups of its terms alone, and positions only for phrases. There is a bucket for each million tokens, of a
+few hundred at most, and a bucket of many tokens is written by several tasks, so that the postings of a term that is
+everywhere don't meet in one. Beside them stand the number of rows of each term by mask, and for each term, chunk and field the most hits and the
+shortest field, which bound a score.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.model import tokens
-from tessera.sources.store import CLEANUP, release, shared_dir, written
+from tessera.sources.store import WRITING, shared_dir
 
 BUCKETS = (8, 512)  # the least and the most; a power of 2
 BUCKET_TOKENS = 1 << 20  # tokens of a bucket, as long as there are few enough
 TASK_TOKENS = 1 << 25  # tokens of a bucket's task
+CHUNK = 64  # rows of a chunk
+BLOCKS = "term string, chunk long, field string, mask int, most int, shortest int, rows long, bucket int"
+MOST_KNOWN = 1 << 16  # terms whose numbers of rows are kept
 
 
-@dataclass(frozen=True)
+@dataclass
 class Index:
-    """rows: key, the kept columns and size_<field>; sums: tokens of each field over all rows; count: rows."""
+    """rows: key, the kept columns and size_<field>; sums: tokens of each field over all rows; count: rows; terms (term, mask, rows); blocks (term, chunk, field, mask, most, shortest, rows)."""
 
     rows: DataFrame
     postings: DataFrame
+    terms: DataFrame
+    blocks: DataFrame
     key: str
     fields: tuple[str, ...]
     count: int
     sums: dict[str, int]
     buckets: int
+    known: dict[str, dict[int, int]] = field(default_factory=dict)  # of terms that were asked for, at most MOST_KNOWN
+    counted: dict[str, int] = field(default_factory=dict)  # rows of phrases that were asked for
 
     def average(self, fields: Sequence[str] | None = None) -> float:
         return sum(self.sums[f] for f in fields or self.fields) / max(self.count, 1)
 
-    def of_terms(self, terms: Sequence[str]) -> DataFrame:
-        """The postings of these terms: others' buckets aren't read, and others' row groups are skipped."""
-        found = self.postings.filter(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})))
+    def of_terms(self, terms: Sequence[str], table: DataFrame | None = None) -> DataFrame:
+        """The postings (or rows of another table by term) of these terms: others' buckets aren't read, and others' row groups are skipped."""
+        found = (self.postings if table is None else table).filter(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})))
         return found.filter(F.col("term").isin(*terms))
 
+    def frequencies(self, terms: Sequence[str], fields: Sequence[str]) -> dict[str, int]:
+        """In how many rows each term is in one of the fields."""
+        new = sorted(set(terms) - set(self.known))
+        if new:
+            if len(self.known) + len(new) > MOST_KNOWN:
+                self.known.clear()
+                new = sorted(set(terms))
+            found = {t: {} for t in new}
+            for r in self.of_terms(new, self.terms).collect():  # a row for each set of fields
+                found[r["term"]][r["mask"]] = r["rows"]
+            self.known |= found
+        wanted = sum(1 << self.fields.index(f) for f in fields)
+        return {t: sum(n for mask, n in self.known[t].items() if mask & wanted) for t in terms}
+
 
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
@@ -59,31 +84,71 @@ def text_of(df: DataFrame, c: str) -> Column:
     return F.array_join(c, " ") if dict(df.dtypes)[c].startswith("array") else F.col(c)
 
 
+def postings_of(batches: Iterator[pa.RecordBatch], key: str, fields: Sequence[str], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each field of rows (key, chunk, t_<field>...), whose tokens are together already."""
+    for b in batches:
+        lists = [b.column(f"t_{f}") for f in fields]
+        sizes = np.stack([c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in lists]).astype(np.int64)
+        words = pa.concat_arrays([c.flatten() for c in lists]).dictionary_encode()
+        if not len(words):
+            continue
+        row = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in sizes])
+        of = np.repeat(np.arange(len(fields)), sizes.sum(axis=1))
+        position = np.arange(len(row)) - np.repeat(np.cumsum(sizes.ravel()) - sizes.ravel(), sizes.ravel())
+        term = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # tokens are in the order of their positions, which a stable sort keeps
+        order = np.argsort((row * len(words.dictionary) + term) * len(fields) + of, kind="stable")
+        row, of, term, position = row[order], of[order], term[order], position[order]
+        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])  # another row or term
+        head = np.flatnonzero(fresh | np.concatenate([[True], of[1:] != of[:-1]]))
+        n = np.diff(np.append(head, len(row)))
+        group = np.cumsum(fresh)[head] - 1
+        mask = np.zeros(group[-1] + 1, np.int64)
+        np.bitwise_or.at(mask, group, 1 << of[head])
+        names = words.dictionary.to_pylist()
+        bucket_ = np.array([bucket_of(t, buckets) for t in names], np.int32)
+        at = pa.array(row[head])
+        columns = {
+            "term": words.dictionary.take(pa.array(term[head])), "chunk": b.column("chunk").take(at), key: b.column(key).take(at), "field": pa.array(np.array(fields, object)[of[head]], pa.string()), "n": pa.array(n.astype(np.int32)),
+            "positions": pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(position.astype(np.int32))), "size": pa.array(sizes[of[head], row[head]].astype(np.int32)), "len": pa.array(sizes.sum(axis=0)[row[head]].astype(np.int32)),
+            "mask": pa.array(mask[group].astype(np.int32)), "bucket": pa.array(bucket_[term[head]]),
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def build(df: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str] = ()) -> Index:
     """The index of df's fields (texts or lists of texts) in the shared folder. Null keys aren't indexed; a null field has no tokens."""
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     held = [c for c in dict.fromkeys([key, *keep])]
-    tokenised = written(df.filter(F.col(key).isNotNull()).select(*held, *[tokens(text_of(df, f)).alias(f"t_{f}") for f in fields]), "tokens")
-    total = sum((F.size(f"t_{f}") for f in fields), F.lit(0))
-    sizes = [F.size(f"t_{f}").alias(f"size_{f}") for f in fields]
-    tokenised.select(*held, *sizes).write.parquet(f"{root}/rows")
+    indexed = df.filter(F.col(key).isNotNull())
+    tokenised = indexed.select(*held, *[tokens(text_of(df, f)).alias(f"t_{f}") for f in fields])
+    tokenised.select(*held, *[F.size(f"t_{f}").alias(f"size_{f}") for f in fields]).write.parquet(f"{root}/rows")
     count, sums = _sums(spark.read.parquet(f"{root}/rows"), fields)
     every = sum(sums.values())
     buckets = min(BUCKETS[1], max(BUCKETS[0], 1 << (every // BUCKET_TOKENS).bit_length()))
     spread = every // (buckets * TASK_TOKENS) + 1
-    one = lambda f: tokenised.select(F.col(key), F.lit(f).alias("field"), F.size(f"t_{f}").alias("size"), total.alias("len"), F.posexplode(f"t_{f}").alias("position", "term"))
-    found = reduce(DataFrame.unionByName, [one(f) for f in fields]).withColumn("bucket", bucket(F.col("term"), buckets)).withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(4)) + 4 * F.pmod(F.xxhash64(key), F.lit(spread)))
-    by = ["bucket", "_part", "term", key, "field", "size", "len"]
-    found = found.repartition(4 * buckets * spread, "bucket", "_part").groupBy(*by).agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("position")).alias("positions"))
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    kinds = _schema(key, dict(df.dtypes)[key])
+    rows = tokenised.select(key, F.pmod(F.xxhash64(key), F.lit(count // CHUNK + 1)).alias("chunk"), *[f"t_{f}" for f in fields])
+    found = rows.mapInArrow(lambda batches: postings_of(batches, key, fields, buckets), kinds)
+    part = F.pmod(F.xxhash64("term"), F.lit(4)) + 4 * F.pmod(F.col("chunk"), F.lit(spread))
+    before = {k: spark.conf.get(k, v) for k, v in WRITING.items()}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
-        found.sortWithinPartitions("bucket", "term", key).select("term", key, "field", "n", "positions", "size", "len", "bucket").write.partitionBy("bucket").parquet(f"{root}/postings")
+        found.withColumn("_part", part).repartition(4 * buckets * spread, "bucket", "_part").sortWithinPartitions("bucket", "term", "chunk", key).drop("_part").write.partitionBy("bucket").parquet(f"{root}/postings")
+        postings = spark.read.schema(kinds).parquet(f"{root}/postings")
+        by = ["bucket", "term", "chunk", "field", "mask"]  # of a row for each of these, not of each posting, the rest is made
+        bounds = postings.groupBy(*by).agg(F.max("n").alias("most"), F.min("size").alias("shortest"), F.count("*").alias("rows"))
+        bounds.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "chunk").write.partitionBy("bucket").parquet(f"{root}/blocks")
+        lowest = F.element_at(F.array(*[F.lit(f) for f in fields]), (F.log2(F.col("mask").bitwiseAND(-F.col("mask"))) + 1).cast("int"))
+        blocks = spark.read.schema(BLOCKS).parquet(f"{root}/blocks")
+        terms = blocks.filter(F.col("field") == lowest).groupBy("bucket", "term", "mask").agg(F.sum("rows").alias("rows"))  # a row counts where its first field is
+        terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
     finally:
-        spark.conf.set(CLEANUP, before)
-    release(tokenised)
-    return Index(*_tables(spark, root, key), key, tuple(fields), count, sums, buckets)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return Index(*_tables(spark, root, kinds), key, tuple(fields), count, sums, buckets)
 
 
 def _sums(rows: DataFrame, fields: Sequence[str]) -> tuple[int, dict[str, int]]:
@@ -91,10 +156,13 @@ def _sums(rows: DataFrame, fields: Sequence[str]) -> tuple[int, dict[str, int]]:
     return one["n"], {f: one[f] or 0 for f in fields}
 
 
-def _tables(spark: SparkSession, root: str, key: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark.read.parquet(f"{root}/rows")
-    postings = f"term string, {key} {dict(rows.dtypes)[key]}, field string, n int, positions array<int>, size int, len int, bucket int"
-    return rows, spark.read.schema(postings).parquet(f"{root}/postings")
+def _schema(key: str, kind: str) -> str:
+    return f"term string, chunk long, {key} {kind}, field string, n int, positions array<int>, size int, len int, mask int, bucket int"
+
+
+def _tables(spark: SparkSession, root: str, kinds: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    read = lambda schema, name: spark.read.schema(schema).parquet(f"{root}/{name}")
+    return spark.read.parquet(f"{root}/rows"), read(kinds, "postings"), read("term string, mask int, rows long, bucket int", "terms"), read(BLOCKS, "blocks")
 
 
 def unmatched(index: Index) -> DataFrame:
@@ -104,3 +172,34 @@ def unmatched(index: Index) -> DataFrame:
     both = wanted.join(counted, [index.key, "field"], "full")
     reason = F.when(F.col("size").isNull(), "postings without a row").when(F.col("found").isNull(), "no postings").when(F.col("found") != F.col("size"), "postings are missing")
     return both.select(index.key, "field", reason.alias("reason")).filter("reason is not null")
+
+
+def digests(occurrences: DataFrame, buckets: int, by: Sequence[str]) -> DataFrame:
+    """(bucket, n, low, high) of rows (term, *by): how many there are in each bucket of terms, and two sums of their hashes that no order changes."""
+    hashed = [F.xxhash64("term", *by, F.lit(i)).alias(f"h{i}") for i in (0, 1)]
+    rows = occurrences.select(bucket(F.col("term"), buckets).alias("bucket"), *hashed)
+    # halves are summed, so that no sum overflows
+    sums = [F.sum(F.shiftrightunsigned(f"h{i}", 32) if high else F.col(f"h{i}").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"s{i}{int(high)}") for i in (0, 1) for high in (False, True)]
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), *sums)
+
+
+def audit(index: Index, df: DataFrame) -> DataFrame:
+    """(term, key, field, position, side) of occurrences that the stored postings of df's fields have too few or too many of, each as often: missing or unexpected.
+
+    The other side is built anew from the texts, by another way than the index: tokens are exploded, not grouped. Both sides give digests by bucket of
+    terms; only buckets whose digests differ are compared row by row, so that what is shuffled of a sound index is a row for each bucket and task.
+    """
+    key = index.key
+    by = [key, "field", "position"]
+    texts = df.filter(F.col(key).isNotNull())
+    one = lambda f: texts.select(F.col(key), F.lit(f).alias("field"), F.posexplode(tokens(text_of(df, f))).alias("position", "term"))
+    rebuilt = reduce(DataFrame.unionByName, [one(f) for f in index.fields]).select("term", *by)
+    stored = index.postings.select("bucket", "term", key, "field", F.explode("positions").alias("position"))
+    names = [c for c in digests(rebuilt, index.buckets, by).columns if c != "bucket"]
+    was = digests(stored.select("term", *by), index.buckets, by)
+    now = digests(rebuilt, index.buckets, by).select("bucket", *[F.col(c).alias(f"new_{c}") for c in names])
+    differ = was.join(now, "bucket", "full").filter(~reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"new_{c}")) for c in names]))
+    wrong = [r["bucket"] for r in differ.select("bucket").collect()]  # BUCKETS[1] at most
+    stored = stored.filter(F.col("bucket").isin(wrong)).select("term", *by)
+    rebuilt = rebuilt.filter(bucket(F.col("term"), index.buckets).isin(wrong))
+    return rebuilt.exceptAll(stored).withColumn("side", F.lit("missing")).unionByName(stored.exceptAll(rebuilt).withColumn("side", F.lit("unexpected")))

@@ -6,7 +6,9 @@ Every function is lazy, reads only the columns it needs and is free of shuffles
 from __future__ import annotations
 
 import unicodedata
+from itertools import zip_longest
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,24 +29,51 @@ def _turn(values: tuple[str, ...], by: str, n: int) -> Column:
     return out
 
 
-def _fold() -> tuple[str, str]:
-    """Letters of the Latin, Greek and Cyrillic blocks with marks, and the same without: the decomposition's first character."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x530)]
-    kept = [(a, d[0]) for a, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
-    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+def fold_char(c: str) -> str:
+    """A character without its diacritics; nothing for a mark that combines."""
+    return unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)))
 
 
-FOLD = _fold()
+def _folded() -> tuple[str, str]:
+    """Characters that fold to another one, and what to; marks, which go, come last. Of all planes with letters but the ideographs' and Hangul's, which have none."""
+    codes = [*range(0xC0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFFE), *range(0x10000, 0x13000), *range(0x16A00, 0x17000), *range(0x1BC00, 0x1F000)]
+    pairs = [(c, fold_char(c)) for c in map(chr, codes) if unicodedata.category(c)[0] in "LMN"]
+    changed = [(c, f) for c, f in pairs if f != c and len(f) == 1]
+    gone = [c for c, f in pairs if not f]
+    return "".join(c for c, _ in changed) + "".join(gone), "".join(f for _, f in changed)
+
+
+FOLD = _folded()
+_TABLE = {ord(c): f for c, f in zip_longest(*FOLD, fillvalue=None)}
+#: A token: a letter or digit, and what letters, digits and marks follow it.
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+
+
+def fold(text: str) -> str:
+    """Lower case without diacritics: what both the index and a query are folded by, character by character, so that Hangul in parts stays in parts."""
+    return text.lower().translate(_TABLE)
+
+
+def tokens_of(text: str) -> list[str]:
+    """tokens() of one text."""
+    return regex.findall(TOKEN, fold(text))
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-cased runs of letters and digits without diacritics, in order; an empty array for null."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), *FOLD), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Lower-cased runs of letters and digits without diacritics, in order, marks that remain inside them; an empty array for null."""
+    text = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    folded = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, *FOLD))  # ASCII has nothing to fold
+    return F.regexp_extract_all(folded, F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def headings(body: Column | str) -> Column:
+    """Titles of the sections of a Markdown text: lines of one to six # and a text."""
+    body = F.col(body) if isinstance(body, str) else body
+    return F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?m)^#{1,6}[ \t]+([^\n]+)$"), F.lit(1))
 
 
 def documents(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFrame:
-    """path, record_id, kind, status, title, aliases, tags, source_id, eligibility and, if asked for, body.
+    """path, record_id, kind, status, title, aliases, headings, tags, source_id, eligibility and, if asked for, body.
 
     Eligibility: toxic documents are withdrawn, those of low quality historical, all others current.
     """
@@ -58,6 +87,7 @@ def documents(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFrame:
         _turn(STATUSES, "doc_id", 3).alias("status"),
         F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("title"),
         F.array(F.concat(F.lit("alias "), (F.col("doc_id") % 50).cast("string"))).alias("aliases"),
+        headings("text").alias("headings"),
         F.array("lang", "source").alias("tags"),
         F.when(F.col("doc_id") % 11 != 0, F.col("source")).alias("source_id"),
         F.when(F.col("toxic") == 1, "withdrawn").when(F.col("quality") == 0, "historical").otherwise("current").alias("eligibility"),
@@ -70,7 +100,7 @@ DOCUMENTS_SQL = """d AS (
   SELECT doc_id, 'doc/' || lang || '/' || doc_id AS path, CASE WHEN doc_id % 7 <> 0 THEN 'rec-' || doc_id END AS record_id,
     CASE doc_id % 4 WHEN 0 THEN 'page' WHEN 1 THEN 'revision' WHEN 2 THEN 'evidence' ELSE 'entity' END AS kind,
     CASE doc_id % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'reviewed' ELSE 'deprecated' END AS status,
-    regexp_extract(text, '^(\\S+ \\S+)', 1) AS title, ['alias ' || (doc_id % 50)] AS aliases, [lang, source] AS tags,
+    regexp_extract(text, '^(\\S+ \\S+)', 1) AS title, ['alias ' || (doc_id % 50)] AS aliases, regexp_extract_all(text, '(?m)^#{1,6}[ \\t]+([^\\n]+)$', 1) AS headings, [lang, source] AS tags,
     CASE WHEN doc_id % 11 <> 0 THEN source END AS source_id,
     CASE WHEN toxic = 1 THEN 'withdrawn' WHEN quality = 0 THEN 'historical' ELSE 'current' END AS eligibility, text AS body
   FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)

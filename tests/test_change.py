@@ -103,3 +103,86 @@ def test_reachability_index_equals_walks(spark):
 def test_reachability_of_nothing(spark):
     index = reachability.build(spark.createDataFrame([], "a long, b long"))
     assert [tuple(r) for r in reachability.reachable(index, spark.createDataFrame([(1, 2)], "a long, b long")).collect()] == [(1, 2, False, "absent")]
+
+
+@pytest.fixture(scope="module")
+def written_index(spark):
+    from tessera.sources import index
+
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    rows = [(f"d{i:04}", " ".join(rng.choice(words) for _ in range(rng.choice([5, 40, 200]))), ["x", rng.choice(words)]) for i in range(1500)]
+    df = spark.createDataFrame([*rows, (None, "w1 w2", []), ("none", None, None)], "id string, body string, tags array<string>").repartition(3)
+    return df, index.build(df, "id", ("tags", "body"))
+
+
+def test_top_blocks_equal_the_full_score(spark, written_index):
+    """The best rows by blocks are those of the full score, ties by key; rare terms leave most blocks unread."""
+    from tessera.operators import search
+
+    _, index = written_index
+    few = 0
+    for terms, k in ((["w1", "w2"], 10), (["w37"], 5), (["w9", "w1", "w250"], 20), (["w5", "w77"], 3), (["nowhere"], 4)):
+        full = search.bm25_unit_form(index, terms).orderBy(F.col("score").desc(), "id").limit(k).collect()
+        got, report = search.bm25_top(index, terms, k)
+        assert [(r["id"], round(r["score"], 9)) for r in got.orderBy("rank").collect()] == [(r["id"], round(r["score"], 9)) for r in full]
+        few += report["chunks"] > report["first"] + report["second"]
+    allowed = index.rows.filter("id > 'd0700'")
+    full = search.bm25_unit_form(index, ["w3", "w8"]).join(allowed, "id").orderBy(F.col("score").desc(), "id").limit(7).collect()
+    assert [r["id"] for r in search.bm25_top(index, ["w3", "w8"], 7, allowed=allowed)[0].orderBy("rank").collect()] == [r["id"] for r in full]
+
+
+def test_frequencies_by_fields(written_index):
+    df, index = written_index
+    rows = [(r["tags"] or [], (r["body"] or "").split()) for r in df.filter("id is not null").collect()]
+    for t in ("w1", "w2", "x", "w40"):
+        want = [sum(t in a for a, _ in rows), sum(t in b for _, b in rows), sum(t in a or t in b for a, b in rows)]
+        assert [index.frequencies([t], f)[t] for f in (["tags"], ["body"], ["tags", "body"])] == want
+
+
+def test_audit_finds_what_counts_do_not(spark, written_index):
+    """A sound index has no difference; a moved position, which leaves all counts as they are, is found in its bucket."""
+    from dataclasses import replace
+
+    from tessera.sources import index as ix
+
+    df, index = written_index
+    assert ix.audit(index, df).collect() == [] and ix.unmatched(index).collect() == []
+    hit = (F.col("term") == "w1") & (F.col("id") == "d0003") & (F.col("field") == "body")
+    was = index.postings.filter(hit).first()["positions"]
+    moved = replace(index, postings=index.postings.withColumn("positions", F.when(hit, F.concat(F.array(F.lit(9999)), F.slice("positions", 2, 10000))).otherwise(F.col("positions"))))
+    assert ix.unmatched(moved).collect() == []
+    assert sorted(tuple(r) for r in ix.audit(moved, df).collect()) == sorted([("w1", "d0003", "body", 9999, "unexpected"), ("w1", "d0003", "body", was[0], "missing")])
+    lost = replace(index, postings=index.postings.filter("not (term = 'w2' and id = 'd0005')"))
+    assert {(r["term"], r["id"], r["side"]) for r in ix.audit(lost, df).collect()} <= {("w2", "d0005", "missing")}
+
+
+def test_index_and_query_fold_alike(spark):
+    """Vietnamese, Greek, decomposed and other texts are found as they are written, and without their marks."""
+    import unicodedata
+
+    from tessera.functions import text
+    from tessera.operators import search
+    from tessera.sources import index, model
+
+    texts = {"a": "học tiếng Việt", "b": "Les cafés sont ouverts", "c": "Ἑλληνική γλώσσα", "d": "ÅNGSTRÖM Straße ﬁne", "e": "한국어 문장", "f": "हिन्दी में", "g": "İstanbul ЙОД", "h": "plain ascii_words 12"}
+    df = spark.createDataFrame(list(texts.items()), "id string, body string")
+    built = index.build(df, "id", ("body",))
+    for ident, t in texts.items():
+        for form in ("NFC", "NFD"):
+            for word in unicodedata.normalize(form, t).split():
+                for q in (word, "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))):
+                    wanted = search.phrases(q)
+                    hits = {r["id"] for r in search.phrase_hits(built, wanted).select("id").collect()} if form == "NFC" and q == word else {ident}
+                    assert ident in hits
+                    assert wanted == search.phrases(word) or ident == "e"  # Hangul in parts is other letters, on both sides
+    native = {r["id"]: r["t"] for r in df.select("id", model.tokens("body").alias("t")).collect()}
+    assert native == {i: model.tokens_of(t) for i, t in texts.items()} == {i: [w for w, _, _ in text.token_spans(t)] for i, t in texts.items()}
+    assert native["a"] == ["hoc", "tieng", "viet"] and native["b"][1] == "cafes"
+
+
+def test_headings_are_indexed(spark):
+    from tessera.sources import model
+
+    rows = spark.createDataFrame([("# One title\ntext # not\n###### Six\n####### seven\n#none\n##\tTab",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(model.headings("t")).collect()] == [["One title", "Six", "Tab"], [], []]
