@@ -204,3 +204,23 @@ def recall_and_ndcg(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Data
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     rows = n.join(hit, "query", "left")
     return rows.select("query", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
+
+
+def complete_evidence(required: DataFrame, citations: DataFrame) -> DataFrame:
+    """(question, required, covered, complete): how many of the evidence records that a question requires are covered by its citations, and whether all are.
+
+    required (question, evidence_id, source_id, revision, start, end) is covered by a citation (question, evidence_id, source_id, revision,
+    start, end) that names it, or whose span of the same source and revision contains its own; a citation has one of the two. Containment is a running
+    maximum: a span is contained in one that starts no later and ends no earlier, so that the spans of a source are sorted once
+    and no two are paired. Repeated rows count once; questions that require nothing are not among the rows.
+    """
+    need = required.select("question", "evidence_id", "source_id", "revision", "start", "end").distinct()
+    named = citations.filter("evidence_id is not null").select("question", "evidence_id", F.lit(True).alias("named")).distinct()
+    place = ["question", "source_id", "revision"]
+    spans = citations.filter("evidence_id is null").groupBy(*place, "start").agg(F.max("end").alias("until")).withColumn("need", F.lit(None).cast("struct<evidence_id:string,end:long>"))
+    both = spans.unionByName(need.select(*place, "start", F.lit(None).cast("long").alias("until"), F.struct(F.col("evidence_id").cast("string").alias("evidence_id"), F.col("end").cast("long").alias("end")).alias("need")))
+    so_far = F.max("until").over(Window.partitionBy(*place).orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("so_far", so_far).filter("need is not null").select("question", F.col("need.evidence_id").alias("evidence_id"), F.coalesce(F.col("so_far") >= F.col("need.end"), F.lit(False)).alias("inside"))
+    rows = found.join(named, ["question", "evidence_id"], "left").withColumn("hit", F.col("inside") | F.coalesce("named", F.lit(False)))
+    sums = rows.groupBy("question").agg(F.count("*").alias("required"), F.count_if("hit").alias("covered"))
+    return sums.select("*", (F.col("covered") == F.col("required")).alias("complete"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, dense, eligibility, filters, graph
+from tessera.operators import catalog, dense, eligibility, filters, graph, references
 from tessera.operators.reachability import reachable
 from tessera.plans import indexes
 from tessera.plans.q_search import COS_SQL, _vector
@@ -292,6 +292,73 @@ def reference_errors(spark, sf):
     return eligibility.check_references(refs, records)
 
 
+# Records of the kinds that refer to others: a source and a revision for each customer, and extractions, packets and evidence of orders.
+REFS_SQL = """c AS (SELECT c_custkey AS k, c_custkey % 7 AS m FROM customer), o AS (SELECT o_orderkey AS n, o_custkey AS k FROM orders),
+rec AS (
+  SELECT 's' || k AS id, 'source' AS kind, CASE WHEN m = 1 THEN 'r' || (k + 1) ELSE 'r' || k END AS current_revision, CASE m WHEN 2 THEN ['r' || k, 'r' || k] WHEN 3 THEN ['r' || k, 'r' || (k + 1)] ELSE ['r' || k] END AS revisions,
+    NULL AS source_id, NULL AS source_revision, []::VARCHAR[] AS source_ids, []::VARCHAR[] AS source_revision_ids, NULL AS supersedes_id, NULL AS assertion_id, NULL AS span_start, NULL AS span_end FROM c UNION ALL
+  SELECT 'r' || k, 'revision', NULL, [], CASE WHEN m = 4 THEN 's' || (k - 1) ELSE 's' || k END, NULL, [], [], NULL, NULL, NULL, NULL FROM c UNION ALL
+  SELECT 'x' || n, 'extraction', NULL, [], NULL, NULL, CASE WHEN n % 9 = 4 THEN ['s' || k, 's' || (k + 2)] ELSE ['s' || k] END, CASE WHEN n % 11 = 5 THEN ['r' || (k + 3)] ELSE ['r' || k] END, NULL, NULL, NULL, NULL FROM o UNION ALL
+  SELECT 'p' || n, 'extraction_packet', NULL, [], 's' || k, 'r' || (k + CASE WHEN n % 13 = 6 THEN 1 ELSE 0 END), [], [], NULL, NULL, NULL, NULL FROM o UNION ALL
+  SELECT 'e' || n, 'evidence', NULL, [], 's' || k % 5, 'r' || n % 2, [], [], CASE WHEN n > 6 THEN 'e' || (n - 6) END, 'a' || n % 3, (n // 50)::VARCHAR, (n // 40)::VARCHAR FROM o)"""
+
+
+def _referring(spark, sf):
+    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    c = model.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 7).alias("m"))
+    o = model.table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), F.col("o_custkey").alias("k"))
+    k, m, n = F.col("k"), F.col("m"), F.col("n")
+    source = c.select(s("s", k).alias("id"), F.lit("source").alias("kind"), s("r", F.when(m == 1, k + 1).otherwise(k)).alias("current_revision"), F.when(m == 2, F.array(s("r", k), s("r", k))).when(m == 3, F.array(s("r", k), s("r", k + 1))).otherwise(F.array(s("r", k))).alias("revisions"))
+    revision = c.select(s("r", k).alias("id"), F.lit("revision").alias("kind"), s("s", F.when(m == 4, k - 1).otherwise(k)).alias("source_id"))
+    extraction = o.select(s("x", n).alias("id"), F.lit("extraction").alias("kind"), F.when(n % 9 == 4, F.array(s("s", k), s("s", k + 2))).otherwise(F.array(s("s", k))).alias("source_ids"), F.array(s("r", F.when(n % 11 == 5, k + 3).otherwise(k))).alias("source_revision_ids"))
+    packet = o.select(s("p", n).alias("id"), F.lit("extraction_packet").alias("kind"), s("s", k).alias("source_id"), s("r", F.when(n % 13 == 6, k + 1).otherwise(k)).alias("source_revision"))
+    evidence = o.select(s("e", n).alias("id"), F.lit("evidence").alias("kind"), s("s", k % 5).alias("source_id"), s("r", n % 2).alias("source_revision"), F.when(n > 6, s("e", n - 6)).alias("supersedes_id"), s("a", n % 3).alias("assertion_id"), F.floor(n / 50).cast("string").alias("span_start"), F.floor(n / 40).cast("string").alias("span_end"))
+    out = source
+    for t in (revision, extraction, packet, evidence):
+        out = out.unionByName(t, True)
+    for name in ("link", "locator_kind", "quote_hash"):
+        out = out.withColumn(name, F.lit(None).cast("string"))
+    return out.withColumn("link", F.concat(F.lit("notes/"), "id")).withColumn("input_ids", F.array().cast("array<string>")).withColumn("output_ids", F.array().cast("array<string>"))
+
+
+@query(
+    "reference_reasons",
+    f"""WITH {REFS_SQL}, ty AS (SELECT id, 'source_id' AS field, source_id AS target, 'source' AS kind, CASE WHEN length(id) % 4 = 1 THEN 'notes/' || source_id || CASE WHEN right(id, 1) = '3' THEN '!' ELSE '' END END AS companion FROM rec WHERE kind = 'revision'),
+li AS (SELECT id, kind, 'revisions' AS field, 'revision' AS wanted, unnest(revisions) AS target FROM rec UNION ALL SELECT id, kind, 'source_ids', 'source', unnest(source_ids) FROM rec UNION ALL SELECT id, kind, 'source_revision_ids', 'revision', unnest(source_revision_ids) FROM rec),
+en AS (SELECT li.*, r.kind AS is_, r.source_id AS of FROM li LEFT JOIN rec r ON r.id = li.target),
+se AS (SELECT x.id, (SELECT list_sort(list(DISTINCT s)) FROM (SELECT unnest(x.source_ids) AS s)) AS said, (SELECT list_sort(list(DISTINCT of)) FROM en WHERE en.id = x.id AND field = 'source_revision_ids' AND of IS NOT NULL) AS owned FROM rec x WHERE kind = 'extraction')
+SELECT ty.id, 'invalid_reference:source_id' AS reason FROM ty LEFT JOIN rec r ON r.id = target WHERE r.kind IS DISTINCT FROM 'source' OR companion <> 'notes/' || r.id
+UNION SELECT id, 'invalid_reference:' || field FROM en WHERE is_ IS DISTINCT FROM wanted
+UNION SELECT id, 'duplicate_reference:' || field FROM li GROUP BY id, field, target HAVING count(*) > 1
+UNION SELECT id, 'revision_ownership_mismatch' FROM en WHERE kind = 'source' AND field = 'revisions' AND is_ IS NOT NULL AND of IS DISTINCT FROM id
+UNION SELECT id, 'head_not_retained' FROM rec WHERE kind = 'source' AND NOT list_contains(revisions, current_revision)
+UNION SELECT id, 'extraction_ownership_set_mismatch' FROM se WHERE said IS DISTINCT FROM owned
+UNION SELECT p.id, 'packet_revision_ownership_mismatch' FROM rec p JOIN rec r ON r.id = p.source_revision WHERE p.kind = 'extraction_packet' AND r.source_id IS DISTINCT FROM p.source_id
+UNION SELECT e.id, 'evidence_successor_chain_disagreement' FROM rec e JOIN rec p ON p.id = e.supersedes_id WHERE e.kind = 'evidence' AND (e.assertion_id IS DISTINCT FROM p.assertion_id OR e.source_id IS DISTINCT FROM p.source_id OR (e.source_revision = p.source_revision AND (e.span_start IS DISTINCT FROM p.span_start OR e.span_end IS DISTINCT FROM p.span_end)))""",
+)
+def reference_reasons(spark, sf):
+    records = _referring(spark, sf)
+    link = F.concat(F.lit("notes/"), "source_id", F.when(F.col("id").endswith("3"), "!").otherwise(""))
+    typed = records.filter("kind = 'revision'").select("id", F.lit("source_id").alias("field"), F.col("source_id").alias("target"), F.lit("source").alias("kind"), F.when(F.length("id") % 4 == 1, link).alias("companion"))
+    return references.reference_reasons(records, typed)
+
+
+SUPERSEDE_SQL = "sup AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 64 = 0 THEN o_orderkey + 3 WHEN o_orderkey % 64 < 4 THEN o_orderkey - 1 WHEN o_orderkey % 16 = 4 THEN NULL WHEN o_orderkey % 16 = 9 THEN o_orderkey - 2 ELSE o_orderkey - 1 END AS p FROM orders), pre AS (SELECT s.id, p FROM sup s WHERE p IN (SELECT id FROM sup))"
+
+
+@query(
+    "successor_chains",
+    f"""WITH RECURSIVE {SUPERSEDE_SQL}, w AS (SELECT id AS first, id, 0::BIGINT AS place FROM sup WHERE id NOT IN (SELECT id FROM pre) UNION ALL SELECT w.first, pre.id, place + 1 FROM w JOIN pre ON pre.p = w.id),
+f AS (SELECT p AS id FROM pre GROUP BY p HAVING count(*) > 1)
+SELECT sup.id, first, place, first IS NULL AS cyclic, sup.id IN (FROM f) AS forked FROM sup LEFT JOIN w USING (id)""",
+)
+def successor_chains(spark, sf):
+    """Orders that supersede one another in chains of up to 60; some fork, and four of each 64 go round."""
+    n = F.col("o_orderkey")
+    before = F.when(n % 64 == 0, n + 3).when(n % 64 < 4, n - 1).when(n % 16 == 4, None).when(n % 16 == 9, n - 2).otherwise(n - 1)
+    return references.chains(model.table(spark, sf, "orders").select(n.alias("id"), before.alias("supersedes_id")))
+
+
 @query("entity_channels", "SELECT 'supplier_' || s_suppkey AS id, CASE WHEN s_acctbal < -900 THEN 'invalid' WHEN s_suppkey % 9 = 0 THEN 'historical' ELSE 'current' END AS identity_eligibility, CASE WHEN s_acctbal < -900 THEN 'invalid' WHEN s_acctbal < 0 THEN 'stale' ELSE 'current' END AS description_eligibility FROM supplier")
 def entity_channels(spark, sf):
     s = model.table(spark, sf, "supplier").select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("id"), F.when(F.col("s_suppkey") % 9 == 0, "superseded").otherwise("active").alias("status"), (F.col("s_acctbal") < -900).alias("identity_invalid"), F.when(F.col("s_acctbal") < 0, "stale").otherwise("current").alias("eligibility"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import dense, filters, search
+from tessera.operators import catalog, dense, filters, search
 from tessera.plans import indexes
 from tessera.plans.registry import query
 from tessera.sources import model
@@ -333,6 +333,65 @@ def dense_topk(spark, sf):
     return s.orderBy(F.col("score").desc(), "unit_id").limit(50).withColumn("score", F.round("score", ROUND))
 
 
+OWNERS_OF_SQL = f"""q AS (SELECT item_id AS query, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
+sc AS (SELECT query, label AS owner, vec_id AS unit_id, round(list_dot_product(embedding::DOUBLE[], v) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(v, v)), 12) AS score FROM embeddings, q),
+ow AS (SELECT query, owner, row_number() OVER (PARTITION BY query ORDER BY max(score) DESC, owner) AS owner_rank FROM sc GROUP BY query, owner QUALIFY owner_rank <= 4)"""
+
+
+def _questions(spark, sf):
+    """The benchmark's questions; the vector of each is that of the unit with its number."""
+    units = model.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query"), "embedding")
+    return units.join(model.table(spark, sf, "benchmark").select(F.col("item_id").alias("query")), "query", "left_semi")
+
+
+@query(
+    "dense_owners_of_questions",
+    f"""WITH {OWNERS_OF_SQL} SELECT query, owner, owner_rank, row_number() OVER (PARTITION BY query, owner ORDER BY score DESC, unit_id) AS unit_rank, unit_id, round(score, {ROUND}) AS score FROM sc JOIN ow USING (query, owner) QUALIFY unit_rank <= 2""",
+)
+def dense_owners_of_questions(spark, sf):
+    out = dense.dense_owners_of(model.units(spark, sf), _questions(spark, sf), 4)
+    return out.select("query", "owner", F.col("owner_rank").cast("long").alias("owner_rank"), F.col("unit_rank").cast("long").alias("unit_rank"), "unit_id", F.round("score", ROUND).alias("score"))
+
+
+@query(
+    "questions_evaluated",
+    f"""WITH {OWNERS_OF_SQL}, rel AS (SELECT DISTINCT item_id AS query, label AS owner FROM benchmark JOIN embeddings ON vec_id = item_id OR vec_id = item_id + 1),
+n AS (SELECT query, count(*) AS n FROM rel GROUP BY query), h AS (SELECT query, count(*) AS hits, sum(1 / log2(owner_rank + 1)) AS dcg FROM ow JOIN rel USING (query, owner) GROUP BY query)
+SELECT query, round(coalesce(hits, 0) / n, {ROUND}) AS recall, round(coalesce(dcg, 0) / CASE n WHEN 1 THEN 1 ELSE 1 + 1 / log2(3) END, {ROUND}) AS ndcg FROM n LEFT JOIN h USING (query)""",
+)
+def questions_evaluated(spark, sf):
+    """Recall and nDCG of every question; the owners of its own unit and of the next are relevant."""
+    ranked = dense.dense_owners_of(model.units(spark, sf), _questions(spark, sf), 4).filter("unit_rank = 1").select("query", F.col("owner").alias("doc"), F.col("owner_rank").alias("rank"))
+    e = model.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("doc"))
+    near = model.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array("item_id", F.col("item_id") + 1)).alias("vec_id"))
+    out = catalog.recall_and_ndcg(ranked, near.join(e, "vec_id").select("query", "doc").distinct(), 4)
+    return out.select("query", F.round("recall", ROUND).alias("recall"), F.round("ndcg", ROUND).alias("ndcg"))
+
+
+EVIDENCE_SET_SQL = """li AS (SELECT l_orderkey // 4 AS question, 'e' || l_orderkey || '_' || l_linenumber AS evidence_id, 's' || l_partkey % 2 AS source_id, 'r' || l_orderkey % 3 AS revision, l_linenumber * 10 AS start, l_linenumber * 10 + floor(l_quantity)::BIGINT AS stop, l_returnflag AS flag FROM lineitem),
+need AS (SELECT DISTINCT question, evidence_id, source_id, revision, start, start + 5 + stop % 7 AS stop FROM li WHERE flag = 'R'), cit AS (SELECT question, CASE WHEN stop % 3 = 0 THEN evidence_id END AS evidence_id, source_id, 'r' || length(evidence_id) % 3 AS revision, start - 10 AS start, stop + 10 AS stop FROM li WHERE flag <> 'R' OR stop % 3 = 0)"""
+
+
+@query(
+    "complete_evidence",
+    f"""WITH {EVIDENCE_SET_SQL}, hit AS (SELECT n.question, n.evidence_id, EXISTS (SELECT 1 FROM cit c WHERE c.question = n.question AND c.evidence_id = n.evidence_id)
+  OR EXISTS (SELECT 1 FROM cit c WHERE c.evidence_id IS NULL AND c.question = n.question AND c.source_id = n.source_id AND c.revision = n.revision AND c.start <= n.start AND c.stop >= n.stop) AS hit FROM need n)
+SELECT question, count(*) AS required, count(*) FILTER (hit) AS covered, bool_and(hit) AS complete, round(avg(bool_and(hit)::INT) OVER (), {ROUND}) AS mean FROM hit GROUP BY question""",
+)
+def complete_evidence(spark, sf):
+    """Of the returned items of each four orders, as evidence that a question requires, what citations of the other items cover; and the share of questions of which all is."""
+    from pyspark.sql.window import Window
+
+    ident = F.concat(F.lit("e"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
+    li = model.table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("question"), ident.alias("evidence_id"), F.concat(F.lit("s"), (F.col("l_partkey") % 2).cast("string")).alias("source_id"), (F.col("l_orderkey") % 3).alias("r"), (F.col("l_linenumber") * 10).cast("long").alias("start"), (F.col("l_linenumber") * 10 + F.floor("l_quantity")).cast("long").alias("stop"), "l_returnflag")
+    revision = lambda c: F.concat(F.lit("r"), c.cast("string")).alias("revision")
+    need = li.filter("l_returnflag = 'R'").select("question", "evidence_id", "source_id", revision(F.col("r")), "start", (F.col("start") + 5 + F.col("stop") % 7).alias("end"))
+    cites = li.filter("l_returnflag <> 'R' or stop % 3 = 0").select("question", F.when(F.col("stop") % 3 == 0, F.col("evidence_id")).alias("evidence_id"), "source_id", revision(F.length("evidence_id") % 3), (F.col("start") - 10).alias("start"), (F.col("stop") + 10).alias("end"))
+    out = catalog.complete_evidence(need, cites)
+    mean = F.avg(F.col("complete").cast("int")).over(Window.partitionBy())  # a row for each question
+    return out.withColumn("mean", F.round(mean, ROUND))
+
+
 @query("vector_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 4) AS total FROM embeddings")
 def vector_normalise(spark, sf):
     n = model.units(spark, sf).select("unit_id", dense.normalised("embedding").alias("v")).filter(dense.unit_length("v"))

@@ -41,6 +41,27 @@ def stream_rates(spark, sf):
     return last.select(F.unix_seconds("start").alias("start"), "event_type", "r.requests", F.round("r.amount", 4).alias("amount"))
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query("stream_live_rates", "SELECT event_type AS key, event_id AS sequence, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS amount FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
+def stream_live_rates(spark, sf):
+    """The last minute before each event, from state by key that timers clear."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        # a mark behind the last event, under a key of its own, lets the watermark pass all of them
+        last = model.ledger(spark, sf).agg(F.max("ts")).first()[0]
+        e = events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+        mark = F.struct(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.lit("").alias("event_type"), F.lit(0.0).alias("value"))
+        e = e.select(F.explode(F.when(F.col("ts") == F.lit(last), F.array(F.struct(*e.columns), mark)).otherwise(F.array(F.struct(*e.columns)))).alias("e")).select("e.*")
+        rows = drained(ledger.live_rates(e, "event_type", "event_id", "ts", "value"), "live", "append").filter("key <> ''")
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return rows.select("key", "sequence", "requests", F.round("amount", 4).alias("amount"))
+
+
 _STEP = f"(r.state = '' AND o.state = 'planned' OR r.state || '>' || o.state IN ({', '.join(repr(f'{a}>{b}') for a, b in sorted(RUN_STATES))}))"
 
 
