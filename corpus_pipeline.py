@@ -13,43 +13,44 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; lang is the predicted one."""
+    """Documents whose language is known; lang is the predicted one. Those without a letter, null and empty texts among them, go; repeated rows are judged alike."""
     judged = language_id.identify_rows(docs, language_id.learn(docs))
     kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return fewer(kept.select(*[F.col(f"row.`{c}`") if c != "lang" else F.col("lang_pred").alias("lang") for c in docs.columns]), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of texts with alike sets of five-word shingles; all without words."""
+    """One document, that of the least doc_id, of each group of texts with alike sets of five-word shingles; all without words.
+
+    Of rows with the same doc_id and text one stays, that of the least hash of all its columns, which stay whatever their names and types.
+    """
     found = ngram_join.jaccard_components(docs, 5, 4, 5)
     ident = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tk"))
-    groups = found.filter("n_shingles > 0").groupBy("class").agg(F.min(ident).alias("first"))
-    kept = groups.select("first.doc_id", "first.tk").unionByName(found.filter("n_shingles = 0").select("doc_id", "tk").distinct())
-    kept = written(kept.select(F.col("doc_id").alias("_doc_id"), F.col("tk").alias("_tk")), "kept")
-    rows = docs.withColumn("_key", text_key())
-    rows = rows.join(kept, (F.col("_key") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi").drop("_key")
-    repeated = found.filter("n_shingles > 0").groupBy("doc_id", "tk").count().filter("count > 1")
-    if repeated.isEmpty():
-        return fewer(rows, docs)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # of rows with the same id and text the least stays
-    return rows.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_least")).select(*[F.col(c if c not in rest else f"_least.`{c}`") for c in docs.columns])
+    kinds = found.groupBy("doc_id", "tk").agg(F.count("*").alias("n"), F.first("class").alias("class"), F.max("n_shingles").alias("n_shingles"))
+    groups = kinds.filter("n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "tk", "n"), ident).alias("first")).select("first.*")
+    kept = groups.unionByName(kinds.filter("n_shingles = 0").select("doc_id", "tk", F.lit(1).cast("long").alias("n")))
+    kept = written(kept.select(F.col("doc_id").alias("id"), "tk", (F.col("n") > 1).alias("several")), "kept")
+    rows = docs.select(F.struct("*").alias("row"), text_key().alias("tk"))
+    of = lambda k: rows.join(k.select("id", F.col("tk").alias("key")), (F.col("tk") == F.col("key")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
+    repeated = of(kept.filter("several")).groupBy("id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return fewer(of(kept.filter("not several")).select("row.*").unionByName(repeated.select("row.*")), docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of suffix_dedup.LENGTH bytes or more that repeat; documents of which nothing is left go."""
+    """Texts without the passages of suffix_dedup.LENGTH bytes or more that repeat; documents of which nothing but spaces is left go, those without text before stay."""
     cut = suffix_dedup.cut_rows(docs).filter("not emptied")
     new = {"text": F.col("cut").alias("text"), "n_chars": F.length("cut").cast("long").alias("n_chars")}
     return fewer(cut.select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns]), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample whose tokens have the target shares of sources, languages and topics; a document that is too scarce for its share is repeated."""
+    """The sample whose tokens have the target shares of sources, languages and topics; a document that is too scarce for its share is repeated. Null sources and languages are values of their own."""
     chosen = mixing.mix_sources(docs).filter("chosen")
     return fewer(chosen.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*"), docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text, lang, source, ids, n_tokens; the text is what the ids decode to."""
+    """doc_id, text, lang, source, ids, n_tokens; the text is what the ids decode to, null for a null text."""
     done = sentencepiece_scan.encode(docs)
     return fewer(done.select("row.doc_id", F.col("decoded").alias("text"), "row.lang", "row.source", "ids", "n_tokens"), docs)
 
