@@ -58,3 +58,24 @@ def test_pipeline_runs_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, ""), "stage")
     assert docs.count() == 0
+
+
+def test_near_copies_keep_every_column_of_repeated_rows(spark):
+    """Names that the stages use themselves and a map, which can't be ordered, go along; of repeated rows one stays whole."""
+    rng = random.Random(12)
+    text = [" ".join(prose(rng, 40)) for _ in range(12)]
+    rows = [(i, t, "en", "s", len(t), {"a": i}, "k", f"r{i}", 1) for i, t in enumerate(text)]
+    rows += [(3, text[3], "en", "s", len(text[3]), {"b": 1}, "other", "r", 2), (3, text[3], "en", "s", len(text[3]), {"b": 1}, "other", "r", 2), (None, text[5], "en", "s", 1, None, None, None, None), (None, text[5], "en", "s", 1, None, None, None, None)]
+    rows += [(20, "", "en", "s", 0, {"c": 1}, "x", "y", 3), (20, "", "en", "s", 0, {"c": 1}, "x", "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, meta map<string,int>, _key string, row string, tk int").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = sorted(map(repr, map(tuple, out.collect())))
+    whole = [repr(r) for r in rows]
+    assert len(got) == 14 and all(g in whole for g in got)
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(12), 20, 20]  # without words a row is like no other
+    again = sorted(map(repr, map(tuple, corpus_pipeline.drop_near_copies(spark, docs.repartition(5), "").collect())))
+    assert again == got
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, ""), name)
+        assert docs.columns == out.columns
