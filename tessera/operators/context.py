@@ -6,12 +6,15 @@ MOST_PACKETS rows that windows cut first, so requests are what is spread over th
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from tessera.operators.dense import RRF
@@ -74,29 +77,121 @@ def _by_request(rows: DataFrame, order: Sequence[Column], choose: Callable[[pd.D
 PACKET = "request, key, owner, start, end, score, terms, weights, local, density, affinity, seed, clipped, graph, child_start, child_end"
 
 
+def header_of(label: str, start: int, end: int) -> str:
+    """What stands above a passage, behind its number: its citation."""
+    return f"{label} bytes {start}-{end}\n"
+
+
+TAIL = "\n\n"  # behind a passage
+
+
 class _Tray:
-    """What is in a context: each owner's spans, merged where they overlap or touch, and their cost in bytes with a header each."""
-
-    def __init__(self, header: int):
-        self.header, self.spans = header, {}
-
-    def with_(self, owner, start: int, end: int, graph: bool) -> dict:
-        """The spans if this one were added: (start, end, graph bytes) of each owner."""
-        apart = [x for x in self.spans.get(owner, []) if x[1] < start or x[0] > end]
-        joined = [x for x in self.spans.get(owner, []) if not (x[1] < start or x[0] > end)]
-        one = (min([start, *(x[0] for x in joined)]), max([end, *(x[1] for x in joined)]), (end - start) * graph + sum(x[2] for x in joined))
-        return {**self.spans, owner: [*apart, one]}
-
-    def refusal(self, spans: dict, limits: dict) -> str | None:
-        every = [x for v in spans.values() for x in v]
-        cost = sum(x[1] - x[0] + self.header for x in every)
-        if any(x[1] - x[0] > limits["excerpt"] for x in every):
-            return "passage too long"
-        if any(len(v) > limits["per_owner"] for v in spans.values()):
-            return "owner has enough"
-        if cost > limits["bytes"] or -(-cost // 4) > limits["tokens"]:
-            return "does not fit"
-        return "graph has its share" if sum(x[2] for x in every) > GRAPH_SHARE * limits["bytes"] else None
+    """What is in a context: each owner's spans, merged where they overlap or touch, and running sums of what they cost.
+
+    A span costs its bytes and `header`, or if that is None what is printed with it: its number, its citation by the owner's label, and TAIL. Numbers
+    follow the order of passages, so that their digits depend on how many there are alone.
+    """
+
+    def __init__(self, header: int | None):
+        self.header, self.spans, self.sizes, self.count, self.graph = header, {}, 0, 0, 0
+
+    def _size(self, label: str, start: int, end: int) -> int:
+        return end - start + (self.header if self.header is not None else len(header_of(label, start, end).encode()) + len(TAIL))
+
+    def _numbers(self, count: int) -> int:
+        """Bytes of [1], [2], ... with a space each."""
+        if self.header is not None:
+            return 0
+        digits = sum(count - 10**d + 1 for d in range(len(str(count)))) if count else 0
+        return 3 * count + digits
+
+    def trial(self, owner, label: str, start: int, end: int, graph: bool, limits: dict) -> tuple[str | None, tuple]:
+        """Why a span isn't admitted, or None, and what is in the context with it."""
+        mine = self.spans.get(owner, [])
+        joined = [x for x in mine if not (x[1] < start or x[0] > end)]
+        apart = [x for x in mine if x[1] < start or x[0] > end]
+        one = (min([start, *(x[0] for x in joined)]), max([end, *(x[1] for x in joined)]), (end - start) * graph + sum(x[2] for x in joined), min([x[3] for x in joined], default=self.count))
+        sizes = self.sizes - sum(self._size(label, x[0], x[1]) for x in joined) + self._size(label, one[0], one[1])
+        count = self.count - len(joined) + 1
+        shared = self.graph + (end - start) * graph
+        cost = sizes + self._numbers(count)
+        why = None
+        if one[1] - one[0] > limits["excerpt"]:
+            why = "passage too long"
+        elif len(apart) + 1 > limits["per_owner"]:
+            why = "owner has enough"
+        elif cost > limits["bytes"] or -(-cost // 4) > limits["tokens"]:
+            why = "does not fit"
+        elif shared > GRAPH_SHARE * limits["bytes"]:
+            why = "graph has its share"
+        return why, ([*apart, one], sizes, count, shared)
+
+    def admit(self, owner, trial: tuple) -> None:
+        self.spans[owner], self.sizes, self.count, self.graph = trial
+
+    def cost(self) -> int:
+        return self.sizes + self._numbers(self.count)
+
+
+def _packed(g: dict[str, list], limits: dict, header: int | None, order: list[int]) -> tuple[dict[int, tuple[int | None, str | None]], _Tray]:
+    """Each packet's position and reason. Utilities only fall as terms are covered, so that they are kept in a heap and found again when they come up."""
+    weights = [dict(zip(t, w, strict=True)) for t, w in zip(g["terms"], g["weights"], strict=True)]
+    worth: dict[str, float] = {}
+    for x in weights:
+        for t, w in x.items():
+            worth[t] = max(worth.get(t, 0), w)
+    total = max(float(sum(worth.values())), 1.0)
+    best = max([0.0, *(a for a in g["affinity"] if a is not None)])
+    covered: set[str] = set()
+
+    def value(i: int) -> float:
+        novel, local, affinity = sum(w for t, w in weights[i].items() if t not in covered) / total, g["local"][i] / total, g["affinity"][i]
+        if affinity is None:
+            v = (0.25 + 2 * novel + 0.5 * local + 0.05 * g["seed"][i]) * (0.15 if best else 1.0)
+        else:
+            v = (0.05 + (max(affinity, 0.0) / best if best else 0.0) ** 4) * (1 + 0.25 * novel + 0.5 * local)
+        return round(g["score"][i] * v * g["density"][i] * (0.7 if g["clipped"][i] else 1.0), 12)
+
+    # (-utility, key's place, child, the number of admissions at which it was found)
+    heap = [(-value(i), place, False, 0) for place, i in enumerate(order)]
+    heapq.heapify(heap)
+    tray, turn, fate, found = _Tray(header), 0, {}, 0
+    while heap:
+        _, place, child, seen = heapq.heappop(heap)
+        i = order[place]
+        if not child and seen != found:
+            heapq.heappush(heap, (-value(i), place, False, found))
+            continue
+        owner, label = g["owner"][i], g["label"][i] if "label" in g else ""
+        start, end = (int(g[f"{'child_' if child else ''}{c}"][i]) for c in ("start", "end"))
+        if not child and any(x[0] <= start and end <= x[1] for x in tray.spans.get(owner, [])):
+            fate[i] = (None, "contained")
+            continue
+        why, trial = tray.trial(owner, label, start, end, g["graph"][i], limits)
+        if why is None:
+            turn += 1
+            tray.admit(owner, trial)
+            fate[i] = (turn, "child" if child else None)
+            if not child:
+                covered |= set(weights[i])
+                found += 1
+        elif not child and g["child_start"][i] is not None:
+            heapq.heappush(heap, (-round(g["score"][i], 12), place, True, found))
+        else:
+            fate[i] = (None, why)
+    return fate, tray
+
+
+def _pack(packets: DataFrame, columns: Sequence[str], limits: dict, header: int | None, most: int, give: Callable[[dict, dict, _Tray], dict], schema: str) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        g = table.to_pydict()
+        order = sorted(range(table.num_rows), key=lambda i: g["key"][i])
+        fate, tray = _packed(g, limits, header, order)
+        return pa.table(list(give(g, fate, tray).values()), schema=wanted)
+
+    wanted = to_arrow_schema(packets.sparkSession.createDataFrame([], schema).schema)
+    cut = cut_for_request(packets.select(*columns), [F.col("score").desc(), F.col("key")], most)
+    return cut.groupBy("request").applyInArrow(run, schema)
 
 
 def pack(packets: DataFrame, max_bytes: int, max_tokens: int, excerpt: int, most: int = MOST_PACKETS, source_aware: bool = True, header: int = 120) -> DataFrame:
@@ -109,53 +204,34 @@ def pack(packets: DataFrame, max_bytes: int, max_tokens: int, excerpt: int, most
     An owner has at most PER_OWNER_SOURCES passages, PER_OWNER unless source_aware; graph packets take at most half of the bytes.
     """
     limits = {"bytes": max_bytes, "tokens": max_tokens, "excerpt": excerpt, "per_owner": PER_OWNER_SOURCES if source_aware else PER_OWNER}
+    kinds = dict(packets.dtypes)
+    give = lambda g, fate, tray: {"request": g["request"], "key": g["key"], "position": [fate[i][0] for i in range(len(fate))], "reason": [fate[i][1] for i in range(len(fate))]}
+    return _pack(packets, PACKET.split(", "), limits, header, most, give, f"request {kinds['request']}, key {kinds['key']}, position long, reason string")
 
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        n = len(g)
-        names = sorted({t for x in g["terms"] for t in x})
-        place = {t: j for j, t in enumerate(names)}
-        worth = np.zeros((2 * n, len(names)))  # a child is a row of its own, behind all packets
-        for i, (terms, weights) in enumerate(zip(g["terms"], g["weights"], strict=True)):
-            worth[i, [place[t] for t in terms]] = weights
-        total = max(float(worth.max(axis=0, initial=0).sum()), 1.0)
-        column = lambda c, kind=float: g[c].to_numpy(kind)
-        affinity, none = column("affinity"), g["affinity"].isna().to_numpy()
-        best = max(0.0, float(np.nanmax(affinity, initial=0.0)))
-        near = (0.05 + (np.where(none, 0, np.maximum(affinity, 0)) / best if best else np.zeros(n)) ** 4)
-        start, end = np.concatenate([column("start"), column("child_start")]), np.concatenate([column("end"), column("child_end")])
-        open_, fate, novel_now = np.arange(2 * n) < n, {}, np.ones(len(names), bool)
-        tray, turn = _Tray(header), 0
-        while open_.any():
-            novel = worth[:n] @ novel_now / total
-            local = column("local") / total
-            value = np.where(none, (0.25 + 2 * novel + 0.5 * local + 0.05 * column("seed")) * (0.15 if best else 1.0), near * (1 + 0.25 * novel + 0.5 * local))
-            value = np.concatenate([column("score") * value * column("density") * np.where(column("clipped", bool), 0.7, 1.0), column("score")])
-            value = np.where(open_, np.round(value, 12), -np.inf)
-            i = min(np.flatnonzero(value == value.max()), key=lambda k: (g["key"].iloc[k % n], k))
-            open_[i] = False
-            k, owner, span = i % n, g["owner"].iloc[i % n], (int(start[i]), int(end[i]))
-            if any(x[0] <= span[0] and span[1] <= x[1] for x in tray.spans.get(owner, [])) and i < n:
-                fate[k] = (None, "contained")
-                continue
-            spans = tray.with_(owner, *span, bool(g["graph"].iloc[k]))
-            why = tray.refusal(spans, limits)
-            if why is None:
-                turn += 1
-                tray.spans, fate[k] = spans, (turn, "child" if i >= n else None)
-                if i < n:
-                    novel_now &= worth[k] == 0
-            elif i < n and not np.isnan(start[n + k]):
-                open_[n + k] = True
-            else:
-                fate[k] = (None, why)
-        return pd.DataFrame({"request": g["request"], "key": g["key"], "position": pd.array([fate[k][0] for k in range(n)], "Int64"), "reason": [fate[k][1] for k in range(n)]})
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return choose(group.sort_values("key").reset_index(drop=True))
+def pack_rendered(packets: DataFrame, owners: DataFrame, max_bytes: int, max_tokens: int, excerpt: int, most: int = MOST_PACKETS, source_aware: bool = True) -> DataFrame:
+    """(request, passages, charged, context): the text of each request's context, and the bytes that its passages were charged while they were packed, which are its own.
 
+    packets have the columns PACKET, and owners (owner, label, body) are what their spans, of bytes, are of. A trial costs what it would print: for each
+    passage, in the order in which its first span was admitted, its number, its owner's label and span as a citation, its bytes and an empty line; where
+    spans meet the passage is printed once, and later numbers move up. Bodies aren't needed for that: they are read for what is admitted only.
+    """
+    limits = {"bytes": max_bytes, "tokens": max_tokens, "excerpt": excerpt, "per_owner": PER_OWNER_SOURCES if source_aware else PER_OWNER}
     kinds = dict(packets.dtypes)
-    cut = cut_for_request(packets.select(*PACKET.split(", ")), [F.col("score").desc(), F.col("key")], most)
-    return cut.groupBy("request").applyInPandas(run, f"request {kinds['request']}, key {kinds['key']}, position long, reason string")
+    labelled = packets.join(owners.select("owner", "label"), "owner")
+
+    def give(g: dict, fate: dict, tray: _Tray) -> dict:
+        found = sorted((x[3], x[0], x[1], owner) for owner, v in tray.spans.items() for x in v)
+        n = len(found)
+        return {"request": [g["request"][0]] * n, "place": list(range(1, n + 1)), "owner": [x[3] for x in found], "start": [x[1] for x in found], "end": [x[2] for x in found], "charged": [tray.cost()] * n}
+
+    schema = f"request {kinds['request']}, place long, owner {kinds['owner']}, start long, end long, charged long"
+    passages = _pack(labelled, [*PACKET.split(", "), "label"], limits, None, most, give, schema)
+    body = F.decode(F.substring(F.col("body").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
+    printed = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "label", F.lit(" bytes "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("\n"), body, F.lit(TAIL))
+    rows = passages.join(owners.select("owner", "label", "body"), "owner").select("request", "place", "charged", printed.alias("printed"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "printed"))), lambda x: x["printed"]), "")  # max_bytes at most
+    return rows.groupBy("request").agg(F.count("*").alias("passages"), F.max("charged").alias("charged"), lines.alias("context"))
 
 
 def facility_location(candidates: DataFrame, k: int, exchange: bool = True) -> DataFrame:

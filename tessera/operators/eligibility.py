@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import OPPOSITION_KEY, opposition_columns, reach
-from tessera.sources.store import release, written
+from tessera.sources.store import written
 
 
 def lifecycle(kind: str = "kind", status: str = "status", withdrawn: str = "withdrawn", older: str = "older") -> Column:
@@ -82,7 +82,7 @@ def dependency_fixpoint(records: DataFrame, edges: DataFrame) -> DataFrame:
     return judged(records, badness(records, edges))
 
 
-def refreshed_badness(before: DataFrame, records: DataFrame, edges: DataFrame, changed: DataFrame, most: int = 1000) -> DataFrame:
+def refreshed_badness(before: DataFrame, records: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(id, bad) of the records that a change may touch, 0 where they are good now; of all others `before`, the badness() before it, holds.
 
     records and edges are those after the change, changed has the ids of records that were put, changed or removed and of those with an
@@ -95,28 +95,13 @@ def refreshed_badness(before: DataFrame, records: DataFrame, edges: DataFrame, c
     edges = edges.select("id", "depends_on").join(records.select("id"), "id", "left_semi")
     dependents = edges.join(changed.select(F.col("id").alias("depends_on")).distinct(), "depends_on", "left_semi").select("id")
     first = written(changed.select("id").unionByName(dependents).distinct(), "changed")
+    back = written(edges.select(F.col("depends_on").alias("a"), F.col("id").alias("b")), "edges")
     start = first.join(before, "id").join(own_badness(records, edges, first), "id", "left").filter(F.col("was") > F.coalesce("bad", F.lit(0))).select("id", "was")
-    taken = [written(start, "taken")]
-    for _ in range(most):
-        step = edges.join(taken[-1].select(F.col("id").alias("depends_on"), F.col("was").alias("of")), "depends_on").select("id", "of").distinct()
-        step = step.join(before, "id").filter("was = of").select("id", "was")
-        for t in taken:
-            step = step.join(t.select("id"), "id", "left_anti")
-        step = written(step.distinct(), "taken")
-        if step.isEmpty():
-            break
-        taken.append(step)
-        if len(taken) > 8:
-            older = written(_all(taken[:-1]), "taken")
-            release(*taken[:-1])
-            taken = [older, step]
-    else:
-        raise RuntimeError("the change did not settle")
-    gone = written(_all(taken).select("id"), "gone")
+    as_bad = before.withColumnRenamed("was", "is")  # values don't change on the way: a record goes on only if it was as bad
+    gone = written(reach(back, start, "was", keep=lambda hop: hop.join(as_bad, "id").filter("was = is").select("id", "was")).select("id"), "gone")
     kept = before.join(gone, "id", "left_anti").select("id", F.col("was").alias("bad"))
     again = written(gone.unionByName(first).distinct(), "again")
     rests = edges.join(again, "id", "left_semi").join(kept.withColumnRenamed("id", "depends_on"), "depends_on").select("id", "bad")
-    back = edges.select(F.col("depends_on").alias("a"), F.col("id").alias("b"))
     risen = reach(back, own_badness(records, edges, again).unionByName(rests), "bad", known=kept)
     touched = again.unionByName(risen.select("id")).distinct().join(records.select("id"), "id", "left_semi")
     stands = touched.join(kept, "id").select("id", "bad")
@@ -124,13 +109,6 @@ def refreshed_badness(before: DataFrame, records: DataFrame, edges: DataFrame, c
     return touched.join(now, "id", "left").select("id", F.coalesce("bad", F.lit(0)).alias("bad"))
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
 def propagate_invalid(records: DataFrame, references: DataFrame) -> DataFrame:
     """(id, invalid) over typed references (id, target, identity_only): what refers to an invalid record becomes invalid.
 

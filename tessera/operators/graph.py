@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -120,6 +121,66 @@ def links_of(records: DataFrame, links: DataFrame) -> DataFrame:
     return both.unionByName(out)
 
 
+def navigation(records: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, other, id, direction): page links (from_id, to_id) under both of their ends, and provenance, by fields of records (id, fields) named *_id or *_ids
+    but the record's own, under the record. An edge's id tells its ends and its kind, so that a link is one edge from either side."""
+    named = records.select("id", F.explode("fields").alias("field", "value")).filter(F.col("field").rlike("_ids?$") & (F.col("field") != "id"))
+    out = named.select(F.col("id").alias("a"), F.explode(F.split("value", ",")).alias("b")).filter("a <> b").distinct()
+    ident = lambda kind: F.concat("a", F.lit(">"), "b", F.lit(f":{kind}")).alias("id")
+    both = links.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a <> b").distinct()
+    away = both.select(F.col("a").alias("node"), F.col("b").alias("other"), ident("link"), F.lit("outgoing").alias("direction"))
+    back = both.select(F.col("b").alias("node"), F.col("a").alias("other"), ident("link"), F.lit("incoming").alias("direction"))
+    return away.unionByName(back).unionByName(out.select(F.col("a").alias("node"), F.col("b").alias("other"), ident("provenance"), F.lit("outgoing").alias("direction")))
+
+
+def walk_navigated(edges: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, per_seed: int = PER_SEED, per_walk: int = PER_WALK) -> DataFrame:
+    """(seed, seed_rank, id, kind, hop, node, other, direction, path, rank): walk() over assertions and navigation() under one quota.
+
+    In each hop a seed first takes assertions, then navigation, of all its frontier's nodes in turn: per_seed edges of both kinds over all hops. What the seeds
+    take is admitted in turns as well, until the walk has per_walk distinct edges of both kinds; one that another seed brought in costs the seed
+    its place, not the walk. What isn't admitted leads nowhere. Both kinds give the next hop its nodes, assertions first; a path holds assertions only. A node is
+    left once for each seed. All tables are of at most MOST_SEEDS * per_seed rows but the edges at the frontier, of which each node gives per_seed.
+    """
+    if not 1 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth is 1..{MOST_DEPTH}")
+    top = seeds.orderBy("rank").limit(MOST_SEEDS)
+    start = top.select(F.col("id").alias("seed"), F.col("rank").alias("seed_rank"), F.col("id").alias("node"), F.lit(0).cast("long").alias("frontier_rank"), F.array().cast("array<string>").alias("path"))
+    names = ["seed", "seed_rank", "id", "kind", "hop", "node", "other", "direction", "path", "stage", "admit"]
+    found = None
+    left = start.select("seed", "node")  # what each seed has left
+    for hop in range(1, depth + 1):
+        nodes = sorted({r["node"] for r in start.select("node").collect()})
+        for stage, (kind, table) in enumerate((("assertion", edges), ("navigation", links)), 2 * hop):
+            near = table.filter(F.col("node").isin(nodes))
+            if "bucket" in table.columns:
+                near = near.filter(F.col("bucket").isin(sorted({bucket_of(n, NODE_BUCKETS) for n in nodes}))).drop("bucket")
+            step = near.select("node", "other", "id", "direction").join(F.broadcast(start), "node")
+            taken = F.lit(0)
+            if found is not None:
+                step = step.join(found.select("seed", "id"), ["seed", "id"], "left_anti").join(found.groupBy("seed").agg(F.count("*").alias("have")), "seed", "left")
+                taken = F.coalesce("have", F.lit(0))
+            step = step.withColumn("turn", F.row_number().over(Window.partitionBy("seed", "node").orderBy("id", "direction"))).filter(F.col("turn") <= per_seed)
+            step = step.withColumn("n", F.row_number().over(Window.partitionBy("seed", "id").orderBy("turn", "frontier_rank", "direction"))).filter("n = 1")
+            step = step.withColumn("admit", F.row_number().over(Window.partitionBy("seed").orderBy("turn", "frontier_rank", "id"))).filter(F.col("admit") + taken <= per_seed)
+            # of edges that are new to the walk the first ones, by turns of the seeds, as long as there is room
+            fresh = step.groupBy("id").agg(F.min(F.struct("admit", "seed_rank")).alias("at"))
+            room = per_walk
+            if found is not None:
+                room -= found.select("id").distinct().count()
+                fresh = fresh.join(found.select("id").distinct(), "id", "left_anti")
+            late = fresh.withColumn("n", F.row_number().over(Window.orderBy("at"))).filter(F.col("n") > room).select("id")
+            path = F.array_append("path", F.col("id")) if kind == "assertion" else F.col("path")
+            step = step.join(late, "id", "left_anti").select("seed", "seed_rank", "id", F.lit(kind).alias("kind"), F.lit(hop).alias("hop"), "node", "other", "direction", path.alias("path"), F.lit(stage).alias("stage"), "admit")
+            found = written((step if found is None else found.unionByName(step)).select(*names), "walk")
+        reached = found.filter(F.col("hop") == hop).groupBy("seed", "seed_rank", F.col("other").alias("node")).agg(F.min(F.struct("stage", "admit", "path")).alias("p"))
+        reached = reached.join(left, ["seed", "node"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy("p.stage", "p.admit")).cast("long")
+        start = written(reached.select("seed", "seed_rank", "node", rank.alias("frontier_rank"), F.col("p.path").alias("path")), "frontier")
+        left = left.unionByName(start.select("seed", "node"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy("stage", "admit", "seed_rank")))
+    return ranked.select("seed", "seed_rank", "id", "kind", "hop", "node", "other", "direction", "path", "rank")
+
+
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """(a, b) of all pairs such that b can be reached from a; doubling, each round's pairs in the shared folder."""
     pairs = written(edges.select("a", "b").filter("a is not null and b is not null").distinct(), "closure")
@@ -134,12 +195,12 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, value: str | list[str], most: int = 1000, known: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, value: str | list[str], most: int = 1000, known: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, value): the largest value of the seeds (id, value) that each id can be reached from along edges (a, b), a to b; of several values each its largest.
 
     A frontier of ids of which a value rose is moved HOPS edges on, then held against what is known and written; edges stay
     dealt out by their start, so that a round shuffles the frontier's edges, not the graph. With `known` (id, value), values
-    that the ids have already, only what rises above them goes on, and only that is returned.
+    that the ids have already, only what rises above them goes on, and only that is returned. keep takes from what a hop reaches, (id, value), what may go on.
     """
     values = [value] if isinstance(value, str) else value
     dealt = edges.select("a", "b").repartition("a").persist()
@@ -161,6 +222,7 @@ def reach(edges: DataFrame, seeds: DataFrame, value: str | list[str], most: int
             hop, hits = seen[-1], []
             for _ in range(HOPS):
                 hop = dealt.join(hop.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(*top)
+                hop = keep(hop) if keep else hop
                 hits.append(hop)
             fresh = written(rose(hits, [*given, *seen]), "reach")
             if fresh.isEmpty():

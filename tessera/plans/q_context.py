@@ -146,6 +146,27 @@ def context_packed(spark, sf):
     return context.pack(packets, 8000, 2000, 2048)
 
 
+@query("context_rendered")
+def context_rendered(spark, sf):
+    """The printed context of each request over spans of documents, with the bytes that packing charged for it."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    docs = model.table(spark, sf, "documents").select(F.col("doc_id").alias("owner"), F.concat(F.lit("doc/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("label"), F.coalesce("text", F.lit("")).alias("body"))
+    n = docs.agg((F.max("owner") + 1).alias("documents"))
+    terms = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit("t"), ((k + 3 * i) % 9).cast("string")))
+    o = model.table(spark, sf, "orders").join(F.broadcast(n)).select("*", (k * 7 % F.col("documents")).alias("owner")).join(docs, "owner")
+    chars = F.length("body")
+    first, last = F.floor(chars * (k % 5) / 8), F.least(F.floor(chars * (k % 5) / 8) + 100 + k * 53 % 900, chars)
+    at = lambda i: F.octet_length(F.left("body", F.greatest(i, F.lit(0)).cast("int"))).cast("long")
+    packets = o.select(
+        F.floor(c / 16).alias("request"), k.alias("key"), "owner", at(first).alias("start"), at(last).alias("end"), (1.0 / (60.0 + k % 50)).alias("score"), F.array_distinct(terms).alias("terms"),
+        F.transform(F.array_distinct(terms), lambda t: 100 + F.ascii(F.right(t, F.lit(1))) % 7 * 50).alias("weights"), (k % 13 * 10).alias("local"), (0.25 + (k % 4) / 8.0).alias("density"),
+        F.when((k % 3 != 0) & (c % 40 < 20), (k % 17) / 17.0 - 0.2).alias("affinity"), (k % 5 == 0).alias("seed"), (k % 6 == 0).alias("clipped"), (k % 8 == 0).alias("graph"),
+        F.when(k % 2 == 0, at(first)).alias("child_start"), F.when(k % 2 == 0, at(first + F.floor((last - first) / 3))).alias("child_end"),
+    )
+    out = context.pack_rendered(packets, docs, 8000, 2000, 2048)
+    return out.select("request", "passages", "charged", F.octet_length("context").cast("long").alias("bytes"), F.sha2("context", 256).alias("context_sha256"))
+
+
 @query(
     "whole_originals",
     """WITH o AS (SELECT o_custkey % 60 AS request, o_orderkey AS key, o_orderkey * 7 % 100 AS rank, 1000 + o_orderkey * 31 % 40000 AS bytes FROM orders), c AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY rank, key) AS n FROM o QUALIFY n <= 10),

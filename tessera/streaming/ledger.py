@@ -80,51 +80,54 @@ def envelope(ok: bool, data: object) -> str:
 
 
 class _Window(StatefulProcessor):
-    """Rows of a key by span of `seconds`. When the watermark has passed a span its rows are counted, with those of the span before, which then goes."""
+    """Rows of a key by span of time. When the watermark has passed a span its rows are counted, with those of the last span before it, which then goes."""
 
-    def __init__(self, seconds: int):
-        self.wide = seconds * 1_000_000
+    def __init__(self, seconds: int, span: int):
+        self.wide, self.span = seconds * 1_000_000, span * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.spans = handle.getMapState("spans", "span long", "at array<bigint>, sequence array<bigint>, amount array<double>")
-
-    def _rows(self, span: int) -> tuple[list, list, list]:
-        return tuple(map(list, self.spans.getValue((span,)))) if self.spans.containsKey((span,)) else ([], [], [])
+        self.last = handle.getValueState("last", "span long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            for span, part in frame.groupby(frame["at"] // self.wide):
-                held = self._rows(int(span))
-                self.spans.updateValue((int(span),), tuple(h + part[c].tolist() for h, c in zip(held, ("at", "sequence", "amount"), strict=True)))
-                for end in (span + 1, span + 2):  # counted at the first, forgotten at the second
-                    self.handle.registerTimer(int(end) * self.wide // 1000)
+            for span, part in frame.groupby(frame["at"] // self.span):
+                at = (int(span),)
+                held = self.spans.getValue(at) if self.spans.containsKey(at) else ([], [], [])
+                self.spans.updateValue(at, tuple([*h, *part[c].tolist()] for h, c in zip(held, ("at", "sequence", "amount"), strict=True)))
+                self.handle.registerTimer((int(span) + 1) * self.span // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        span = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.wide - 1
-        own, before = self._rows(span), self._rows(span - 1)
-        if own[0]:
-            at, amount = (np.array(b + o) for b, o in ((before[0], own[0]), (before[2], own[2])))
-            order = np.argsort(at, kind="stable")
-            at, sums = at[order], np.concatenate([[0.0], np.cumsum(amount[order])])
-            low = at.searchsorted(np.array(own[0]) - self.wide, side="right")  # strict: the instant `seconds` ago has left
-            high = at.searchsorted(np.array(own[0]), side="right")
-            yield pd.DataFrame({"key": key[0], "sequence": own[1], "requests": high - low, "amount": sums[high] - sums[low]})
-        if before[0]:
-            self.spans.removeKey((span - 1,))
+        span = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.span - 1
+        own, before = [list(c) for c in self.spans.getValue((span,))], [[], [], []]
+        last = self.last.get()
+        if last is not None:
+            if last[0] == span - 1:
+                before = [list(c) for c in self.spans.getValue((last[0],))]
+            self.spans.removeKey((last[0],))
+        self.last.update((span,))
+        at, amount = (np.array(before[i] + own[i]) for i in (0, 2))
+        order = np.argsort(at, kind="stable")
+        at, sums = at[order], np.concatenate([[0.0], np.cumsum(amount[order])])
+        low = at.searchsorted(np.array(own[0]) - self.wide, side="right")  # strict: the instant `seconds` ago has left
+        high = at.searchsorted(np.array(own[0]), side="right")
+        yield pd.DataFrame({"key": key[0], "sequence": own[1], "requests": high - low, "amount": sums[high] - sums[low]})
 
     def close(self) -> None:
         pass
 
 
-def live_rates(events: DataFrame, key: str, sequence: str, ts: str, value: str, late: str = "10 minutes", seconds: int = 60) -> DataFrame:
+def live_rates(events: DataFrame, key: str, sequence: str, ts: str, value: str, late: str = "10 minutes", seconds: int = 60, span: int = 600) -> DataFrame:
     """(key, sequence, requests, amount) of each row: what its key did in the seconds up to it, its own instant included and the one `seconds` ago not.
 
-    State by key with event-time timers: a row waits until the watermark has passed its span, so that late rows before it are there; then it is counted, and
+    State by key with event-time timers: a row waits until the watermark has passed its span of `span` seconds, so that late rows before it are there; then it is counted, and
     rows that no later one can see are forgotten. What is held of a key is two spans and what is younger than the watermark, however long its history.
     Rows later than `late` are dropped by the watermark. Needs the RocksDB state store.
     """
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(sequence).cast("long").alias("sequence"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(value).cast("double").alias("amount"))
+    if span < seconds:
+        raise ValueError("a span is as long as the window at least")
     rows = rows.withWatermark("ts", late)
-    return rows.groupBy("key").transformWithStateInPandas(_Window(seconds), "key string, sequence long, requests long, amount double", "append", "eventTime")
+    return rows.groupBy("key").transformWithStateInPandas(_Window(seconds, span), "key string, sequence long, requests long, amount double", "append", "eventTime")
