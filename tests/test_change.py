@@ -186,3 +186,53 @@ def test_headings_are_indexed(spark):
 
     rows = spark.createDataFrame([("# One title\ntext # not\n###### Six\n####### seven\n#none\n##\tTab",), (None,), ("",)], "t string")
     assert [r[0] for r in rows.select(model.headings("t")).collect()] == [["One title", "Six", "Tab"], [], []]
+
+
+def walked_by_hand(edges, links, seeds, depth, per_seed, per_walk):
+    """A walk edge by edge: seeds take turns, each with its quota, and the walk has one for both kinds."""
+    found, order, has, left = {}, [], {s: 0 for s in seeds}, {(s, s) for s in seeds}
+    front = {s: [(s, ())] for s in seeds}
+    for hop in range(1, depth + 1):
+        for kind, table in (("assertion", edges), ("navigation", links)):
+            wanted = {}
+            for seed in seeds:
+                seen, rows = {i for s, i in found if s == seed}, []
+                for at, (node, path) in enumerate(front[seed]):
+                    mine = sorted((i, d, o) for n, o, i, d in table if n == node and i not in seen)[:per_seed]
+                    rows += [(turn, at, i, d, node, o, path) for turn, (i, d, o) in enumerate(mine)]
+                once = {}
+                for r in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+                    once.setdefault(r[2], r)
+                wanted[seed] = sorted(once.values(), key=lambda r: r[:3])[: per_seed - has[seed]]
+            for turn in range(per_seed):
+                for seed in seeds:
+                    if turn < len(wanted[seed]):
+                        _, _, i, d, node, other, path = wanted[seed][turn]
+                        if i in {x for _, x in found} or len({x for _, x in found}) < per_walk:
+                            has[seed] += 1
+                            found[seed, i] = (kind, hop, node, other, (*path, i) if kind == "assertion" else path)
+                            order.append((seed, i))
+        front = {s: [] for s in seeds}
+        for seed, i in order:
+            kind, h, _, other, path = found[seed, i]
+            if h == hop and (seed, other) not in left:
+                left.add((seed, other))
+                front[seed].append((other, path))
+    return [(s, i, *found[s, i], n) for n, (s, i) in enumerate(order, 1)]
+
+
+@pytest.mark.parametrize("caps", [(2, 16, 128), (2, 5, 12), (1, 3, 7), (2, 16, 3)])
+def test_navigated_walk_equals_hand(spark, caps):
+    depth, per_seed, per_walk = caps
+    rng = random.Random(per_seed)
+    assertions = {(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(60)}
+    records = [(f"n{i}", {"id": "own", "peer_id": f"n{rng.randrange(25)}", "more_ids": f"n{rng.randrange(25)},n{rng.randrange(25)}", "name": "n1"}) for i in range(25)]
+    pages = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(25)]
+    edges = graph.adjacency(spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in sorted(assertions)], "id string, subject_id string, object_id string"))
+    links = graph.navigation(spark.createDataFrame(records, "id string, fields map<string,string>"), spark.createDataFrame(pages, "from_id string, to_id string"))
+    seeds = ["n3", "n7", "n11", "n2", "n19"]
+    got = graph.walk_navigated(edges, links, spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "id string, rank int"), depth, per_seed, per_walk)
+    rows = lambda t: [tuple(r) for r in t.select("node", "other", "id", "direction").collect()]
+    want = walked_by_hand(rows(edges), rows(links), seeds, depth, per_seed, per_walk)
+    assert [(r["seed"], r["id"], r["kind"], r["hop"], r["node"], r["other"], tuple(r["path"]), r["rank"]) for r in got.orderBy("rank").collect()] == want
+    assert {w[2] for w in want} == {"assertion", "navigation"} or per_walk < 128
