@@ -72,10 +72,17 @@ def matches(f: Filters) -> Column:
     return out
 
 
-def in_sources(docs: DataFrame, sources: Sequence[str], evidence: DataFrame) -> DataFrame:
-    """Documents of a source: their own, or a record with evidence from it (a semi-join, by record)."""
-    cited = evidence.filter(F.col("source_id").isin(*sources)).select(F.col("assertion_id").alias("record_id")).distinct().withColumn("cited", F.lit(True))
-    return docs.join(cited, "record_id", "left").filter(F.col("source_id").isin(*sources) | F.coalesce("cited", F.lit(False))).drop("cited")
+def in_sources(docs: DataFrame, sources: Sequence[str], evidence: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Documents of a source: their own, the source's record itself, a record whose source_id, or one of whose source_ids, it is, or one with evidence from it.
+
+    evidence (source_id, assertion_id) and records (id, kind, source_id, source_ids) are filtered by the sources first; what they find is joined by record once.
+    """
+    hits = evidence.filter(F.col("source_id").isin(*sources)).select(F.col("assertion_id").alias("record_id"))
+    if records is not None:
+        of = ((F.col("kind") == "source") & F.col("id").isin(*sources)) | F.col("source_id").isin(*sources) | F.arrays_overlap("source_ids", F.array(*[F.lit(s) for s in sources]))
+        hits = hits.unionByName(records.filter(of).select(F.col("id").alias("record_id")))
+    hits = hits.distinct().withColumn("cited", F.lit(True))
+    return docs.join(hits, "record_id", "left").filter(F.col("source_id").isin(*sources) | F.coalesce("cited", F.lit(False))).drop("cited")
 
 
 def normal_policy(blank: Column | None = None) -> Column:

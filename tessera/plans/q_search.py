@@ -226,6 +226,21 @@ def filter_source_scope(spark, sf):
     return filters.in_sources(model.documents(spark, sf, body=False), ["src3", "src4"], cited).select("path")
 
 
+@query(
+    "filter_source_records",
+    f"""WITH {DOCUMENTS_SQL}, e AS (SELECT DISTINCT 'rec-' || (l_orderkey % 500) AS record_id FROM lineitem WHERE 'src' || (l_orderkey % 20) IN ('src3', 'rec-16')),
+r AS (SELECT 'rec-' || o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'source' ELSE 'extraction' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'src' || o_custkey % 9 END AS source_id, CASE WHEN o_orderkey % 4 = 0 THEN ['src' || o_custkey % 30, 'src' || o_custkey % 7] END AS source_ids FROM orders)
+SELECT path FROM d WHERE source_id IN ('src3', 'rec-16') OR record_id IN (FROM e) OR record_id IN (SELECT id FROM r WHERE (kind = 'source' AND id IN ('src3', 'rec-16')) OR source_id IN ('src3', 'rec-16') OR list_has_any(source_ids, ['src3', 'rec-16']))""",
+)
+def filter_source_records(spark, sf):
+    """Documents in the scope of a source and of a source's record: all five ways into it."""
+    li, k, c = model.table(spark, sf, "lineitem"), F.col("o_orderkey"), F.col("o_custkey")
+    cited = li.select(F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("source_id"), F.concat(F.lit("rec-"), (F.col("l_orderkey") % 500).cast("string")).alias("assertion_id"))
+    src = lambda n: F.concat(F.lit("src"), (c % n).cast("string"))
+    records = model.table(spark, sf, "orders").select(F.concat(F.lit("rec-"), k.cast("string")).alias("id"), F.when(k % 5 == 1, "source").otherwise("extraction").alias("kind"), F.when(k % 3 == 0, src(9)).alias("source_id"), F.when(k % 4 == 0, F.array(src(30), src(7))).alias("source_ids"))
+    return filters.in_sources(model.documents(spark, sf, body=False), ["src3", "rec-16"], cited, records).select("path")
+
+
 @query("late_materialised", f"WITH {DOCUMENTS_SQL}, c AS (SELECT path FROM d WHERE {NORMAL_SQL} ORDER BY coalesce(record_id, path), path LIMIT 80) SELECT path, record_id, kind, length(body) AS chars, strlen(body) AS bytes FROM c JOIN d USING (path)")
 def late_materialised(spark, sf):
     docs = model.documents(spark, sf)

@@ -41,19 +41,22 @@ def token_spans(spark, sf):
     return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
 
 
-def _whole(out):
-    """For each document: its pieces' bytes, whether they follow each other from 0, and the longest."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
-    one = out.groupBy("doc_id").agg(ordered.alias("s"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max(F.col("end") - F.col("start")).alias("longest"))
-    after = F.forall(F.sequence(F.lit(1), F.size("s")), lambda i: F.element_at("s", i)["start"] == F.when(i == 1, F.lit(0).cast("long")).otherwise(F.element_at("s", F.greatest(i - 1, F.lit(1)))["end"]))
-    return one.select("doc_id", "bytes", after.alias("follow"), "longest")
+CHARS_SQL = """ch AS MATERIALIZED (SELECT doc_id, c, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE strlen(text) > 0)),
+size AS (SELECT doc_id, max(e) AS size FROM ch GROUP BY doc_id)"""
 
 
-@query("segments", "SELECT doc_id, strlen(coalesce(text, '')) AS bytes, true AS follow, true AS fits, strlen(coalesce(text, '')) <= 2000 AS single FROM documents")
+def _windows_sql(capacity: int, cut: str) -> str:
+    """Pieces of texts (doc_id, ordinal, start, stop), one after the other: each ends at the last character that fits, or where `cut` is of those that fit."""
+    return f"""WITH RECURSIVE {CHARS_SQL}, w(doc_id, ordinal, start, stop) AS (SELECT doc_id, -1::BIGINT, 0::BIGINT, 0::BIGINT FROM size UNION ALL
+  SELECT w.doc_id, w.ordinal + 1, w.stop, CASE WHEN max(ch.e) = size THEN size ELSE coalesce({cut}, max(ch.e)) END FROM w JOIN size USING (doc_id) JOIN ch ON ch.doc_id = w.doc_id AND ch.e > w.stop AND ch.e <= w.stop + {capacity} GROUP BY w.doc_id, w.ordinal, w.stop, size)
+SELECT doc_id, ordinal, start, stop FROM w WHERE ordinal >= 0"""
+
+
+@query("segments", _windows_sql(2000, "max(ch.e) FILTER (ch.c = chr(10) AND ch.e = w.stop + 1)") + " UNION ALL SELECT doc_id, 0, 0, 0 FROM documents WHERE coalesce(text, '') = ''")
 def segments(spark, sf):
-    """Whole texts in segments of at most 2000 bytes: nothing is lost and none is too long; where they are cut is left to tests."""
+    """Whole texts in segments of at most 2000 bytes. These texts have no headings to be cut at, and no blank lines but the rest of a line that a cut leaves behind."""
     out = text.mapped(_docs(spark, sf), _cut, ("text",), "ordinal long, start long, end long, headings array<string>", ("doc_id",))
-    return _whole(out).select("doc_id", "bytes", "follow", (F.col("longest") <= 2000).alias("fits"), (F.col("longest") == F.col("bytes")).alias("single"))
+    return out.select("doc_id", "ordinal", "start", F.col("end").alias("stop"))
 
 
 def _cut(t):
@@ -69,12 +72,10 @@ def _blocks(t):
     return text.teaching_blocks(text.blocks(t), 4000)
 
 
-@query("excerpts", f"WITH t AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS toks FROM documents) SELECT doc_id, true AS same, true AS fits, true AS hit FROM t WHERE len(list_intersect(toks, ['thing', 'license', 'tion'])) > 0")
+@query("excerpts")
 def excerpts(spark, sf):
-    """Excerpts of the documents that have a term: each is the bytes of its span, fits, and has a term; which window is the best is left to tests."""
-    out = text.mapped(_docs(spark, sf), _excerpt, ("text",), "excerpt string, start long, end long, matches long", ("doc_id", "text"))
-    same = text.byte_slice(F.col("text"), F.col("start"), F.col("end")) == F.col("excerpt")
-    return out.select("doc_id", same.alias("same"), (F.octet_length("excerpt") <= 300).alias("fits"), F.arrays_overlap(model.tokens("excerpt"), F.array(*[F.lit(t) for t in ("thing", "license", "tion")])).alias("hit"))
+    """The best excerpt of each document that has a term, with its span and what it has of the query."""
+    return text.mapped(_docs(spark, sf), _excerpt, ("text",), "excerpt string, start long, end long, matches long", ("doc_id",))
 
 
 def _excerpt(t):
@@ -195,11 +196,11 @@ def assertion_units_rendered(spark, sf):
     return render.assertion_units(a, model.entities(spark, sf))
 
 
-@query("packet_windows", "SELECT doc_id, strlen(text) AS bytes, true AS follow, true AS fits, strlen(text) <= 12000 AS single FROM documents WHERE strlen(text) > 0")
+@query("packet_windows", _windows_sql(12_000, "max(ch.e) FILTER (ch.c = chr(10))"))
 def packet_windows(spark, sf):
-    """Windows of extraction packets over texts that sixteen of them hold: nothing is lost and none is too long; where they are cut is left to tests."""
+    """Windows of extraction packets over whole texts, cut after the last newline that fits."""
     out = text.mapped(_docs(spark, sf), _windows, ("text",), "ordinal long, start long, end long, headings array<string>", ("doc_id",))
-    return _whole(out).select("doc_id", "bytes", "follow", (F.col("longest") <= 12_000).alias("fits"), (F.col("longest") == F.col("bytes")).alias("single"))
+    return out.select("doc_id", "ordinal", "start", F.col("end").alias("stop"))
 
 
 def _windows(t):
