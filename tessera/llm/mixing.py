@@ -79,7 +79,7 @@ def mix_sources(docs: DataFrame, budget: float = BUDGET, seed: str = SEED, topic
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir))
-    return mixed.select(F.col("row.doc_id").alias("doc_id"), *MARGINS, "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "chosen")
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), *MARGINS, "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "chosen", "copies")
 
 
 def oracle() -> str:
@@ -101,8 +101,9 @@ def oracle() -> str:
         m = MARGINS[i % len(MARGINS)]
         parts.append(f"w{i + 1} AS MATERIALIZED (SELECT * REPLACE (weight * to_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM w{i})")
     return f"""WITH {", ".join(parts)}, r AS (
-  SELECT source, language, topic, weight, least(1.0, {BUDGET} * weight * (SELECT sum(tokens)::DOUBLE FROM c) / tokens) AS probability FROM w{ROUNDS * len(MARGINS)}
-) SELECT doc_id, source, language, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, u < probability AS chosen
+  SELECT source, language, topic, weight, {BUDGET} * weight * (SELECT sum(tokens)::DOUBLE FROM c) / tokens AS wanted FROM w{ROUNDS * len(MARGINS)}
+) SELECT doc_id, source, language, topic, tokens, round(weight, 6) AS weight, round(least(1.0, wanted), 6) AS probability, u < least(1.0, wanted) AS chosen,
+  (floor(wanted) + CASE WHEN u < wanted - floor(wanted) THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM d JOIN r USING (source, language, topic)"""
 
 

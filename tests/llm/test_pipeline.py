@@ -79,3 +79,16 @@ def test_near_copies_keep_every_column_of_repeated_rows(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.written(stage(spark, docs, ""), name)
         assert docs.columns == out.columns
+
+
+def test_mixing_query_meets_its_targets(spark):
+    """The query's rows, each as often as its copies say, have the budget and every margin's shares."""
+    from tessera.llm import mixing
+
+    rows = mixing.op5_mixing(spark, "/root/testdata/sf0.01").collect()
+    whole, drawn = sum(r["tokens"] for r in rows), sum(r["tokens"] * r["copies"] for r in rows)
+    assert abs(drawn / whole / mixing.BUDGET - 1) < 0.03 and all((r["copies"] > 0) == r["chosen"] for r in rows)
+    for m in mixing.MARGINS:
+        roots = {v: sum(r["tokens"] for r in rows if r[m] == v) ** mixing.POWER for v in {r[m] for r in rows}}
+        for v, root in roots.items():
+            assert abs(sum(r["tokens"] * r["copies"] for r in rows if r[m] == v) / drawn - root / sum(roots.values())) < 0.02, (m, v)
