@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.store import written
+
 #: Caps of a hand-over's passages and bytes, and of the maintenance queue.
 PASSAGES, PASSAGE_BYTES, QUEUE = 32, 64 * 1024, 128
 
@@ -45,11 +47,14 @@ def omissions(rows: DataFrame) -> DataFrame:
 
 
 def matching_revision(captures: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(capture_id, revision): the retained revision of least ordinal with the same source, original and content hash (null equals null) and extractor."""
-    c, r = captures.alias("c"), revisions.alias("r")
-    same = (F.col("c.source_id") == F.col("r.source_id")) & (F.col("c.original_hash") == F.col("r.original_hash")) & F.col("c.content_hash").eqNullSafe(F.col("r.content_hash")) & (F.col("c.extractor") == F.col("r.extractor"))
-    best = c.join(r, same).groupBy(F.col("c.capture_id").alias("capture_id")).agg(F.min("r.ordinal").alias("revision"))
-    return captures.select("capture_id").join(best, "capture_id", "left")
+    """(capture_id, revision): the retained revision of least ordinal with the same source, original and content hash (null equals null) and extractor.
+
+    Each key's least ordinal is found first, so that a capture meets one row however many revisions are alike.
+    """
+    key = ["source_id", "original_hash", "content_hash", "extractor"]
+    least = revisions.groupBy(*key).agg(F.min("ordinal").alias("revision")).select(*[F.col(k).alias(f"r_{k}") for k in key], "revision")
+    same = (F.col("source_id") == F.col("r_source_id")) & (F.col("original_hash") == F.col("r_original_hash")) & F.col("content_hash").eqNullSafe(F.col("r_content_hash")) & (F.col("extractor") == F.col("r_extractor"))
+    return captures.join(least, same, "left").select("capture_id", "revision")
 
 
 def capture(objects: DataFrame) -> DataFrame:
@@ -94,12 +99,12 @@ def resolve_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     exact = documents.select(F.col("path").alias("k"), "path", F.lit(0).alias("tier"))
     noted = documents.filter(F.col("path").endswith(".md")).select(F.expr("left(path, length(path) - 3)").alias("k"), "path", F.lit(1).alias("tier"))
     loose = documents.select(stem.alias("k"), "path", F.lit(2).alias("tier")).unionByName(documents.select(F.explode("aliases").alias("k"), "path", F.lit(2).alias("tier")))
-    keys = exact.unionByName(noted).unionByName(loose).distinct()
-    hit = links.select("from_path", "target").distinct().join(keys, F.col("target") == F.col("k"))
-    best = hit.groupBy("from_path", "target").agg(F.min("tier").alias("best"))
-    found = hit.join(best, ["from_path", "target"]).filter("tier = best").groupBy("from_path", "target").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
-    out = links.select("from_path", "target").distinct().join(found, ["from_path", "target"], "left")
-    return out.select("from_path", "target", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("resolution"), F.when(F.col("n") == 1, F.col("path")).alias("to_path"))
+    keys = exact.unionByName(noted).unionByName(loose)
+    # one row for each key, its best tier: an alias that many documents have is one as well
+    tiers = keys.groupBy("k", "tier").agg(F.min("path").alias("path"), F.max("path").alias("other"))
+    keys = tiers.groupBy("k").agg(F.min(F.struct("tier", "path", "other")).alias("best")).select("k", "best.path", (F.col("best.path") != F.col("best.other")).alias("several"))
+    out = links.select("from_path", "target").distinct().join(keys, F.col("target") == F.col("k"), "left")
+    return out.select("from_path", "target", F.when(F.col("k").isNull(), "missing").when(F.col("several"), "ambiguous").otherwise("resolved").alias("resolution"), F.when(~F.col("several"), F.col("path")).alias("to_path"))
 
 
 def typed_links(links: DataFrame, records: DataFrame) -> DataFrame:
@@ -136,6 +141,87 @@ def remap_errors(remap: DataFrame, assertions: DataFrame, sources: DataFrame) ->
     return missing.unionByName(extra).unionByName(twice)
 
 
+#: How many entities a request merges, and how many it splits one into.
+MERGED, SPLIT = (1, 16), (2, 16)
+
+
+def identity_requests(requests: DataFrame, remap: DataFrame, assertions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(request, reasons) of merge, split and alias requests, and (id, subject_id, object_id, status) of the assertions that sound ones change.
+
+    requests (request, action, sources, targets): a merge takes 1 to 16 sources to one target that is none of them, a split one source to 2 to 16
+    targets, an alias changes nothing. remap (request, assertion_id, side, new) must name every reference to a source once and no other, each to a target of
+    its request, and nothing for an alias. An entity is in one request only. A reference that changes takes an accepted assertion back to
+    proposed. Reasons: counts, target, scopes, missing, not a reference, twice, not a target, alias.
+    """
+    n, m = F.size("sources"), F.size("targets")
+    act = F.col("action")
+    counts = F.when(act == "merge", n.between(*MERGED) & (m == 1)).when(act == "split", (n == 1) & m.between(*SPLIT)).when(act == "alias", n == 1).otherwise(False)
+    own = requests.select("request", F.when(~counts, "counts").alias("reason")).unionByName(requests.select("request", F.when((act != "alias") & F.arrays_overlap("sources", "targets"), "target").alias("reason")))
+    scope = requests.select("request", F.explode(F.array_union("sources", "targets")).alias("entity")).distinct()
+    crowded = scope.groupBy("entity").agg(F.count("*").alias("n")).filter("n > 1").select("entity")
+    own = own.unionByName(scope.join(crowded, "entity", "left_semi").select("request", F.lit("scopes").alias("reason")))
+    sources = requests.filter("action <> 'alias'").select("request", F.explode("sources").alias("old"))
+    side = lambda name: assertions.select(F.col("id").alias("assertion_id"), F.lit(name).alias("side"), F.col(f"{name}_id").alias("old"))
+    need = side("subject").unionByName(side("object")).join(sources, "old").select("request", "assertion_id", "side").distinct()
+    given = remap.select("request", "assertion_id", "side", "new")
+    place = ["request", "assertion_id", "side"]
+    own = own.unionByName(need.join(given, place, "left_anti").select("request", F.lit("missing").alias("reason")))
+    known = given.join(requests.select("request", "action", "targets"), "request")
+    own = own.unionByName(known.filter("action = 'alias'").select("request", F.lit("alias").alias("reason")))
+    own = own.unionByName(known.filter("action <> 'alias'").join(need, place, "left_anti").select("request", F.lit("not a reference").alias("reason")))
+    own = own.unionByName(known.filter(~F.array_contains("targets", F.col("new"))).filter("action <> 'alias'").select("request", F.lit("not a target").alias("reason")))
+    own = own.unionByName(given.groupBy(*place).count().filter("count > 1").select("request", F.lit("twice").alias("reason")))
+    found = own.filter("reason is not null").groupBy("request").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    judged = requests.select("request").join(found, "request", "left").select("request", F.coalesce("reasons", F.lit("")).alias("reasons"))
+    sound = given.join(judged.filter("reasons = ''"), "request", "left_semi").groupBy("assertion_id").agg(F.min(F.when(F.col("side") == "subject", F.col("new"))).alias("s"), F.min(F.when(F.col("side") == "object", F.col("new"))).alias("o"))
+    moved = assertions.join(sound, F.col("id") == F.col("assertion_id"))
+    status = F.when(F.col("status") == "accepted", "proposed").otherwise(F.col("status"))
+    return judged, moved.select("id", F.coalesce("s", "subject_id").alias("subject_id"), F.coalesce("o", "object_id").alias("object_id"), status.alias("status"))
+
+
+#: Kinds of maintenance, in their order, and how many tasks a run shows.
+MAINTENANCE = ("revalidate_report_citations", "review_report_for_synthesis", "refresh_research_packet", "review_contradiction", "repair_evidence_navigation", "repair_page_support", "repair_navigation")
+MOST_TASKS = 128
+BROKEN = ("Missing", "Ambiguous", "WrongKind", "CompanionConflict")
+
+
+def run_maintenance(runs: DataFrame, scopes: DataFrame, evidence: DataFrame, records: DataFrame, depends: DataFrame, links: DataFrame) -> DataFrame:
+    """(run, place, kind, id, omitted): what each research run leaves to repair, in the order of MAINTENANCE and id, at most MOST_TASKS of it; omitted counts the rest.
+
+    runs (run, has_report, fresh, claims, packet_stale), scopes (run, source_id): the sources of a run's scope, captures and citations. What a run is about are
+    assertions with evidence (id, source_id, assertion_id) of its sources. Rules: a report whose citations aren't current, one with claims, a stale packet; an
+    assertion that is disputed or whose evidence link is at fault (records: id, kind, status, eligibility, disputed, link_fault); a reviewed page that depends (id,
+    depends_on) on one and isn't current; and one that depends on one or links (from_id, target_id, resolution) to one, to its evidence or to a source, and has a
+    broken link. Everything is joined by run and id; a page of many links is one task.
+    """
+    of_run = scopes.distinct().join(evidence.select(F.col("id").alias("evidence_id"), "source_id", "assertion_id"), "source_id")
+    about = written(of_run.select("run", "assertion_id").distinct(), "about")
+    task = lambda rows, kind: rows.select("run", F.lit(MAINTENANCE.index(kind)).alias("o"), F.col("id").cast("string").alias("id"))
+    mine = runs.withColumn("id", F.col("run"))
+    tasks = [
+        task(mine.filter("has_report and not fresh"), MAINTENANCE[0]),
+        task(mine.filter("has_report and claims > 0"), MAINTENANCE[1]),
+        task(mine.filter("packet_stale"), MAINTENANCE[2]),
+    ]
+    asserted = about.join(records.filter("kind = 'assertion'").withColumnRenamed("id", "assertion_id"), "assertion_id").withColumn("id", F.col("assertion_id"))
+    tasks += [task(asserted.filter("disputed"), MAINTENANCE[3]), task(asserted.filter("link_fault"), MAINTENANCE[4])]
+    pages = records.filter("kind = 'page' and status = 'reviewed'").select("id", "eligibility")
+    relevant = depends.join(pages, "id").join(about.withColumnRenamed("assertion_id", "depends_on"), "depends_on").select("run", "id", "eligibility").distinct()
+    tasks.append(task(relevant.filter("eligibility <> 'current'"), MAINTENANCE[5]))
+    named = about.select("run", F.col("assertion_id").alias("target_id")).unionByName(of_run.select("run", F.col("evidence_id").alias("target_id"))).unionByName(scopes.select("run", F.col("source_id").alias("target_id"))).distinct()
+    linked = links.select(F.col("from_id").alias("id"), "target_id").distinct().join(pages.select("id"), "id", "left_semi").join(named, "target_id").select("run", "id")
+    at_fault = F.split("resolution", ":").getItem(0).isin(*BROKEN)
+    broken = links.filter(at_fault).select(F.col("from_id").alias("id")).distinct()
+    tasks.append(task(relevant.select("run", "id").unionByName(linked).distinct().join(broken, "id", "left_semi"), MAINTENANCE[6]))
+    rows = tasks[0]
+    for t in tasks[1:]:
+        rows = rows.unionByName(t)
+    total = rows.groupBy("run").agg(F.count("*").alias("total"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy("o", "id"))).filter(F.col("place") <= MOST_TASKS)
+    kind = F.element_at(F.array(*[F.lit(k) for k in MAINTENANCE]), F.col("o") + 1)
+    return first.join(total, "run").select("run", "place", kind.alias("kind"), "id", F.greatest(F.col("total") - MOST_TASKS, F.lit(0)).alias("omitted"))
+
+
 def set_differences(rows: DataFrame) -> DataFrame:
     """(id, missing, extra) of rows (id, expected, actual: arrays): what one has and the other hasn't, in order, joined by commas."""
     listed = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), ",")

@@ -8,7 +8,7 @@ from tessera.functions import scalars
 from tessera.operators import catalog
 from tessera.plans.registry import query
 from tessera.sources import model, store
-from tessera.sources.model import DOCUMENTS_SQL
+from tessera.sources.model import ASSERTIONS_SQL, DOCUMENTS_SQL
 
 
 @query("health_counts", f"WITH {DOCUMENTS_SQL} SELECT (SELECT count(*) FROM pages WHERE url LIKE '%#%') AS diagnostics, count(*) FILTER (eligibility IN ('withdrawn', 'invalid')) AS excluded, count(*) FILTER (record_id IS NULL AND source_id IS NULL) AS inspection_only FROM d")
@@ -198,6 +198,89 @@ def maintenance_queue(spark, sf):
     return catalog.maintenance(("revalidate citations", d.filter("eligibility = 'historical'")), ("review contradiction", d.filter("eligibility = 'withdrawn'")), ("repair page support", d.filter("kind = 'page' and record_id is null")))
 
 
+RUNS_SQL = """runs AS (SELECT c_custkey AS run, c_custkey % 2 = 0 AS has_report, c_custkey % 3 = 0 AS fresh, c_custkey % 4 AS claims, c_custkey % 5 = 0 AS packet_stale FROM customer),
+scopes AS (SELECT DISTINCT o_custkey AS run, 's' || o_orderkey % 300 AS source_id FROM orders),
+ev AS (SELECT DISTINCT 'e' || l_orderkey || '_' || l_linenumber AS id, 's' || l_orderkey % 1000 AS source_id, 'a' || l_partkey AS assertion_id FROM lineitem),
+rec AS (SELECT 'a' || p_partkey AS id, 'assertion' AS kind, 'accepted' AS status, 'current' AS eligibility, p_partkey % 6 = 0 AS disputed, p_partkey % 7 = 0 AS link_fault FROM part UNION ALL
+  SELECT 'p' || s_suppkey, 'page', CASE WHEN s_suppkey % 4 = 0 THEN 'draft' ELSE 'reviewed' END, CASE WHEN s_suppkey % 3 = 0 THEN 'stale' ELSE 'current' END, false, false FROM supplier),
+dep AS (SELECT DISTINCT 'p' || l_suppkey AS id, 'a' || l_partkey AS depends_on FROM lineitem WHERE l_linenumber = 1),
+lk AS (SELECT DISTINCT 'p' || l_suppkey AS from_id, CASE l_linenumber WHEN 2 THEN 's' || l_orderkey % 1000 WHEN 3 THEN 'e' || l_orderkey || '_' || l_linenumber ELSE 'a' || l_partkey END AS target_id, CASE l_quantity::INT % 40 WHEN 1 THEN 'Missing' WHEN 2 THEN 'WrongKind:page' ELSE 'Resolved' END AS resolution FROM lineitem WHERE l_suppkey % 5 <> 0 OR l_quantity::INT % 40 > 2)"""
+
+
+@query(
+    "run_maintenance",
+    f"""WITH {RUNS_SQL}, ab AS (SELECT DISTINCT run, assertion_id FROM scopes JOIN ev USING (source_id)), pg AS (SELECT * FROM rec WHERE kind = 'page' AND status = 'reviewed'),
+rel AS (SELECT DISTINCT run, pg.id, pg.eligibility FROM dep JOIN pg USING (id) JOIN ab ON depends_on = assertion_id),
+nm AS (SELECT run, assertion_id AS t FROM ab UNION SELECT run, ev.id FROM scopes JOIN ev USING (source_id) UNION SELECT run, source_id FROM scopes),
+tk AS (SELECT run, 0 AS o, run::VARCHAR AS id FROM runs WHERE has_report AND NOT fresh UNION ALL SELECT run, 1, run::VARCHAR FROM runs WHERE has_report AND claims > 0 UNION ALL SELECT run, 2, run::VARCHAR FROM runs WHERE packet_stale
+  UNION ALL SELECT run, 3, assertion_id FROM ab JOIN rec ON rec.id = assertion_id WHERE disputed UNION ALL SELECT run, 4, assertion_id FROM ab JOIN rec ON rec.id = assertion_id WHERE link_fault
+  UNION ALL SELECT run, 5, id FROM rel WHERE eligibility <> 'current'
+  UNION ALL SELECT run, 6, id FROM (SELECT run, id FROM rel UNION SELECT run, from_id FROM lk JOIN nm ON target_id = t JOIN pg ON pg.id = from_id) x WHERE id IN (SELECT from_id FROM lk WHERE split_part(resolution, ':', 1) IN ('Missing', 'WrongKind')))
+SELECT run, row_number() OVER (PARTITION BY run ORDER BY o, id) AS place, ['revalidate_report_citations', 'review_report_for_synthesis', 'refresh_research_packet', 'review_contradiction', 'repair_evidence_navigation', 'repair_page_support', 'repair_navigation'][o + 1] AS kind, id, greatest(count(*) OVER (PARTITION BY run) - 128, 0) AS omitted FROM tk QUALIFY place <= 128""",
+)
+def run_maintenance(spark, sf):
+    """What each customer's research run leaves to repair, by all rules."""
+    t = lambda name: model.table(spark, sf, name)
+    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    c, li, none = F.col("c_custkey"), t("lineitem"), F.lit(False)
+    runs = t("customer").select(c.alias("run"), (c % 2 == 0).alias("has_report"), (c % 3 == 0).alias("fresh"), (c % 4).alias("claims"), (c % 5 == 0).alias("packet_stale"))
+    scopes = t("orders").select(F.col("o_custkey").alias("run"), s("s", F.col("o_orderkey") % 300).alias("source_id")).distinct()
+    item = F.concat(s("e", F.col("l_orderkey")), s("_", F.col("l_linenumber")))
+    evidence = li.select(item.alias("id"), s("s", F.col("l_orderkey") % 1000).alias("source_id"), s("a", F.col("l_partkey")).alias("assertion_id")).distinct()
+    p, k = F.col("p_partkey"), F.col("s_suppkey")
+    asserted = t("part").select(s("a", p).alias("id"), F.lit("assertion").alias("kind"), F.lit("accepted").alias("status"), F.lit("current").alias("eligibility"), (p % 6 == 0).alias("disputed"), (p % 7 == 0).alias("link_fault"))
+    pages = t("supplier").select(s("p", k).alias("id"), F.lit("page").alias("kind"), F.when(k % 4 == 0, "draft").otherwise("reviewed").alias("status"), F.when(k % 3 == 0, "stale").otherwise("current").alias("eligibility"), none.alias("disputed"), none.alias("link_fault"))
+    depends = li.filter("l_linenumber = 1").select(s("p", F.col("l_suppkey")).alias("id"), s("a", F.col("l_partkey")).alias("depends_on")).distinct()
+    q = F.round("l_quantity").cast("int") % 40
+    target = F.when(F.col("l_linenumber") == 2, s("s", F.col("l_orderkey") % 1000)).when(F.col("l_linenumber") == 3, item).otherwise(s("a", F.col("l_partkey")))
+    links = li.filter((F.col("l_suppkey") % 5 != 0) | (q > 2)).select(s("p", F.col("l_suppkey")).alias("from_id"), target.alias("target_id"), F.when(q == 1, "Missing").when(q == 2, "WrongKind:page").otherwise("Resolved").alias("resolution")).distinct()
+    return catalog.run_maintenance(runs, scopes, evidence, asserted.unionByName(pages), depends, links).withColumn("place", F.col("place").cast("long"))
+
+
+IDENTITY_SQL = f"""{ASSERTIONS_SQL}, k AS (SELECT s_suppkey AS k, 'supplier_' || s_suppkey AS s, 'supplier_' || (s_suppkey + 1) AS n FROM supplier WHERE s_suppkey % 2 = 1),
+rq AS (SELECT k AS request, ['merge', 'split', 'alias'][k // 2 % 3 + 1] AS action, [s] AS sources, CASE k // 2 % 3 WHEN 0 THEN [n] WHEN 1 THEN [n, s || '_b'] ELSE []::VARCHAR[] END AS targets FROM k),
+need AS (SELECT request, action, id AS assertion_id, 'subject' AS side, targets FROM assertions JOIN rq ON subject_id = sources[1] WHERE action <> 'alias'),
+rm AS (SELECT request, assertion_id, side, CASE WHEN request % 20 = 7 THEN 'nobody' ELSE targets[length(assertion_id) % len(targets) + 1] END AS new FROM need WHERE request % 20 <> 9 OR length(assertion_id) % 4 <> 0
+  UNION ALL SELECT request, 'x>y', 'object', targets[1] FROM rq WHERE request % 20 = 1 AND action <> 'alias' UNION ALL SELECT request, 'x>z', 'object', 'z' FROM rq WHERE request % 20 = 5 AND action = 'alias')"""
+
+
+@query(
+    "identity_requests",
+    f"""WITH {IDENTITY_SQL}, why AS (SELECT request, 'missing' AS r FROM need WHERE NOT EXISTS (SELECT 1 FROM rm WHERE rm.request = need.request AND rm.assertion_id = need.assertion_id AND rm.side = need.side)
+  UNION SELECT request, 'alias' FROM rm JOIN rq USING (request) WHERE action = 'alias'
+  UNION SELECT request, 'not a reference' FROM rm JOIN rq USING (request) WHERE action <> 'alias' AND NOT EXISTS (SELECT 1 FROM need WHERE rm.request = need.request AND rm.assertion_id = need.assertion_id AND rm.side = need.side)
+  UNION SELECT request, 'not a target' FROM rm JOIN rq USING (request) WHERE action <> 'alias' AND NOT list_contains(targets, new)),
+jd AS (SELECT request, coalesce((SELECT string_agg(r, ',' ORDER BY r) FROM why WHERE why.request = rq.request), '') AS reasons FROM rq)
+SELECT 'request' AS what, request::VARCHAR AS id, reasons AS subject_id, NULL AS object_id, NULL AS status FROM jd
+UNION ALL SELECT 'assertion', a.id, new, object_id, CASE WHEN status = 'accepted' THEN 'proposed' ELSE status END FROM rm JOIN jd USING (request) JOIN assertions a ON a.id = assertion_id WHERE reasons = ''""",
+)
+def identity_requests(spark, sf):
+    """Every other supplier is merged into the next, split or given an alias; some remaps are incomplete, name others or go astray."""
+    k = F.col("s_suppkey")
+    s = lambda c: F.concat(F.lit("supplier_"), c.cast("string"))
+    action = F.element_at(F.array(*[F.lit(a) for a in ("merge", "split", "alias")]), (F.floor(k / 2) % 3 + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    requests = model.table(spark, sf, "supplier").filter("s_suppkey % 2 = 1").select(k.alias("request"), action.alias("action"), F.array(s(k)).alias("sources"), F.when(F.floor(k / 2) % 3 == 0, F.array(s(k + 1))).when(F.floor(k / 2) % 3 == 1, F.array(s(k + 1), F.concat(s(k), F.lit("_b")))).otherwise(none).alias("targets"))
+    assertions = model.assertions(spark, sf)
+    need = assertions.join(requests.filter("action <> 'alias'"), F.col("subject_id") == F.get("sources", F.lit(0))).select("request", F.col("id").alias("assertion_id"), F.lit("subject").alias("side"), "targets")
+    size, r = F.length("assertion_id"), F.col("request")
+    remap = need.filter((r % 20 != 9) | (size % 4 != 0)).select("request", "assertion_id", "side", F.when(r % 20 == 7, "nobody").otherwise(F.get("targets", size % F.size("targets"))).alias("new"))
+    stray = lambda ident, cond, new: requests.filter(cond).select("request", F.lit(ident).alias("assertion_id"), F.lit("object").alias("side"), new.alias("new"))
+    remap = remap.unionByName(stray("x>y", "request % 20 = 1 and action <> 'alias'", F.get("targets", F.lit(0)))).unionByName(stray("x>z", "request % 20 = 5 and action = 'alias'", F.lit("z")))
+    judged, moved = catalog.identity_requests(requests, remap, assertions)
+    null = F.lit(None).cast("string")
+    out = judged.select(F.lit("request").alias("what"), F.col("request").cast("string").alias("id"), F.col("reasons").alias("subject_id"), null.alias("object_id"), null.alias("status"))
+    return out.unionByName(moved.select(F.lit("assertion").alias("what"), "id", "subject_id", "object_id", "status"))
+
+
+@query("snapshot_members", "SELECT 'space' || l_suppkey % 3 AS space, 'snap' || l_shipdate::DATE AS snapshot, count(*) AS members, count(DISTINCT l_partkey) AS inputs FROM lineitem GROUP BY ALL")
+def snapshot_members(spark, sf):
+    """Memberships of units by space and snapshot, and the distinct inputs that they have."""
+    li = model.table(spark, sf, "lineitem")
+    day = F.concat(F.lit("snap"), F.col("l_shipdate").cast("date").cast("string"))
+    return li.groupBy(F.concat(F.lit("space"), (F.col("l_suppkey") % 3).cast("string")).alias("space"), day.alias("snapshot")).agg(F.count("*").alias("members"), F.countDistinct("l_partkey").alias("inputs"))
+
+
 @query("record_errors", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'date,' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 THEN 'decimal,' ELSE '' END || 'id' AS errors FROM orders")
 def record_errors(spark, sf):
     k = F.col("o_orderkey")
