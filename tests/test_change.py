@@ -236,3 +236,98 @@ def test_navigated_walk_equals_hand(spark, caps):
     want = walked_by_hand(rows(edges), rows(links), seeds, depth, per_seed, per_walk)
     assert [(r["seed"], r["id"], r["kind"], r["hop"], r["node"], r["other"], tuple(r["path"]), r["rank"]) for r in got.orderBy("rank").collect()] == want
     assert {w[2] for w in want} == {"assertion", "navigation"} or per_walk < 128
+
+
+def test_rendered_context_is_what_was_charged(spark):
+    """The printed bytes are those that packing charged, within the budget; passages are printed once, in order, with their bytes."""
+    from tessera.operators import context
+
+    rng = random.Random(3)
+    bodies = {o: "".join(rng.choice(["é", "ab ", "日", "x", "\n"]) for _ in range(900)) for o in range(5)}
+    ends = {o: [len(b[:i].encode()) for i in range(len(b) + 1)] for o, b in bodies.items()}
+    rows = []
+    for request in range(8):
+        for key in range(30):
+            o, a = rng.randrange(5), rng.randrange(700)
+            b = a + rng.randrange(20, 200)
+            child = ends[o][a], ends[o][a + 15]
+            terms = [f"t{rng.randrange(6)}" for _ in range(rng.randrange(3))]
+            terms = sorted(set(terms))
+            rows.append((request, key, o, ends[o][a], ends[o][b], 1 / (60 + rng.randrange(9)), terms, [100] * len(terms), rng.randrange(60), 0.5, rng.choice([None, 0.5, 0.9]), False, False, False, *((float(child[0]), float(child[1])) if key % 2 else (None, None))))
+    kinds = "request int, key int, owner int, start long, end long, score double, terms array<string>, weights array<long>, local long, density double, affinity double, seed boolean, clipped boolean, graph boolean, child_start double, child_end double"
+    owners = spark.createDataFrame([(o, f"doc/é{o}", b) for o, b in bodies.items()], "owner int, label string, body string")
+    packets = spark.createDataFrame(rows, kinds)
+    for budget in (700, 3000):
+        got = context.pack_rendered(packets, owners, budget, budget, 900).collect()
+        assert len(got) == 8
+        for r in got:
+            assert r["charged"] == len(r["context"].encode()) <= budget
+            found = [(int(n), int(o), int(a), int(b)) for n, o, a, b in __import__("re").findall(r"\[(\d+)\] doc/é(\d) bytes (\d+)-(\d+)\n", r["context"])]
+            assert [f[0] for f in found] == list(range(1, r["passages"] + 1)) and len(found) == r["passages"]
+            assert r["context"] == "".join(f"[{n}] doc/é{o} bytes {a}-{b}\n{bodies[o].encode()[a:b].decode()}\n\n" for n, o, a, b in found)
+            for _, o, a, b in found:
+                assert not any(p == o and (c, d) != (a, b) and c <= b and a <= d for _, p, c, d in found)  # spans that meet are one
+    assert context.pack_rendered(packets.limit(0), owners, 900, 900, 900).collect() == []
+
+
+def test_numbers_are_counted_by_their_digits():
+    from tessera.operators.context import _Tray
+
+    for count in (0, 1, 9, 10, 11, 99, 100, 101, 160):
+        assert _Tray(None)._numbers(count) == sum(len(f"[{i}] ") for i in range(1, count + 1))
+
+
+def test_dense_owners_of_many_queries(spark, monkeypatch):
+    """As one query at a time, over blocks of queries, with ties, copies and vectors that take no part."""
+    from tessera.operators import dense
+
+    monkeypatch.setattr(dense, "QUERY_BYTES", 200)
+    rng = random.Random(5)
+    vector = lambda n=4: [float(rng.randrange(-2, 3)) for _ in range(n)]
+    units = [(rng.randrange(7), i, vector()) for i in range(120)] + [(3, 200, [0.0] * 4), (None, 201, vector()), (2, 202, None), (1, 203, [float("nan")] * 4), (5, 204, vector(3))]
+    queries = [(f"q{i}", [1.0, *vector(3)]) for i in range(20)] + [("zero", [0.0] * 4), ("none", None), ("short", [1.0, 2.0, 0.5])]
+    table = spark.createDataFrame(units, "owner int, unit_id int, embedding array<float>").repartition(3)
+    got = dense.dense_owners_of(table, spark.createDataFrame(queries, "query string, embedding array<double>"), 3).collect()
+    assert {r["query"] for r in got} == {f"q{i}" for i in range(20)} | {"short"}
+    for q, v in queries:
+        if q in ("zero", "none"):
+            continue
+        scored = []
+        for o, u, x in units:
+            if o is not None and x and len(x) == len(v) and any(x) and x[0] == x[0]:
+                scored.append((o, u, round(sum(a * b for a, b in zip(x, v)) / (sum(a * a for a in x) * sum(b * b for b in v)) ** 0.5, 12)))
+        best = sorted({o for o, _, _ in scored}, key=lambda o: (-max(s for p, _, s in scored if p == o), o))[:3]
+        want = [(o, i, j, u, s) for i, o in enumerate(best, 1) for j, (u, s) in enumerate(sorted(((u, s) for p, u, s in scored if p == o), key=lambda x: (-x[1], x[0]))[:2], 1)]
+        mine = sorted((r["owner_rank"], r["unit_rank"], r["owner"], r["unit_id"], r["score"]) for r in got if r["query"] == q)
+        assert [(a, b, c, d) for a, b, c, d, _ in mine] == [(i, j, o, u) for o, i, j, u, _ in want]
+        assert all(abs(m[4] - w[4]) < 1e-11 for m, w in zip(mine, want))
+
+
+def test_complete_evidence_is_containment(spark):
+    from tessera.operators import catalog
+
+    need = [(1, "a", "s", "r", 10, 20), (1, "b", "s", "r", 15, 40), (2, "a", "s", "r", 10, 20), (2, "a", "s", "r", 10, 20), (3, "c", "t", "r", 0, 5), (4, "d", None, None, None, None)]
+    cites = [(1, None, "s", "r", 5, 12), (1, None, "s", "r", 10, 30), (1, "b", None, None, None, None), (2, None, "s", "q", 0, 99), (3, None, "t", "r", 1, 9), (3, None, "t", "r", 0, 4), (9, None, "s", "r", 0, 99)]
+    kinds = "question int, evidence_id string, source_id string, revision string, start long, end long"
+    got = {r["question"]: (r["required"], r["covered"], r["complete"]) for r in catalog.complete_evidence(spark.createDataFrame(need, kinds), spark.createDataFrame(cites, kinds)).collect()}
+    assert got == {1: (2, 2, True), 2: (1, 0, False), 3: (1, 0, False), 4: (1, 0, False)}
+
+
+def test_chains_with_forks_and_cycles(spark):
+    from tessera.operators import references
+
+    links = {i: i - 1 for i in range(1, 70)} | {0: None, 100: 5, 101: 100, 200: 202, 201: 200, 202: 201, 203: 200, 300: 999, 301: 301}
+    got = {r["id"]: tuple(r)[1:] for r in references.chains(spark.createDataFrame(list(links.items()), "id long, supersedes_id long")).collect()}
+    assert all(got[i] == (0, i, False, i == 5) for i in range(70)) and got[101] == (0, 7, False, False)
+    assert all(got[i] == (None, None, True, i == 200) for i in (200, 201, 202, 203)) and got[300] == (300, 0, False, False) and got[301][2]
+
+
+def test_identity_requests_tell_all_reasons(spark):
+    from tessera.operators import catalog
+
+    assertions = spark.createDataFrame([("1", "a", "x", "accepted"), ("2", "b", "a", "accepted"), ("3", "c", "c", "rejected"), ("4", "d", "e", "accepted"), ("5", "f", "g", "accepted")], "id string, subject_id string, object_id string, status string")
+    requests = spark.createDataFrame([(1, "merge", ["a"], ["t"]), (2, "split", ["c"], ["p", "q"]), (3, "alias", ["d"], []), (4, "split", ["f"], ["u"]), (5, "merge", ["g", "h"], ["h"]), (6, "merge", ["d"], ["z"]), (7, "drop", ["k"], ["l"])], "request int, action string, sources array<string>, targets array<string>")
+    remap = spark.createDataFrame([(1, "1", "subject", "t"), (1, "2", "object", "t"), (2, "3", "subject", "p"), (2, "3", "object", "q"), (3, "4", "object", "e"), (5, "5", "object", "n"), (5, "5", "object", "h"), (6, "1", "object", "z")], "request int, assertion_id string, side string, new string")
+    judged, moved = catalog.identity_requests(requests, remap, assertions)
+    assert {r["request"]: r["reasons"] for r in judged.collect()} == {1: "", 2: "", 3: "alias,scopes", 4: "counts,missing", 5: "not a target,target,twice", 6: "missing,not a reference,scopes", 7: "counts"}
+    assert sorted(tuple(r) for r in moved.collect()) == [("1", "t", "x", "proposed"), ("2", "b", "t", "proposed"), ("3", "p", "q", "rejected")]
