@@ -65,11 +65,12 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH, per_seed:
             step, taken = step.join(have, "seed", "left"), F.coalesce("have", F.lit(0))
         step = step.filter(F.col("admit") + taken <= per_seed)
         step = step.select("seed", "seed_rank", "id", "hop", "node", "other", "direction", F.array_append("path", F.col("id")).alias("path"), "admit")
-        found = step if found is None else found.unionByName(step)
-        found = written(found, "walk")
+        before, found = found, written(step if found is None else found.unionByName(step), "walk")
         reached = found.filter(F.col("hop") == hop).filter("other <> seed").groupBy("seed", "seed_rank", F.col("other").alias("node")).agg(F.min(F.struct("admit", "path")).alias("p"))
         visited = found.filter(F.col("hop") == hop).select("seed", "node").distinct()
         start = reached.join(visited, ["seed", "node"], "left_anti").select("seed", "seed_rank", "node", F.col("p.admit").alias("frontier_rank"), F.col("p.path").alias("path"))
+        if before is not None:
+            release(before)
     order = Window.partitionBy("seed").orderBy("hop", "admit")
     found = found.withColumn("turn", F.row_number().over(order))
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy("turn", "seed_rank")))  # at most seeds * per_seed rows
@@ -171,7 +172,9 @@ def walk_navigated(edges: DataFrame, links: DataFrame, seeds: DataFrame, depth:
             late = fresh.withColumn("n", F.row_number().over(Window.orderBy("at"))).filter(F.col("n") > room).select("id")
             path = F.array_append("path", F.col("id")) if kind == "assertion" else F.col("path")
             step = step.join(late, "id", "left_anti").select("seed", "seed_rank", "id", F.lit(kind).alias("kind"), F.lit(hop).alias("hop"), "node", "other", "direction", path.alias("path"), F.lit(stage).alias("stage"), "admit")
-            found = written((step if found is None else found.unionByName(step)).select(*names), "walk")
+            before, found = found, written((step if found is None else found.unionByName(step)).select(*names), "walk")
+            if before is not None:
+                release(before)
         reached = found.filter(F.col("hop") == hop).groupBy("seed", "seed_rank", F.col("other").alias("node")).agg(F.min(F.struct("stage", "admit", "path")).alias("p"))
         reached = reached.join(left, ["seed", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("seed").orderBy("p.stage", "p.admit")).cast("long")
@@ -187,7 +190,8 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     n = pairs.count()
     for _ in range(most):
         longer = pairs.alias("x").join(pairs.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        pairs = written(pairs.unionByName(longer).distinct(), "closure")
+        before, pairs = pairs, written(pairs.unionByName(longer).distinct(), "closure")
+        release(before)
         m = pairs.count()
         if m == n:
             return pairs
@@ -285,6 +289,7 @@ def longest_chains(edges: DataFrame, limit: int = 64) -> DataFrame:
     for step in range(1, limit + 2):
         grown = edges.join(level.filter(F.col("length") == step - 1).select(F.col("id").alias("b")), "b").select(F.col("a").alias("id")).distinct().withColumn("grown", F.lit(step))
         nxt = written(level.join(grown, "id", "left").select("id", F.coalesce("grown", "length").alias("length")), "chain")
+        release(level)
         if nxt.filter(F.col("length") == step).isEmpty():
             return nxt
         level = nxt
