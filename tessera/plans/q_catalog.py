@@ -34,7 +34,10 @@ def existence_probe(spark, sf):
 
 @query("point_lookup", f"WITH {DOCUMENTS_SQL} SELECT path, record_id, title, eligibility FROM d WHERE doc_id = 42 OR path = 'doc/en/17'")
 def point_lookup(spark, sf):
-    return model.documents(spark, sf, body=False).filter("doc_id = 42 or path = 'doc/en/17'").select("path", "record_id", "title", "eligibility")
+    """By id, and by path, whose last part is an id as well: both reach the scan as filters of a column, which their disjunction over a path that is made wouldn't."""
+    docs, path = model.documents(spark, sf, body=False), "doc/en/17"
+    by_path = docs.filter((F.col("doc_id") == int(path.rsplit("/", 1)[1])) & (F.col("doc_id") != 42) & (F.col("path") == path))
+    return docs.filter("doc_id = 42").unionByName(by_path).select("path", "record_id", "title", "eligibility")
 
 
 @query("inventory", "WITH b AS (SELECT source AS class, md5(text) AS h, count(*) AS n, max(strlen(text)) AS b FROM documents GROUP BY ALL) SELECT class, sum(n)::BIGINT AS objects, sum(n * b)::BIGINT AS bytes, count(*) AS distinct_contents, sum((n - 1) * b)::BIGINT AS duplicate_bytes FROM b GROUP BY class")
