@@ -140,6 +140,22 @@ def test_frequencies_by_fields(written_index):
         assert [index.frequencies([t], f)[t] for f in (["tags"], ["body"], ["tags", "body"])] == want
 
 
+def test_postings_go_to_their_tasks_in_packs(spark, written_index):
+    """A shuffled row has all postings of a task's bucket and part; blocks have one row for each key, as grouped postings have."""
+    from tessera.sources import index as ix
+
+    _, index = written_index
+    held = index.postings.toArrow().select(["term", "chunk", "id", "field", "n", "positions", "size", "len", "mask", "bucket"])
+    packs = list(ix.packed(iter(held.to_batches(max_chunksize=500)), 3))
+    places = [(r["bucket"], r["part"]) for b in packs for r in b.select(["bucket", "part"]).to_pylist()]
+    assert len(places) == len(set(places)) <= 12 * index.buckets < held.num_rows / 20
+    rows = lambda batches: sorted(repr(r) for b in batches for r in b.to_pylist())
+    assert rows(ix.unpacked(iter(packs))) == rows(held.to_batches())
+    want = index.postings.groupBy(*ix.BY).agg(F.max("n").alias("most"), F.min("size").alias("shortest"), F.count("*").alias("rows"))
+    columns = want.columns
+    assert sorted(map(tuple, index.blocks.select(*columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_audit_finds_what_counts_do_not(spark, written_index):
     """A sound index has no difference; a moved position, which leaves all counts as they are, is found in its bucket."""
     from dataclasses import replace
