@@ -89,7 +89,7 @@ def refreshed_badness(before: DataFrame, records: DataFrame, edges: DataFrame, c
     edge put or removed. First badness that may rest on what changed is taken back: from records that are less bad by themselves
     than they were, against dependencies, as long as a record was as bad as the one it depends on. Then it is derived again for these from
     what they are by themselves and from dependencies that kept theirs, and what rises, there or at a changed record, goes on.
-    Only rows that join a frontier are shuffled. Cycles are no danger: what only supports itself is taken back as a whole.
+    Cycles are no danger: what only supports itself is taken back as a whole.
     """
     before = before.select("id", F.col("bad").alias("was"))
     edges = edges.select("id", "depends_on").join(records.select("id"), "id", "left_semi")
@@ -97,8 +97,10 @@ def refreshed_badness(before: DataFrame, records: DataFrame, edges: DataFrame, c
     first = written(changed.select("id").unionByName(dependents).distinct(), "changed")
     back = written(edges.select(F.col("depends_on").alias("a"), F.col("id").alias("b")), "edges")
     start = first.join(before, "id").join(own_badness(records, edges, first), "id", "left").filter(F.col("was") > F.coalesce("bad", F.lit(0))).select("id", "was")
-    as_bad = before.withColumnRenamed("was", "is")  # values don't change on the way: a record goes on only if it was as bad
-    gone = written(reach(back, start, "was", keep=lambda hop: hop.join(as_bad, "id").filter("was = is").select("id", "was")).select("id"), "gone")
+    # values don't change on the way: only an edge between records that were as bad takes it on
+    was = lambda side: before.select(F.col("id").alias(side), F.col("was").alias(f"{side}_was"))
+    same = back.join(was("a"), "a").join(was("b"), "b").filter("a_was = b_was")
+    gone = written(reach(same, start, "was").select("id"), "gone")
     kept = before.join(gone, "id", "left_anti").select("id", F.col("was").alias("bad"))
     again = written(gone.unionByName(first).distinct(), "again")
     rests = edges.join(again, "id", "left_semi").join(kept.withColumnRenamed("id", "depends_on"), "depends_on").select("id", "bad")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,7 +12,8 @@ from tessera.sources.index import bucket_of
 from tessera.sources.store import release, written
 
 NODE_BUCKETS = 32  # of a stored adjacency
-HOPS = 2  # edges that a frontier is moved on before it is held against what is known
+HOPS = 2  # times that a graph is trimmed before it is written
+SPREAD = 8  # edges that a frontier is moved on before it is held against what is known
 #: The caps of a walk, and of the evidence shown for an assertion.
 MOST_SEEDS, MOST_DEPTH, PER_SEED, PER_WALK = 12, 2, 16, 128
 SUPPORTS, CONTRADICTS = 2, 1
@@ -23,8 +23,9 @@ OPPOSITION_KEY = ("subject_id", "predicate", "object_id", "literal_type", "liter
 
 def adjacency(assertions: DataFrame) -> DataFrame:
     """(node, other, id, direction): each assertion under its subject (outgoing) and its object (incoming)."""
-    out = assertions.select(F.col("subject_id").alias("node"), F.col("object_id").alias("other"), "id", F.lit("outgoing").alias("direction"))
-    return out.unionByName(assertions.filter("object_id is not null").select(F.col("object_id").alias("node"), F.col("subject_id").alias("other"), "id", F.lit("incoming").alias("direction")))
+    end = lambda node, other, way: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), "id", F.lit(way).alias("direction"))
+    ends = F.explode(F.array(end("subject_id", "object_id", "outgoing"), end("object_id", "subject_id", "incoming"))).alias("end")  # assertions are made once for both
+    return assertions.select(ends).select("end.*").filter("direction = 'outgoing' or node is not null")
 
 
 def neighbors(assertions: DataFrame, entity: str, k: int = PER_SEED) -> DataFrame:
@@ -199,42 +200,51 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, value: str | list[str], most: int = 1000, known: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, value: str | list[str], most: int = 1000, known: DataFrame | None = None) -> DataFrame:
     """(id, value): the largest value of the seeds (id, value) that each id can be reached from along edges (a, b), a to b; of several values each its largest.
 
-    A frontier of ids of which a value rose is moved HOPS edges on, then held against what is known and written; edges stay
-    dealt out by their start, so that a round shuffles the frontier's edges, not the graph. With `known` (id, value), values
-    that the ids have already, only what rises above them goes on, and only that is returned. keep takes from what a hop reaches, (id, value), what may go on.
+    A frontier of ids of which a value rose is moved SPREAD edges on in one job, then held against what is known and written. Edges stay dealt
+    out and sorted by their start, so that a hop shuffles what it reaches and no more; only what rose in the last of the hops goes on. With
+    `known` (id, value), values that the ids have already, only what rises above them goes on, and only that is returned.
     """
     values = [value] if isinstance(value, str) else value
-    dealt = edges.select("a", "b").repartition("a").persist()
     top = [F.max(v).alias(v) for v in values]
+    # a number that is given stays, so that the hops' own partitions meet these
+    dealt = edges.select("a", "b").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a").persist()
 
-    def rose(new: list[DataFrame], old: list[DataFrame]) -> DataFrame:
-        """What of the new values is above the old ones: one aggregation of both."""
+    def rose(new: DataFrame, old: list[DataFrame]) -> DataFrame:
+        """What of the new values (with the column late, if there is one) is above the old ones: one aggregation of both."""
+        late = [c for c in new.columns if c == "late"]
         none = [F.lit(None).cast(dict(seeds.dtypes)[v]) for v in values]
-        rows = [t.select("id", *values, *[n.alias(f"_{v}") for v, n in zip(values, none, strict=True)]) for t in new]
-        rows += [t.select("id", *[n.alias(v) for v, n in zip(values, none, strict=True)], *[F.col(v).alias(f"_{v}") for v in values]) for t in old]
-        both = reduce(DataFrame.unionByName, rows).groupBy("id").agg(*[F.max(c).alias(c) for v in values for c in (v, f"_{v}")])
+        rows = [new.select("id", *values, *[n.alias(f"_{v}") for v, n in zip(values, none, strict=True)], *late)]
+        rows += [t.select("id", *[n.alias(v) for v, n in zip(values, none, strict=True)], *[F.col(v).alias(f"_{v}") for v in values], *[F.lit(False).alias(c) for c in late]) for t in old]
+        both = reduce(DataFrame.unionByName, rows).groupBy("id").agg(*[F.max(c).alias(c) for c in [*[c for v in values for c in (v, f"_{v}")], *late]])
         more = reduce(lambda x, y: x | y, [F.col(v).isNotNull() & (F.col(f"_{v}").isNull() | (F.col(v) > F.col(f"_{v}"))) for v in values])
-        return both.filter(more).select("id", *values)
+        return both.filter(more).select("id", *values, *late)
+
+    def moved(front: DataFrame) -> DataFrame:
+        """(id, value, late) of what SPREAD edges or fewer lead to: an id keeps its value beside those that reach it, and goes on if the edge before raised it (late)."""
+        front = front.withColumn("late", F.lit(True))
+        for _ in range(SPREAD):
+            on = front.join(dealt, (F.col("id") == F.col("a")) & F.col("late"), "left")
+            ends = F.explode(F.array(F.struct("id", F.lit(True).alias("own")), F.struct(F.col("b").alias("id"), F.lit(False).alias("own")))).alias("end")
+            met = on.select(ends, *values).select("end.*", *values).filter("id is not null").groupBy("id").agg(*top, *[F.max(F.when(F.col("own"), F.col(v))).alias(f"_{v}") for v in values])
+            late = reduce(lambda x, y: x | y, [F.col(v).isNotNull() & ~F.col(v).eqNullSafe(F.col(f"_{v}")) for v in values])
+            front = met.select("id", *values, late.alias("late"))
+        return front
 
     given = [] if known is None else [known]
-    seen = [written(rose([seeds], given), "reach")]
+    seen = [written(rose(seeds, given), "reach")]
+    front = seen[0]
     try:
         for _ in range(most):
-            hop, hits = seen[-1], []
-            for _ in range(HOPS):
-                hop = dealt.join(hop.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(*top)
-                hop = keep(hop) if keep else hop
-                hits.append(hop)
-            fresh = written(rose(hits, [*given, *seen]), "reach")
-            if fresh.isEmpty():
-                release(fresh)
-                return reduce(DataFrame.unionByName, seen).groupBy("id").agg(*top)
+            fresh = written(rose(moved(front), [*given, *seen]), "reach")
             seen.append(fresh)
+            front = fresh.filter("late").drop("late")
+            if front.isEmpty():
+                return reduce(DataFrame.unionByName, [t.select("id", *values) for t in seen]).groupBy("id").agg(*top)
             if len(seen) > 8:
-                older = written(reduce(DataFrame.unionByName, seen[:-1]).groupBy("id").agg(*top), "reach")
+                older = written(reduce(DataFrame.unionByName, [t.select("id", *values) for t in seen[:-1]]).groupBy("id").agg(*top), "reach")
                 release(*seen[:-1])
                 seen = [older, fresh]
     finally:
@@ -247,7 +257,7 @@ def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
 
     Nodes without an edge in or out are trimmed until none is left. Then every node takes the largest node that reaches it as its
     color, and what reaches that node inside the color is its component; components leave the graph and the rest goes on.
-    Rows are those of the graph, never pairs of nodes. Rounds follow the longest shortest path, HOPS edges each.
+    Rows are those of the graph, never pairs of nodes. Rounds follow the longest shortest path, SPREAD edges each.
     """
     rest = written(edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct(), "cycles")
     found = [rest.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component"))]
