@@ -156,6 +156,39 @@ def test_postings_go_to_their_tasks_in_packs(spark, written_index):
     assert sorted(map(tuple, index.blocks.select(*columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_packs_say_terms_and_texts_once(spark, written_index, monkeypatch):
+    """A pack of neighbouring buckets has each term and each text's key once, in few bytes a posting; a task that sorts its rows in several runs stores the same ones."""
+    import pyarrow as pa
+
+    from tessera.sources import index as ix
+
+    _, index = written_index
+    held = index.postings.toArrow().select(["term", "chunk", "id", "field", "n", "positions", "size", "len", "mask", "bucket"])
+    packs = list(ix.packed(iter(held.to_batches(max_chunksize=500)), 1, 4))
+    assert sum(len(x) for b in packs for x in b.column("rows").to_pylist()) < 10 * held.num_rows
+    assert sorted(x for b in packs for x in b.column("bucket").to_pylist()) == list(range(index.buckets // 4))
+    for b in packs:
+        for x in b.column("rows").to_pylist():
+            one = pa.ipc.open_stream(x).read_all().to_pylist()[0]
+            texts = list(zip(one["key"], one["field"], strict=True))
+            assert len(set(one["term"])) == len(one["term"]) and len(set(texts)) == len(texts) and sum(one["rows"]) == len(one["text"]) == len(one["n"])
+    rows = lambda batches, of: sorted(repr({k: v for k, v in sorted(r.items()) if v is not None and k != "of"}) for b in batches for r in b.to_pylist() if r["of"] == of)
+    whole = list(ix.stored(iter(packs), "id"))
+    assert rows(whole, "postings") == sorted(repr(dict(sorted(r.items()))) for r in held.to_pylist())
+    assert rows(whole, "blocks") == sorted(repr(dict(sorted(r.asDict().items()))) for r in index.blocks.collect())
+    monkeypatch.setattr(ix, "RUN_POSITIONS", 5000)
+    parts = list(ix.stored(iter(packs), "id"))
+    assert rows(parts, "postings") == rows(whole, "postings") and sum(b.column("rows").drop_null().to_pylist() != [] for b in parts) > 1
+
+
+def test_an_index_of_nothing(spark):
+    from tessera.operators import search
+    from tessera.sources import index as ix
+
+    index = ix.build(spark.createDataFrame([], "id string, body string"), "id", ("body",))
+    assert index.count == 0 and search.bm25_unit_form(index, ["w1"]).collect() == [] and ix.unmatched(index).collect() == []
+
+
 def test_audit_finds_what_counts_do_not(spark, written_index):
     """A sound index has no difference; a moved position, which leaves all counts as they are, is found in its bucket."""
     from dataclasses import replace
