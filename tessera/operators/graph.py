@@ -83,16 +83,15 @@ def attach_evidence(ids: DataFrame, evidence: DataFrame, sources: list[str] | No
 
     omitted counts all evidence of the stance that isn't shown, that outside the sources too.
     """
-    rows = evidence.join(ids.select("id").distinct().withColumnRenamed("id", "assertion_id"), "assertion_id")
-    total = rows.groupBy("assertion_id", "stance").agg(F.count("*").alias("total"))
-    if sources is not None:
-        rows = rows.filter(F.col("source_id").isin(*sources))
-    w = Window.partitionBy("assertion_id", "stance").orderBy(F.col("eligibility") != "current", "id")
+    rows = evidence.join(ids.select(F.col("id").alias("assertion_id")), "assertion_id", "left_semi")
+    inside = F.lit(True) if sources is None else F.coalesce(F.col("source_id").isin(*sources), F.lit(False))
     most = F.when(F.col("stance") == "supports", SUPPORTS).otherwise(CONTRADICTS)
-    shown = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
-    count = shown.groupBy("assertion_id", "stance").agg(F.count("*").alias("shown"))
-    shown = shown.join(total, ["assertion_id", "stance"]).join(count, ["assertion_id", "stance"])
-    return shown.select("assertion_id", "stance", F.col("id").alias("evidence_id"), (F.col("total") - F.col("shown")).alias("omitted"))
+    # rows are dealt by their assertion once and sorted once, those inside the sources first
+    every = Window.partitionBy("assertion_id", "stance")
+    rows = rows.select("assertion_id", "stance", "id", (~inside).alias("outside"), (F.col("eligibility") != "current").alias("later"))
+    rows = rows.withColumn("n", F.row_number().over(every.orderBy("outside", "later", "id"))).withColumns({"total": F.count("*").over(every), "inside": F.count_if(~F.col("outside")).over(every)})
+    shown = rows.filter(~F.col("outside") & (F.col("n") <= most))
+    return shown.select("assertion_id", "stance", F.col("id").alias("evidence_id"), (F.col("total") - F.least("inside", most.cast("long"))).alias("omitted"))
 
 
 def opposition_columns(assertions: DataFrame) -> DataFrame:
