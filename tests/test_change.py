@@ -170,8 +170,7 @@ def test_packs_say_terms_and_texts_once(spark, written_index, monkeypatch):
     for b in packs:
         for x in b.column("rows").to_pylist():
             one = pa.ipc.open_stream(x).read_all().to_pylist()[0]
-            texts = list(zip(one["key"], one["field"], strict=True))
-            assert len(set(one["term"])) == len(one["term"]) and len(set(texts)) == len(texts) and sum(one["rows"]) == len(one["text"]) == len(one["n"])
+            assert len(set(one["term"])) == len(one["term"]) and one["key"] == sorted(set(one["key"])) and sum(one["fields"]) == len(one["field"]) == len(one["size"]) and sum(one["rows"]) == len(one["text"]) == len(one["n"])
     rows = lambda batches, of: sorted(repr({k: v for k, v in sorted(r.items()) if v is not None and k != "of"}) for b in batches for r in b.to_pylist() if r["of"] == of)
     whole = list(ix.stored(iter(packs), "id"))
     assert rows(whole, "postings") == sorted(repr(dict(sorted(r.items()))) for r in held.to_pylist())
@@ -181,6 +180,24 @@ def test_packs_say_terms_and_texts_once(spark, written_index, monkeypatch):
     assert rows(parts, "postings") == rows(whole, "postings") and sum(b.column("rows").drop_null().to_pylist() != [] for b in parts) > 1
 
 
+def test_evidence_is_dealt_once(spark):
+    """Evidence of asked assertions, the current first, in the sources or not; its rows are shuffled by the assertion and not again."""
+    rng = random.Random(8)
+    rows = [(f"e{i:03}", rng.choice("abcd"), rng.choice(["s1", "s2", None]), rng.choice(["supports", "contradicts"]), rng.choice(["current", "stale"])) for i in range(120)]
+    evidence = spark.createDataFrame(rows, "id string, assertion_id string, source_id string, stance string, eligibility string")
+    ids = spark.createDataFrame([("a",), ("b",), ("b",), ("d",), ("x",)], "id string")
+    for sources in (None, ["s1"], ["s3"]):
+        want = []
+        for a, stance, most in [(a, s, n) for a in "abd" for s, n in (("supports", 2), ("contradicts", 1))]:
+            every = [r for r in rows if r[1] == a and r[3] == stance]
+            shown = sorted((r[4] != "current", r[0]) for r in every if sources is None or r[2] in sources)[:most]
+            want += [(a, stance, i, len(every) - len(shown)) for _, i in shown]
+        got = graph.attach_evidence(ids, evidence, sources)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = graph.attach_evidence(ids, evidence, ["s1"])._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_an_index_of_nothing(spark):
     from tessera.operators import search
     from tessera.sources import index as ix
