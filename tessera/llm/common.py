@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.store import fewer, release, written
+from tessera.sources.store import ARROW_BYTES, WRITING, fewer, release, written
 
-__all__ = ["documents", "fewer", "release", "rows_of", "sliced", "text_key", "whole_groups", "written"]
+__all__ = ["bounded", "documents", "fewer", "lean", "release", "rows_of", "sliced", "text_key", "whole_groups", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,30 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose batches for Python have the bound of written() whoever runs it: from now on, in its whole session."""
+    df.sparkSession.conf.set(ARROW_BYTES, WRITING[ARROW_BYTES])
+    return df
+
+
+def give_back() -> None:
+    """Memory that Arrow and malloc hold free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, after which a worker that waits for other tasks doesn't keep what f needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about max_bytes of a string column at most; a longer text comes alone."""
     for batch in batches:

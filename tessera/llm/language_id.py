@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, sliced, written
+from .common import bounded, documents, lean, sliced, written
 from .kernel import flat
 
 ORDER = 3  # bytes of the longest context
@@ -194,7 +194,7 @@ def identify_rows(docs: DataFrame, models: list[Broadcast] | None) -> DataFrame:
     for i, shared in enumerate(models):
         last = i == len(models) - 1
         kind = ", ".join(k for n, k in kinds if n != "text" or not last)
-        rows = (written(rows, "judged") if i else rows).mapInArrow(judge(shared, last), kind)
+        rows = (written(rows, "judged") if i else bounded(rows)).mapInArrow(lean(judge(shared, last)), kind)
     return rows.select("row", "held_out", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), 1 / F.col("mass")).otherwise(0.0).alias("score"))
 
 

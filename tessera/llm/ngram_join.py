@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, release, sliced, text_key, whole_groups, written
+from .common import documents, lean, release, sliced, text_key, whole_groups, written
 from .components import connected_components
 from .kernel import U, flat, mix, shingles
 
@@ -253,11 +253,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     id_type = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", "text", text_key().alias("tk"))
-    rows = written(source.mapInArrow(sets, f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets", few=docs)
+    rows = written(source.mapInArrow(lean(sets), f"doc_id {id_type}, tk long, n long, set_key long, vec binary"), "sets", few=docs)
     kinds_table = written(rows.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("tk", F.col("doc_id").isNull(), "doc_id")).alias("one"), F.first("n").alias("n"), F.first("vec").alias("vec")), "kinds", few=docs)
     kinds = kinds_table.select("set_key", "one.tk", F.col("one.doc_id").alias("one"), "n", "vec")
     # Signatures, many times the sets, are shuffled once and not written: sorted by signature, those of several sets stay.
-    signed = docs.select("text").mapInArrow(signed_sets, "sig long, set_key long")
+    signed = docs.select("text").mapInArrow(lean(signed_sets), "sig long, set_key long")
     by_key, whole = Window.partitionBy("sig").orderBy("set_key"), Window.partitionBy("sig")
     first = signed.withColumn("new", F.coalesce(F.lag("set_key").over(by_key) != F.col("set_key"), F.lit(True)))
     mixed = lambda *salt: F.bit_xor(F.when(F.col("new"), F.xxhash64("set_key", *salt))).over(whole)
@@ -332,7 +332,7 @@ def _task_links(members: DataFrame, key: str, num: int, den: int) -> DataFrame:
             if a:
                 yield _pairs(a, b)
 
-    return members.repartition(key).sortWithinPartitions(key).mapInArrow(run, "a long, b long")
+    return members.repartition(key).sortWithinPartitions(key).mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(docs: DataFrame, coarse: DataFrame, kinds: DataFrame, num: int, den: int, words: int) -> DataFrame:
@@ -382,7 +382,7 @@ def _connected(full: DataFrame, key: str, most: int, num: int, den: int, words:
             if a:
                 yield _pairs(a, b)
 
-    near = written(rows.repartition(key, "block").sortWithinPartitions(key, "block", F.col("is_pivot").desc(), "set_key").mapInArrow(stars, "a long, b long"), "stars")
+    near = written(rows.repartition(key, "block").sortWithinPartitions(key, "block", F.col("is_pivot").desc(), "set_key").mapInArrow(lean(stars), "a long, b long"), "stars")
     linked = near.select(F.col("a").alias("pivot"), F.col("b").alias("set_key"), F.lit(True).alias("linked")).distinct()
     marked = dealt.join(linked, ["pivot", "set_key"], "left").withColumn("linked", F.col("linked").isNotNull() | (F.col("set_key") == F.col("pivot")))
     rest = marked.filter("not linked")
@@ -419,7 +419,7 @@ def _connected(full: DataFrame, key: str, most: int, num: int, den: int, words:
             if a:
                 yield _pairs(a, b)
 
-    more = written(pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(trees, "a long, b long"), "links")
+    more = written(pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(trees), "a long, b long"), "links")
     release(load, full, left)
     return near.unionByName(more)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, written
+from .common import bounded, documents, lean, sliced, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20  # the largest vocabulary file that is broadcast
@@ -493,12 +493,12 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     schema = f"row {kind}, ids array<int>, n_tokens long, score long, decoded string"
     giants = written(rows.filter(~short).withColumn("rid", F.monotonically_increasing_id()), "giants", few=docs)
     state = "struct<over: int, piece: string>"
-    chunks = written(giants.select("rid", "text").mapInArrow(split, f"rid long, no long, part long, begins boolean, chars string, before int, n int, enter array<{state}>, leave array<{state}>, scores binary"), "chunks", few=docs)
-    states = chunks.groupBy("rid").agg(F.collect_list(F.struct("no", "part", "n", "enter", "leave", "scores")).alias("chunks")).mapInArrow(bound, f"rid long, no long, from {state}, to {state}")
+    chunks = written(giants.select("rid", "text").mapInArrow(lean(split), f"rid long, no long, part long, begins boolean, chars string, before int, n int, enter array<{state}>, leave array<{state}>, scores binary"), "chunks", few=docs)
+    states = chunks.groupBy("rid").agg(F.collect_list(F.struct("no", "part", "n", "enter", "leave", "scores")).alias("chunks")).mapInArrow(lean(bound), f"rid long, no long, from {state}, to {state}")
     paths = chunks.select("rid", "no", "part", "begins", "chars", "before", "n").join(states, ["rid", "no"])
-    ids = paths.mapInArrow(traced, "rid long, no long, ids binary").groupBy("rid").agg(F.collect_list(F.struct("no", "ids")).alias("chunks"))
-    long_ones = giants.join(ids, "rid").select("row", "text", "chunks").mapInArrow(joined, schema)
-    return rows.filter(short).mapInArrow(whole, schema).unionByName(long_ones)
+    ids = paths.mapInArrow(lean(traced), "rid long, no long, ids binary").groupBy("rid").agg(F.collect_list(F.struct("no", "ids")).alias("chunks"))
+    long_ones = giants.join(ids, "rid").select("row", "text", "chunks").mapInArrow(lean(joined), schema)
+    return bounded(rows.filter(short)).mapInArrow(lean(whole), schema).unionByName(long_ones)
 
 
 _codecs: dict = {}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, rows_of, sliced, text_key, whole_groups, written
+from .common import bounded, documents, lean, release, rows_of, sliced, text_key, whole_groups, written
 from .kernel import U, flat, mix, pieces, powers, prefix_hash, runs
 
 LENGTH = 200  # bytes of a repeated string
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
                 yield pa.RecordBatch.from_arrays([b.column("tk").take(pa.array(text[of])), pa.array(place), pa.array(h.view(np.int64))], ["tk", "place", "h"])
 
     long_enough = docs.filter(F.octet_length("text") >= length).select("text", text_key().alias("tk"), "doc_id")
-    found = written(long_enough.select("text", "tk").mapInArrow(find, "tk long, place long, h long"), "anchors", few=docs)
+    found = written(long_enough.select("text", "tk").mapInArrow(lean(find), "tk long, place long, h long"), "anchors", few=docs)
     often = written(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "often", few=docs)
     # a place of a text has one anchor: not grouped by h, so that the join may split a hot one
     hits = found.join(often, "h").groupBy("tk", "place").agg(F.first("h").alias("h"), F.count("*").cast("int").alias("copies"), F.first("hot").alias("hot"))
@@ -229,7 +229,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
 
     texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "text", text_key().alias("tk"))
     texts = texts.join(by_text.join(one, "tk"), "tk").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "tk", "hits")
-    cuts = written(texts.mapInArrow(cut, "tk long, starts array<long>, h long, shape long, copies long, snippet binary").withColumn("sid", F.xxhash64("shape", "snippet")), "snippets")
+    cuts = written(texts.mapInArrow(lean(cut), "tk long, starts array<long>, h long, shape long, copies long, snippet binary").withColumn("sid", F.xxhash64("shape", "snippet")), "snippets")
     release(by_text)
     distinct = cuts.groupBy("h", "sid", "shape", "snippet").agg(F.sum("copies").alias("copies"))
 
@@ -244,7 +244,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
             bits = np.packbits(windows[any_], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(h[any_]), pa.array(sid[any_]), pa.array([x.tobytes() for x in bits], pa.binary())], ["h", "sid", "windows"])
 
-    decided = distinct.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(decide, "h long, sid long, windows binary")
+    decided = distinct.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(lean(decide), "h long, sid long, windows binary")
     places = cuts.select("tk", "starts", "h", "sid").join(decided, ["h", "sid"])
     by_text = places.groupBy("tk").agg(F.collect_list(F.struct("starts", "windows")).alias("places"))
 
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int | None = None)
                 out.append(np.stack([starts[new], starts[np.append(new[1:], len(starts)) - 1] + length], axis=1).ravel())
             yield pa.RecordBatch.from_arrays([b.column("tk"), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], ["tk", "spans"])
 
-    out = written(by_text.mapInArrow(spans, "tk long, spans array<long>"), "spans", few=docs)
+    out = written(by_text.mapInArrow(lean(spans), "tk long, spans array<long>"), "spans", few=docs)
     release(cuts)
     return out
 
@@ -311,7 +311,7 @@ def cut_rows(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataF
             )
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(apply, f"row {kind}, n_bytes long, n_removed long, kept_sha256 string, n_spans long, spans array<long>, cut string, emptied boolean")
+    return bounded(rows).mapInArrow(lean(apply), f"row {kind}, n_bytes long, n_removed long, kept_sha256 string, n_spans long, spans array<long>, cut string, emptied boolean")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
