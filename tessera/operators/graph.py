@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.sources.index import bucket_of
-from tessera.sources.store import release, written
+from tessera.sources.store import parted, release, written
 
 NODE_BUCKETS = 32  # of a stored adjacency
 HOPS = 2  # times that a graph is trimmed before it is written
@@ -208,8 +208,13 @@ def reach(edges: DataFrame, seeds: DataFrame, value: str | list[str], most: int
     """
     values = [value] if isinstance(value, str) else value
     top = [F.max(v).alias(v) for v in values]
+    with parted(edges.sparkSession, edges.count()) as n:
+        return _reach(edges, seeds, values, top, most, known, n)
+
+
+def _reach(edges: DataFrame, seeds: DataFrame, values: list[str], top: list[Column], most: int, known: DataFrame | None, n: int) -> DataFrame:
     # a number that is given stays, so that the hops' own partitions meet these
-    dealt = edges.select("a", "b").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a").persist()
+    dealt = edges.select("a", "b").repartition(n, "a").sortWithinPartitions("a").persist()
 
     def rose(new: DataFrame, old: list[DataFrame]) -> DataFrame:
         """What of the new values (with the column late, if there is one) is above the old ones: one aggregation of both."""
@@ -259,8 +264,13 @@ def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
     Rows are those of the graph, never pairs of nodes. Rounds follow the longest shortest path, SPREAD edges each.
     """
     rest = written(edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct(), "cycles")
-    found = [rest.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component"))]
     left = rest.count()
+    with parted(rest.sparkSession, left):
+        return _strong_components(rest, left, most)
+
+
+def _strong_components(rest: DataFrame, left: int, most: int) -> DataFrame:
+    found = [rest.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component"))]
     for _ in range(most):
         while left:
             trimmed = rest
