@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,24 +39,26 @@ def assertion_units(assertions: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def graph_rows(entities: DataFrame, assertions: DataFrame) -> DataFrame:
+def graph_rows(entities: DataFrame, assertions: DataFrame, form: Callable[[Column], Column] = lambda c: c, between: str = " ") -> DataFrame:
     """(target_id, target_kind, title, name, aliases, endpoints, predicate, qualifiers, description) of both, as they are indexed.
 
     entities: id, title, aliases, description, eligibility; an entity has only its name, aliases and, while it is current, description.
     assertions: id, subject_id, predicate, object_id, negated; one has the titles and aliases of its subject, then of its object, and
-    its qualifiers as JSON. An endpoint that is no entity has its id.
+    its qualifiers as JSON. An endpoint that is no entity has its id. Texts but title and aliases are given in a form, an
+    endpoint's once for each entity; `between` is what stands between the forms of two endpoints.
     """
     empty, none = F.lit(""), F.array().cast("array<string>")
     e = entities.select(
-        F.col("id").alias("target_id"), F.lit("entity").alias("target_kind"), "title", F.col("title").alias("name"), "aliases", empty.alias("endpoints"), empty.alias("predicate"), empty.alias("qualifiers"),
-        F.when(F.col("eligibility") == "current", F.coalesce("description", empty)).otherwise(empty).alias("description"),
+        F.col("id").alias("target_id"), F.lit("entity").alias("target_kind"), "title", form(F.col("title")).alias("name"), "aliases", empty.alias("endpoints"), empty.alias("predicate"), empty.alias("qualifiers"),
+        F.when(F.col("eligibility") == "current", form(F.coalesce("description", empty))).otherwise(empty).alias("description"),
     )
-    named = entities.select("id", F.concat_ws(" ", "title", F.array_join("aliases", " ")).alias("words"))
-    at = lambda side: named.select(F.col("id").alias(f"{side}_id"), F.col("words").alias(side))
+    named = entities.select("id", form(F.concat_ws(" ", "title", F.array_join("aliases", " "))).alias("words"))
+    at = lambda side: named.select(F.col("id").alias(f"{side}_id"), F.col("words").alias(side)).hint("shuffle_hash")  # noqa: E731 - entities have each id once, so that the many assertions needn't be sorted
     a = assertions.join(at("subject"), "subject_id", "left").join(at("object"), "object_id", "left")
-    qualifiers = F.to_json(F.struct(F.lit("asserted").alias("modality"), F.coalesce("negated", F.lit(False)).alias("negated")))
+    json = lambda negated: form(F.lit(f'{{"modality":"asserted","negated":{negated}}}'))
+    qualifiers = F.when(F.coalesce("negated", F.lit(False)), json("true")).otherwise(json("false"))
     a = a.select(
         F.col("id").alias("target_id"), F.lit("assertion").alias("target_kind"), F.col("id").alias("title"), empty.alias("name"), none.alias("aliases"),
-        F.concat_ws(" ", F.coalesce("subject", "subject_id"), F.coalesce("object", "object_id")).alias("endpoints"), "predicate", qualifiers.alias("qualifiers"), empty.alias("description"),
+        F.concat_ws(between, F.coalesce("subject", form(F.col("subject_id"))), F.coalesce("object", form(F.col("object_id")))).alias("endpoints"), form(F.col("predicate")).alias("predicate"), qualifiers.alias("qualifiers"), empty.alias("description"),
     )
     return e.unionByName(a)
